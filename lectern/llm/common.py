@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one numpy step handles; a single longer text is one step.
 CHUNK = 4 << 20
@@ -43,8 +47,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each context, so that they need no install of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._lectern_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't fill a Python worker."""
+    """Ship the code, and keep Arrow batches small, so that long texts don't fill a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
@@ -201,3 +220,31 @@ def within(first: np.ndarray, size: int) -> np.ndarray:
         at = first[1:-1] - back
         ok[at[(at >= 0) & (at < len(ok))]] = False
     return np.flatnonzero(ok)
+
+
+def over_texts(docs: DataFrame, fn, fields: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns `keep` as they are, then those that fn(bytes, bounds) gives for each chunk of texts (null: empty).
+
+    fields: DDL of the new columns; fn returns one array of values for each. Nothing is shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+    new = T._parse_datatype_string(fields)
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_lectern_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *new.fields])
+    names, n = [f.name for f in schema.fields], len(keep)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(new)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, off = buffers(b.column(n))
+            i = 0
+            while i < b.num_rows:
+                j = min(b.num_rows, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1))
+                made = fn(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, kinds.field(k).type) for k, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(n)] + arrays, names=names)
+                i = j
+
+    return rows.mapInArrow(run, schema)

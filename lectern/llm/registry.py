@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import quality, warc
+from lectern.llm import decontaminate, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,16 +15,22 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op6_warc": op6_warc,
+    "op7_decontaminate": op7_decontaminate,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
     "op6_warc": warc.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_quality": quality.ORACLE,
 }
