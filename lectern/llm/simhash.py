@@ -103,11 +103,11 @@ def wide(shingles: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(2 * counts > len(shingles), bitorder="little").view(np.uint64)
 
 
-def radius(similarity: float, bits: int) -> int:
-    """Bits that differ between sets of this Jaccard similarity, and one standard deviation more."""
+def radius(similarity: float, bits: int, deviations: float) -> int:
+    """Bits that differ between sets of this Jaccard similarity, and so many standard deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     p = float(np.arccos(cosine) / np.pi)
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -156,43 +156,48 @@ def close_pairs(planes: np.ndarray, shift: int, wanted: np.ndarray, most: int) -
     return at[w] * 64 + k
 
 
-def forest(keys: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, root) for rows that aren't the first of their group; rows with equal keys stand together and are compared."""
+def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows that span the groups within the last radius; rows with equal keys stand together and are compared.
+
+    Radii ascend, so that groups are joined by their closest pairs.
+    """
     n = len(keys)
     parent = np.arange(n)
     planes = planes_of(fp)
-    shift = 1
-    while shift < n:
-        same = keys[:-shift] == keys[shift:]
-        if not same.any():
-            break
-        wanted = same & (parent[:-shift] != parent[shift:])
-        if wanted.any():
-            i = close_pairs(planes, shift, wanted, most)
-            j = i + shift
+    found = []
+    for most in radii:
+        shift = 1
+        while shift < n:
+            same = keys[:-shift] == keys[shift:]
+            if not same.any():
+                break
+            wanted = same & (parent[:-shift] != parent[shift:])
+            i = close_pairs(planes, shift, wanted, most) if wanted.any() else np.zeros(0, np.int64)
             while len(i):
-                a, b = parent[i], parent[j]
+                a, b = parent[i], parent[i + shift]
                 apart = a != b
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+                i, low, high = i[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+                hooked, at = np.unique(high, return_index=True)
+                parent[hooked] = low[at]
+                found.append(np.stack([i[at], i[at] + shift]))
                 while True:
                     up = parent[parent]
                     if (up == parent).all():
                         break
                     parent = up
-        shift += 1
-    row = np.flatnonzero(parent != np.arange(n))
-    return row, parent[row]
+            shift += 1
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
 
 
-def compared(blocks: DataFrame, most: int) -> DataFrame:
+def compared(blocks: DataFrame, radii: list[int]) -> DataFrame:
     """(a, b): a spanning forest of the links inside each block; blocks: key long, id long, fp binary."""
     bounded_batches(blocks.sparkSession)
     ordered = blocks.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "id")
 
     def pairs(keys, ids, fp):
-        row, root = forest(keys, fp, most)
-        lo, hi = np.minimum(ids[row], ids[root]), np.maximum(ids[row], ids[root])
+        i, j = forest(keys, fp, radii)
+        lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +304,15 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def grouped(rows: DataFrame, blocks, most: int) -> DataFrame:
-    """doc_id, fp and component_id of rows (doc_id, fp, and what blocks needs): equal fingerprints stand for one another."""
+def grouped(rows: DataFrame, blocks, radii: list[int], check=None) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, fp, and what blocks needs): equal fingerprints stand for one another.
+
+    check: from links (a, b) to those that hold.
+    """
     others = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "fp")]
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), *others), "simhash-reps")
-    found = components(compared(blocks(reps), most))
+    links = compared(blocks(reps), radii)
+    found = components(check(links) if check else links)
     named = reps.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "fp").join(named, "fp")
 
@@ -313,20 +322,44 @@ def near_duplicate_components(docs: DataFrame, size: int = 3, most: int = 2, id_
     if most != 2:
         raise ValueError("blocks are made for two differing bits")
     rows = written(fingerprints(docs, size, id_col, text_col), "simhash")
-    out = grouped(rows, blocks_within_two, most)
+    out = grouped(rows, blocks_within_two, [most])
     return out.select(null_id(F.col("doc_id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id(F.col("component_id")).alias("component_id"))
 
 
+def similar(docs: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose texts' sets of `size`-word shingles have this Jaccard similarity; docs: doc_id, text.
+
+    Of rows with one id the sets are joined.
+    """
+    links = written(links.distinct(), "candidates")
+    wanted = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+
+    def fn(data, bounds):
+        data = LOWER[data]
+        s, e, first = words(data, bounds)
+        h = word_hashes(data, s, e)
+        return [[np.unique(window_hashes(h[a:b], min(size, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]]
+
+    sets = over_texts(docs.join(wanted, "doc_id", "left_semi"), fn, "shingles array<long>", ["doc_id"])
+    sets = written(sets.dropDuplicates(["doc_id"]), "shingles")
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    share = both >= similarity * (F.size("x") + F.size("y") - both)
+    return links.join(x, "a").join(y, "b").filter(share | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = WIDE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those of each group of near-duplicates that don't have its smallest id; all columns stay.
 
-    Texts are linked where their wide fingerprints put the Jaccard similarity of their sets of `size`-word shingles
-    at `similarity` or more, within one standard deviation (0.02 to 0.03 at 1024 bits).
-    Of rows with equal ids in one group one stays; groups are what links connect.
+    Wide fingerprints find pairs of texts, closest first, that may have a Jaccard similarity of `similarity` or more
+    between their sets of `size`-word shingles (within three standard deviations); the pairs that join groups are
+    then compared by the sets themselves. Groups are what the pairs that hold connect.
+    Of rows with equal ids in one group one stays.
     """
+    plain = texts(docs, id_col, text_col)
     rows = written(wide_fingerprints(docs, size, bits, id_col, text_col), "simhash-wide")
-    groups = grouped(rows, blocks_of_sketch, radius(similarity, bits))
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.85, 0.65, 0.45, 0.25)]
+    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], lambda links: similar(plain, links, size, similarity))
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lectern_gone")).distinct()
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_lectern_gone"), key == F.col("_lectern_gone"), "left_anti")
-    return kept
+    return docs.join(gone, key == F.col("_lectern_gone"), "left_anti")
