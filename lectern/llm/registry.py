@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, packing, quality, simhash, toxicity, warc
+from lectern.llm import decontaminate, packing, quality, simhash, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
@@ -41,11 +45,13 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
+    "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op9_substrings": substrings.ORACLE,
     "op10_quality": quality.ORACLE,
 }
