@@ -196,13 +196,18 @@ def split_by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, slice
         yield s, slice(int(cuts[s]), int(cuts[s + 1]))
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    size = 1
-    while size * 2 <= width:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    rest = width - size
-    return np.minimum(x[:-rest], x[rest:]) if rest else x
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least of every `width` values."""
+    at, size = np.arange(len(x), dtype=np.int32), 1
+    least = x
+    join = lambda step: (least[:-step] <= least[step:], at[:-step], at[step:])
+    while size < width:
+        step = min(size, width - size)
+        left, a, b = join(step)
+        at = np.where(left, a, b)
+        least = x[at]
+        size += step
+    return at
 
 
 def starts_within(first: np.ndarray, size: int) -> np.ndarray:

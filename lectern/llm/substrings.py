@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import NOT_SPACE, null_id, window_hashes, word_hashes
-from lectern.llm.exchange import Block, answer_repeats, answered, ask, ask_repeats, each_block, expand, pack, release, repeated_values, sliding_min, split_by_shard, squeeze, starts_within, store, unpack
+from lectern.llm.exchange import Block, answer_repeats, answered, ask, ask_repeats, each_block, expand, pack, release, repeated_values, sliding_argmin, split_by_shard, squeeze, starts_within, store, unpack
 
 WINDOW = 20
 #: Words whose hashes a minimizer is chosen from.
@@ -32,21 +32,28 @@ SEED = 8
 BLOCK_BYTES = 3 << 20
 
 
-def runs(block: Block, window: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
-    """Word spans; starts of runs within one document; minimizer and hash of each."""
+def runs(block: Block, window: int):
+    """Word spans; starts of runs within one document; place and value of the minimizer, and hash, of each."""
     spans = block.words(NOT_SPACE)
     at = starts_within(spans[2], window)
     if not len(at):
-        return spans, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return spans, at, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = word_hashes(block.data, spans[0], spans[1])
     seed = min(SEED, window)
-    least = sliding_min(window_hashes(h, seed), window - seed + 1)
-    return spans, at, least[at], window_hashes(h, window)[at]
+    seeds = window_hashes(h, seed)
+    anchor = sliding_argmin(seeds, window - seed + 1)[at]
+    return spans, at, anchor, seeds[anchor], window_hashes(h, window)[at]
+
+
+def minimizers(block: Block, window: int) -> np.ndarray:
+    """The minimizers of a block, one for each place."""
+    _, _, anchor, least, _ = runs(block, window)
+    return least[np.flatnonzero(np.diff(anchor, prepend=-1))]
 
 
 def looked_up(block: Block, had, window: int, shards: int):
     """Spans, starts of all runs, and (index into them, distinct hash, first index of each hash, inverse) of runs looked up."""
-    spans, at, least, whole = runs(block, window)
+    spans, at, _, least, whole = runs(block, window)
     distinct, again = repeated_values(least, had, shards)
     some = np.flatnonzero(again[np.searchsorted(distinct, least)]) if len(at) else np.zeros(0, np.int64)
     hashes, first, back = np.unique(whole[some], return_index=True, return_inverse=True)
@@ -127,7 +134,7 @@ class Parsed:
         self.window, spark = window, docs.sparkSession
         self.corpus = store(docs, BLOCK_BYTES, id_col, text_col)
         shards = self.shards = self.corpus.shards
-        self.repeats = answered(ask(self.corpus, None, ask_repeats(lambda block: runs(block, window)[2], shards)), answer_repeats, shards)
+        self.repeats = answered(ask(self.corpus, None, ask_repeats(lambda block: minimizers(block, window), shards)), answer_repeats, shards)
         release(spark)
         self.firsts = answered(ask(self.corpus, self.repeats, ask_first(window, shards)), answer_first, shards)
         release(spark)
