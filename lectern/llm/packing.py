@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import CHUNK, bounded_batches, buffers, offsets32, word_hashes, words
+from lectern.llm.common import CHUNK, U, bounded_batches, buffers, offsets32, word_hashes, words
 
 WINDOW = 4096
 END = 2
-#: Distinct words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
-#: Between words in one call of the tokenizer; words that hold such a mark are encoded alone.
-MARK = "<|startoftext|>"
-
-Piece = tuple[int, int, int, int, int, int, int]  # row, start, length, crc, tokens of the document, sequence, offset
-
+#: Distinct words whose ids a worker keeps, at most (about 40 bytes each); then those met in one chunk only go.
+CACHE_WORDS = 3_000_000
+#: Words in one call of the tokenizer.
+STEP = 20_000
 
 class WordIds:
     """Ids of each word of a text, by one tokenizer."""
@@ -44,39 +42,39 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of words
+        self.starts, self.lengths, self.chunks = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def encode(self, found: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
-        plain = [w.decode() for w in found]
-        if self.mark is None or any("<|" in w for w in plain):
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(MARK.join(plain), add_special_tokens=False).ids, np.int32)
-        cuts = np.flatnonzero(ids == self.mark)
-        if len(cuts) != len(plain) - 1:
-            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        return [x[1:] if k else x for k, x in enumerate(np.split(ids, cuts))]
-
-    def add(self, hashes: list[int], found: list[bytes]) -> None:
-        made = self.encode(found)
+
+    def trim(self) -> None:
+        """Forget words that one chunk had; all, if that leaves too many."""
+        keep = np.flatnonzero(self.chunks > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            self.clear()
+            return
+        size = self.lengths[keep].astype(np.int64)
+        to = offsets32(size)
+        self.pool = self.pool[np.repeat(self.starts[keep] - to[:-1], size) + np.arange(to[-1])]
+        self.keys, self.lengths, self.chunks = self.keys[keep], self.lengths[keep], np.ones(len(keep), np.int32)
+        self.starts, self.used = to[:-1], int(to[-1])
+
+    def add(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        """Encode words that aren't kept yet; hashes: theirs, sorted."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        n, total = len(self.of), int(sizes.sum())
+        total = int(sizes.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
-        if n + len(made) > len(self.starts):
-            more = np.zeros(max(len(made), n), np.int64)
-            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        self.pool[self.used : self.used + total] = np.concatenate(made) if made else []
-        self.starts[n : n + len(made)] = self.used + offsets32(sizes)[:-1]
-        self.lengths[n : n + len(made)] = sizes
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + offsets32(sizes)[:-1])
+        self.lengths = np.insert(self.lengths, at, sizes)
+        self.chunks = np.insert(self.chunks, at, 0)
         self.used += total
-        self.of.update(zip(hashes, range(n, n + len(made)), strict=True))
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, with the end token behind."""
@@ -85,19 +83,17 @@ class WordIds:
         if not len(s):
             return [ends] * (len(bounds) - 1)
         uniq, at, back = np.unique(word_hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.of) + len(uniq) > CACHE_WORDS:
-            self.clear()
-        get = self.of.get
-        place = np.fromiter((get(h, -1) for h in uniq.tolist()), np.int64, len(uniq))
-        new = np.flatnonzero(place < 0)
-        step = 20_000
-        for i in range(0, len(new), step):
-            k = new[i : i + step]
-            n = len(self.of)
-            self.add(uniq[k].tolist(), [data[a:b].tobytes() for a, b in zip(s[at[k]].tolist(), e[at[k]].tolist(), strict=True)])
-            place[k] = np.arange(n, n + len(k))
+        if len(self.keys) + len(uniq) > CACHE_WORDS:
+            self.trim()
+        place = np.searchsorted(self.keys, uniq)
+        new = np.flatnonzero(np.append(self.keys, U(0))[place] != uniq if len(self.keys) else np.ones(len(uniq), bool))
+        for i in range(0, len(new), STEP):
+            k = new[i : i + STEP]
+            self.add(uniq[k], [data[a:b].tobytes() for a, b in zip(s[at[k]].tolist(), e[at[k]].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, uniq)
+        self.chunks[place] += 1
         word = place[back]
-        size = self.lengths[word]
+        size = self.lengths[word].astype(np.int64)
         to = offsets32(size)
         # Each id's place in the pool: its word's start there, and its place in the word.
         ids = self.pool[np.repeat(self.starts[word] - to[:-1], size) + np.arange(to[-1])]

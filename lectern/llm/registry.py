@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, lm, packing, quality, simhash, substrings, suffixes, toxicity, warc
+from lectern.llm import decontaminate, licenses, lm, packing, quality, simhash, substrings, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
