@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # Fixed values of retrieval normalisation, replaced one after another wherever they stand.
 SEARCH_REPLACEMENTS = (
@@ -35,13 +36,13 @@ PROGRAMMES = ("atn business", "business talk", "money talks", "business times",
 BANGLA_DIGITS = "০১২৩৪৫৬৭৮৯"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no such function."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFC", x).casefold())
 
@@ -246,7 +247,7 @@ def _edit(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance over words."""
     return pd.Series([_edit((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")

@@ -56,13 +56,13 @@ seg AS (SELECT episode, turn, speaker_id, start_ds, end_ds - 4 * (n_words // 5)
 
 def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as intervals: event_id, episode (user_id), speaker (event_type), start_ms, end_ms."""
-    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) div 1000")
     length = F.floor(F.abs(F.coalesce("value", F.lit(0.0))) * 1000).cast("long")
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("episode"), F.col("event_type").alias("speaker"), ms.alias("start_ms"), (ms + length).alias("end_ms"), "value")
 
 
 AIR = """
-air AS (SELECT event_id, user_id AS episode, event_type AS speaker, epoch_ms(ts) AS start_ms, epoch_ms(ts) + floor(abs(coalesce(value, 0.0)) * 1000)::BIGINT AS end_ms, value FROM events)"""
+air AS (SELECT event_id, user_id AS episode, event_type AS speaker, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + floor(abs(coalesce(value, 0.0)) * 1000)::BIGINT AS end_ms, value FROM events)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
