@@ -5,7 +5,7 @@ bytes), hashed to a fixed number of weights, and a document's is the noisy-or of
 Only document labels are learnt from; the sentence scores that come out of it locate what offends.
 
 Weights are fitted on at most TRAIN_ROWS labelled rows (a bounded sample, those with the smallest hashes of
-their text), whose words arrive at the driver as numbers, never as texts.
+their ids), whose words arrive at the driver as numbers, never as texts.
 
 Defined results: null and empty texts are one sentence without words; labels that are null are left out, and of
 repeated labels of an id the largest counts; without labels of both kinds every weight is zero; an empty table gives an empty table.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ALNUM, BYTE_VALUE, LOWER, U, byte_set, mix, over_texts, prefix_sums, span_hashes, words
 
 #: Labelled rows to learn from, at most.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 #: Words of one text that are learnt from, at most: this bounds what the driver holds. Scoring reads all.
 TRAIN_WORDS = 20_000
 WEIGHTS = 1 << 18
@@ -149,8 +149,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `rows` of the documents that labels marks; held-out rows must be cut off before."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(rows)  # so many small rows at most, which is why they may be broadcast
     plain = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    joined = plain.join(marked, "id").select("text", "y")
+    sample = plain.join(F.broadcast(chosen), "id").select("text", "y")
 
     def fn(data, bounds):
         b, _ = bags(data, bounds)
@@ -162,7 +163,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out.append(np.concatenate([[np.int32(len(lengths))], lengths, f.ravel()]).astype("<i4").tobytes())
         return [out]
 
-    sample = joined.select("text", "y", F.xxhash64("text").alias("h")).orderBy("h", "y").limit(rows)
     got = over_texts(sample, fn, "bag binary", ["y"]).toArrow()
     features, lengths, sizes = [], [], []
     for raw in got.column("bag").to_pylist():
@@ -209,7 +209,8 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, learnt from those that aren't held out."""
     rows = docs.select("doc_id", "text")
-    model = train(rows.filter(~held_out(F.col("doc_id"))), labels.select("doc_id", "toxic"))
+    learnt = ~held_out(F.col("doc_id"))
+    model = train(rows.filter(learnt), labels.select("doc_id", "toxic").filter(learnt))
     return score(rows, model, ["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
