@@ -38,7 +38,7 @@ def normal(frame):
     frame = frame[sorted(frame.columns)].astype(object)
 
     def cell(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan"):
             return "None"
         if isinstance(v, float):
             return str(int(v)) if v.is_integer() else repr(round(v, 6))

@@ -92,7 +92,7 @@ def test_turn_merge(spark):
 
 
 def test_segmentation_caps_utterances(spark):
-    w = [(1, 0, 3, i, f"w{i}" + ("." if i == 2 else ""), 10 * i, 10 * i + 10) for i in range(6)] + [(1, 0, 3, 6, "late", 81, 90)]
+    w = [(1, 0, 3, i, f"w{i}" + ("!" if i == 2 else ""), 10 * i, 10 * i + 10) for i in range(6)] + [(1, 0, 3, 6, "late", 81, 90)]
     df = spark.createDataFrame(w, "episode long, turn long, speaker_id long, idx long, word string, start long, end long")
     got = sorted((r.start, r.end, r.n_words) for r in Q.segment_words(df, gap=20, longest=25).collect())
     assert got == [(0, 20, 2), (20, 30, 1), (30, 50, 2), (50, 60, 1), (81, 90, 1)]
@@ -101,7 +101,7 @@ def test_segmentation_caps_utterances(spark):
 def test_votes_and_stance(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("abba")], "k long, i long, label string")
     assert tuple(A.majority_vote(rows, ["k"], "label", ["i"]).first()) == (1, "a", 0.5)
-    lab = spark.createDataFrame([(1, "positive", 10), (1, "positive", 10), (1, "negative", 1), (1, "neutral", 5)], "k long, label string, w double")
+    lab = spark.createDataFrame([(1, "positive", 10.0), (1, "positive", 10.0), (1, "negative", 1.0), (1, "neutral", 5.0)], "k long, label string, w double")
     plain, weighted = A.stance(lab, ["k"]).first(), A.stance(lab, ["k"], w=F.col("w")).first()
     assert plain["score"] == pytest.approx(1 / 3) and weighted["score"] == pytest.approx(19 / 21)
     verdict = lambda r: one(spark, T.stance_label(F.lit(r["polar_share"]), F.lit(r["score"])))
