@@ -30,7 +30,9 @@ from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, mix, null_id,
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 15
 #: A block of more rows is parted again.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+#: Machine words of pairs compared in one step.
+PAIR_WORDS = 8192
 #: Wide fingerprints, for similarities far from one.
 WIDE_BITS = 1024
 #: Smallest shingle hashes of a text that serve as its blocks when similarities are far from one.
@@ -127,33 +129,75 @@ def as_words(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(planes: np.ndarray, shift: int, wanted: np.ndarray, most: int) -> np.ndarray:
-    """Rows i with wanted[i] and at most `most` bits differing from row i + shift."""
-    mask = as_words(wanted)
-    at = np.flatnonzero(mask)
-    alive = mask[at]
-    q, r = divmod(shift, 64)
+def add_planes(counter: list[np.ndarray], planes: np.ndarray) -> np.ndarray:
+    """Add 16 planes of bits to a vertical counter by carry-save adders; gives where it overflowed.
+
+    Three words of one place become a sum and a carry, so that a place is touched once for each pair of planes.
+    """
+    width, over = len(counter), np.zeros(planes.shape[1], np.uint64)
+    level = list(planes)
+    for c in range(width):
+        up = []
+        for a, b in zip(level[::2], level[1::2], strict=False):
+            half = counter[c] ^ a
+            up.append((counter[c] & a) | (half & b))
+            counter[c] = half ^ b
+        if len(level) % 2:
+            up.append(counter[c] & level[-1])
+            counter[c] = counter[c] ^ level[-1]
+        level = up
+    for carry in level:
+        over |= carry
+    return over
+
+
+def close_pairs(planes: np.ndarray, shifts: np.ndarray, wanted: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): rows i with wanted[k][i] for a shift, and at most `most` bits differing from row j = i + shift.
+
+    All shifts are compared at once, 64 pairs in each word.
+    """
+    masks = [as_words(w) for w in wanted]
+    at = [np.flatnonzero(m) for m in masks]
+    alive = np.concatenate([m[a] for m, a in zip(masks, at, strict=True)])
+    shift = np.repeat(shifts, [len(a) for a in at])
+    at = np.concatenate(at)
     width = int(most).bit_length()
     start = (1 << width) - 1 - most  # so that the counter overflows once over `most`
-    counter = [np.full(len(at), U(0xFFFFFFFFFFFFFFFF) if start >> b & 1 else U(0)) for b in range(width)]
+    counter = [np.full(len(at), ~U(0) if start >> b & 1 else U(0)) for b in range(width)]
     for b in range(0, len(planes), 16):
+        if not len(at):
+            break
+        q, r = shift >> 6, (shift & 63).astype(np.uint64)
         part = planes[b : b + 16]
-        other = part[:, at + q]
-        if r:
-            other = (other >> U(r)) | (part[:, at + q + 1] << U(64 - r))
-        for carry in part[:, at] ^ other:
-            for c in range(width):
-                counter[c], carry = counter[c] ^ carry, counter[c] & carry
-            alive = alive & ~carry
+        ahead = np.where(r > 0, part[:, at + q + 1] << ((U(64) - r) & U(63)), U(0))
+        differ = part[:, at] ^ ((part[:, at + q] >> r) | ahead)
+        alive = alive & ~add_planes(counter, differ)
         live = alive != 0
-        if not live.all():  # whole words of pairs beyond the radius are abandoned
-            at, alive = at[live], alive[live]
+        if live.sum() < 0.7 * len(live):  # words of pairs that are all beyond the radius are abandoned
+            at, alive, shift = at[live], alive[live], shift[live]
             counter = [c[live] for c in counter]
-            if not len(at):
-                return np.zeros(0, np.int64)
     bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     w, k = np.nonzero(bits)
-    return at[w] * 64 + k
+    i = at[w] * 64 + k
+    return i, i + shift[w]
+
+
+def joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Groups with the pairs' groups united, and the pairs that did it, earlier pairs first."""
+    found = []
+    while len(i):
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        hooked, at = np.unique(high, return_index=True)
+        parent[hooked] = low[at]
+        found.append(np.stack([i[at], j[at]]))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent, found
 
 
 def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,31 +205,30 @@ def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarr
 
     Radii ascend, so that groups are joined by their closest pairs.
     """
-    n = len(keys)
-    parent = np.arange(n)
+    parent = np.arange(len(keys))
     planes = planes_of(fp)
-    found = []
+    found: list[np.ndarray] = []
+    ends = np.flatnonzero(np.diff(keys)) + 1
+    longest = int(np.diff(np.concatenate([[0], ends, [len(keys)]])).max()) if len(keys) else 0
     for most in radii:
-        shift = 1
-        while shift < n:
-            same = keys[:-shift] == keys[shift:]
-            if not same.any():
-                break
-            wanted = same & (parent[:-shift] != parent[shift:])
-            i = close_pairs(planes, shift, wanted, most) if wanted.any() else np.zeros(0, np.int64)
-            while len(i):
-                a, b = parent[i], parent[i + shift]
-                apart = a != b
-                i, low, high = i[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-                hooked, at = np.unique(high, return_index=True)
-                parent[hooked] = low[at]
-                found.append(np.stack([i[at], i[at] + shift]))
-                while True:
-                    up = parent[parent]
-                    if (up == parent).all():
-                        break
-                    parent = up
+        held, words_held, shift = ([], []), 0, 1
+        while shift < longest:
+            same = (keys[:-shift] == keys[shift:]) & (parent[:-shift] != parent[shift:])
+            if same.any():
+                held[0].append(shift)
+                held[1].append(same)
+                words_held += min(int(same.sum()), len(same) // 64 + 1)
             shift += 1
+            if held[0] and (words_held >= PAIR_WORDS or len(held[0]) >= 256 or shift == longest):
+                i, j = close_pairs(planes, np.array(held[0]), held[1], most)
+                near = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
+                parent, new = joined(parent, i[near], j[near])
+                found += new
+                held, words_held = ([], []), 0
+        if held[0]:
+            i, j = close_pairs(planes, np.array(held[0]), held[1], most)
+            parent, new = joined(parent, i, j)
+            found += new
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return pairs[0], pairs[1]
 
@@ -358,7 +401,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """
     plain = texts(docs, id_col, text_col)
     rows = written(wide_fingerprints(docs, size, bits, id_col, text_col), "simhash-wide")
-    levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.85, 0.65, 0.45, 0.25)]
+    levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.7, 0.3)]
     groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], lambda links: similar(plain, links, size, similarity))
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lectern_gone")).distinct()
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
