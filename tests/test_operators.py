@@ -200,3 +200,30 @@ def test_roles_and_chunks(spark):
     c = Q.chunk(spark.createDataFrame([(0.0, 60.0), (5.0, 5.0)], "start_sec double, end_sec double"), 28).select("chunk_start", "chunk_end").collect()
     assert [tuple(r) for r in sorted(c)] == [(0.0, 28.0), (28.0, 56.0), (56.0, 60.0)]
     assert math.isclose(one(spark, F.array_max(T.softmax(F.array(F.lit(0.0), F.lit(0.0))))), 0.5)
+
+
+def test_annotations(spark):
+    from lectern.operators import annotations as N
+
+    ship(spark)
+    label = lambda *a: (*a, None)
+    ok = ("e1", "u1", 0, "host", False, 0.0, 1.0, "bank rises", "bank rises", [label("bank", "SECTOR", "positive")], "labelled", True)
+    bad = ("e2", "u1", None, "x", True, 2.0, 1.0, "a 5​é", None, [label("q", "SECTOR", "positive"), label("Q", "MARKET", "positive"), label("q", "SECTOR", "negative"), label("", "NO", "maybe")], "odd", None)
+    excluded = ("e3", "u1", 1, "host", False, 0.0, 1.0, "bank", "bank", [label("bank", "SECTOR", "positive")], "out_of_scope", True)
+    none = ("e3", "u2", 1, "host", False, 0.0, 1.0, "bank", "bank", None, "labelled", True)
+    rows = spark.createDataFrame([ok, bad, excluded, none], N.ANNOTATED)
+    found: dict = {}
+    for r in N.issues(rows).collect():
+        found.setdefault((r.episode_id, r.utterance_id), []).append(r.code)
+    assert ("e1", "u1") not in found and found["e3", "u1"] == ["LABEL_ON_EXCLUDED_UTTERANCE"] and found["e3", "u2"] == ["MISSING_LABEL"]
+    want = ["BAD_ANNOTATION_STATUS", "BAD_POLARITY", "BAD_ROLE", "BAD_SPEAKER", "BAD_TARGET", "BAD_TIME", "BIDI_OR_ZERO_WIDTH", "CONFLICTING_TARGET_TYPE", "CONTRADICTORY_POLARITY", "DIGIT_NOT_WORD", "MISSING_TARGET_SPAN", "NOT_HUMAN_VERIFIED", "NOT_NFC", "ROLE_REVIEW_UNRESOLVED", *["TARGET_SPAN_NOT_IN_TEXT"] * 3]
+    assert sorted(found["e2", "u1"]) == want
+    gold = N.gold_labels(rows)
+    assert [r.episode_id for r in gold.collect()] == ["e1"]
+    assert N.multilabel_examples(gold).first()["vector"] == [0, 0, 1, 0, 0, 0, 0, 0, 0, 0]
+    turns = spark.createDataFrame([("s", 0, "t0"), ("s", 1, "t1")], "speaker_key string, index long, turn_id string")
+    votes = spark.createDataFrame([("s", 0, 0, "positive"), ("s", 0, 1, "negative"), ("s", 9, 2, "negative")], "speaker_key string, index long, ord long, label string")
+    assert [(r.turn_id, r.label) for r in N.attach_votes(turns, votes).collect()] == [("t0", "positive")]
+    reg = spark.createDataFrame([("p1", "e1", "false"), ("p2", "e2", "false"), ("p3", "e3", "true")], "local_path string, episode_id string, remote string")
+    over = spark.createDataFrame([("p1", " TRUE "), ("e2", "true"), ("e3", "maybe")], "key string, remote string")
+    assert {r.episode_id: r.remote for r in N.overridden(reg, over, ["remote"]).collect()} == {"e1": "true", "e2": "true", "e3": "true"}
