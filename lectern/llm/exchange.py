@@ -10,6 +10,7 @@ The number of shards follows the bytes of text.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -51,9 +52,14 @@ def unpack(raw: bytes | None, dtype, rising: bool = False) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs whose results are written.
+
+    Twice, since the first round only lets go of what Python held in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @dataclass
