@@ -208,7 +208,7 @@ def test_annotations(spark):
     ship(spark)
     label = lambda *a: (*a, None)
     ok = ("e1", "u1", 0, "host", False, 0.0, 1.0, "bank rises", "bank rises", [label("bank", "SECTOR", "positive")], "labelled", True)
-    bad = ("e2", "u1", None, "x", True, 2.0, 1.0, "a 5​é", None, [label("q", "SECTOR", "positive"), label("Q", "MARKET", "positive"), label("q", "SECTOR", "negative"), label("", "NO", "maybe")], "odd", None)
+    bad = ("e2", "u1", None, "x", True, 2.0, 1.0, "a 5\u200be\u0301", None, [label("q", "SECTOR", "positive"), label("Q", "MARKET", "positive"), label("q", "SECTOR", "negative"), label("", "NO", "maybe")], "odd", None)
     excluded = ("e3", "u1", 1, "host", False, 0.0, 1.0, "bank", "bank", [label("bank", "SECTOR", "positive")], "out_of_scope", True)
     none = ("e3", "u2", 1, "host", False, 0.0, 1.0, "bank", "bank", None, "labelled", True)
     rows = spark.createDataFrame([ok, bad, excluded, none], N.ANNOTATED)
