@@ -52,9 +52,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     groups.select("digest", "first_id", "copies").write.parquet(f"{path}/groups")
     groups = spark.read.parquet(f"{path}/groups")
 
-    # The payload that stays is the one of the smallest id; max() over its rows keeps one of repeated rows.
+    # The payload that stays is the one of the smallest id. A digest has one such id, so that grouping by both needs no more shuffle.
     once = groups.select("digest", F.col("first_id").alias("id"), "copies")
-    kept = rows.select("id", "digest", "payload").join(once, ["digest", "id"]).groupBy("digest").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies"))
+    kept = rows.select("id", "digest", "payload").join(once, ["digest", "id"]).groupBy("digest", "id").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies")).drop("id")
     kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     # Rows of one digest are many only where pages are copies: each side is narrow, and AQE splits such keys.
