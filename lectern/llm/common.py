@@ -76,21 +76,6 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 
-def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, bounds) of consecutive rows: columns 0 (long) and 1 (string); at most limit bytes, or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, off = buffers(batch.column(1))
-        i = 0
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-            j = min(j, len(ids))
-            yield ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i]
-            i = j
-
-
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for a, b in ranges:
@@ -198,16 +183,6 @@ def offsets32(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def within(first: np.ndarray, size: int) -> np.ndarray:
-    """Starts of all runs of `size` items that don't cross a row; first: each row's first item."""
-    n = int(first[-1])
-    ok = np.ones(max(0, n - size + 1), bool)
-    for back in range(1, size):
-        at = first[1:-1] - back
-        ok[at[(at >= 0) & (at < len(ok))]] = False
-    return np.flatnonzero(ok)
-
-
 def over_texts(docs: DataFrame, fn, fields: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` as they are, then those that fn(bytes, bounds) gives for each chunk of texts (null: empty).
 
