@@ -31,6 +31,8 @@ from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, mix, null_id,
 STEP = 1 << 15
 #: A block of more rows is parted again.
 BLOCK_ROWS = 2048
+#: The same for blocks of wide fingerprints, which are parted once.
+SKETCH_ROWS = 16_384
 #: Machine words of pairs compared in one step.
 PAIR_WORDS = 8192
 #: Wide fingerprints, for similarities far from one.
@@ -313,18 +315,17 @@ def little_endian(x: Column) -> Column:
 def blocks_of_sketch(reps: DataFrame) -> DataFrame:
     """key, id, fp rows: a block for each of a text's SKETCH smallest shingle hashes.
 
-    Two sets of similarity 0.8 share none of these with a chance of about 0.2**8. Where over BLOCK_ROWS rows
-    share a hash, as in a passage that many texts hold, a block is made of that hash and each other one of the text's.
+    Two sets of similarity 0.8 share none of these with a chance of about 0.2**8. Where over SKETCH_ROWS rows
+    share a hash, as in a passage that many texts hold, blocks are made of that hash and each other one of a text's.
+    This is done once: what still shares a block then is alike, and is joined by its first comparisons.
     """
     rows = reps.select("id", "fp", "sketch", F.explode_outer("sketch").alias("key")).withColumn("key", F.coalesce("key", F.lit(0)))
-    for _ in range(2):
-        hot = written(rows.groupBy("key").count().filter(F.col("count") > BLOCK_ROWS).select("key"), "simhash-hot")
-        if hot.isEmpty():
-            break
+    hot = written(rows.groupBy("key").count().filter(F.col("count") > SKETCH_ROWS).select("key"), "simhash-hot")
+    if not hot.isEmpty():
         again = rows.join(hot, "key", "left_semi")
-        finer = again.select("id", "fp", "sketch", F.col("key").alias("had"), F.explode("sketch").alias("more")).filter("had != more")
-        finer = finer.select("id", "fp", "sketch", F.xxhash64(F.least("had", "more"), F.greatest("had", "more")).alias("key")).distinct()
-        rows = rows.join(hot, "key", "left_anti").unionByName(finer)
+        finer = again.select("id", "fp", F.col("key").alias("had"), F.explode("sketch").alias("more")).filter("had != more")
+        finer = finer.select("id", "fp", F.xxhash64(F.least("had", "more"), F.greatest("had", "more")).alias("key")).dropDuplicates(["id", "key"])
+        rows = rows.join(hot, "key", "left_anti").select("id", "fp", "key").unionByName(finer)
     return rows.select("key", "id", "fp")
 
 
