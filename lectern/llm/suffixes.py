@@ -26,7 +26,13 @@ from lectern.llm.exchange import Block, answer_repeats, answered, ask, ask_repea
 
 WINDOW = 100
 SEED = 40
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Shards for each that a corpus has by its text: here they hold segments, not hashes alone.
+SHARDS = 6
+#: Strings handled in one step where a step makes arrays of many times their bytes.
+STRINGS = 1 << 13
+#: Text of segments worked on at once in a shard.
+PART_BYTES = 2 << 20
 
 
 class Segments:
@@ -94,9 +100,13 @@ class Text:
         self.data, self.starts, self.lengths = data, starts, lengths
         longest = int(lengths.max()) if len(lengths) else 0
         self.up, self.down = powers(BASE, longest + 1), powers(INV, longest + 1)
-        place = np.arange(len(data)) - np.repeat(starts, lengths)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * self.up[place], out=self.sums[1:])
+        for i in range(0, len(starts), STRINGS):  # step by step, since what is made on the way takes many times the text
+            a, n = int(starts[i]), lengths[i : i + STRINGS]
+            b = a + int(n.sum())
+            place = np.arange(b - a) - np.repeat(starts[i : i + STRINGS] - a, n)
+            np.cumsum(BYTE_VALUE[data[a:b]] * self.up[place], out=self.sums[a + 1 : b + 1])
+            self.sums[a + 1 : b + 1] += self.sums[a]
 
     def hashes(self, i: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Of the first k bytes of strings i."""
@@ -158,15 +168,19 @@ class Text:
         out = np.full(len(order), -1, np.int64)
         k = np.flatnonzero(np.diff(group[order], prepend=-1) == 0)
         out[k] = self.common(order[k - 1], order[k])
-        same = out[k]
-        a, b = flat(self.starts[order[k - 1]], same), flat(self.starts[order[k]], same)
-        if not np.array_equal(self.data[a], self.data[b]):
-            raise RuntimeError("two strings share a hash")
+        for i in range(0, len(k), STRINGS):
+            j = k[i : i + STRINGS]
+            a, b = flat(self.starts[order[j - 1]], out[j]), flat(self.starts[order[j]], out[j])
+            if not np.array_equal(self.data[a], self.data[b]):
+                raise RuntimeError("two strings share a hash")
         return out
 
 
 def answer_segments(window: int):
-    """For each segment sent: a bit for each of its windows whose string also stands earlier."""
+    """For each segment sent: a bit for each of its windows whose string also stands earlier.
+
+    Anchors are independent of one another, so that a shard is worked through in parts of about PART_BYTES of text.
+    """
 
     def answer(blocks: list[int], payloads: list[list[bytes]]) -> list[list[bytes]]:
         value = np.concatenate([unpack(p[0], np.uint64, rising=True) for p in payloads])
@@ -177,50 +191,70 @@ def answer_segments(window: int):
         asker = np.repeat(np.arange(len(blocks)), sizes)
         length = far - near + window
         start = np.cumsum(length) - length
-        text = Text(data, start, length)
-        every = np.arange(len(value))
-        whole = mix(text.hashes(every, length) + (far * 64 + near).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        order = np.lexsort((pos, asker, ids, whole, value))
-        new = np.ones(len(order), bool)
-        new[1:] = (value[order[1:]] != value[order[:-1]]) | (whole[order[1:]] != whole[order[:-1]])
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        copy = order[~new]
-        of = head[~new]
-        # Copies of a whole segment: all their windows stand earlier, once the bytes are verified.
-        step = 1 << 16
-        for i in range(0, len(copy), step):
-            c, o = copy[i : i + step], of[i : i + step]
-            if not (np.array_equal(length[c], length[o]) and np.array_equal(data[flat(start[c], length[c])], data[flat(start[o], length[o])])):
-                raise RuntimeError("two segments share a hash")
+        order = np.argsort(value, kind="stable")
+        before = np.cumsum(length[order]) - length[order]
+        first = np.flatnonzero(np.append(True, value[order[1:]] != value[order[:-1]]))
+        part = before[first] // PART_BYTES
+        cuts = first[np.flatnonzero(np.append(True, part[1:] != part[:-1]))]
         mask = np.zeros(len(value), np.uint64)
-        mask[copy] = ~U(0) >> (U(63) - (far - near)[copy].astype(np.uint64))
-        # Segments that differ, by anchor.
-        kept = order[new]
-        _, group, count = np.unique(value[kept], return_inverse=True, return_counts=True)
-        some = kept[count[group] > 1]
-        if len(some):
-            _, group = np.unique(value[some], return_inverse=True)
-            place = np.lexsort((pos[some], asker[some], ids[some]))
-            turn = np.empty(len(some), np.int64)
-            turn[place] = np.arange(len(some))
-            ahead = common_classes(data, start[some] + far[some], length[some] - far[some], group)
-            behind = common_classes(data[::-1], len(data) - start[some] - far[some], far[some], group)
-            for d in range(int(near[some].min()), int(far[some].max()) + 1):
-                there = np.flatnonzero((near[some] <= d) & (d <= far[some]))
-                key = ahead(window - d)[there] * len(some) + behind(d)[there]
-                by = np.lexsort((turn[there], key))
-                again = there[by[1:][key[by[1:]] == key[by[:-1]]]]
-                mask[some[again]] |= U(1) << (far[some[again]] - d).astype(np.uint64)
-        cuts = np.cumsum([0, *sizes])
-        return [[pack(mask[a:b])] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            k = order[a:b]
+            text = gathered(data, start[k], length[k])
+            mask[k] = repeated_windows(text, value[k], far[k], near[k], ids[k], asker[k], pos[k], window)
+        ends = np.cumsum([0, *sizes])
+        return [[pack(mask[a:b])] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     return answer
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Bytes of spans side by side."""
+    parts = [data[flat(starts[i : i + STRINGS], lengths[i : i + STRINGS])] for i in range(0, len(starts), STRINGS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def repeated_windows(data, value, far, near, ids, asker, pos, window: int) -> np.ndarray:
+    """The bits of segments whose texts stand side by side in data; first places in order of (ids, asker, pos)."""
+    length = far - near + window
+    start = np.cumsum(length) - length
+    text = Text(data, start, length)
+    whole = mix(text.hashes(np.arange(len(value)), length) + (far * 64 + near).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    del text
+    order = np.lexsort((pos, asker, ids, whole, value))
+    new = np.ones(len(order), bool)
+    new[1:] = (value[order[1:]] != value[order[:-1]]) | (whole[order[1:]] != whole[order[:-1]])
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    copy, of = order[~new], head[~new]
+    # Copies of a whole segment: all their windows stand earlier, once the bytes are verified.
+    for i in range(0, len(copy), STRINGS):
+        c, o = copy[i : i + STRINGS], of[i : i + STRINGS]
+        if not (np.array_equal(length[c], length[o]) and np.array_equal(data[flat(start[c], length[c])], data[flat(start[o], length[o])])):
+            raise RuntimeError("two segments share a hash")
+    mask = np.zeros(len(value), np.uint64)
+    mask[copy] = ~U(0) >> (U(63) - (far - near)[copy].astype(np.uint64))
+    # Segments that differ, by anchor.
+    kept = order[new]
+    _, group, count = np.unique(value[kept], return_inverse=True, return_counts=True)
+    some = kept[count[group] > 1]
+    if len(some):
+        _, group = np.unique(value[some], return_inverse=True)
+        place = np.lexsort((pos[some], asker[some], ids[some]))
+        turn = np.empty(len(some), np.int64)
+        turn[place] = np.arange(len(some))
+        ahead = common_classes(data, start[some] + far[some], length[some] - far[some], group)
+        behind = common_classes(data[::-1], len(data) - start[some] - far[some], far[some], group)
+        for d in range(int(near[some].min()), int(far[some].max()) + 1):
+            there = np.flatnonzero((near[some] <= d) & (d <= far[some]))
+            key = ahead(window - d)[there] * len(some) + behind(d)[there]
+            by = np.lexsort((turn[there], key))
+            again = there[by[1:][key[by[1:]] == key[by[:-1]]]]
+            mask[some[again]] |= U(1) << (far[some[again]] - d).astype(np.uint64)
+    return mask
+
+
 def common_classes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray):
     """A function from a length to numbers that are equal for strings of a group that share so many first bytes."""
-    own = flat(starts, lengths)
-    text = Text(np.ascontiguousarray(data[own]), np.cumsum(lengths) - lengths, lengths)
+    text = Text(gathered(data, starts, lengths), np.cumsum(lengths) - lengths, lengths)
     order = text.sort(group)
     shared = text.neighbours(order, group)
 
@@ -255,7 +289,7 @@ class Searched:
     def __init__(self, docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"):
         self.window, spark = window, docs.sparkSession
         self.corpus = store(docs, BLOCK_BYTES, id_col, text_col)
-        shards = self.shards = 2 * self.corpus.shards
+        shards = self.shards = SHARDS * self.corpus.shards
         self.repeats = answered(ask(self.corpus, None, ask_repeats(lambda block: Segments(block, window).value, shards)), answer_repeats, shards)
         release(spark)
         self.masks = answered(ask(self.corpus, self.repeats, ask_segments(window, shards)), answer_segments(window), shards)

@@ -300,7 +300,7 @@ def test_near_duplicates(spark, monkeypatch):
     jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     want = roots(sets, [(a, b) for a in sets for b in sets if a < b and jac(a, b) >= 0.8])
     for bound in (4096, 3):
-        monkeypatch.setattr(simhash, "BLOCK_ROWS", bound)
+        monkeypatch.setattr(simhash, "SKETCH_ROWS", bound)
         kept = simhash.drop_near_duplicates(frame(spark, rows))
         assert {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i} and kept.columns == CLASH.replace(" string", "").replace(" long", "").split(", ")
 
@@ -386,6 +386,7 @@ def test_suffixes(spark, monkeypatch):
     assert sum(x[1] for x in want.values()) > 1000
     for size in (2 << 20, 3000):
         monkeypatch.setattr(suffixes, "BLOCK_BYTES", size)
+        monkeypatch.setattr(suffixes, "PART_BYTES", size)
         assert {r[0]: tuple(r[1:]) for r in suffixes.report(frame(spark, rows)).collect()} == want
 
 
