@@ -202,64 +202,95 @@ def joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
     return parent, found
 
 
-def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def steps(keys: np.ndarray, planes: np.ndarray, parent: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows with equal keys and different groups, at most `most` bits apart, many shifts at a time.
+
+    Rows with equal keys stand together. parent may be changed in place between two steps.
+    """
+    ends = np.flatnonzero(np.diff(keys)) + 1
+    longest = int(np.diff(np.concatenate([[0], ends, [len(keys)]])).max()) if len(keys) else 0
+    held, words_held = ([], []), 0
+    for shift in range(1, longest):
+        same = (keys[:-shift] == keys[shift:]) & (parent[:-shift] != parent[shift:])
+        if same.any():
+            held[0].append(shift)
+            held[1].append(same)
+            words_held += min(int(same.sum()), len(same) // 64 + 1)
+        if held[0] and (words_held >= PAIR_WORDS or len(held[0]) >= 256 or shift == longest - 1):
+            yield close_pairs(planes, np.array(held[0]), held[1], most)
+            held, words_held = ([], []), 0
+
+
+def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int], parent: np.ndarray | None = None, fresh=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows that span the groups within the last radius; rows with equal keys stand together and are compared.
 
-    Radii ascend, so that groups are joined by their closest pairs.
+    Radii ascend, so that groups are joined by their closest pairs. parent: groups that are there before;
+    fresh(i, j): which pairs may join any.
     """
-    parent = np.arange(len(keys))
+    parent = np.arange(len(keys)) if parent is None else parent
     planes = planes_of(fp)
     found: list[np.ndarray] = []
-    ends = np.flatnonzero(np.diff(keys)) + 1
-    longest = int(np.diff(np.concatenate([[0], ends, [len(keys)]])).max()) if len(keys) else 0
     for most in radii:
-        held, words_held, shift = ([], []), 0, 1
-        while shift < longest:
-            same = (keys[:-shift] == keys[shift:]) & (parent[:-shift] != parent[shift:])
-            if same.any():
-                held[0].append(shift)
-                held[1].append(same)
-                words_held += min(int(same.sum()), len(same) // 64 + 1)
-            shift += 1
-            if held[0] and (words_held >= PAIR_WORDS or len(held[0]) >= 256 or shift == longest):
-                i, j = close_pairs(planes, np.array(held[0]), held[1], most)
-                near = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
-                parent, new = joined(parent, i[near], j[near])
-                found += new
-                held, words_held = ([], []), 0
-        if held[0]:
-            i, j = close_pairs(planes, np.array(held[0]), held[1], most)
-            parent, new = joined(parent, i, j)
+        for i, j in steps(keys, planes, parent, most):
+            if fresh:
+                may = fresh(i, j)
+                i, j = i[may], j[may]
+            near = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
+            parent[:], new = joined(parent, i[near], j[near])
             found += new
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return pairs[0], pairs[1]
 
 
-def compared(blocks: DataFrame, radii: list[int]) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each block; blocks: key long, id long, fp binary."""
-    bounded_batches(blocks.sparkSession)
-    ordered = blocks.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "id")
+def compared(blocks: DataFrame, radii: list[int], every: bool = False) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each block; blocks: key long, id long, fp binary.
 
-    def pairs(keys, ids, fp):
-        i, j = forest(keys, fp, radii)
-        lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+    blocks may also have root long and failed array<long>: rows of one root are one group before, and a row's pairs with
+    the (larger) ids in failed are no links. every: all links between different groups instead of a forest.
+    """
+    bounded_batches(blocks.sparkSession)
+    known = "root" in blocks.columns
+    ordered = blocks.select("key", "id", "fp", *["root", "failed"] * known).repartition("key").sortWithinPartitions("key", "id")
+
+    def pairs(keys, ids, fp, root=None, owner=None, partner=None):
+        parent, fresh = None, None
+        if known:
+            names, place = np.unique(ids, return_inverse=True)
+            here = np.isin(partner, names)
+            bad = np.unique(np.searchsorted(names, owner[here]) * len(names) + np.searchsorted(names, partner[here]))
+            _, first, back = np.unique(root, return_index=True, return_inverse=True)
+            parent = first[back]
+            fresh = lambda i, j: ~np.isin(np.minimum(place[i], place[j]) * len(names) + np.maximum(place[i], place[j]), bad)
+        if every:
+            parts = ((i[may], j[may]) for i, j in steps(keys, planes_of(fp), parent, radii[-1]) for may in [fresh(i, j)])
+        else:
+            parts = iter([forest(keys, fp, radii, parent, fresh)])
+        for i, j in parts:
+            lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+
+    def part(batch, fp, a, b):
+        ids = batch.column(1).to_numpy()[a:b]
+        if not known:
+            return batch.column(0).to_numpy()[a:b], ids, fp[a:b]
+        failed = batch.column(4).slice(a, b - a)
+        return batch.column(0).to_numpy()[a:b], ids, fp[a:b], batch.column(3).to_numpy()[a:b], np.repeat(ids, failed.value_lengths().to_numpy()), failed.flatten().to_numpy()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = batch.column(0).to_numpy()
             fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(keys), -1)
             cut = int(np.searchsorted(keys, keys[-1]))  # the last block may go on in the next batch
             if cut:
-                held.append((keys[:cut], ids[:cut], fp[:cut]))
-                yield pairs(*map(np.concatenate, zip(*held, strict=True)))
+                held.append(part(batch, fp, 0, cut))
+                yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
-            held.append((keys[cut:], ids[cut:], fp[cut:]))
+            held.append(part(batch, fp, cut, len(keys)))
         if held:
-            yield pairs(*map(np.concatenate, zip(*held, strict=True)))
+            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -319,14 +350,15 @@ def blocks_of_sketch(reps: DataFrame) -> DataFrame:
     share a hash, as in a passage that many texts hold, blocks are made of that hash and each other one of a text's.
     This is done once: what still shares a block then is alike, and is joined by its first comparisons.
     """
-    rows = reps.select("id", "fp", "sketch", F.explode_outer("sketch").alias("key")).withColumn("key", F.coalesce("key", F.lit(0)))
+    more = [c for c in ("root", "failed") if c in reps.columns]
+    rows = reps.select("id", "fp", *more, "sketch", F.explode_outer("sketch").alias("key")).withColumn("key", F.coalesce("key", F.lit(0)))
     hot = written(rows.groupBy("key").count().filter(F.col("count") > SKETCH_ROWS).select("key"), "simhash-hot")
     if not hot.isEmpty():
         again = rows.join(hot, "key", "left_semi")
-        finer = again.select("id", "fp", F.col("key").alias("had"), F.explode("sketch").alias("more")).filter("had != more")
-        finer = finer.select("id", "fp", F.xxhash64(F.least("had", "more"), F.greatest("had", "more")).alias("key")).dropDuplicates(["id", "key"])
-        rows = rows.join(hot, "key", "left_anti").select("id", "fp", "key").unionByName(finer)
-    return rows.select("key", "id", "fp")
+        finer = again.select("id", "fp", *more, F.col("key").alias("had"), F.explode("sketch").alias("other")).filter("had != other")
+        finer = finer.select("id", "fp", *more, F.xxhash64(F.least("had", "other"), F.greatest("had", "other")).alias("key")).dropDuplicates(["id", "key"])
+        rows = rows.join(hot, "key", "left_anti").select("id", "fp", *more, "key").unionByName(finer)
+    return rows.select("key", "id", "fp", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,15 +380,49 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def verified(reps: DataFrame, blocks, radii: list[int], check) -> DataFrame:
+    """(id, root) of groups that links which hold connect; check(ids) gives a function from links (a, b) to those that hold.
+
+    A forest may join two groups by a link that fails, where another one would hold. Where links have failed, what the
+    forests connect is compared again, its groups being those of verified links and failed links left out, until no
+    link within the last radius is left unchecked between two groups; once few links hold, all are listed.
+    """
+    tried = written(compared(blocks(reps), radii).distinct(), "candidates")
+    holds = check(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct())
+    good = written(holds(tried), "verified")
+    failed = tried.join(good, ["a", "b"], "left_anti")
+    found = components(good)
+    if failed.isEmpty():
+        return found
+    whole = components(tried)
+    whole = written(whole.unionByName(whole.select(F.col("root").alias("id"), "root").distinct()), "connected").withColumnRenamed("root", "whole")
+    every = False
+    while True:
+        now = whole.join(found, "id", "left").select("id", "whole", F.coalesce("root", "id").alias("root"))
+        parted = now.groupBy("whole").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("whole")
+        none = F.array().cast("array<long>")
+        known = now.join(parted, "whole", "left_semi").join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed")), "id", "left")
+        again = written(reps.join(known.select("id", "root", F.coalesce("failed", none).alias("failed")), "id"), "simhash-again")
+        tried = written(compared(blocks(again), radii, every).distinct(), "candidates")
+        n = tried.count()
+        if not n:
+            return found
+        new = written(holds(tried), "verified")
+        good, failed = good.unionByName(new), failed.unionByName(tried.join(new, ["a", "b"], "left_anti"))
+        found = components(good)
+        if every:
+            return found
+        every = 4 * new.count() < n
+
+
 def grouped(rows: DataFrame, blocks, radii: list[int], check=None) -> DataFrame:
     """doc_id, fp and component_id of rows (doc_id, fp, and what blocks needs): equal fingerprints stand for one another.
 
-    check: from links (a, b) to those that hold.
+    check: as of verified(); without it all links hold.
     """
     others = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "fp")]
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), *others), "simhash-reps")
-    links = compared(blocks(reps), radii)
-    found = components(check(links) if check else links)
+    found = verified(reps, blocks, radii, check) if check else components(compared(blocks(reps), radii))
     named = reps.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "fp").join(named, "fp")
 
@@ -370,13 +436,8 @@ def near_duplicate_components(docs: DataFrame, size: int = 3, most: int = 2, id_
     return out.select(null_id(F.col("doc_id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id(F.col("component_id")).alias("component_id"))
 
 
-def similar(docs: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) whose texts' sets of `size`-word shingles have this Jaccard similarity; docs: doc_id, text.
-
-    Of rows with one id the sets are joined.
-    """
-    links = written(links.distinct(), "candidates")
-    wanted = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles array<long>), written: the sets of `size`-word shingles of these ids' texts; docs: doc_id, text."""
 
     def fn(data, bounds):
         data = LOWER[data]
@@ -384,9 +445,13 @@ def similar(docs: DataFrame, links: DataFrame, size: int, similarity: float) ->
         h = word_hashes(data, s, e)
         return [[np.unique(window_hashes(h[a:b], min(size, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]]
 
-    sets = over_texts(docs.join(wanted, "doc_id", "left_semi"), fn, "shingles array<long>", ["doc_id"])
-    sets = written(sets.dropDuplicates(["doc_id"]), "shingles")
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    sets = over_texts(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), fn, "shingles array<long>", ["id"])
+    return written(sets.dropDuplicates(["id"]), "shingles")
+
+
+def similar(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) whose sets (id, shingles) have this Jaccard similarity."""
+    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     share = both >= similarity * (F.size("x") + F.size("y") - both)
     return links.join(x, "a").join(y, "b").filter(share | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
@@ -396,14 +461,19 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """docs without those of each group of near-duplicates that don't have its smallest id; all columns stay.
 
     Wide fingerprints find pairs of texts, closest first, that may have a Jaccard similarity of `similarity` or more
-    between their sets of `size`-word shingles (within three standard deviations); the pairs that join groups are
-    then compared by the sets themselves. Groups are what the pairs that hold connect.
+    between their sets of `size`-word shingles (within three standard deviations); pairs that would join groups are
+    compared by the sets themselves, until no such pair is left. Groups are what the pairs that hold connect.
     Of rows with equal ids in one group one stays.
     """
     plain = texts(docs, id_col, text_col)
     rows = written(wide_fingerprints(docs, size, bits, id_col, text_col), "simhash-wide")
     levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.7, 0.3)]
-    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], lambda links: similar(plain, links, size, similarity))
+
+    def check(ids):
+        sets = shingle_sets(plain, ids, size)
+        return lambda links: similar(sets, links, similarity)
+
+    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], check)
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lectern_gone")).distinct()
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
     return docs.join(gone, key == F.col("_lectern_gone"), "left_anti")

@@ -305,6 +305,25 @@ def test_near_duplicates(spark, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i} and kept.columns == CLASH.replace(" string", "").replace(" long", "").split(", ")
 
 
+def test_near_duplicates_of_failing_links(spark):
+    """Chains of similarities from 0.75 to 0.85: a link that fails doesn't stand for one that holds."""
+    rnd = random.Random(9)
+    rows = []
+    for g in range(12):
+        center = [f"g{g}w{k}" for k in range(1500)]
+        spots = rnd.sample(range(0, 1500, 10), 75)
+        for c in range(6):
+            own = list(center)
+            for k in rnd.sample(spots, rnd.randint(22, 30)):
+                own[k] = f"new{g}w{k}"
+            rows.append((g * 10 + c, " ".join(own)))
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and a // 10 == b // 10 and jac(a, b) >= 0.8])
+    assert len({want[i] for i in want}) > 12
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == {i for i in want if want[i] == i}
+
+
 # 6
 
 
