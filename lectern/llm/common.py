@@ -23,6 +23,8 @@ from lectern.session import ship
 CHUNK = 4 << 20
 #: Row id given to a null id while rows are ordered; null again in results.
 NULL_ID = -(1 << 63)
+#: Column of row numbers.
+ROW = "_lectern_row"
 
 U = np.uint64
 
@@ -47,6 +49,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, ROW, written so that it stays the same: ids may be null or repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Ship the code, and keep Arrow batches small, so that long texts don't fill a Python worker."""
     ship(spark)
@@ -54,11 +61,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): null texts are empty, null ids NULL_ID; other columns are cut off."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(doc_id long, text string, and columns `keep`): null texts are empty, null ids NULL_ID; other columns are cut off."""
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *[docs[c] for c in keep],
     )
 
 

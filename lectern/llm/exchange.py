@@ -64,7 +64,7 @@ def release(spark: SparkSession) -> None:
 
 @dataclass
 class Corpus:
-    """blocks: block, ids, lengths, data (compressed); shards: how many there are."""
+    """blocks: block, ids, lengths, data (compressed), rows; shards: how many there are."""
 
     blocks: DataFrame
     shards: int
@@ -72,22 +72,23 @@ class Corpus:
 
 @dataclass
 class Block:
-    """One block's rows in order of their ids: ids, bytes of all texts, and each text's bounds."""
+    """One block's rows in order of their ids: ids, bytes of all texts, and each text's bounds; rows: their numbers, if stored."""
 
     block: int
     ids: np.ndarray
     data: np.ndarray
     bounds: np.ndarray
+    rows: np.ndarray | None = None
 
     def words(self, member) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return words(self.data, self.bounds, member)
 
 
-def store(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
-    """Write docs as blocks of about block_bytes of text; a longer text is a block of its own."""
+def store(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> Corpus:
+    """Write docs as blocks of about block_bytes of text; a longer text is a block of its own. row_col: a column of row numbers."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    plain = texts(docs, id_col, text_col)
+    plain = texts(docs, id_col, text_col, [row_col] if row_col else [])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -99,14 +100,16 @@ def store(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: s
             ids = np.array([held[k][0] for k in order], np.int64)
             parts = [held[k][1] for k in order]
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            cols = [[block], [pack(ids)], [pack(lengths)], [squeeze(b"".join(parts))], [int(lengths.sum())]]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:4]], pa.array(cols[4], pa.int64())], names=["block", "ids", "lengths", "data", "bytes"])
+            rows = pack(np.array([held[k][2] for k in order], np.int64)) if row_col else None
+            cols = [[block], [pack(ids)], [pack(lengths)], [squeeze(b"".join(parts))], [rows], [int(lengths.sum())]]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:5]], pa.array(cols[5], pa.int64())], names=["block", "ids", "lengths", "data", "rows", "bytes"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             data, off = buffers(b.column(1))
             ids = b.column(0).to_pylist()
+            rows = b.column(2).to_pylist() if row_col else ids
             raw = data[off[0] : off[-1]].tobytes()
             off = (off - off[0]).tolist()
             for k, i in enumerate(ids):
@@ -114,21 +117,21 @@ def store(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: s
                 if held and size + n > block_bytes:
                     yield out()
                     block, held, size = block + 1, [], 0
-                held.append((i, raw[off[k] : off[k + 1]]))
+                held.append((i, raw[off[k] : off[k + 1]], rows[k]))
                 size += n
         if held:
             yield out()
 
-    blocks = written(plain.mapInArrow(run, "block long, ids binary, lengths binary, data binary, bytes long"), "blocks", "uncompressed")
+    blocks = written(plain.mapInArrow(run, "block long, ids binary, lengths binary, data binary, rows binary, bytes long"), "blocks", "uncompressed")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     return Corpus(blocks.drop("bytes"), max(LEAST_SHARDS, -(-total // SHARD_BYTES)))
 
 
-def opened(block: int, ids: bytes, lengths: bytes, data: bytes) -> Block:
+def opened(block: int, ids: bytes, lengths: bytes, data: bytes, rows: bytes | None) -> Block:
     n = unpack(lengths, np.int64)
     bounds = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=bounds[1:])
-    return Block(block, unpack(ids, np.int64), np.frombuffer(expand(data), np.uint8), bounds)
+    return Block(block, unpack(ids, np.int64), np.frombuffer(expand(data), np.uint8), bounds, None if rows is None else unpack(rows, np.int64))
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -165,8 +168,8 @@ def by_block(answers: DataFrame) -> DataFrame:
 def opened_rows(batches: Iterable[pa.RecordBatch], answered: bool) -> Iterator[tuple[Block, dict[int, list[bytes]]]]:
     for b in batches:
         for k in range(b.num_rows):
-            block = opened(*[b.column(c)[k].as_py() for c in range(4)])
-            got = b.column(4)[k].as_py() if answered else None
+            block = opened(*[b.column(c)[k].as_py() for c in range(5)])
+            got = b.column(5)[k].as_py() if answered else None
             yield block, {x["shard"]: x["reply"] for x in got or ()}
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, mix, null_id, offsets32, over_texts, texts, window_hashes, word_hashes, words, written
+from lectern.llm.common import LOWER, NULL_ID, ROW, U, bounded_batches, mix, null_id, offsets32, over_texts, texts, window_hashes, with_rows, word_hashes, words, written
 
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 15
@@ -463,10 +463,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Wide fingerprints find pairs of texts, closest first, that may have a Jaccard similarity of `similarity` or more
     between their sets of `size`-word shingles (within three standard deviations); pairs that would join groups are
     compared by the sets themselves, until no such pair is left. Groups are what the pairs that hold connect.
-    Of rows with equal ids in one group one stays.
+    Rows are told apart by numbers of their own: of rows with equal ids in one group exactly one stays, and rows with
+    that id or without one that are in no group, or in others, aren't touched.
     """
-    plain = texts(docs, id_col, text_col)
-    rows = written(wide_fingerprints(docs, size, bits, id_col, text_col), "simhash-wide")
+    held = with_rows(docs)
+    plain = texts(held, ROW, text_col)
+    rows = written(wide_fingerprints(held, size, bits, ROW, text_col), "simhash-wide")
     levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.7, 0.3)]
 
     def check(ids):
@@ -474,6 +476,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
         return lambda links: similar(sets, links, similarity)
 
     groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], check)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lectern_gone")).distinct()
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
-    return docs.join(gone, key == F.col("_lectern_gone"), "left_anti")
+    # Of each group the row with the smallest id stays, and of several such rows the first; lone rows are no group.
+    groups = groups.withColumnRenamed("doc_id", ROW)
+    shared = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
+    ids = held.select(ROW, F.coalesce(held[id_col].cast("long"), F.lit(NULL_ID)).alias("id"))
+    members = written(groups.join(shared, "component_id", "left_semi").select(ROW, "component_id").join(ids, ROW), "simhash-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("first"))
+    gone = members.join(first, "component_id").filter(F.col(ROW) != F.col("first")[ROW]).select(ROW)
+    return held.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NOT_SPACE, null_id, window_hashes, word_hashes
+from lectern.llm.common import NOT_SPACE, ROW, null_id, window_hashes, with_rows, word_hashes
 from lectern.llm.exchange import Block, answer_repeats, answered, ask, ask_repeats, each_block, expand, pack, release, repeated_values, sliding_argmin, split_by_shard, squeeze, starts_within, store, unpack
 
 WINDOW = 20
@@ -130,9 +130,9 @@ def factors_of(block: Block, had, answers, window: int, shards: int):
 class Parsed:
     """A corpus whose runs have been looked up."""
 
-    def __init__(self, docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None):
         self.window, spark = window, docs.sparkSession
-        self.corpus = store(docs, BLOCK_BYTES, id_col, text_col)
+        self.corpus = store(docs, BLOCK_BYTES, id_col, text_col, row_col)
         shards = self.shards = self.corpus.shards
         self.repeats = answered(ask(self.corpus, None, ask_repeats(lambda block: minimizers(block, window), shards)), answer_repeats, shards)
         release(spark)
@@ -193,20 +193,21 @@ def factors(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
 def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with duplicate spans cut out of their texts; documents that lose no word keep theirs byte for byte.
 
-    A document of which nothing is left goes. docs' ids must be distinct.
+    A document of which nothing is left goes. Rows are told apart by numbers of their own, so that ids may be null or
+    repeat: a repeated row is cut like any other later text, and one of its kind stays whole.
     """
+    held = with_rows(docs)
 
     def fn(block, spans, mask, _):
         gone = np.flatnonzero(per_row(mask, spans[2]) > 0)
         kept = kept_texts(block, spans, mask)
-        return block.ids[gone], [kept[k].decode("utf-8", "replace") for k in gone.tolist()]
+        return block.rows[gone], [kept[k].decode("utf-8", "replace") for k in gone.tolist()]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    cut = Parsed(docs, window, id_col, text_col).rows(fn, "doc_id long, text string", schema)
-    cut = cut.select(null_id(F.col("doc_id")).alias("_lectern_id"), F.col("text").alias("_lectern_text"))
-    both = docs.join(cut, docs[id_col].cast("long").eqNullSafe(F.col("_lectern_id")), "left")
+    schema = pa.schema([(ROW, pa.int64()), ("_lectern_text", pa.string())])
+    cut = Parsed(held, window, id_col, text_col, ROW).rows(fn, f"{ROW} long, _lectern_text string", schema)
+    both = held.join(cut, ROW, "left")
     both = both.filter(F.col("_lectern_text").isNull() | (F.col("_lectern_text") != ""))
-    return both.select(*[F.coalesce("_lectern_text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return both.select(*[F.coalesce("_lectern_text", held[c]).alias(c) if c == text_col else held[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -447,6 +447,19 @@ def test_substrings(spark, monkeypatch):
             assert f.words >= 20 and words[f.doc_id][f.start : f.start + f.words] == words[f.source_id][f.source_start : f.source_start + f.words] and (f.source_id, f.source_start) < (f.doc_id, f.start)
 
 
+def test_null_and_repeated_ids(spark):
+    """Both dedup stages tell rows of one id, or of none, apart: of repeated rows one stays, others aren't touched."""
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    twin, first, other, clean, more, near, far = (text() for _ in range(7))
+    near2 = near.rsplit(" ", 1)[0] + " changed"
+    rows = [(5, twin), (5, twin), (None, first), (None, other), (None, first + " " + clean), (7, more), (3, near), (9, near2), (9, far)]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()]
+    assert Counter(kept) == Counter([(5, twin), *rows[2:7], (9, far)])
+    cut = [(r.doc_id, r.text) for r in substrings.deduplicate(frame(spark, rows, 1)).collect()]
+    assert Counter(cut) == Counter([(5, twin), *rows[2:4], (None, clean), *rows[5:7], (9, "changed"), (9, far)])
+
+
 # 10
 
 
