@@ -5,7 +5,7 @@ bytes), hashed to a fixed number of weights, and a document's is the noisy-or of
 Only document labels are learnt from; the sentence scores that come out of it locate what offends.
 
 Weights are fitted on at most TRAIN_ROWS labelled rows (a bounded sample, those with the smallest hashes of
-their ids), whose words arrive at the driver as numbers, never as texts.
+their ids), of whose whole texts only features that can have a weight arrive at the driver, as numbers.
 
 Defined results: null and empty texts are one sentence without words; labels that are null are left out, and of
 repeated labels of an id the largest counts; without labels of both kinds every weight is zero; an empty table gives an empty table.
@@ -23,8 +23,6 @@ from lectern.llm.common import ALNUM, BYTE_VALUE, LOWER, U, byte_set, mix, over_
 
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 6_000
-#: Words of one text that are learnt from, at most: this bounds what the driver holds. Scoring reads all.
-TRAIN_WORDS = 20_000
 WEIGHTS = 1 << 18
 #: Beside a longer word itself, its first so many bytes are features.
 STEMS = (4, 5, 6)
@@ -99,6 +97,14 @@ def document_scores(p: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return -np.expm1(np.minimum(sums(np.log1p(-np.minimum(p, 1 - 1e-12)), documents), 0))
 
 
+def usable(having: np.ndarray, marked: np.ndarray, rate: float) -> np.ndarray:
+    """Which features can have a weight: having documents hold each, marked of them with the label, whose share is rate."""
+    spread = np.sqrt(np.maximum(having, 1) * rate * (1 - rate))
+    out = (having >= LEAST_DOCS) & (np.abs(marked - having * rate) >= LEAST_SPREAD * spread)
+    out[WEIGHTS] = False
+    return out
+
+
 def fit(b: Bags, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of greatest likelihood of the document labels, by Adam."""
     weights, bias = np.zeros(WEIGHTS + 1), -7.0
@@ -113,10 +119,7 @@ def fit(b: Bags, labels: np.ndarray) -> tuple[np.ndarray, float]:
         pairs = np.unique(document[sentence].astype(np.int64) * width + b.features[:, i])
         having += np.bincount(pairs % width, minlength=width)
         marked += np.bincount(pairs[labels[pairs // width]] % width, minlength=width)
-    having[WEIGHTS] = 0
-    spread = np.sqrt(np.maximum(having, 1) * rate * (1 - rate))
-    usable = (having >= LEAST_DOCS) & (np.abs(marked - having * rate) >= LEAST_SPREAD * spread)
-    used = usable[b.features]
+    used = usable(having, marked, rate)[b.features]
     where = np.nonzero(used)
     own, features = np.unique(b.features[where], return_inverse=True)
     features, sentence = features.astype(np.int32), sentence[where[0]]
@@ -153,14 +156,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     plain = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     sample = plain.join(F.broadcast(chosen), "id").select("text", "y")
 
+    def distinct(data, bounds):
+        b, _ = bags(data, bounds)
+        at = b.sentences[b.documents].tolist()
+        return [[np.unique(b.features[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]]
+
+    seen = over_texts(sample, distinct, "features array<int>", ["y"]).select((F.col("y") > 0).cast("long").alias("y"), F.explode("features").alias("f"))
+    counts = seen.groupBy("f").agg(F.count("*").alias("having"), F.sum("y").alias("marked")).toArrow()  # WEIGHTS + 1 rows at most
+    having, marked = np.zeros(WEIGHTS + 1, np.int64), np.zeros(WEIGHTS + 1, np.int64)
+    having[counts.column("f").to_numpy()], marked[counts.column("f").to_numpy()] = counts.column("having").to_numpy(), counts.column("marked").to_numpy()
+    rate = sample.agg(F.avg((F.col("y") > 0).cast("int"))).first()[0] or 0.0
+    may = docs.sparkSession.sparkContext.broadcast(usable(having, marked, rate))
+
     def fn(data, bounds):
         b, _ = bags(data, bounds)
+        used = may.value[b.features]
+        features = b.features[used]
+        at = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[b.sentences]  # first feature left of each sentence
         out = []
         for i, j in zip(b.documents[:-1].tolist(), b.documents[1:].tolist(), strict=True):
-            cut = b.sentences[i : j + 1]
-            f = b.features[cut[0] : cut[-1]][:TRAIN_WORDS]
-            lengths = np.diff(np.minimum(cut - cut[0], len(f))).astype(np.int32)
-            out.append(np.concatenate([[np.int32(len(lengths))], lengths, f.ravel()]).astype("<i4").tobytes())
+            lengths = np.diff(at[i : j + 1])
+            out.append(np.concatenate([[j - i], lengths, features[at[i] : at[j]]]).astype("<i4").tobytes())
         return [out]
 
     got = over_texts(sample, fn, "bag binary", ["y"]).toArrow()
@@ -173,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not sizes:
         return Model(np.zeros(WEIGHTS + 1), -7.0)
     bounds = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    b = Bags(np.concatenate(features).reshape(-1, 1 + len(STEMS)), bounds(np.concatenate(lengths)), bounds(sizes))
+    b = Bags(np.concatenate(features).reshape(-1, 1), bounds(np.concatenate(lengths)), bounds(sizes))
     return Model(*fit(b, np.array(got.column("y").to_pylist()) > 0))
 
 

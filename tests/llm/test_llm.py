@@ -153,6 +153,15 @@ def test_toxicity(spark):
     assert np.allclose(sorted(again.score), sorted(got.score))
 
 
+def test_toxicity_learns_whole_texts(spark):
+    """An offending sentence behind 20,000 words is learnt from like any other."""
+    rows = [(i, "plain words here " * (7000 if i % 4 == 0 else 3) + (". utter scum." if i % 4 == 0 else ".")) for i in range(40)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), marks)
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, [(1, "plain words. utter scum."), (2, "plain words.")]), model, ["doc_id"]).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
 # 3
 
 
