@@ -1,6 +1,8 @@
 """Licence scans: Dice coefficient over word bigrams between units of a text and licence templates.
 
-Units are the lines, sentences and paragraphs of a text and the whole of it. Texts are normalised to words of
+Units are the lines, sentences and paragraphs of a text, the whole of it, and all windows of as many words as a template
+has, whatever line ends they span, so that a licence of several paragraphs or wrapped lines is found inside a longer text;
+of windows that overlap on and on the best one counts. Texts are normalised to words of
 letters and digits in lower case, and a unit is its set of word bigrams. A template is a candidate only if its
 size allows the least Dice coefficient t: |B| between t/(2-t)|A| and (2-t)/t|A|; and a unit is looked at only if it has a
 bigram of any template.
@@ -57,22 +59,24 @@ def bigrams(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """names: of templates; sizes: their distinct bigrams; keys: all bigrams, sorted; member: which templates have each."""
+    """names: of templates; sizes: their distinct bigrams; keys: all bigrams, sorted; member: which templates have each; lengths: of templates in bigrams."""
 
     names: list[str]
     sizes: np.ndarray
     keys: np.ndarray
     member: np.ndarray
+    lengths: np.ndarray
 
 
 def index(templates=TEMPLATES) -> Index:
-    sets = []
+    sets, lengths = [], []
     for _, text in templates:
         data = NORMAL[np.frombuffer(text.encode(), np.uint8)]
         s, e, _first = words(data, np.array([0, len(data)]), ALNUM)
         sets.append(np.unique(bigrams(word_hashes(data, s, e))))
+        lengths.append(len(s) - 1)
     keys = np.unique(np.concatenate(sets))
-    return Index([n for n, _ in templates], np.array(list(map(len, sets))), keys, np.stack([np.isin(keys, x) for x in sets], axis=1))
+    return Index([n for n, _ in templates], np.array(list(map(len, sets))), keys, np.stack([np.isin(keys, x) for x in sets], axis=1), np.array(lengths))
 
 
 def breaks(data: np.ndarray) -> dict[str, np.ndarray]:
@@ -120,9 +124,39 @@ def matches(data: np.ndarray, bounds: np.ndarray, ix: Index, least: float) -> li
             dice = 2 * both / (own + ix.sizes[fit])
             for t, d in zip(np.flatnonzero(fit)[dice >= least].tolist(), dice[dice >= least].tolist(), strict=True):
                 out.append((int(row[a]), t, kind, d, int(s[a]), int(e[b - 1])))
+    places = np.flatnonzero(known)
+    for t, (size, length) in enumerate(zip(ix.sizes.tolist(), ix.lengths.tolist(), strict=True)):
+        for a, d in windows(grams, at, places[ix.member[at[places], t]], row, size, length, least):
+            out.append((int(row[a]), t, "window", d, int(s[a]), int(e[a + length])))
     return out
 
 
+def windows(grams: np.ndarray, at: np.ndarray, hits: np.ndarray, row: np.ndarray, size: int, length: int, least: float) -> list[tuple[int, float]]:
+    """(first word, dice) of windows of `length` bigrams with `least` or more, the best of each run of starts; hits: where the template's bigrams are."""
+    need = least / (2 - least) * size  # so many bigrams in common at least, since a window has no fewer of its own
+    if len(hits) < need or len(grams) < length:
+        return []
+    total = np.zeros(len(grams) + 1, np.int64)
+    total[hits + 1] = 1
+    np.cumsum(total, out=total)
+    starts = np.flatnonzero((total[length:] - total[:-length] >= need) & (row[length:] == row[: len(row) - length]))
+    mine = np.zeros(len(grams), bool)
+    mine[hits] = True
+    best: list[tuple[int, float]] = []
+    last = -2
+    for a in starts.tolist():
+        own = len(np.unique(grams[a : a + length]))
+        both = len(np.unique(at[a : a + length][mine[a : a + length]]))
+        dice = 2 * both / (own + size)
+        if dice >= least:
+            if a != last + 1:
+                best.append((a, dice))
+            elif dice > best[-1][1]:
+                best[-1] = (a, dice)
+            last = a
+    return best
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each unit and licence that match: doc_id, license, unit (its kind), dice, matched (its text)."""
     return found(docs, templates, least, id_col, text_col).select("doc_id", F.inline("found"))

@@ -233,6 +233,18 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, rows)).filter("doc_id = 4004 AND unit = 'line'").first().matched == "Licensed under CC BY-NC 4.0"
 
 
+def test_licenses_inside_long_texts(spark):
+    """A licence of several paragraphs, one wrapped in comment lines, and one with CRLF are found between much other text."""
+    rnd = random.Random(6)
+    other = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(400))
+    mit, apache = licenses.TEMPLATES[6][1], licenses.TEMPLATES[1][1].split()
+    paragraphs = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    lines = [" ".join(apache[k : k + 9]) for k in range(0, len(apache), 9)]
+    rows = [(1, f"{other()}\n\n{paragraphs}\n\n{other()}"), (2, other() + "\n * " + "\n * ".join(lines) + "\n" + other()), (3, other() + "\r\n\r\n" + "\r\n".join(lines) + "\r\n\r\n" + other()), (4, other())]
+    got = {r.doc_id: (r.licenses, r.best_dice) for r in licenses.report(frame(spark, rows)).collect()}
+    assert got == {1: ("MIT", 1.0), 2: ("Apache-2.0", 1.0), 3: ("Apache-2.0", 1.0), 4: ("", 0.0)}
+
+
 # 5
 
 
