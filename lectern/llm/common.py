@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,42 +24,85 @@ from lectern.session import ship
 CHUNK = 4 << 20
 #: Row id given to a null id while rows are ordered; null again in results.
 NULL_ID = -(1 << 63)
-#: Column of row numbers.
-ROW = "_lectern_row"
-
 U = np.uint64
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
+    """A new folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and Spark runs in this process alone (tests) a temporary folder is made and set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(base)
+    run = f"{base.rstrip('/')}/lectern-{sc.applicationId}"
+    if getattr(sc, "_lectern_run", None) != run:
+        path = sc._jvm.org.apache.hadoop.fs.Path(run)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._lectern_run = run
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as the block lasts."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written to the shared folder and read back: lineage ends there."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, written to the shared folder and read back: lineage ends there, and shuffle files of the job go with it."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._lectern_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, ROW, written so that it stays the same: ids may be null or repeat."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, written so that it stays the same (ids may be null or repeat); and that column's name."""
+    row = fresh("row_number", docs.columns)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Ship the code, and keep Arrow batches small, so that long texts don't fill a Python worker."""
+    """Ship the code, and bound Arrow batches for this session, so that long texts don't fill a Python worker; smaller bounds stay."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -191,14 +235,14 @@ def offsets32(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def over_texts(docs: DataFrame, fn, fields: str, keep: list[str], text_col: str = "text") -> DataFrame:
+def over_texts(docs: DataFrame, fn, fields: str, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Columns `keep` as they are, then those that fn(bytes, bounds) gives for each chunk of texts (null: empty).
 
-    fields: DDL of the new columns; fn returns one array of values for each. Nothing is shuffled.
+    fields: DDL of the new columns, whose names must differ from those kept; fn returns one array of values for each. Nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
     new = T._parse_datatype_string(fields)
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_lectern_text"))
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias(fresh("text", keep)))
     schema = T.StructType([*rows.schema.fields[:-1], *new.fields])
     names, n = [f.name for f in schema.fields], len(keep)
 
@@ -210,10 +254,22 @@ def over_texts(docs: DataFrame, fn, fields: str, keep: list[str], text_col: str
             data, off = buffers(b.column(n))
             i = 0
             while i < b.num_rows:
-                j = min(b.num_rows, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1))
+                j = min(b.num_rows, max(i + 1, int(np.searchsorted(off, off[i] + chunk, side="right")) - 1))
                 made = fn(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, kinds.field(k).type) for k, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(n)] + arrays, names=names)
                 i = j
 
     return rows.mapInArrow(run, schema)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def span_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after another."""
+    to = np.cumsum(lengths)
+    return np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - lengths), lengths)

@@ -2,9 +2,12 @@
 
 The patterns are all windows of 13 consecutive words of benchmark items (an item with fewer is one
 window). For each window length there is a shift table over blocks of two words: it says how far the
-window's end may move without passing an occurrence. Where the shift is zero, the hash of the
-window's last block selects a bucket of patterns, the window's hash one of them, and
-a comparison of the words themselves confirms it. Many cursors move over the text at once.
+window's end may move without passing an occurrence, and the words between are never looked at. Where the shift is zero, the hash of
+the window's last block, its suffix, selects a bucket of patterns, of which those whose first block, the prefix, has the hash of the window's
+are compared with the text word by word. Many cursors move over the text at once.
+
+The tables are broadcast in sets of at most TABLE_BYTES of benchmark text (about five times as many bytes); however many sets
+there are, documents are read and split into words once, and at most one set is held for each stretch of GROUP_BYTES of them.
 
 Defined results: null and empty texts have no words and are clean; items without words occur nowhere;
 repeated item ids count once; a null item id counts as the empty string; an empty benchmark leaves all clean.
@@ -12,17 +15,21 @@ repeated item ids count once; a null item id counts as the empty string; an empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ALNUM, LOWER, U, mix, over_texts, window_hashes, word_hashes, words, written
+from lectern.llm.common import ALNUM, CHUNK, LOWER, U, distinct, fresh, mix, over_texts, span_places, window_hashes, word_hashes, words
 
 WINDOW = 13
-#: Bytes of benchmark text in one set of tables, which is what is broadcast; more text makes more sets, used in turn.
+#: Bytes of benchmark text in one set of tables.
 TABLE_BYTES = 8 << 20
+#: Text of documents that sets of tables are used on in turn, if there is more than one.
+GROUP_BYTES = 16 << 20
 #: Words between two cursors.
 LANE = 512
 
@@ -31,13 +38,31 @@ NORMAL = np.where(ALNUM[LOWER], LOWER, 0x20).astype(np.uint8)
 
 @dataclass
 class Patterns:
-    """All patterns of one length. blocks: sorted hashes, shifts: of each; keys: sorted window hashes, of: each key's pattern."""
+    """All patterns of one length.
+
+    blocks: sorted hashes of their blocks, shifts: of each; pairs: sorted hashes of suffix and prefix, buckets: of each the first of its patterns (and
+    the end); at: of each pattern its first word in the tables' words; items: the first of its items (and the end) in `of`.
+    """
 
     size: int
     blocks: np.ndarray
     shifts: np.ndarray
-    keys: np.ndarray
-    of: list[tuple[bytes, tuple[int, ...]]]
+    pairs: np.ndarray
+    buckets: np.ndarray
+    at: np.ndarray
+    items: np.ndarray
+    of: np.ndarray
+
+
+@dataclass
+class Tables:
+    """names: of items; data, starts, ends: the words of all items; patterns: by length."""
+
+    names: list[str]
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    patterns: list[Patterns]
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -57,35 +82,56 @@ def block_hashes(w: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def hashes_of(parts: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b" ".join(parts), np.uint8)
-    s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
-    return word_hashes(data, s, e)
+def pair_hashes(ends: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Of the last and the first block of windows; ends: hashes of blocks by their last words."""
+    return mix(ends[begin + size - 1] ^ mix(ends[begin + block_width(size) - 1]))
 
 
-def build(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[list[str], list[Patterns]]:
-    """Names of the items, sorted, and the tables for them."""
+def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Tables:
+    """The tables for items (name, text)."""
     names = sorted({i or "" for i, _ in items})
-    at = {n: k for k, n in enumerate(names)}
-    found: dict[int, dict[bytes, set[int]]] = {}
-    for name, text in items:
-        ws = normal_words((text or "").encode())
-        size = min(window, len(ws))
-        for i in range(len(ws) - size + 1) if size else ():
-            found.setdefault(size, {}).setdefault(b" ".join(ws[i : i + size]), set()).add(at[name or ""])
-    tables = []
-    for size, patterns in sorted(found.items()):
-        width, shift, keyed = block_width(size), {}, []
-        for text, of in patterns.items():
-            h = hashes_of(text.split(b" "))
-            for k, x in enumerate(block_hashes(h, width)[width - 1 :].tolist()):
-                far = size - width - k
-                shift[x] = min(shift.get(x, far), far)
-            keyed.append((int(window_hashes(h, size)[0]), text, tuple(sorted(of))))
-        keyed.sort()
-        blocks = np.array(sorted(shift), np.uint64)
-        tables.append(Patterns(size, blocks, np.array([shift[x] for x in blocks.tolist()], np.int64), np.array([k[0] for k in keyed], np.uint64), [k[1:] for k in keyed]))
-    return names, tables
+    place = {n: k for k, n in enumerate(names)}
+    raw = [(t or "").encode() for _, t in items]
+    bounds = np.cumsum([0, *map(len, raw)])
+    data = NORMAL[np.frombuffer(b"".join(raw), np.uint8)]
+    s, e, first = words(data, bounds, ALNUM)
+    text = data.tobytes()
+    tables = Tables(names, text, s.astype(np.int64), e.astype(np.int64), [])
+    if not len(s):
+        return tables
+    h = word_hashes(data, s, e)
+    counts = np.diff(first)
+    sizes = np.minimum(counts, window)
+    owner = np.array([place[i or ""] for i, _ in items])
+    for size in distinct(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == size)
+        n = counts[mine] - size + 1
+        at, of = span_places(first[:-1][mine], n), np.repeat(owner[mine], n)
+        width = block_width(size)
+        ends = block_hashes(h, width)
+        # Shifts: each block's least distance to the end of a pattern.
+        places = np.concatenate([at + width - 1 + k for k in range(size - width + 1)])
+        far = np.repeat(np.arange(size - width, -1, -1), len(at))
+        order = np.lexsort((far, ends[places]))
+        new = np.append(True, np.diff(ends[places][order]) != 0)
+        blocks, shifts = ends[places][order][new], far[order][new]
+        # Equal patterns are one, with all their items; equality is checked word by word.
+        whole = window_hashes(h, size)[at]
+        order = np.lexsort((of, whole, pair_hashes(ends, at, size)))
+        at, of, whole = at[order], of[order], whole[order]
+        new = np.append(True, np.diff(whole) != 0)
+        head = np.flatnonzero(new)
+        for k in np.flatnonzero(~new).tolist():
+            a, b = int(at[head[np.searchsorted(head, k, side="right") - 1]]), int(at[k])
+            if any(text[s[a + x] : e[a + x]] != text[s[b + x] : e[b + x]] for x in range(size)):
+                raise RuntimeError("two patterns share a hash")
+        pattern = np.cumsum(new) - 1
+        once = np.append(True, (np.diff(pattern) != 0) | (np.diff(of) != 0))
+        begin = np.append(np.searchsorted(pattern[once], np.arange(len(head))), once.sum())
+        pairs = pair_hashes(ends, at[head], size)
+        bucket = np.flatnonzero(np.append(True, np.diff(pairs) != 0))
+        tables.patterns.append(Patterns(size, blocks, shifts, pairs[bucket], np.append(bucket, len(head)), at[head].astype(np.int32), begin, of[once].astype(np.int32)))
+    return tables
 
 
 def lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,117 +140,136 @@ def lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == values
 
 
-def candidates(h: np.ndarray, p: Patterns) -> np.ndarray:
-    """Last words of windows whose shift is zero; every occurrence is among them."""
-    n, width = len(h), block_width(p.size)
+def candidates(ends: np.ndarray, p: Patterns) -> tuple[np.ndarray, int]:
+    """Last words of windows whose shift is zero, of which every occurrence is one; and how many words were looked at. ends: hashes of blocks by their last words."""
+    n, width = len(ends), block_width(p.size)
     if n < p.size:
-        return np.zeros(0, np.int64)
-    block = block_hashes(h, width)
+        return np.zeros(0, np.int64), 0
     at = np.arange(p.size - 1, n, LANE)
     stop = np.minimum(at + LANE, n)
-    found = []
+    found, looked = [], 0
     while len(at):
-        k, there = lookup(p.blocks, block[at])
+        looked += len(at)
+        k, there = lookup(p.blocks, ends[at])
         shift = np.where(there, p.shifts[k], p.size - width + 1)
         found.append(at[shift == 0])
         at = at + np.maximum(shift, 1)
         live = at < stop
         at, stop = at[live], stop[live]
-    return np.concatenate(found)
+    return np.concatenate(found), looked
 
 
-def search(data: np.ndarray, bounds: np.ndarray, tables: list[Patterns]) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-    """(first, hit, items): each row's first word, hit words, and items with occurring windows by row."""
-    data = NORMAL[data]
-    s, e, first = words(data, bounds, ALNUM)
-    n = len(s)
+def same_words(data: bytes, s: np.ndarray, e: np.ndarray, at: int, t: Tables, there: int, size: int) -> bool:
+    """Whether `size` words from one place of the text on are those of the tables, compared one by one from the last."""
+    for k in range(size - 1, -1, -1):
+        if data[s[at + k] : e[at + k]] != t.data[t.starts[there + k] : t.ends[there + k]]:
+            return False
+    return True
+
+
+class Words:
+    """Words of a chunk of texts: normalised bytes, spans, first word of each text, and hashes."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        data = NORMAL[data]
+        self.start, self.end, self.first = words(data, bounds, ALNUM)
+        self.hashes = word_hashes(data, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        self.data = data.tobytes()
+
+
+def search(w: Words, t: Tables) -> tuple[np.ndarray, list[set[int]]]:
+    """Hit words, and items with occurring windows by text."""
+    n = len(w.start)
     edge = np.zeros(n + 1, np.int64)
-    items: list[set[int]] = [set() for _ in range(len(bounds) - 1)]
-    if n:
-        h = word_hashes(data, s, e)
-        for p in tables:
-            ends = np.sort(candidates(h, p))
-            if not len(ends):
-                continue
-            begin = ends - p.size + 1
-            row = np.searchsorted(first, begin, side="right") - 1
-            whole = ends < first[row + 1]
-            begin, row = begin[whole], row[whole]
-            k, there = lookup(p.keys, window_hashes(h, p.size)[begin])
-            for b, r, i in zip(begin[there].tolist(), row[there].tolist(), k[there].tolist(), strict=True):
-                text, of = p.of[i]
-                if b" ".join(data[s[b] : e[b + p.size - 1]].tobytes().split()) == text:
-                    edge[b] += 1
-                    edge[b + p.size] -= 1
-                    items[r].update(of)
-    return first, np.cumsum(edge[:n]) > 0, items
-
-
-def _tables(benchmark: DataFrame, window: int, id_col: str, text_col: str):
-    """Tables for blocks of the benchmark of at most about TABLE_BYTES of text each, one after another."""
+    items: list[set[int]] = [set() for _ in range(len(w.first) - 1)]
+    ends = {1: w.hashes, 2: block_hashes(w.hashes, 2)}
+    for p in t.patterns if n else ():
+        by = ends[block_width(p.size)]
+        last, _ = candidates(by, p)
+        begin = last - p.size + 1
+        row = np.searchsorted(w.first, begin, side="right") - 1
+        whole = last < w.first[row + 1]
+        begin, row = begin[whole], row[whole]
+        if not len(begin):
+            continue
+        k, there = lookup(p.pairs, pair_hashes(by, begin, p.size))
+        begin, row, k = begin[there], row[there], k[there]
+        size = p.buckets[k + 1] - p.buckets[k]
+        for b, r, x in zip(np.repeat(begin, size).tolist(), np.repeat(row, size).tolist(), span_places(p.buckets[k], size).tolist(), strict=True):
+            if same_words(w.data, w.start, w.end, b, t, int(p.at[x]), p.size):
+                edge[b] += 1
+                edge[b + p.size] -= 1
+                items[r].update(p.of[p.items[x] : p.items[x + 1]].tolist())
+    return np.cumsum(edge[:n]) > 0, items
+
+
+def tables_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[Tables]:
+    """Tables for parts of the benchmark of about TABLE_BYTES of text each, by a hash of the rows."""
     rows = benchmark.select(benchmark[id_col].cast("string").alias("i"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-total // TABLE_BYTES) or 1
     for k in range(parts):
-        yield parts, build([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()], window)
+        mine = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else rows
+        yield build([tuple(r) for r in mine.collect()], window)
+
 
+class Found:
+    """Columns that occurrences() adds, under names that the documents don't have."""
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Columns `keep`, then _n_words, _hit (a packed bit for each word) and _items (item names) of each document."""
-    out = None
-    for parts, (names, tables) in _tables(benchmark, window, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast((names, tables))
+    def __init__(self, taken: list[str]):
+        self.n_words, self.hit, self.items = (fresh(x, taken) for x in ("n_words", "hit", "items"))
 
-        def fn(data, bounds, held=held):
-            names, tables = held.value
-            first, hit, items = search(data, bounds, tables)
-            masks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            return np.diff(first), masks, [[names[i] for i in sorted(x)] for x in items]
+    def n_hit(self) -> Column:
+        """Bits set in hit, by its hexadecimal digits."""
+        digits = F.hex(self.hit)
+        weight = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
+        n = sum(((F.length(digits) - F.length(F.translate(digits, chars, ""))) * k for k, chars in weight.items()), F.lit(0))
+        return n.cast("long")
 
-        fields = "_n_words long, _hit binary, _items array<string>"
-        if parts == 1:
-            return over_texts(docs, fn, fields, keep, text_col)
-        had = out if out is not None else docs.select("*", F.lit(None).cast("binary").alias("_was"), F.array().cast("array<string>").alias("_had"))
-        cols = [c for c in had.columns if c not in ("_n_words", "_hit", "_items")]
-        new = over_texts(had, fn, fields, cols, text_col)
-        merged = over_masks(new)
-        out = written(merged, "occurrences")
-    return out.select(*keep, "_n_words", F.col("_was").alias("_hit"), F.col("_had").alias("_items"))
+    def contaminated(self) -> Column:
+        """At least one hit word, and a twentieth of all words hit."""
+        n = self.n_hit()
+        return (n > 0) & (20 * n >= F.col(self.n_words))
 
 
-def over_masks(rows: DataFrame) -> DataFrame:
-    """Joins what one block of the benchmark found to what those before it did."""
-    either = F.udf(lambda a, b: bytes(b if a is None else (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()), "binary")
-    return rows.withColumn("_was", either("_was", "_hit")).withColumn("_had", F.array_sort(F.array_union("_had", "_items"))).drop("_hit", "_items")
+def occurrences(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, Found]:
+    """Columns `keep` of each document, then how many words it has, which are hit (a packed bit for each), and the names of items that occur, sorted."""
+    sc = docs.sparkSession.sparkContext
+    sets: list[Broadcast] = [sc.broadcast(t) for t in tables_of(benchmark, window, item_col, item_text_col)]
+    names = Found(keep)
 
+    def fn(data, bounds):
+        w = Words(data, bounds)
+        hit, items = np.zeros(len(w.start), bool), [set() for _ in range(len(bounds) - 1)]
+        for held in sets:
+            t = held.value
+            more, own = search(w, t)
+            hit |= more
+            for mine, found in zip(items, own, strict=True):
+                mine.update(t.names[i] for i in found)
+            if len(sets) > 1:
+                del held._value  # only one set is in memory
+        masks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+        return np.diff(w.first), masks, [sorted(x) for x in items]
 
-def contaminated(n_hit, n_words):
-    """The contract's rule: at least one hit word, and a twentieth of all words hit."""
-    return (n_hit > 0) & (20 * n_hit >= n_words)
+    fields = f"`{names.n_words}` long, `{names.hit}` binary, `{names.items}` array<string>"
+    return over_texts(docs, fn, fields, keep, text_col, CHUNK if len(sets) == 1 else GROUP_BYTES), names
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = counted(occurrences(rows, benchmark, ["doc_id"], window))
+    found, names = occurrences(rows, benchmark, ["doc_id"], window)
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), contaminated(F.col("_n_hit"), F.col("_n_words")).alias("contaminated"),
+        "doc_id", F.col(names.n_words).alias("n_words"), names.n_hit().alias("n_hit"), F.size(names.items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names.items, ",").cast("binary"), 256).alias("items_sha256"), names.contaminated().alias("contaminated"),
     )
 
 
-def counted(found: DataFrame) -> DataFrame:
-    """_n_hit: bits set in _hit, by its hexadecimal digits."""
-    digits = F.hex("_hit")
-    weight = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
-    n = sum(((F.length(digits) - F.length(F.translate(digits, chars, ""))) * k for k, chars in weight.items()), F.lit(0))
-    return found.withColumn("_n_hit", n.cast("long"))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """Rows of docs that aren't contaminated, with all their columns."""
-    found = counted(occurrences(docs, benchmark, docs.columns, window, text_col))
-    return found.filter(~contaminated(F.col("_n_hit"), F.col("_n_words"))).select(*docs.columns)
+    found, names = occurrences(docs, benchmark, docs.columns, window, text_col)
+    return found.filter(~names.contaminated()).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -1,15 +1,15 @@
 """Language-model scores by a weighted backoff automaton.
 
-An n-gram model of three words, smoothed by Dirichlet priors: the probability of a word after a context mixes
-the context's counts with `prior` counts dealt by the shorter context's probabilities, down to
-single tokens, of which unseen ones share one class. Contexts are states; a state has an arc for each word seen
-after it, and a failure arc, with the weight left for other words, to the state of the shorter context. A text is
-read once from left to right: the state is carried on, and weights of arcs and failure arcs are added up.
+An n-gram model, smoothed by Dirichlet priors: the probability of a word after a context mixes the context's counts with
+`prior` counts dealt by the shorter context's probabilities, down to single tokens, of which unseen ones share one class.
+Contexts are states; a state has an arc for each word seen after it, and a failure arc, with the weight left for other words, to
+the state of the shorter context. A text is read once from left to right: the state is carried on, and weights of arcs and failure
+arcs are added up.
 
-Counts cover the whole training corpus and never meet in one place: each block of documents asks hash
-shards for the counts of the n-grams that it holds, and builds the part of the automaton that its own texts can
-reach. A state for two words exists if they occur twice in training. The automaton reads many pieces of text at
-once; a piece that starts within a text reads the two words before it first, which fixes its state.
+Counts cover the whole training corpus and never meet in one place: each block of documents asks hash shards for the counts of
+the n-grams that it holds, a length at a time, and builds the part of the automaton that its own texts can reach. A state for two
+words or more exists if they occur twice in training, and only n-grams behind a state are asked for. The automaton reads many pieces
+of text at once; a piece that starts within a text reads the words before it first, which fixes its state.
 
 Defined results: null and empty texts are the end token alone; the crc32 of a null id is that of the empty string (held out);
 repeated rows count each; with no training rows every token is unseen; an empty table gives an empty table.
@@ -18,6 +18,7 @@ repeated rows count each; with no training rows every token is unseen; an empty
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, NOT_SPACE, NULL_ID, mix, null_id, window_hashes, word_hashes, words
-from lectern.llm.exchange import Block, answered, ask, each_block, pack, release, split_by_shard, store, unpack
+from lectern.llm.exchange import Batch, Block, Sums, exchange, over_blocks, per_block, store, summed_stats
 
 BLOCK_BYTES = 3 << 20
 ADD = 0.1
-#: Counts that a context of one word, and of two, gives to the shorter one's probabilities.
-PRIORS = (1000.0, 50.0)
+#: Counts that contexts of one word, two, and so on give to the shorter ones' probabilities; n-grams are longer by one than the longest context.
+PRIORS = (1000.0, 50.0, 5.0, 1.0)
 END = mix(np.array([1], np.uint64))[0]
 #: Tokens that one cursor reads.
 LANE = 256
@@ -55,149 +56,133 @@ class Tokens:
         self.trained = ~self.held_out[self.doc]
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of n-grams inside texts, and their hashes."""
+        """Last places of n-grams inside texts, and their hashes."""
         if len(self.hashes) < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[: len(self.doc) - size + 1] == self.doc[size - 1 :])
-        return at, window_hashes(self.hashes, size)[at]
+        return at + size - 1, window_hashes(self.hashes, size)[at]
 
 
-def distinct(values: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, how often each stands in training texts, and the place of each value among them."""
-    found, back = np.unique(values, return_inverse=True)
-    return found, np.bincount(back[trained], minlength=len(found)).astype(np.uint32), back
+class Level:
+    """A block's n-grams of one length: their last places, their number at each place (-1: not asked for), and the training count of each."""
 
+    def __init__(self, t: Tokens, at: np.ndarray, numbers: np.ndarray, counts: np.ndarray):
+        self.at, self.counts = at, counts.astype(np.int64)
+        self.number = np.full(len(t.hashes), -1, np.int32)
+        self.number[at] = numbers
 
-def ask_counts(shards: int):
-    """Question: how often the block's tokens and pairs stand in training."""
+    def count(self, place: np.ndarray) -> np.ndarray:
+        """Training counts of the n-grams that end there; 0 where none was asked for."""
+        n = self.number[place]
+        return np.where(n >= 0, self.counts[n], 0) if len(self.counts) else np.zeros(len(n), np.int64)
 
-    def question(block: Block, _):
-        t = Tokens(block)
-        at, pairs = t.grams(2)
-        sent: dict[int, list[bytes]] = {}
-        for k, (values, trained) in enumerate(((t.hashes, t.trained), (pairs, t.trained[at]))):
-            found, counts, _back = distinct(values, trained)
-            for s, part in split_by_shard(found, shards):
-                sent.setdefault(s, [b""] * 4)[2 * k : 2 * k + 2] = pack(found[part], rising=True), pack(counts[part])
-        yield from sent.items()
 
-    return question
+def behind_states(t: Tokens, contexts: Level, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last places and hashes of n-grams whose words but the last are a state."""
+    at, hashes = t.grams(size)
+    some = contexts.count(at - 1) > 1
+    return at[some], hashes[some]
 
 
-def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Total count of each value, in the shape asked for, and the totals of distinct ones."""
-    every = np.concatenate(values)
-    _, back = np.unique(every, return_inverse=True)
-    total = np.bincount(back, weights=np.concatenate(counts).astype(float), minlength=0).astype(np.uint64) if len(every) else np.zeros(0, np.uint64)
-    return np.split(total[back], np.cumsum([len(v) for v in values])[:-1]), total
-
+def levels_of(t: Tokens, had: list[list[np.ndarray]]) -> list[Level]:
+    """Levels from the answers to the questions of tokens and pairs, triples, and so on."""
+    if not had:
+        return []
+    at, pairs = t.grams(2)
+    n = len(t.hashes)
+    back = np.unique(np.concatenate([t.hashes, pairs]), return_inverse=True)[1]
+    counts = had[0][0] if had[0] else np.zeros(0, np.uint64)
+    levels = [Level(t, np.arange(n), back[:n], counts), Level(t, at, back[n:], counts)]
+    for size, got in enumerate(had[1:], 3):
+        at, hashes = behind_states(t, levels[-1], size)
+        levels.append(Level(t, at, np.unique(hashes, return_inverse=True)[1], got[0] if got else np.zeros(0, np.uint64)))
+    return levels
 
-def answer_counts(_, payloads: list[list[bytes]]) -> list[list[bytes]]:
-    """Counts of tokens and of pairs; and the shard's training tokens and distinct ones."""
-    single, ones = summed([unpack(p[0], np.uint64, rising=True) for p in payloads], [unpack(p[1], np.uint32) for p in payloads])
-    double, _ = summed([unpack(p[2], np.uint64, rising=True) for p in payloads], [unpack(p[3], np.uint32) for p in payloads])
-    totals = np.array([ones.sum(), (ones > 0).sum()], "<u8").tobytes()
-    return [[pack(a), pack(b), totals] for a, b in zip(single, double, strict=True)]
 
+class ShortGrams(Sums):
+    """How often the block's tokens and pairs stand in training; and the numbers of training tokens and of distinct ones."""
 
-def told(found: np.ndarray, had: dict[int, list[bytes]], k: int, shards: int) -> np.ndarray:
-    """Counts of distinct values from the answers' k-th blobs."""
-    out = np.zeros(len(found), np.int64)
-    for s, part in split_by_shard(found, shards):
-        out[part] = unpack(had[s][k], np.uint64).astype(np.int64)
-    return out
+    def ask(self, block, had):
+        t = Tokens(block)
+        at, pairs = t.grams(2)
+        keys, back = np.unique(np.concatenate([t.hashes, pairs]), return_inverse=True)
+        one, two = back[: len(t.hashes)], back[len(t.hashes) :]
+        counts = np.bincount(one[t.trained], minlength=len(keys)) + np.bincount(two[t.trained[at]], minlength=len(keys))
+        token = np.zeros(len(keys), np.uint8)
+        token[one] = 1
+        return Batch(keys, [counts.astype(np.uint32), token])
 
+    def answer(self, batch, who):
+        (counts, token), back = self.totals(batch)
+        tokens = counts[token > 0]
+        return [counts[back]], [int(tokens.sum()), int((tokens > 0).sum())]
 
-def triples(t: Tokens, had, shards: int):
-    """Starts and hashes of triples whose first two words are a state."""
-    at, pairs = t.grams(2)
-    found, back = np.unique(pairs, return_inverse=True)
-    count = told(found, had, 1, shards)
-    of = np.zeros(len(t.hashes), np.int64)
-    of[at] = count[back]
-    at, grams = t.grams(3)
-    some = of[at] > 1
-    return at[some], grams[some]
 
+class LongGrams(Sums):
+    """How often n-grams behind states stand in training."""
 
-def ask_triples(shards: int):
-    """Question: how often triples stand in training."""
+    def __init__(self, size: int):
+        self.size = size
 
-    def question(block: Block, had):
+    def ask(self, block, had):
         t = Tokens(block)
-        at, grams = triples(t, had, shards)
-        found, counts, _ = distinct(grams, t.trained[at])
-        for s, part in split_by_shard(found, shards):
-            yield s, [pack(found[part], rising=True), pack(counts[part])]
-
-    return question
-
-
-def answer_triples(_, payloads: list[list[bytes]]) -> list[list[bytes]]:
-    found, _ = summed([unpack(p[0], np.uint64, rising=True) for p in payloads], [unpack(p[1], np.uint32) for p in payloads])
-    return [[pack(x)] for x in found]
+        at, hashes = behind_states(t, levels_of(t, had)[-1], self.size)
+        keys, back = np.unique(hashes, return_inverse=True)
+        return Batch(keys, [np.bincount(back[t.trained[at]], minlength=len(keys)).astype(np.uint32)])
 
 
 class Automaton:
     """States, arcs and failure arcs that a block's texts can reach.
 
-    State 0 has no context; 1 + word is a word's; the pairs' follow. An arc's key is state * words + word.
+    N-grams of all lengths are numbered in one row. A number is that of a state (of the words as a context) and of an arc (for the
+    last word, from the state of those before it). `number[k]` holds at each place the one of k + 1 words that end there, so that the
+    arc for the next word is found without a search.
     """
 
-    def __init__(self, t: Tokens, had, more, shards: int, total: int, kinds: int, priors: tuple[float, float]):
-        vocab, token = np.unique(t.hashes, return_inverse=True)
-        self.token, n = token, len(vocab)
-        self.n_words = n
-        c1 = self.counts = told(vocab, had, 0, shards)
-        p1 = (c1 + ADD) / (total + ADD * (kinds + 1))
-        self.single = p1
-        end = np.searchsorted(vocab, END)
-        at, pairs = t.grams(2)
-        _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
-        c2 = told(pairs[first], had, 1, shards)
-        a, b = token[at[first]], token[at[first] + 1]
-        p2 = (c2 + priors[0] * p1[b]) / (c1[a] + priors[0])
-        state2 = np.where((c2 > 1) & (b != end), 1 + n + np.arange(len(c2)), 0)
-        state1 = np.where((c1 > 0) & (np.arange(n) != end), 1 + np.arange(n), 0)
-        pair_at = np.zeros(len(token), np.int64)
-        pair_at[at] = back
-        at3, grams = triples(t, had, shards)
-        _, first3 = np.unique(grams, return_index=True)
-        c3 = told(grams[first3], more, 0, shards)
-        ab, bw = pair_at[at3[first3]], pair_at[at3[first3] + 1]
-        p3 = (c3 + priors[1] * p2[bw]) / (c2[ab] + priors[1])
-        w3 = token[at3[first3] + 2]
-        after = np.where(state2 > 0, state2, state1[b])  # the state behind a pair
-        seen2, seen3 = c2 > 0, c3 > 0
-        key = np.concatenate([(1 + a[seen2]) * n + b[seen2], state2[ab[seen3]] * n + w3[seen3]])
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.weights = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
-        self.next = np.concatenate([after[seen2], after[bw[seen3]]])[order]
-        self.root_weights, self.root_next = np.log10(p1), state1
-        self.fail = np.concatenate([np.zeros(1 + n, np.int64), state1[b]])
-        self.fail_weights = np.log10(np.concatenate([[1.0], priors[0] / (c1 + priors[0]), priors[1] / (c2 + priors[1])]))
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and the weights on the way, over failure arcs where a state has no arc for the word."""
+    def __init__(self, t: Tokens, levels: list[Level], total: int, kinds: int, priors: Sequence[float]):
+        self.longest = len(levels)
+        base = np.cumsum([0, *[len(x.counts) for x in levels]])
+        n_places = len(t.hashes)
+        self.number = np.stack([np.where(x.number >= 0, x.number + b, -1) for x, b in zip(levels, base[:-1], strict=True)]).astype(np.int64) if n_places else np.zeros((len(levels), 0), np.int64)
+        counts = np.concatenate([x.counts for x in levels])
+        self.counts = levels[0].count(np.arange(n_places))
+        self.single = (self.counts + ADD) / (total + ADD * (kinds + 1))
+        self.arc = counts > 0
+        self.weight, self.fail = np.zeros(len(counts)), np.zeros(len(counts))
+        self.next = np.zeros(len(counts), np.int64)  # words of the state that an arc leads to
+        is_state = np.zeros((len(levels), n_places), bool)
+        p = self.single
+        for k, x in enumerate(levels):
+            number = self.number[k][x.at]
+            if k:
+                contexts, prior = levels[k - 1].count(x.at - 1), priors[k - 1]
+                new = p.copy()
+                new[x.at] = (x.count(x.at) + prior * p[x.at]) / (contexts + prior)
+                p = new
+            else:
+                self.arc[number] = True
+            self.weight[number] = np.log10(p[x.at])
+            if k < len(levels) - 1:
+                self.fail[number] = np.log10(priors[k] / (x.count(x.at) + priors[k]))
+                is_state[k, x.at] = (x.count(x.at) > (k > 0)) & (t.hashes[x.at] != END)
+            goal = np.zeros(len(x.at), np.int64)
+            for j in range(min(k, len(levels) - 2), -1, -1):
+                goal = np.where((goal == 0) & is_state[j, x.at], j + 1, goal)
+            self.next[number] = goal
+
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states (as numbers of words) and weights on the way, over failure arcs where a state has no arc for the word at the place."""
         weight, goal = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        left, at = np.arange(len(state)), state
+        left, words_ = np.arange(len(state)), state
         while len(left):
-            root = at == 0
-            k = left[root]
-            weight[k] += self.root_weights[word[k]]
-            goal[k] = self.root_next[word[k]]
-            left, at = left[~root], at[~root]
-            if not len(left):
-                break
-            key = at * self.n_words + word[left]
-            i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-            hit = self.keys[i] == key if len(self.keys) else np.zeros(len(key), bool)
-            weight[left[hit]] += self.weights[i[hit]]
-            goal[left[hit]] = self.next[i[hit]]
-            left, at = left[~hit], at[~hit]
-            weight[left] += self.fail_weights[at]
-            at = self.fail[at]
+            at = place[left]
+            n = self.number[words_, at]
+            hit = (n >= 0) & self.arc[n]
+            weight[left[hit]] += self.weight[n[hit]]
+            goal[left[hit]] = self.next[n[hit]]
+            left, words_, at = left[~hit], words_[~hit], at[~hit]
+            weight[left] += self.fail[self.number[words_ - 1, at - 1]]
+            words_ = words_ - 1
         return goal, weight
 
     def read(self, first: np.ndarray) -> np.ndarray:
@@ -206,12 +191,13 @@ class Automaton:
         doc = np.repeat(np.arange(len(lanes)), lanes)
         start = first[doc] + LANE * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
         stop = np.minimum(start + LANE, first[doc + 1])
-        at, state, total = np.maximum(start - 2, first[doc]), np.zeros(len(doc), np.int64), np.zeros(len(doc))
-        for _ in range(LANE + 2):
+        before = self.longest - 1
+        at, state, total = np.maximum(start - before, first[doc]), np.zeros(len(doc), np.int64), np.zeros(len(doc))
+        for _ in range(LANE + before):
             live = np.flatnonzero(at < stop)
             if not len(live):
                 break
-            state[live], weight = self.step(state[live], self.token[at[live]])
+            state[live], weight = self.step(state[live], at[live])
             total[live] += np.where(at[live] >= start[live], weight, 0.0)
             at[live] += 1
         return np.bincount(doc, weights=total, minlength=len(lanes))
@@ -220,27 +206,23 @@ class Automaton:
 FIELDS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def score(docs: DataFrame, priors: tuple[float, float] = PRIORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, priors: Sequence[float] = PRIORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    priors: one for each length of contexts, so that four make a model of five words.
+    """
     corpus = store(docs, BLOCK_BYTES, id_col, text_col)
-    shards = corpus.shards
-    counts = answered(ask(corpus, None, ask_counts(shards)), answer_counts, shards)
-    release(spark)
-    by_shard = counts.groupBy("shard").agg(F.first(F.hex(F.get("reply", F.lit(2)))).alias("x")).collect()  # two numbers a shard
-    sums = [np.frombuffer(bytes.fromhex(r["x"]), "<u8") for r in by_shard]
-    total, kinds = int(sum(int(x[0]) for x in sums)), int(sum(int(x[1]) for x in sums))
-    more = answered(ask(corpus, counts, ask_triples(shards)), answer_triples, shards)
-    release(spark)
-    both = counts.withColumn("reply", F.slice("reply", 1, 2)).withColumn("shard", -1 - F.col("shard")).unionByName(more)
+    counts = [exchange(corpus, ShortGrams())]
+    total, kinds = summed_stats(counts[0], 2)
+    for size in range(3, len(priors) + 2):
+        counts.append(exchange(corpus, LongGrams(size), counts))
 
     def fn(block: Block, had):
         t = Tokens(block)
-        machine = Automaton(t, {-1 - s: x for s, x in had.items() if s < 0}, had, shards, total, kinds, priors)
-        known = machine.counts[machine.token] > 0
+        machine = Automaton(t, levels_of(t, had), total, kinds, priors)
         add = lambda x: np.bincount(t.doc, weights=x, minlength=len(block.ids))
-        n = len(block.ids)
-        return block.ids, t.held_out, np.diff(t.first), add(known.astype(float)).astype(np.int64), np.full(n, total), add(np.log10(machine.single)[machine.token]), machine.read(t.first)
+        known = add((machine.counts > 0).astype(float)).astype(np.int64)
+        return block.ids, t.held_out, np.diff(t.first), known, np.full(len(block.ids), total), add(np.log10(machine.single)), machine.read(t.first)
 
-    out = each_block(corpus, both, fn, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", pa.schema(FIELDS))
-    return out.withColumn("doc_id", null_id(F.col("doc_id")))
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return over_blocks(corpus, counts, per_block(fn, pa.schema(FIELDS)), fields).withColumn("doc_id", null_id(F.col("doc_id")))

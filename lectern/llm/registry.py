@@ -65,6 +65,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_licenses": licenses.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_substrings": substrings.ORACLE,

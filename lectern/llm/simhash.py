@@ -10,6 +10,8 @@ again by their remaining bits, which stays exact.
 Inside a block only a spanning forest of its links is emitted, so no group's pairs are listed. Components
 are found by alternating star contraction over tables, never on the driver.
 
+For similarities far from one (drop_near_duplicates) fingerprints are wide and blocks are made of the rarest of a text's smallest shingle hashes.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; null ids count as the
 smallest id and stay null; repeated rows share a component; an empty table gives an empty table.
 """
@@ -25,20 +27,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, NULL_ID, ROW, U, bounded_batches, mix, null_id, offsets32, over_texts, texts, window_hashes, with_rows, word_hashes, words, written
+from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, discard, distinct, mix, null_id, offsets32, over_texts, texts, window_hashes, with_rows, word_hashes, words, written
 
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 15
 #: A block of more rows is parted again.
 BLOCK_ROWS = 2048
-#: The same for blocks of wide fingerprints, which are parted once.
+#: Rows of a block of wide fingerprints that a task compares at once; a larger block is compared by pairs of its parts.
 SKETCH_ROWS = 16_384
 #: Machine words of pairs compared in one step.
 PAIR_WORDS = 8192
 #: Wide fingerprints, for similarities far from one.
 WIDE_BITS = 1024
-#: Smallest shingle hashes of a text that serve as its blocks when similarities are far from one.
-SKETCH = 8
+#: Smallest shingle hashes of a text that its blocks are chosen from.
+SKETCH = 32
+#: Similar texts share at least this part of them; see blocks_of_sketch.
+SKETCH_SHARE = 0.375
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -91,7 +95,7 @@ def wide_fingerprints(docs: DataFrame, size: int = 5, bits: int = WIDE_BITS, id_
         h = word_hashes(data, s, e)
         fps, sketches = [], []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            shingles = np.unique(window_hashes(h[a:b], min(size, b - a))) if b > a else np.zeros(0, np.uint64)
+            shingles = distinct(window_hashes(h[a:b], min(size, b - a))) if b > a else np.zeros(0, np.uint64)
             sketches.append(shingles[:SKETCH].view(np.int64))
             fps.append(wide(shingles, bits).tobytes())
         return fps, sketches
@@ -211,14 +215,18 @@ def steps(keys: np.ndarray, planes: np.ndarray, parent: np.ndarray, most: int) -
     longest = int(np.diff(np.concatenate([[0], ends, [len(keys)]])).max()) if len(keys) else 0
     held, words_held = ([], []), 0
     for shift in range(1, longest):
+        if shift % 64 == 0 and not ((keys[1:] == keys[:-1]) & (parent[1:] != parent[:-1])).any():
+            break  # each block is one group
         same = (keys[:-shift] == keys[shift:]) & (parent[:-shift] != parent[shift:])
         if same.any():
             held[0].append(shift)
             held[1].append(same)
             words_held += min(int(same.sum()), len(same) // 64 + 1)
-        if held[0] and (words_held >= PAIR_WORDS or len(held[0]) >= 256 or shift == longest - 1):
+        if held[0] and (words_held >= PAIR_WORDS or len(held[0]) >= 256):
             yield close_pairs(planes, np.array(held[0]), held[1], most)
             held, words_held = ([], []), 0
+    if held[0]:
+        yield close_pairs(planes, np.array(held[0]), held[1], most)
 
 
 def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int], parent: np.ndarray | None = None, fresh=None) -> tuple[np.ndarray, np.ndarray]:
@@ -344,21 +352,30 @@ def little_endian(x: Column) -> Column:
 
 
 def blocks_of_sketch(reps: DataFrame) -> DataFrame:
-    """key, id, fp rows: a block for each of a text's SKETCH smallest shingle hashes.
+    """key, id, fp rows in which similar texts share a key: blocks of the rarest of each text's smallest shingle hashes.
 
-    Two sets of similarity 0.8 share none of these with a chance of about 0.2**8. Where over SKETCH_ROWS rows
-    share a hash, as in a passage that many texts hold, blocks are made of that hash and each other one of a text's.
-    This is done once: what still shares a block then is alike, and is joined by its first comparisons.
+    Of texts of similarity 0.8 each of the smallest hashes of both together is in both with a chance of 0.8, so that under
+    SKETCH_SHARE of 32 are shared with a chance of about 10^-7. A pair that shares so many of m hashes has one in common among the m - share * m + 1
+    that the fewest texts have (ties by hash), whichever the others are. Only these make blocks, and only where two texts have them: hashes of a
+    passage that very many texts hold make none, unless nearly all of a text is made of such.
+    A block of more than SKETCH_ROWS rows (near copies by the thousands) is cut into parts, and all pairs of parts are compared.
     """
     more = [c for c in ("root", "failed") if c in reps.columns]
-    rows = reps.select("id", "fp", *more, "sketch", F.explode_outer("sketch").alias("key")).withColumn("key", F.coalesce("key", F.lit(0)))
-    hot = written(rows.groupBy("key").count().filter(F.col("count") > SKETCH_ROWS).select("key"), "simhash-hot")
-    if not hot.isEmpty():
-        again = rows.join(hot, "key", "left_semi")
-        finer = again.select("id", "fp", *more, F.col("key").alias("had"), F.explode("sketch").alias("other")).filter("had != other")
-        finer = finer.select("id", "fp", *more, F.xxhash64(F.least("had", "other"), F.greatest("had", "other")).alias("key")).dropDuplicates(["id", "key"])
-        rows = rows.join(hot, "key", "left_anti").select("id", "fp", *more, "key").unionByName(finer)
-    return rows.select("key", "id", "fp", *more)
+    each = reps.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = each.join(counts, "key").groupBy("id").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    # A hash that one text has alone is rarer than all that are shared.
+    alone = F.col("m") - F.size("keys")
+    wanted = F.col("m") - F.ceil(F.col("m") * SKETCH_SHARE).cast("int") + 1
+    chosen = shared.select("id", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), wanted - alone))).alias("k")).select("id", "k.key")
+    chosen = written(chosen, "sketch-blocks")
+    sizes = chosen.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / (SKETCH_ROWS // 2)).cast("int"))
+    sizes = sizes.withColumn("parts", F.when(F.col("n") > SKETCH_ROWS, F.col("parts")).otherwise(1))
+    rows = chosen.join(sizes.select("key", "parts"), "key")
+    part = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
+    rows = rows.select("key", "id", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).filter("parts = 1 OR part != other")
+    tile = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return rows.select("id", tile.alias("key")).join(reps.select("id", "fp", *more), "id").select("key", "id", "fp", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -372,7 +389,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        e = written(small, "links")
+        last, e = e, written(small, "links")
+        discard(last)
         now = state(e)
         if now == was:
             break
@@ -443,7 +461,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         data = LOWER[data]
         s, e, first = words(data, bounds)
         h = word_hashes(data, s, e)
-        return [[np.unique(window_hashes(h[a:b], min(size, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]]
+        return [[distinct(window_hashes(h[a:b], min(size, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]]
 
     sets = over_texts(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), fn, "shingles array<long>", ["id"])
     return written(sets.dropDuplicates(["id"]), "shingles")
@@ -466,21 +484,20 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Rows are told apart by numbers of their own: of rows with equal ids in one group exactly one stays, and rows with
     that id or without one that are in no group, or in others, aren't touched.
     """
-    held = with_rows(docs)
-    plain = texts(held, ROW, text_col)
-    rows = written(wide_fingerprints(held, size, bits, ROW, text_col), "simhash-wide")
+    held, row = with_rows(docs)
+    plain = texts(held, row, text_col)
+    rows = written(wide_fingerprints(held, size, bits, row, text_col), "simhash-wide")
     levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.7, 0.3)]
 
     def check(ids):
         sets = shingle_sets(plain, ids, size)
         return lambda links: similar(sets, links, similarity)
 
-    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], check)
+    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], check).select(F.col("doc_id").alias("row"), "component_id")
     # Of each group the row with the smallest id stays, and of several such rows the first; lone rows are no group.
-    groups = groups.withColumnRenamed("doc_id", ROW)
     shared = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
-    ids = held.select(ROW, F.coalesce(held[id_col].cast("long"), F.lit(NULL_ID)).alias("id"))
-    members = written(groups.join(shared, "component_id", "left_semi").select(ROW, "component_id").join(ids, ROW), "simhash-members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("first"))
-    gone = members.join(first, "component_id").filter(F.col(ROW) != F.col("first")[ROW]).select(ROW)
-    return held.join(gone, ROW, "left_anti").select(*docs.columns)
+    ids = held.select(held[row].alias("row"), F.coalesce(held[id_col].cast("long"), F.lit(NULL_ID)).alias("id"))
+    members = written(groups.join(shared, "component_id", "left_semi").join(ids, "row"), "simhash-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
+    gone = members.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(row))
+    return held.join(gone, row, "left_anti").select(*[held[c] for c in docs.columns])

@@ -6,10 +6,13 @@ occurs once in the corpus hold no repeated string and stay where they are. The o
 suffixes at the anchors are sorted by mergesort, and so are the reversed prefixes before them; two of them are compared in
 logarithmic time, since prefix polynomial hashes and binary search give the length that they have in common. A string at distance
 d before its anchor is that of another segment if the prefixes have d bytes in common and the suffixes 100 - d, which the
-common lengths of neighbours in the two orders tell. Equal spans that hashes claim are verified byte by byte.
+common lengths of neighbours in the two orders tell. Equal spans that hashes claim are verified byte by byte, in blocks and in shards.
+
+Anchors with over HOT_SEGMENTS segments (a passage that very many documents hold has one at each of its ends) would gather in
+one task. Their strings are looked up one by one instead, by two independent hashes of 64 bits; a shard keeps the first place of each.
 
 Defined results: null and empty texts have no bytes; null ids come before all others and stay null; of rows with equal ids
-the one read first comes first; an empty table gives an empty table.
+the one stored first comes first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BASE, BYTE_VALUE, INV, U, mix, null_id, powers, prefix_sums, span_hashes, window_hashes
-from lectern.llm.exchange import Block, answer_repeats, answered, ask, ask_repeats, each_block, expand, pack, release, repeated_values, sliding_argmin, split_by_shard, squeeze, starts_within, store, unpack
+from lectern.llm.common import BASE, BYTE_VALUE, INV, U, fresh, mix, null_id, powers, prefix_sums, span_hashes, span_places, window_hashes, with_rows
+from lectern.llm.exchange import Batch, Block, Firsts, Question, Repeats, exchange, over_blocks, per_block, sliding_argmin, starts_within, store, summed_stats
 
 WINDOW = 100
 SEED = 40
 BLOCK_BYTES = 1 << 20
 #: Shards for each that a corpus has by its text: here they hold segments, not hashes alone.
-SHARDS = 6
+SHARDS = 4
 #: Strings handled in one step where a step makes arrays of many times their bytes.
 STRINGS = 1 << 13
 #: Text of segments worked on at once in a shard.
 PART_BYTES = 2 << 20
+#: Segments of one anchor that may meet in a task.
+HOT_SEGMENTS = 4096
 
 
 class Segments:
@@ -58,39 +63,132 @@ class Segments:
         out.value, out.anchor, out.lo, out.hi = self.value[some], self.anchor[some], self.lo[some], self.hi[some]
         return out
 
+    def shapes(self, block: Block, window: int) -> np.ndarray:
+        """A hash of each segment's text and of where its anchor stands in it."""
+        text = span_hashes(prefix_sums(BYTE_VALUE[block.data]), self.lo, self.hi + window)
+        shape = ((self.anchor - self.lo) * 64 + (self.anchor - self.hi)).astype(np.uint64)
+        return mix(text + shape * U(0x9E3779B97F4A7C15))
+
+
+class BlockRepeats(Repeats):
+    """Question: which anchors occur twice, and which have over HOT_SEGMENTS segments, each counted once for a block that holds it."""
+
+    def __init__(self, window: int):
+        self.window = window
+        super().__init__(None, True, HOT_SEGMENTS)
+
+    def ask(self, block, had):
+        seg = Segments(block, self.window)
+        distinct, back, counts = np.unique(seg.value, return_inverse=True, return_counts=True)
+        first = np.unique(seg.shapes(block, self.window), return_index=True)[1]
+        return Batch(distinct, [np.minimum(counts, 2).astype(np.uint8), np.bincount(back[first], minlength=len(distinct)).astype(np.uint32)])
+
 
-def looked_up(block: Block, had, window: int, shards: int):
-    """Segments whose anchor occurs twice; index of the first of each distinct one, in order of values; and which of those each is."""
-    every = Segments(block, window)
-    distinct, again = repeated_values(every.value, had, shards)
-    seg = every.only(np.flatnonzero(again[np.searchsorted(distinct, every.value)]) if len(every.value) else np.zeros(0, np.int64))
-    text = span_hashes(prefix_sums(BYTE_VALUE[block.data]), seg.lo, seg.hi + window)
-    shape = ((seg.anchor - seg.lo) * 64 + (seg.anchor - seg.hi)).astype(np.uint64)
-    _, first, back = np.unique(mix(text + shape * U(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-    order = np.argsort(seg.value[first], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return seg, first[order], rank[back]
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> None:
+    """Fail unless spans at a and at b have the same bytes."""
+    for i in range(0, len(a), STRINGS):
+        n = length[i : i + STRINGS]
+        if not np.array_equal(data[span_places(a[i : i + STRINGS], n)], data[span_places(b[i : i + STRINGS], n)]):
+            raise RuntimeError("two strings share a hash")
 
 
-def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All places of spans, one span after another."""
-    to = np.cumsum(lengths)
-    return np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - lengths), lengths)
+class LookedUp:
+    """A block's segments whose anchor occurs twice (cold) or in very many segments (hot).
 
+    Cold: the first of each distinct one (first, in order of values), and which of those each is (of). Hot: starts of their strings
+    (place), two hashes of each distinct one (keys, second), its first place (head), and which of those each string is (back).
+    """
+
+    def __init__(self, block: Block, repeats: list[np.ndarray], window: int):
+        every = Segments(block, window)
+        back = np.unique(every.value, return_inverse=True)[1]
+        state = repeats[0][back] if len(back) else np.zeros(0, np.uint8)
+        self.cold = cold = every.only(np.flatnonzero(state == 1))
+        _, first, of = np.unique(cold.shapes(block, window), return_index=True, return_inverse=True)
+        order = np.argsort(cold.value[first], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.first, self.of = first[order], rank[of]
+        head = self.first[self.of]
+        copy = np.flatnonzero(head != np.arange(len(head)))
+        lo, length = cold.lo, cold.hi - cold.lo + window
+        if not (np.array_equal(length[copy], length[head[copy]]) and np.array_equal((cold.anchor - lo)[copy], (cold.anchor - lo)[head[copy]])):
+            raise RuntimeError("two segments share a hash")
+        equal_spans(block.data, lo[copy], lo[head[copy]], length[copy])
+        hot = every.only(np.flatnonzero(state == 2))
+        self.place = np.sort(span_places(hot.lo, hot.hi - hot.lo + 1))
+        values = BYTE_VALUE[block.data]
+        raw = span_hashes(prefix_sums(values), self.place, self.place + window) if len(self.place) else np.zeros(0, np.uint64)
+        self.keys, head, self.back = np.unique(mix(raw), return_index=True, return_inverse=True)
+        self.head = self.place[head]
+        other = span_hashes(prefix_sums(mix(values)), self.head, self.head + window) if len(self.head) else raw
+        self.second = mix(other)
+        equal_spans(block.data, self.place, self.head[self.back], np.full(len(self.place), window))
 
-def ask_segments(window: int, shards: int):
-    """Question: the block's distinct segments whose anchor occurs twice, with their texts and first places."""
 
-    def question(block: Block, had):
-        seg, first, _ = looked_up(block, had, window, shards)
-        lo, hi, anchor, value = seg.lo[first], seg.hi[first], seg.anchor[first], seg.value[first]
+class AskSegments(Question):
+    """Question: for each of a block's distinct segments of cold anchors, a bit for each of its windows whose string also stands earlier.
+
+    Anchors are independent of one another, so that a shard is worked through in parts of about PART_BYTES of text.
+    """
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def ask(self, block, had):
+        found = LookedUp(block, had[0], self.window)
+        seg, f = found.cold, found.first
+        lo, hi, anchor = seg.lo[f], seg.hi[f], seg.anchor[f]
         doc = np.searchsorted(block.bounds, lo, side="right") - 1
-        for s, p in split_by_shard(value, shards):
-            text = block.data[flat(lo[p], hi[p] + window - lo[p])].tobytes()
-            yield s, [pack(value[p], rising=True), pack((anchor - lo)[p].astype(np.uint8)), pack((anchor - hi)[p].astype(np.uint8)), pack(block.ids[doc[p]]), pack(lo[p] - block.bounds[doc[p]]), squeeze(text)]
+        n = hi + self.window - lo
+        columns = [(anchor - lo).astype(np.uint8), (anchor - hi).astype(np.uint8), block.ids[doc], lo.astype(np.uint32)]
+        return Batch(seg.value[f], columns, block.data[span_places(lo, n)], n.astype(np.uint16))
+
+    def answer(self, batch, who):
+        far, near, ids, pos = (c.astype(np.int64) for c in batch.columns)
+        value, window = batch.keys, self.window
+        length = far - near + window
+        start = np.cumsum(length) - length
+        order = np.argsort(value, kind="stable")
+        before = np.cumsum(length[order]) - length[order]
+        first = np.flatnonzero(np.append(True, value[order[1:]] != value[order[:-1]])) if len(order) else order
+        part = before[first] // PART_BYTES
+        cuts = first[np.flatnonzero(np.append(True, part[1:] != part[:-1]))] if len(order) else order
+        mask = np.zeros(len(value), np.uint64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=len(order) > 0):
+            k = order[a:b]
+            text = gathered(batch.text, start[k], length[k])
+            mask[k] = repeated_windows(text, value[k], far[k], near[k], ids[k], who[k], pos[k], window)
+        return [mask], []
+
 
-    return question
+class AskStrings(Firsts):
+    """Question: whether a block has the first place of each of its distinct strings of hot anchors."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def ask(self, block, had):
+        found = LookedUp(block, had[0], self.window)
+        doc = np.searchsorted(block.bounds, found.head, side="right") - 1
+        return Batch(found.keys, [block.ids[doc], found.head.astype(np.uint32), found.second])
+
+    @staticmethod
+    def heads(batch, who):
+        """By both hashes."""
+        ids, at, second = batch.columns
+        order = np.lexsort((at, who, ids, second, batch.keys))
+        new = np.append(True, (batch.keys[order[1:]] != batch.keys[order[:-1]]) | (second[order[1:]] != second[order[:-1]])) if len(order) else np.zeros(0, bool)
+        head = np.empty(len(order), np.int64)
+        head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return head
+
+    def answer(self, batch, who):
+        return [self.heads(batch, who) == np.arange(len(who))], []
+
+    def unfold(self, columns, folded):
+        back, is_head, _ = folded
+        return [columns[0][back] & is_head]
 
 
 class Text:
@@ -170,46 +268,15 @@ class Text:
         out[k] = self.common(order[k - 1], order[k])
         for i in range(0, len(k), STRINGS):
             j = k[i : i + STRINGS]
-            a, b = flat(self.starts[order[j - 1]], out[j]), flat(self.starts[order[j]], out[j])
+            a, b = span_places(self.starts[order[j - 1]], out[j]), span_places(self.starts[order[j]], out[j])
             if not np.array_equal(self.data[a], self.data[b]):
                 raise RuntimeError("two strings share a hash")
         return out
 
 
-def answer_segments(window: int):
-    """For each segment sent: a bit for each of its windows whose string also stands earlier.
-
-    Anchors are independent of one another, so that a shard is worked through in parts of about PART_BYTES of text.
-    """
-
-    def answer(blocks: list[int], payloads: list[list[bytes]]) -> list[list[bytes]]:
-        value = np.concatenate([unpack(p[0], np.uint64, rising=True) for p in payloads])
-        sizes = [len(unpack(p[1], np.uint8)) for p in payloads]
-        far, near = (np.concatenate([unpack(p[c], np.uint8) for p in payloads]).astype(np.int64) for c in (1, 2))
-        ids, pos = (np.concatenate([unpack(p[c], np.int64) for p in payloads]) for c in (3, 4))
-        data = np.frombuffer(b"".join(expand(p[5]) for p in payloads), np.uint8)
-        asker = np.repeat(np.arange(len(blocks)), sizes)
-        length = far - near + window
-        start = np.cumsum(length) - length
-        order = np.argsort(value, kind="stable")
-        before = np.cumsum(length[order]) - length[order]
-        first = np.flatnonzero(np.append(True, value[order[1:]] != value[order[:-1]]))
-        part = before[first] // PART_BYTES
-        cuts = first[np.flatnonzero(np.append(True, part[1:] != part[:-1]))]
-        mask = np.zeros(len(value), np.uint64)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            k = order[a:b]
-            text = gathered(data, start[k], length[k])
-            mask[k] = repeated_windows(text, value[k], far[k], near[k], ids[k], asker[k], pos[k], window)
-        ends = np.cumsum([0, *sizes])
-        return [[pack(mask[a:b])] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    return answer
-
-
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Bytes of spans side by side."""
-    parts = [data[flat(starts[i : i + STRINGS], lengths[i : i + STRINGS])] for i in range(0, len(starts), STRINGS)]
+    parts = [data[span_places(starts[i : i + STRINGS], lengths[i : i + STRINGS])] for i in range(0, len(starts), STRINGS)]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
@@ -228,7 +295,7 @@ def repeated_windows(data, value, far, near, ids, asker, pos, window: int) -> np
     # Copies of a whole segment: all their windows stand earlier, once the bytes are verified.
     for i in range(0, len(copy), STRINGS):
         c, o = copy[i : i + STRINGS], of[i : i + STRINGS]
-        if not (np.array_equal(length[c], length[o]) and np.array_equal(data[flat(start[c], length[c])], data[flat(start[o], length[o])])):
+        if not (np.array_equal(length[c], length[o]) and np.array_equal(data[span_places(start[c], length[c])], data[span_places(start[o], length[o])])):
             raise RuntimeError("two segments share a hash")
     mask = np.zeros(len(value), np.uint64)
     mask[copy] = ~U(0) >> (U(63) - (far - near)[copy].astype(np.uint64))
@@ -266,18 +333,19 @@ def common_classes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gr
     return classes
 
 
-def removed(block: Block, had, answers, window: int, shards: int) -> np.ndarray:
+def removed(block: Block, had: list[list[np.ndarray]], window: int) -> np.ndarray:
     """Which bytes of the block are covered by a string that also stands earlier."""
-    seg, first, of = looked_up(block, had, window, shards)
-    sent = np.zeros(len(first), np.uint64)
-    for s, p in split_by_shard(seg.value[first], shards):
-        sent[p] = unpack(answers[s][0], np.uint64)
+    found = LookedUp(block, had[0], window)
+    seg = found.cold
     # A segment that the block has had before stands earlier with all its windows.
     mask = ~U(0) >> (U(63) - (seg.hi - seg.lo).astype(np.uint64))
-    mask[first] = sent
+    if len(found.first):
+        mask[found.first] = had[1][0]
     start = np.zeros(len(block.data) + 1, np.int64)
     for w in range(64):
         start[seg.lo[(mask >> U(w) & U(1)).astype(bool)] + w] = 1
+    if len(found.place):
+        start[found.place[~(had[2][0][found.back] & (found.head[found.back] == found.place))]] = 1
     total = np.cumsum(start[:-1])
     total[window:] -= total[:-window].copy()
     return total > 0
@@ -286,24 +354,18 @@ def removed(block: Block, had, answers, window: int, shards: int) -> np.ndarray:
 class Searched:
     """A corpus whose repeated strings have been found."""
 
-    def __init__(self, docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"):
-        self.window, spark = window, docs.sparkSession
-        self.corpus = store(docs, BLOCK_BYTES, id_col, text_col)
-        shards = self.shards = SHARDS * self.corpus.shards
-        self.repeats = answered(ask(self.corpus, None, ask_repeats(lambda block: Segments(block, window).value, shards)), answer_repeats, shards)
-        release(spark)
-        self.masks = answered(ask(self.corpus, self.repeats, ask_segments(window, shards)), answer_segments(window), shards)
-        release(spark)
+    def __init__(self, docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None):
+        self.window = window
+        self.corpus = store(docs, BLOCK_BYTES, id_col, text_col, row_col)
+        repeats = exchange(self.corpus, BlockRepeats(window), factor=SHARDS)
+        self.answers = [repeats, exchange(self.corpus, AskSegments(window), [repeats], SHARDS)]
+        if summed_stats(repeats, 1)[0]:
+            self.answers.append(exchange(self.corpus, AskStrings(window), [repeats], SHARDS))
 
     def rows(self, fn, fields: str, schema: pa.Schema) -> DataFrame:
         """fn(block, mask of removed bytes) for each block."""
-        window, shards = self.window, self.shards
-        both = self.repeats.withColumn("shard", -1 - F.col("shard")).unionByName(self.masks)
-
-        def run(block: Block, had):
-            return fn(block, removed(block, {-1 - s: x for s, x in had.items() if s < 0}, had, window, shards))
-
-        return each_block(self.corpus, both, run, fields, schema)
+        window = self.window
+        return over_blocks(self.corpus, self.answers, per_block(lambda block, had: fn(block, removed(block, had, window)), schema), fields)
 
 
 def kept_bytes(block: Block, gone: np.ndarray) -> list[bytes]:
@@ -330,10 +392,12 @@ def report(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): what is left of every text; bytes of a character that was cut are replaced."""
+    """docs with what is left of every text; bytes of a character that was cut in part are replaced. Null texts are empty. Rows are told apart by numbers of their own."""
+    held, row = with_rows(docs)
+    new = fresh("kept_text", held.columns)
 
     def fn(block: Block, gone: np.ndarray):
-        return block.ids, [t.decode("utf-8", "replace") for t in kept_bytes(block, gone)]
+        return block.rows, [t.decode("utf-8", "replace") for t in kept_bytes(block, gone)]
 
-    out = Searched(docs, window, id_col, text_col).rows(fn, "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
-    return out.withColumn("doc_id", null_id(F.col("doc_id")))
+    left = Searched(held, window, id_col, text_col, row).rows(fn, f"`{row}` long, `{new}` string", pa.schema([(row, pa.int64()), (new, pa.string())]))
+    return held.join(left, row).select(*[F.col(new).alias(c) if c == text_col else held[c] for c in docs.columns])

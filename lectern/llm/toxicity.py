@@ -8,7 +8,8 @@ Weights are fitted on at most TRAIN_ROWS labelled rows (a bounded sample, those
 their ids), of whose whole texts only features that can have a weight arrive at the driver, as numbers.
 
 Defined results: null and empty texts are one sentence without words; labels that are null are left out, and of
-repeated labels of an id the largest counts; without labels of both kinds every weight is zero; an empty table gives an empty table.
+repeated labels of an id the largest counts; a null id is not held out and has no label; without labels of both kinds every weight
+is zero; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def fit(b: Bags, labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """crc32 of the id as text, modulo 4, is 2; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @dataclass

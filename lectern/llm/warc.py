@@ -2,11 +2,12 @@
 
 Payload bytes are stored once under their SHA-256 in one table; the exact header bytes of every
 record are kept in another. A record is rebuilt by joining the two. Equal digests are verified: a
-second digest, and the byte count, must agree within each, or the archive isn't written.
+second digest, and the byte count, must agree within each, or the archive isn't written. Payloads are read twice: once for their
+digests, and once to store those that stay. export() makes .warc files of an archive.
 
 Defined results: a null payload is empty; payloads under 100 bytes are always whole records; rows with
-equal ids and equal payloads are one capture each, and the first by (id, row) is the response; a null id counts as
-the smallest and stays null; an empty table gives empty archives.
+equal ids and equal payloads are a capture each, of which one is the response and the others revisit it; a null id counts as
+the smallest and stays null; a null or unstated date is UNDATED; an empty table gives empty archives.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NULL_ID, null_id, work_path
+from lectern.llm.common import NULL_ID, null_id, work_path, written
 
 #: Equal payloads of at least so many bytes are stored as revisits of the first.
 REVISIT_BYTES = 100
 #: Records that share a payload are rebuilt in groups of at most so many.
 SALT_ROWS = 5000
 
-WARC_HEADER = "WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:capture:%d>\r\nWARC-Target-URI: %s\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha256:%s\r\n%sContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n"
+WARC_HEADER = "WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:capture:%d>\r\nWARC-Target-URI: %s\r\nWARC-Date: %s\r\nWARC-Payload-Digest: sha256:%s\r\n%sContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n"
+#: Date of records whose capture isn't dated, since every record needs one.
+UNDATED = "1970-01-01T00:00:00Z"
 HTTP_HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -35,40 +38,40 @@ class Archive:
     headers: str
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> Archive:
-    """Store pages as WARC records; returns where."""
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date_col: str | None = None) -> Archive:
+    """Store pages as WARC records; returns where. date_col: a timestamp of each capture."""
     spark = pages.sparkSession
-    body = F.coalesce(pages[body_col].cast("binary"), F.lit(b""))
+    date = F.date_format(F.to_utc_timestamp(pages[date_col], spark.conf.get("spark.sql.session.timeZone")), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
     rows = pages.select(
         F.coalesce(pages[id_col].cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.regexp_replace(pages[url_col].cast("string"), r"[\r\n]", " "), F.lit("")).alias("url"),
-        body.alias("payload"),
-    ).select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+        F.coalesce(date, F.lit(UNDATED)).alias("date"),
+        F.coalesce(pages[body_col].cast("binary"), F.lit(b"")).alias("payload"),
+    )
     path = work_path(spark, "warc")
-    known = rows.select("id", "digest", "bytes", F.xxhash64("payload").alias("second"))
+    known = written(rows.select("id", "url", "date", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("second")), "warc-known")
     groups = known.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("second").alias("a"), F.max("second").alias("b"), F.min("bytes").alias("c"), F.max("bytes").alias("d"))
     same = (F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))
     groups = groups.withColumn("first_id", F.when(same, F.col("first_id")).otherwise(F.raise_error("two payloads have one SHA-256").cast("long")))
-    groups.select("digest", "first_id", "copies").write.parquet(f"{path}/groups")
-    groups = spark.read.parquet(f"{path}/groups")
+    groups = written(groups.select("digest", "first_id", "copies"), "warc-groups")
 
-    # The payload that stays is the one of the smallest id. A digest has one such id, so that grouping by both needs no more shuffle.
-    once = groups.select("digest", F.col("first_id").alias("id"), "copies")
-    kept = rows.select("id", "digest", "payload").join(once, ["digest", "id"]).groupBy("digest", "id").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies")).drop("id")
+    # The payload that stays is that of the smallest id; rows that share this id but not the payload drop out by their digest.
+    once = groups.select(F.col("first_id").alias("id"), "digest", "copies")
+    kept = rows.select("id", "payload").join(once, "id").filter(F.sha2("payload", 256) == F.col("digest"))
+    kept = kept.groupBy("id", "digest").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies")).drop("id")
     kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     # Rows of one digest are many only where pages are copies: each side is narrow, and AQE splits such keys.
-    joined = rows.drop("payload").join(groups.select("digest", "first_id", "copies"), "digest")
+    joined = known.join(groups, "digest")
     # Of repeated rows with the smallest id only one is the response.
-    repeated = F.row_number().over(_by("id", "digest"))
-    again = joined.filter("id = first_id").select("*", repeated.alias("nth"))
+    again = joined.filter("id = first_id").select("*", F.row_number().over(_by("id", "digest")).alias("nth"))
     rest = joined.filter("id != first_id").select("*", F.lit(2).alias("nth"))
     whole = (F.col("bytes") < REVISIT_BYTES) | ((F.col("id") == F.col("first_id")) & (F.col("nth") == 1))
     kind = F.when(whole, "response").otherwise("revisit")
     http = F.format_string(HTTP_HEADER, F.col("bytes"))
     refers = F.when(whole, "").otherwise(F.format_string("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:%d>\r\n", F.col("first_id")))
     length = F.length(http) + F.when(whole, F.col("bytes")).otherwise(F.lit(0))
-    warc = F.format_string(WARC_HEADER, kind, F.col("id"), F.col("url"), F.col("digest"), refers, length)
+    warc = F.format_string(WARC_HEADER, kind, F.col("id"), F.col("url"), F.col("date"), F.col("digest"), refers, length)
     heads = again.unionByName(rest).select("id", "digest", "copies", F.encode(warc, "UTF-8").alias("warc_header"), F.encode(http, "UTF-8").alias("http_header"))
     heads.write.option("compression", "zstd").parquet(f"{path}/headers")
     return Archive(f"{path}/payloads", f"{path}/headers")
@@ -122,6 +125,15 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     return rows.select("id", "payload", good.alias("payload_digest"), "record_type", F.when(F.col("refers") != "", F.col("refers").cast("long")).alias("refers_to"))
 
 
+def export(spark: SparkSession, archive: Archive, path: str, codec: str = "none") -> None:
+    """A folder of WARC files, the records of a task in each; with codec gzip compressed file by file.
+
+    Records end with a line end, which the text writer puts behind each, so that files hold the records' bytes and no more.
+    """
+    record = F.col("record")
+    records(spark, archive).select(F.substring(record, F.lit(1), F.octet_length(record) - 1).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", codec).text(path)
+
+
 def roundtrip(pages: DataFrame) -> DataFrame:
     """Archive pages, read the archive back and report each record."""
     rows = read_archive(pages.sparkSession, write_archive(pages))
@@ -133,9 +145,9 @@ def roundtrip(pages: DataFrame) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS n, sha256(h) AS s FROM p),
-m AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS a FROM d)
+m AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS a, row_number() OVER (PARTITION BY s ORDER BY page_id) AS k FROM d)
 SELECT page_id, n AS payload_bytes, s AS payload_digest,
-  CASE WHEN n < 100 OR page_id = a THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN n < 100 OR page_id = a THEN NULL ELSE a END AS refers_to
+  CASE WHEN n < 100 OR k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n < 100 OR k = 1 THEN NULL ELSE a END AS refers_to
 FROM m
 """
