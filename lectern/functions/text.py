@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
 # Fixed values of retrieval normalisation, replaced one after another wherever they stand.
 SEARCH_REPLACEMENTS = (
@@ -34,17 +34,32 @@ HIDDEN = r"[​-‏‪-‮⁠-⁯﻿]"
 # Fixed value: programmes told by their titles, first match wins.
 PROGRAMMES = ("atn business", "business talk", "money talks", "business times", "star biz", "stream talk", "the business review", "30 minutes", "muktobak", "business & finance")
 BANGLA_DIGITS = "০১২৩৪৫৬৭৮৯"
+# Fixed value: characters that noise puts in.
+NOISE = "অআইঈউঊএঐওঔকখগঘঙচছজঝঞটঠডঢণতথদধনপফবভমযরলশষসহ"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode normal form C; Spark has no such function."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(StringType())
-def nfc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFC", x).casefold())
+def _nfc_casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x).casefold())
+
+
+def _beyond_ascii(c: Column) -> Column:
+    """The text if it has other characters than ASCII, else null: only such texts go to Python."""
+    return F.when(F.length(c) != F.octet_length(c), c)
+
+
+def nfc(c: Column) -> Column:
+    """Unicode normal form C; Spark has no such function."""
+    return F.coalesce(_nfc(_beyond_ascii(c)), c)
+
+
+def nfc_casefold(c: Column) -> Column:
+    return F.coalesce(_nfc_casefold(_beyond_ascii(c)), F.lower(c))
 
 
 def collapse(c: Column) -> Column:
@@ -148,10 +163,24 @@ def duration_flag(seconds: Column) -> Column:
     return F.when((seconds < 600) | (seconds > 5400), "rejected").when(seconds < 1800, "short").when(seconds > 3600, "long").otherwise("ok")
 
 
-def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Length that two intervals share; null if any end is."""
-    shared = F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
-    return F.when(s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull(), shared)
+def time_range(start: Column, end: Column) -> Column:
+    """start–end as timestamps."""
+    return F.concat(format_timestamp(start), F.lit("–"), format_timestamp(end))
+
+
+# Words of file names that say what an episode has.
+REMOTE_WORDS = ("remote", "guest", "嘉宾", "অতিথি")
+MARKET_WORDS = ("market", "trade", "investment", "share", "stock", "বাজার", "বিনিয়োগ")
+
+
+def filename_metadata(stem: Column) -> Column:
+    """(programme, has_remote_guest, covers_market_news) from a file's name: words between _, - and white space; a leading number is cut."""
+    words = F.filter(F.split(stem, r"[_\-\s]+"), lambda w: w != "")
+    low = F.transform(words, F.lower)
+    numbered = F.get(words, F.lit(0)).rlike("^[0-9]+$") & (F.size(words) > 1)
+    has = lambda names: F.arrays_overlap(low, F.array(*[F.lit(n) for n in names]))
+    programme = F.when(numbered, F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " ")).otherwise(stem)
+    return F.struct(programme.alias("programme"), has(REMOTE_WORDS).alias("has_remote_guest"), has(MARKET_WORDS).alias("covers_market_news"))
 
 
 def html_escape(c: Column) -> Column:
@@ -160,11 +189,13 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def highlight(c: Column, query: str) -> Column:
-    """Escaped text with the query's tokens marked, longest first, any case."""
+def highlight(c: Column, query: str, variants: dict[str, str] | None = None) -> Column:
+    """Escaped text with the query's tokens and their other spellings marked, longest first, any case."""
     import re
 
-    found = sorted({t for t in query.split() if len(t) > 1}, key=lambda t: (-len(t), t))
+    found = {t for t in query.split() if len(t) > 1}
+    found |= {o for w, o in (variants or {}).items() if w in found}
+    found = sorted(found, key=lambda t: (-len(t), t))
     out = html_escape(c)
     return F.regexp_replace(out, "(?i)(" + "|".join(map(re.escape, found)) + ")", "<mark>$1</mark>") if found else out
 
@@ -238,35 +269,56 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / n)
 
 
-def _edit(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+#: Letters that stand for the words of two texts while they are compared.
+ALPHABET = "".join(map(chr, [*range(0x3400, 0xA000), *range(0xAC00, 0xD7A4)]))
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance over words: each distinct word becomes a letter, so that the distance of strings serves. At most as many distinct words as ALPHABET has letters."""
+    x, y = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
 
+    def spelt(p: Column) -> Column:
+        many = F.size(p["names"]) > len(ALPHABET)
+        letters = lambda ts: F.array_join(F.transform(ts, lambda w: F.substring(F.lit(ALPHABET), F.array_position(p["names"], w).cast("int"), F.lit(1))), "")
+        return F.when(many, F.raise_error("too many distinct words").cast("int")).otherwise(F.levenshtein(letters(p["x"]), letters(p["y"])))
 
-@F.pandas_udf(LongType())
-def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance over words."""
-    return pd.Series([_edit((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")
+    pair = F.struct(x.alias("x"), y.alias("y"), F.array_union(x, y).alias("names"))
+    return F.transform(F.array(pair), spelt)[0].cast("long")
 
 
-def wer(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate, at most 1."""
+def wer(reference: Column, hypothesis: Column, capped: bool = True) -> Column:
+    """Word error rate, at most 1 if capped; an empty reference costs 1 unless the hypothesis is empty too."""
     n = word_count(reference)
-    return F.when(n == 0, F.when(word_count(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), token_distance(reference, hypothesis) / n))
+    rate = token_distance(reference, hypothesis) / n
+    return F.when(n == 0, F.when(word_count(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), rate) if capped else rate)
 
 
-def inject_noise(ts: Column, key: Column, percent: int, seed: int = 0) -> Column:
-    """Tokens of which about `percent` in 100 are dropped, repeated, cut or reversed, told by a hash of key, place and seed."""
-    h = lambda i, k: F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(k)), F.lit(100))
-    kind = lambda i: F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit("kind")), F.lit(4))
+def edit_rate(a: Column, b: Column) -> Column:
+    """Edit distance by the longer text's words; 0 for two empty ones, 1 if only the first is empty."""
+    n, m = word_count(a), word_count(b)
+    return F.when(n == 0, F.when(m == 0, 0.0).otherwise(1.0)).otherwise(token_distance(a, b) / F.greatest(n, m))
 
-    def change(x: Column, i: Column) -> Column:
-        cut = F.array(F.substring(x, F.lit(1), F.greatest(F.lit(1), F.length(x) - 1)))
-        turned = F.when(kind(i) == 0, F.array().cast("array<string>")).when(kind(i) == 1, F.array(x, x)).when(kind(i) == 2, cut).otherwise(F.array(F.reverse(x)))
-        return F.when(h(i, "hit") < percent, turned).otherwise(F.array(x))
 
-    return F.flatten(F.transform(ts, change))
+def encode_pair(surfaces: Column, text: Column) -> Column:
+    """Distinct surfaces in order, then the text, between bars."""
+    return F.concat(F.array_join(F.array_distinct(surfaces), " "), F.lit(" ‖ "), text)
+
+
+def inject_noise(ts: Column, key: Column, percent: int | Column, seed: int = 0) -> Column:
+    """Tokens of which about `percent` in 100 lose, swap, repeat or change a character, told by a hash of key, place and seed.
+
+    A random generator's sequence would depend on how rows are dealt; the hash gives every row the same noise wherever it is made.
+    """
+    number = lambda i, what: F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)), F.lit(what)).cast("binary")), 1, 7), 16, 10).cast("long")
+
+    def change(x: Column, i: Column) -> Column:
+        at = (number(i, "place") % F.length(x) + 1).cast("int")  # of the character, from 1
+        head, tail = F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.length(x))
+        own = F.substring(x, at, F.lit(1))
+        swapped = F.concat(head, F.substring(tail, F.lit(1), F.lit(1)), own, F.substring(tail, F.lit(2), F.length(x)))
+        new = F.substring(F.lit(NOISE), (number(i, "new") % len(NOISE) + 1).cast("int"), F.lit(1))
+        kind = number(i, "kind") % 4
+        made = F.when(kind == 0, F.concat(head, tail)).when(kind == 1, swapped).when(kind == 2, F.concat(head, own, own, tail)).otherwise(F.concat(head, new, tail))
+        return F.when(number(i, "hit") % 100 < percent, made).otherwise(x)
+
+    return F.transform(ts, change)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import stance_label
+
 CONFIDENCE_WEIGHT = {"high": 1.0, "medium": 0.7, "low": 0.4}  # fixed values
 
 #: Aggregators by name: from (positive, negative, turns) sums to a label column; more can be registered.
@@ -50,6 +52,59 @@ def majority_verdict(pos: Column, neg: Column, turns: Column) -> Column:
 
 register_aggregator("majority_vote", majority_verdict)
 
+FLOOR, BAND = 0.15, 0.34  # fixed values: share of polar turns under which a speaker is neutral, score under which one is mixed
+RULES = ("unweighted", "word_weighted", "dur_weighted", "top_k", "hard_vote")
+
+
+def aggregated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, n_turns and agg_<name> of all five ways to a speaker's label, and of those registered; rows: label, n_words, confidence. One pass."""
+    pos, neg = F.col("label") == "positive", F.col("label") == "negative"
+    weights = {"net_polarity": "none", "word_weighted": "words", "conf_weighted": "confidence", "word_conf_weighted": "both"}
+    sums = []
+    for name, kind in weights.items():
+        w = weight(kind, F.col("n_words"), F.col("confidence"))
+        sums += [F.sum(F.when(pos, w).otherwise(0.0)).alias(f"_p_{name}"), F.sum(F.when(neg, w).otherwise(0.0)).alias(f"_n_{name}")]
+    one = rows.groupBy(*key).agg(F.count("*").alias("n_turns"), F.count_if(pos).alias("_pos"), F.count_if(neg).alias("_neg"), *sums)
+    share = (F.col("_pos") + F.col("_neg")) / F.col("n_turns")
+    out = [fn(F.col("_pos"), F.col("_neg"), F.col("n_turns")).alias(f"agg_{name}") for name, fn in AGGREGATORS.items()]
+    out += [stance_label(share, net_polarity(F.col(f"_p_{name}"), F.col(f"_n_{name}")), FLOOR, BAND).alias(f"agg_{name}") for name in weights]
+    return one.select(*key, "n_turns", *out)
+
+
+def rule_scores(rows: DataFrame, key: list[str], k: int = 5, tie: str = "turn") -> DataFrame:
+    """key, n_turns, polar_share and a score for each of RULES; rows: p_positive, p_negative, pred, n_words, dur_sec. top_k: the k turns of strongest opinion alone."""
+    p, n = F.col("p_positive"), F.col("p_negative")
+    hard = lambda x: (F.col("pred") == x).cast("double")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.abs(p - n).desc(), tie))
+    rows = rows.withColumn("_r", rank)
+    top = F.when(F.col("_r") <= k, 1.0).otherwise(0.0)
+    sides = {"unweighted": (p, n), "word_weighted": (p * F.col("n_words"), n * F.col("n_words")), "dur_weighted": (p * F.col("dur_sec"), n * F.col("dur_sec")), "top_k": (p * top, n * top), "hard_vote": (hard("positive"), hard("negative"))}
+    sums = [x for name, (a, b) in sides.items() for x in (F.sum(a).alias(f"_p_{name}"), F.sum(b).alias(f"_n_{name}"))]
+    one = rows.groupBy(*key).agg(F.count("*").alias("n_turns"), F.avg((F.col("pred") != "neutral").cast("double")).alias("polar_share"), *sums)
+    return one.select(*key, "n_turns", "polar_share", *[F.when(F.col(f"_p_{r}") + F.col(f"_n_{r}") > 0, net_polarity(F.col(f"_p_{r}"), F.col(f"_n_{r}"))).otherwise(0.0).alias(r) for r in RULES])
+
+
+def compared_rules(units: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, rule, units, exact_acc, direction_acc, stance_corr, macro_f1 of each of RULES against judge_label and judge_stance_score; units: of rule_scores().
+
+    Macro-F1 counts the labels that occur in truth or prediction.
+    """
+    by = by or []
+    each = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), stance_label(F.col("polar_share"), F.col(r), FLOOR, BAND).alias("pred"), F.col(r).alias("score")) for r in RULES]))
+    rows = units.select(*by, F.col("judge_label").alias("truth"), "judge_stance_score", each)
+    side = lambda c: F.when(F.col(c).isin("positive", "negative"), F.col(c)).otherwise("neither")
+    same = lambda a, b: F.avg((a == b).cast("double"))
+    ok = (F.count("*") > 2) & (F.stddev_pop("score") > 0) & (F.stddev_pop("judge_stance_score") > 0)
+    base = rows.groupBy(*by, "rule").agg(F.count("*").alias("units"), same(F.col("truth"), F.col("pred")).alias("exact_acc"), same(side("truth"), side("pred")).alias("direction_acc"), F.when(ok, F.corr("score", "judge_stance_score")).alias("stance_corr"))
+    f1 = scores(rows, ["negative", "mixed", "neutral", "positive"], [*by, "rule"]).select(*by, "rule", "macro_f1")
+    return base.join(f1, [*by, "rule"])
+
+
+def chosen_rule(compared: DataFrame) -> DataFrame:
+    """The rule of greatest macro-F1, of equals the first of RULES; one row."""
+    order = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
+    return compared.orderBy(F.col("macro_f1").desc(), order).limit(1)
+
 
 def top_k_stance(rows: DataFrame, key: list[str], k: int, pos: str, neg: str, tie: str) -> DataFrame:
     """key, score: mean of pos - neg over the k rows where they differ most."""
@@ -149,3 +204,129 @@ def binary_metrics(rows: DataFrame, truth: Column, pred: Column) -> DataFrame:
     c = rows.agg(tp.alias("tp"), tn.alias("tn"), fp.alias("fp"), fn.alias("fn"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select("*", p.alias("precision"), r.alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def both_classes(rows: DataFrame, truth: Column, pred: Column) -> DataFrame:
+    """One row: n, accuracy, and precision, recall and F1 of the positive and of the negative class; 0 where there is nothing to divide by."""
+    c = binary_metrics(rows, truth, pred)
+    p, r = ratio(F.col("tn"), F.col("tn") + F.col("fn")), ratio(F.col("tn"), F.col("tn") + F.col("fp"))
+    n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return c.select(
+        n.alias("n"), ratio(F.col("tp") + F.col("tn"), n).alias("accuracy"), F.col("precision").alias("precision_positive"), F.col("recall").alias("recall_positive"), F.col("f1").alias("f1_positive"),
+        p.alias("precision_negative"), r.alias("recall_negative"), ratio(2 * F.col("tn"), 2 * F.col("tn") + F.col("fn") + F.col("fp")).alias("f1_negative"),
+    )
+
+
+def pass_agreement(votes: DataFrame, key: list[str], label: str, order: list[str]) -> DataFrame:
+    """One row: turns with several votes, and the mean share of votes that agree with the majority of theirs."""
+    n = votes.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return majority_vote(votes, key, label, order).join(n, key).agg(F.count("*").alias("turns"), F.avg("agreement").alias("mean_agreement"))
+
+
+def agreement_counts(turns: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """key, judged, agree, verdict_matches from turns (judge_label, pred) and verdicts (judge_label, verdict)."""
+    counts = turns.groupBy(*key).agg(F.count("judge_label").alias("judged"), F.count_if(F.col("judge_label") == F.col("pred")).alias("agree"))
+    same = verdicts.select(*key, F.coalesce(F.col("judge_label") == F.col("verdict"), F.lit(False)).alias("verdict_matches"))
+    return counts.join(same, key, "left").withColumn("verdict_matches", F.coalesce("verdict_matches", F.lit(False)))
+
+
+def confidence_by(rows: DataFrame, level: str, value: str, low: float) -> DataFrame:
+    """level, n, mean of a value, and its rows' share under `low`."""
+    return rows.groupBy(level).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) < low).cast("double")).alias("low_share"))
+
+
+def prediction_records(turns: DataFrame, key: list[str], thin: int = 3) -> DataFrame:
+    """key, n_turns, n_words, polar_share, pred_counts (a map), thin: under so many turns."""
+    per = turns.groupBy(*key, "pred").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w"))
+    out = per.groupBy(*key).agg(F.sum("_n").alias("n_turns"), F.sum("_w").alias("n_words"), (F.sum(F.when(F.col("pred") != "neutral", F.col("_n")).otherwise(0)) / F.sum("_n")).alias("polar_share"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("pred", "_n")))).alias("pred_counts"))
+    return out.withColumn("thin", F.col("n_turns") < thin)
+
+
+def with_dropped(left: DataFrame, right: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the inner join, a row with how many rows of left have no partner)."""
+    return left.join(right, key), left.join(right.select(*key), key, "left_anti").agg(F.count("*").alias("dropped"))
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.0) -> DataFrame:
+    """episode, total, missed, false_alarm, confusion, error: diarization error rate of segments (episode, start, end, label), overlaps counted.
+
+    Time is cut at every end of a segment (and, with a collar, around every end of the reference, which is left out half a collar to both sides).
+    Between two cuts the numbers of speakers say what is missed and what is false; speakers are mapped one to one so that they share most time. A
+    speaker's copies of the same instant count once. The mapping is solved for an episode at a time over its few speakers.
+    """
+    key = Window.partitionBy("episode").orderBy("at")
+    both = reference.select("episode", "start", "end", F.struct(F.lit(0).alias("side"), F.col("label").cast("string").alias("label")).alias("who")).unionByName(hypothesis.select("episode", "start", "end", F.struct(F.lit(1).alias("side"), F.col("label").cast("string").alias("label")).alias("who"))).filter("end > start")
+    half = collar / 2
+    no = F.struct(F.lit(-1).alias("side"), F.lit("").alias("label"))
+    edges = reference.filter("end > start").select("episode", F.explode(F.array("start", "end")).alias("at"))
+    off = edges.select("episode", (F.col("at") - half).alias("start"), (F.col("at") + half).alias("end"), no.alias("who"))
+    spans = both.unionByName(off) if collar else both
+    # How many segments of each speaker are open after each cut, carried along as a map is not needed: one row for each speaker and change.
+    marks = spans.select("episode", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("m"), "who").groupBy("episode", F.col("m.at").alias("at")).agg(F.collect_list(F.struct("who", F.col("m.d").alias("d"))).alias("changes"))
+    rows = marks.withColumn("till", F.lead("at").over(key))
+    return rows.groupBy("episode").applyInPandas(_episode_error, "episode long, total double, missed double, false_alarm double, confusion double, error double")
+
+
+def _episode_error(pdf):
+    """Sweep over one episode's cuts (its speakers' open segments are all that is held), then the best mapping."""
+    from collections import Counter
+
+    import pandas as pd
+
+    pdf = pdf.sort_values("at")
+    open_: Counter = Counter()
+    shared: Counter = Counter()
+    total = missed = false = least = 0.0
+    for at, till, changes in zip(pdf["at"], pdf["till"], pdf["changes"], strict=True):
+        for c in changes:
+            open_[(c["who"]["side"], c["who"]["label"])] += c["d"]
+        if till is None or till != till:
+            break
+        length = float(till) - float(at)
+        here = [k for k, n in open_.items() if n > 0]
+        if any(s == -1 for s, _ in here):
+            continue
+        ref, hyp = [x for s, x in here if s == 0], [x for s, x in here if s == 1]
+        total += length * len(ref)
+        missed += length * max(0, len(ref) - len(hyp))
+        false += length * max(0, len(hyp) - len(ref))
+        least += length * min(len(ref), len(hyp))
+        for a in ref:
+            for b in hyp:
+                shared[a, b] += length
+    confusion = least - best_mapping(shared)
+    error = (missed + false + confusion) / total if total else float(bool(false))
+    return pd.DataFrame([[pdf["episode"].iloc[0], total, missed, false, confusion, error]], columns=["episode", "total", "missed", "false_alarm", "confusion", "error"])
+
+
+def best_mapping(shared: dict[tuple[str, str], float]) -> float:
+    """Greatest sum of shared time of a one-to-one mapping: shortest augmenting paths over prices, a speaker at a time."""
+    rows, cols = sorted({a for a, _ in shared}), sorted({b for _, b in shared})
+    if len(rows) > len(cols):
+        return best_mapping({(b, a): x for (a, b), x in shared.items()})
+    cost = [[-shared.get((a, b), 0.0) for b in cols] for a in rows]
+    taken: dict[int, int] = {}  # column to row
+    row_price, col_price = [0.0] * len(rows), [0.0] * len(cols)
+    for start in range(len(rows)):
+        dist, came, done = [float("inf")] * len(cols), [-1] * len(cols), [False] * len(cols)
+        row, last, path = start, -1, 0.0
+        while True:
+            for c in range(len(cols)):
+                step = path + cost[row][c] - row_price[row] - col_price[c]
+                if not done[c] and step < dist[c] - 1e-12:
+                    dist[c], came[c] = step, last
+            last = min((c for c in range(len(cols)) if not done[c]), key=dist.__getitem__)
+            done[last], path = True, dist[last]
+            if last not in taken:
+                break
+            row = taken[last]
+        row_price[start] += path
+        for c in range(len(cols)):
+            if done[c] and c != last:
+                row_price[taken[c]] += path - dist[c]
+                col_price[c] -= path - dist[c]
+        while last != -1:  # turn the path around
+            before = came[last]
+            taken[last] = start if before == -1 else taken[before]
+            last = before
+    return sum(shared.get((rows[r], cols[c]), 0.0) for c, r in taken.items())

@@ -37,16 +37,12 @@ def stratified(rows: DataFrame, strata: list[str], share: float, key: Column) ->
     return rows.withColumn("_r", rank).withColumn("_n", n).filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(share * F.col("_n")))).drop("_r", "_n")
 
 
-def hold_out_groups(rows: DataFrame, group: str, share: float, key: Column) -> DataFrame:
-    """Adds split: test for max(1, min(groups - 1, round(share * groups))) groups, else train; a group is never divided."""
+def hold_out_groups(rows: DataFrame, group: str, share: float, key: Column, names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """Adds split: test for max(1, min(groups - 1, round(share * groups))) groups, the first by key, else train; a group is never divided."""
     g = rows.select(group).distinct()
-    total = g.agg(F.count("*").alias("_g"))  # one row
-    ranked = g.crossJoin(F.broadcast(total)).withColumn("_key", key)
-    # Rank by counting in ranges would be needed for very many groups; groups (episodes) are few.
-    rank = F.row_number().over(Window.orderBy("_key", group))
-    n = F.greatest(F.lit(1), F.least(F.col("_g") - 1, F.bround(share * F.col("_g"))))
-    split = ranked.withColumn("split", F.when(rank <= n, "test").otherwise("train")).select(group, "split")
-    return rows.join(split, group)
+    n = g.count()  # one number
+    chosen = g.orderBy(key, group).limit(max(1, min(n - 1, round(share * n)))).withColumn("_test", F.lit(True))
+    return rows.join(chosen, group, "left").withColumn("split", F.when(F.col("_test"), names[1]).otherwise(names[0])).drop("_test")
 
 
 def keep_first(first: DataFrame, second: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -76,20 +76,47 @@ def containing(left: DataFrame, right: DataFrame, key: list[str], slack: float,
     return left.join(top, ["episode", *key], "left")
 
 
+def _upto(*order) -> Window:
+    return Window.partitionBy("episode").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def as_of_backward(rows: DataFrame, slack: float) -> DataFrame:
     """For each row (episode, turn, speaker_id, start, end) p_turn: of another speaker's rows the one that ended last by start + slack.
 
-    Ends and starts are merged into one order of time, in which the last end of each speaker is carried on:
-    no pairs of rows arise. Ties: the largest turn.
+    Two values are carried along the order of time, for any number of speakers: the end that came last, and the last end before
+    it of another speaker. One of the two answers every start, and no pairs of rows arise. Ties: the largest turn.
     """
     kind = rows.schema["end"].dataType
-    none = lambda t: F.lit(None).cast(t)
-    ends = rows.select("episode", F.col("end").cast(kind).alias("at"), F.lit(0).alias("kind"), F.col("speaker_id").alias("who"), F.struct(F.col("end").alias("e"), F.col("turn").alias("t"), F.col("speaker_id").alias("s")).alias("ended"), none("long").alias("turn"))
-    starts = rows.select("episode", (F.col("start") + slack).cast(kind).alias("at"), F.lit(1).alias("kind"), F.col("speaker_id").alias("who"), none(ends.schema["ended"].dataType).alias("ended"), "turn")
-    line = Window.partitionBy("episode").orderBy("at", "kind", "turn", "ended").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = ends.unionByName(starts)
-    speakers = [-1, 0, 1]  # fixed values: unassigned, first and second speaker
-    lasts = [F.max(F.when(F.col("who") == s, F.col("ended"))).over(line) for s in speakers]
-    both = both.select("*", *[x.alias(f"_l{k}") for k, x in enumerate(lasts)])
-    others = F.greatest(*[F.when(F.col("who") != s, F.col(f"_l{k}")) for k, s in enumerate(speakers)])
-    return both.filter("kind = 1").select("episode", "turn", F.col("who").alias("speaker_id"), others["t"].alias("p_turn"))
+    ends = rows.select("episode", F.struct(F.col("end").alias("e"), F.col("turn").alias("t"), F.col("speaker_id").alias("s")).alias("last"))
+    line = Window.partitionBy("episode").orderBy("last.e", "last.t")
+    before = F.lag("last").over(line)
+    ends = ends.withColumn("_switch", F.when(before["s"] != F.col("last.s"), before))
+    ends = ends.withColumn("other", F.last("_switch", ignorenulls=True).over(_upto("last.e", "last.t"))).drop("_switch")
+    marks = ends.select("episode", F.col("last.e").cast(kind).alias("at"), F.lit(0).alias("kind"), F.struct("last", "other").alias("ended"), F.lit(None).cast("long").alias("who"), F.lit(None).cast(rows.schema["turn"].dataType).alias("turn"))
+    starts = rows.select("episode", (F.col("start") + slack).cast(kind).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["ended"].dataType).alias("ended"), F.col("speaker_id").alias("who"), "turn")
+    both = marks.unionByName(starts).withColumn("_now", F.last("ended", ignorenulls=True).over(_upto("at", "kind", "ended.last.t", "turn")))
+    found = F.when(F.col("_now.last.s") != F.col("who"), F.col("_now.last")).otherwise(F.col("_now.other"))
+    return both.filter("kind = 1").select("episode", "turn", F.col("who").alias("speaker_id"), found["t"].alias("p_turn"))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], width: float) -> DataFrame:
+    """speaker_id of the segment (episode, speaker_id, r_start, r_end) that holds each point (episode, key, at), else of that with the nearest end.
+
+    Of segments that hold a point the first by (start, speaker); ties of distance likewise. Around other points only the last end before and
+    the first start behind can be nearest: both are carried along one order of time. Null where an episode has no segment.
+    """
+    spans = segments.select("episode", "speaker_id", "r_start", "r_end")
+    inside = touching(points.withColumn("start", F.col("at")).withColumn("end", F.col("at")), spans, ["episode"], width)
+    held = best(inside, ["episode", *key], F.col("r_start"), F.col("speaker_id")).select("episode", *key, F.col("speaker_id").alias("_held"))
+    mark = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("speaker_id").alias("who"))
+    none = F.lit(None).cast(spans.select(mark.alias("m")).schema["m"].dataType)
+    blank = [F.lit(None).cast(points.schema[k].dataType).alias(k) for k in key]
+    ends = spans.select("episode", *blank, F.col("r_end").alias("at"), F.lit(0).alias("kind"), mark.alias("over"), none.alias("next"))
+    begins = spans.select("episode", *blank, F.col("r_start").alias("at"), F.lit(2).alias("kind"), none.alias("over"), mark.alias("next"))
+    line = points.select("episode", *key, "at", F.lit(1).alias("kind"), none.alias("over"), none.alias("next")).unionByName(ends).unionByName(begins)
+    by = Window.partitionBy("episode").orderBy("at", "kind", F.col("over.start").desc(), F.col("over.who").desc(), "next.who")
+    line = line.withColumn("over", F.last("over", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("next", F.first("next", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))).filter("kind = 1")
+    near = F.when(F.col("next").isNull() | (F.col("at") - F.col("over.end") <= F.col("next.start") - F.col("at")), F.col("over.who")).otherwise(F.col("next.who"))
+    out = line.select("episode", *key, near.alias("_near")).join(held, ["episode", *key], "left")
+    return out.select("episode", *key, F.coalesce("_held", "_near").alias("speaker_id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,41 +30,71 @@ def restored_hits(text: Column, aliases: list[tuple[str, str]]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def find_mentions(text: str, targets: list[dict]) -> list[tuple[str, str, int, int]]:
-    """(canonical, surface, first token, end token): stems match beginnings of tokens, the longest stem claims its tokens first."""
-    toks = text.split()
-    taken: set[int] = set()
-    out = []
-    stems = sorted(((s, t) for t in targets for s in t["stems"]), key=lambda x: -len(x[0]))
-    for stem, t in stems:
-        parts = stem.split()
-        for i in range(len(toks) - len(parts) + 1):
-            span = range(i, i + len(parts))
-            if taken.intersection(span) or any(toks[i + k] != p for k, p in enumerate(parts[:-1])):
+class Lexicon:
+    """Targets (canonical, stems, exclude, orientation) and cues (stem, kind, polarity, weight, negatable, exclude), made ready for scanning.
+
+    Patterns find the few tokens that begin with a stem; everything else is decided on those.
+    """
+
+    def __init__(self, targets: list[dict], cues: list[dict]):
+        self.orientation = {t["canonical"]: t.get("orientation", 0) for t in targets}
+        stems = sorted(((s, t) for t in targets for s in t["stems"]), key=lambda x: -len(x[0]))
+        self.stems = [(self.token_start(r"\s+".join(map(re.escape, s.split()))), t["canonical"], tuple(t.get("exclude", ()))) for s, t in stems]
+        self.any_stem = self.token_start("|".join(re.escape(s.split()[0]) for s, _ in stems)) if stems else None
+        self.cues = cues
+        self.any_cue = self.token_start("|".join(re.escape(c["stem"]) for c in cues)) if cues else None
+
+    @staticmethod
+    def token_start(stem: str) -> re.Pattern:
+        return re.compile(rf"(?<!\S)(?:{stem})\S*")
+
+    def mentions(self, text: str) -> list[tuple[str, str, int, int]]:
+        """(canonical, surface, start, end) in characters, in order of their starts.
+
+        Longer stems come first; a mention that lies inside one that is there already is none, one that only overlaps it is. A stem's
+        exclusions are beginnings of words that it doesn't mean.
+        """
+        if not self.any_stem or not self.any_stem.search(text):
+            return []
+        spans, out = [], []
+        for pattern, name, exclude in self.stems:
+            for m in pattern.finditer(text):
+                inside = any(a <= m.start() and m.end() <= b for a, b in spans)
+                word = m.group()
+                other = any(word.startswith(x) and not re.search(r"\s", word[len(x) :]) for x in exclude)
+                if not inside and not other:
+                    spans.append(m.span())
+                    out.append((name, word, *m.span()))
+        return sorted(out, key=lambda x: x[2])
+
+    def score(self, text: str, orientation: int, starts: list[int]) -> float:
+        """Sum of cues within WINDOW tokens of the tokens in which mentions begin (starts, in characters).
+
+        Of a token's cues the first one counts that has no exclusion and, for a direction, whose target has an orientation, which it is multiplied
+        by. A negator among the next three tokens turns the sign of what can be negated; distance weakens.
+        """
+        if not self.any_cue or not starts:
+            return 0.0
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        begins = [a for a, _ in tokens]
+        at = sorted({bisect_right(begins, s) - 1 for s in starts})
+        total = 0.0
+        for m in self.any_cue.finditer(text):
+            i = bisect_right(begins, m.start()) - 1
+            k = bisect_right(at, i)
+            distance = min(abs(i - t) for t in at[max(0, k - 1) : k + 1])
+            if distance > WINDOW:
                 continue
-            last = toks[i + len(parts) - 1]
-            if last.startswith(parts[-1]) and not any(last.startswith(x) for x in t.get("exclude", ())):
-                taken.update(span)
-                out.append((t["canonical"], " ".join(toks[i : i + len(parts)]), i, i + len(parts)))
-    return sorted(out, key=lambda m: m[2])
-
-
-def score_pair(text: str, orientation: int, mentions: list[tuple[int, int]], cues: list[dict]) -> float:
-    """Sum of cues near a target's mentions: direction cues count times the target's orientation, negators behind them turn signs, distance weakens."""
-    toks = text.split()
-    total = 0.0
-    for i, tok in enumerate(toks):
-        near = min((max(a - i, i - (b - 1), 0) for a, b in mentions), default=WINDOW + 1)
-        if near > WINDOW:
-            continue
-        cue = next((c for c in cues if tok.startswith(c["stem"]) and not any(tok.startswith(x) for x in c.get("exclude", ()))), None)
-        if cue is None or (cue["kind"] == "direction" and orientation == 0):
-            continue
-        value = cue["polarity"] * cue["weight"] * (orientation if cue["kind"] == "direction" else 1)
-        if cue.get("negatable", True) and NEGATORS.intersection(toks[i + 1 : i + 4]):
-            value = -value
-        total += value / (1 + near / 4)
-    return total
+            token = m.group()
+            fits = (c for c in self.cues if token.startswith(c["stem"]) and not any(token.startswith(x) for x in c.get("exclude", ())) and (c["kind"] != "direction" or orientation))
+            cue = next(fits, None)
+            if cue is None:
+                continue
+            value = cue["polarity"] * cue["weight"] * (orientation if cue["kind"] == "direction" else 1)
+            if cue.get("negatable", True) and any(text[a:b] in NEGATORS for a, b in tokens[i + 1 : i + 4]):
+                value = -value
+            total += value / (1 + distance / 4)
+        return total
 
 
 def verdict(score: Column) -> Column:
@@ -70,18 +102,22 @@ def verdict(score: Column) -> Column:
 
 
 def target_pairs(rows: DataFrame, key: str, text: str, targets: list[dict], cues: list[dict]) -> DataFrame:
-    """key, target, n_mentions, score for each target that a text mentions. Lexicons are short lists; each text is read by itself."""
+    """key, target, n_mentions, score and verdict for each target that a text mentions. Lexicons are short lists; each text is read by itself.
+
+    Only texts in which some stem stands go to Python.
+    """
+    lexicon = Lexicon(targets, cues)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side = {t["canonical"]: t["orientation"] for t in targets}
         for pdf in it:
             out = []
             for k, t in zip(pdf[key], pdf[text], strict=True):
-                by: dict[str, list[tuple[int, int]]] = {}
-                for name, _, a, b in find_mentions(t or "", targets):
-                    by.setdefault(name, []).append((a, b))
-                out += [(k, n, len(m), score_pair(t, side[n], m, cues)) for n, m in by.items()]
+                by: dict[str, list[int]] = {}
+                for name, _, a, _b in lexicon.mentions(t):
+                    by.setdefault(name, []).append(a)
+                out += [(k, n, len(m), lexicon.score(t, lexicon.orientation[n], m)) for n, m in by.items()]
             yield pd.DataFrame(out, columns=[key, "target", "n_mentions", "score"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, target string, n_mentions long, score double").withColumn("verdict", verdict(F.col("score")))
+    may = reduce(lambda a, b: a | b, [F.col(text).contains(s.split()[0]) for t in targets for s in t["stems"]], F.lit(False))
+    return rows.select(key, text).filter(may).mapInPandas(run, f"{key} {kind}, target string, n_mentions long, score double").withColumn("verdict", verdict(F.col("score")))

@@ -1,19 +1,28 @@
-"""Ranked search over texts: exact, all words, any word, fuzzy, smart, semantic and hybrid."""
+"""Ranked search over texts: exact, all words, any word, fuzzy, smart, semantic and hybrid.
+
+A score is computed once for each row, behind a generator that the optimiser doesn't push filters through, and rows below the least
+score end there.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize_text, tokens
+from lectern.functions.text import normalize_text, speaker_label, time_range, tokens
 
 #: More methods: from (normalised text, its tokens, query, query tokens) to a score column.
 METHODS: dict[str, Callable[[Column, Column, str, list[str]], Column]] = {}
 
+# Scores of matches.
+PHRASE, ALL_WORDS, ANY_WORD, SMART_ALL, SMART_ANY, PER_WORD, FUZZY_SHARE = 0.96, 0.88, 0.65, 0.90, 0.55, 0.30, 0.92
+LEXICAL_SHARE, SEMANTIC_SHARE = 0.45, 0.55  # fixed values: of hybrid scores
+
 
 def register_search_method(name: str, fn: Callable[[Column, Column, str, list[str]], Column]) -> None:
     METHODS[name] = fn
@@ -34,23 +43,38 @@ def exact(t: Column, ts: Column, q: str, words: list[str]) -> Column:
 
 
 def all_words(t: Column, ts: Column, q: str, words: list[str]) -> Column:
-    return F.when(F.size(F.array_except(literal(words), ts)) == 0, F.when(t.contains(q), 0.96).otherwise(0.88)).otherwise(0.0)
+    return F.when(F.size(F.array_except(literal(words), ts)) == 0, F.when(t.contains(q), PHRASE).otherwise(ALL_WORDS)).otherwise(0.0)
 
 
 def any_word(t: Column, ts: Column, q: str, words: list[str]) -> Column:
     r = any_ratio(ts, words)
-    return F.when(r > 0, 0.65 + 0.30 * r).otherwise(0.0)
+    return F.when(r > 0, ANY_WORD + PER_WORD * r).otherwise(0.0)
 
 
 def fuzzy_score(q: str, t: str) -> float:
-    """Best similarity ratio of the query with the text and with windows of about its length."""
+    """Best similarity ratio of the query with the text and with windows of two words less to three words more than it has.
+
+    A window can't match better than its characters allow, whatever their order; that bound is kept up as the window slides, and only
+    windows that may win are compared.
+    """
     best = SequenceMatcher(None, q, t).ratio()
     words, width = t.split(), len(q.split())
+    need = Counter(q)
+    inside = [sum((Counter(w) & need).values()) for w in words]
+    spaces = need[" "]
+    windows = []
     for size in range(max(1, width - 2), min(len(words), width + 3) + 1):
+        length, common = sum(map(len, words[:size])) + size - 1, sum(inside[:size])
         for i in range(len(words) - size + 1):
-            m = SequenceMatcher(None, q, " ".join(words[i : i + size]))
-            if m.real_quick_ratio() > best and m.quick_ratio() > best:  # upper bounds: slower work only where it can win
-                best = max(best, m.ratio())
+            if i:
+                length += len(words[i + size - 1]) - len(words[i - 1])
+                common += inside[i + size - 1] - inside[i - 1]
+            most = min(common + min(spaces, size - 1), len(q), length)
+            windows.append((2 * most / (len(q) + length) if length or q else 1.0, i, size))
+    for bound, i, size in sorted(windows, key=lambda w: -w[0]):
+        if bound <= best:
+            break
+        best = max(best, SequenceMatcher(None, q, " ".join(words[i : i + size])).ratio())
     return best
 
 
@@ -68,7 +92,7 @@ def smart_lexical(t: Column, ts: Column, q: str, words: list[str]) -> Column:
     if len(words) == 1:
         hit = hit | F.array_contains(ts, words[0])
     r = any_ratio(ts, words)
-    return F.when(hit, 1.0).when(F.size(F.array_except(literal(words), ts)) == 0, 0.90).when(r > 0, 0.55 + 0.30 * r)
+    return F.when(hit, 1.0).when(F.size(F.array_except(literal(words), ts)) == 0, SMART_ALL).when(r > 0, SMART_ANY + PER_WORD * r)
 
 
 METHODS.update({"exact": exact, "all words": all_words, "any word": any_word, "fuzzy": fuzzy})
@@ -79,30 +103,152 @@ def normal_query(spark, q: str) -> str:
     return spark.range(1).select(normalize_text(F.lit(q)).alias("q")).first()["q"]
 
 
-def search(rows: DataFrame, q: str, method: str = "smart", least: float = 0.55, top_k: int = 20, text: str = "text", order: list[str] | None = None, normal: Column | None = None) -> DataFrame:
+def kept(rows: DataFrame, score: Column, kind: Column, least: float) -> DataFrame:
+    """rows with score and match_type, without those of less than `least`; both are computed once."""
+    one = F.array(F.struct(score.alias("score"), kind.alias("match_type")))
+    return rows.select("*", F.inline(F.filter(one, lambda x: x["score"] >= least)))
+
+
+def with_tokens(t: Column, body: Callable[[Column], Column]) -> Column:
+    """body(tokens of t), which are split once."""
+    return F.transform(F.array(tokens(t)), body)[0]
+
+
+def search(rows: DataFrame, q: str, method: str = "smart", least: float = 0.55, top_k: int = 20, text: str = "text", order: list[str] | None = None, normal: Column | None = None, query_type: str = "auto") -> DataFrame:
     """rows with score and match_type, best first, at most max(1, top_k); an empty query finds nothing.
 
+    query_type: of exact search: word (a token), sentence (anywhere in the text), or auto: by whether the query is one word.
     Smart search runs fuzzy comparison only on rows that the native rules don't settle at 0.9 or more.
     """
     words = q.split()
-    order = order or []
     if not words:
         return rows.limit(0).select("*", F.lit(0.0).alias("score"), F.lit("").alias("match_type"))
+    name = method.lower()
     t = F.col("_t")
-    base = rows.withColumn("_t", normalize_text(F.col(text)) if normal is None else normal).withColumn("_ts", tokens(t))
-    if method in METHODS:
-        out = base.withColumn("score", METHODS[method](t, F.col("_ts"), q, words)).withColumn("match_type", F.lit(method))
-        out = out.filter(F.col("score") > 0)
+    base = rows.withColumn("_t", normalize_text(F.col(text)) if normal is None else normal)
+    if name == "exact" and query_type.lower() == "sentence":
+        out = kept(base, F.when(t.contains(q), 1.0).otherwise(0.0), F.lit(name), max(least, 1e-9))
+    elif name == "fuzzy":
+        out = kept(base.withColumn("_f", fuzzy(t, t, q, words)), F.col("_f"), F.lit(name), max(least, 1e-9)).drop("_f")
+    elif name in METHODS:
+        out = kept(base, with_tokens(t, lambda ts: METHODS[name](t, ts, q, words)), F.lit(name), max(least, 1e-9))
+    else:
+        base = base.select("*", F.inline(F.array(F.struct(with_tokens(t, lambda ts: smart_lexical(t, ts, q, words)).alias("_s")))))
+        settled = base.filter(F.col("_s") >= SMART_ALL)
+        settled = kept(settled, F.col("_s"), F.when(F.col("_s") == 1, "exact").otherwise("all words"), least)
+        open_ = base.filter(F.coalesce("_s", F.lit(0.0)) < SMART_ALL)
+        open_ = open_.withColumn("_f", FUZZY_SHARE * fuzzy(t, t, q, words))
+        kind = F.when(F.col("_s").isNotNull(), "lexical").otherwise("fuzzy")
+        open_ = kept(open_, F.greatest(F.coalesce("_s", F.lit(0.0)), F.col("_f")), kind, least).drop("_f")
+        out = settled.unionByName(open_).drop("_s")
+    return out.drop("_t").orderBy(F.col("score").desc(), *(order or [])).limit(max(1, top_k))
+
+
+# The index of a corpus, and one call that searches it.
+
+
+def index(utterances: DataFrame) -> DataFrame:
+    """Index rows of utterances (collection, episode, utterance_id, speaker_id, start_sec, end_sec, text, and more), with keys and neighbours.
+
+    Null ends and texts count as 0 and empty; empty texts stay, and are found by nothing.
+    """
+    from lectern.operators.sequences import neighbours
+
+    rows = utterances.withColumn("text", F.coalesce("text", F.lit("")))
+    episode = F.concat_ws("::", F.col("collection").cast("string"), F.col("episode").cast("string"))
+    rows = rows.withColumn("global_episode", episode).withColumn("key", F.concat_ws("::", episode, F.col("utterance_id").cast("string")))
+    return neighbours(rows, "global_episode", "start_sec")
+
+
+def targets_text(labels: Column) -> Column:
+    """`type · polarity` of an array of labels (target_type, polarity), ? for what is missing, between commas."""
+    part = lambda x: F.concat(F.coalesce(x["target_type"], F.lit("?")), F.lit(" · "), F.coalesce(x["polarity"], F.lit("?")))
+    return F.coalesce(F.array_join(F.transform(labels, part), ", "), F.lit(""))
+
+
+def find(
+    rows: DataFrame, q: str, query_type: str = "auto", method: str = "smart", collection: str | None = None, episode: str | None = None, speaker: int | None = None,
+    include_unassigned: bool = False, minimum_score: float = 0.55, top_k: int = 20, include_context: bool = True, semantic_scores: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked hits of index rows: rank, what the rows have, score, lexical_score, semantic_score, match_type, context, targets_text.
+
+    semantic_scores: (key, semantic) of the whole corpus, for the methods semantic and hybrid. episode: a global one. Scope is cut before scoring.
+    """
+    if not q.split():
+        return rows.limit(0)
+    name = method.lower()
+    scoped = rows
+    for column, value in (("collection", collection), ("global_episode", episode), ("speaker_id", speaker)):
+        if value is not None:
+            scoped = scoped.filter(F.col(column) == value)
+    if not include_unassigned:
+        scoped = scoped.filter("speaker_id >= 0")
+    order = ["collection", "episode", "start_sec", "key"]
+    if name in ("semantic", "hybrid"):
+        scoped = scoped.join(semantic_scores.select("key", F.col("semantic").alias("semantic_score")), "key", "left")
+        lexical = scoped.select("*", F.lit(0.0).alias("lexical_score"))
+        if name == "hybrid":
+            words, t = q.split(), F.col("_t")
+            base = scoped.withColumn("_t", normalize_text(F.col("text"))).withColumn("_f", FUZZY_SHARE * fuzzy(F.col("_t"), F.col("_t"), q, words))
+            native = with_tokens(t, lambda ts: smart_lexical(t, ts, q, words))
+            one = F.array(F.struct(native.alias("_s")))
+            score = F.when(F.col("_s") >= SMART_ALL, F.col("_s")).otherwise(F.greatest(F.coalesce("_s", F.lit(0.0)), F.col("_f")))
+            lexical = base.select("*", F.inline(one)).withColumn("lexical_score", F.when(t == "", 0.0).otherwise(score)).drop("_t", "_f", "_s")
+        score = hybrid(F.col("lexical_score"), F.col("semantic_score")) if name == "hybrid" else F.coalesce("semantic_score", F.lit(0.0))
+        hits = kept(lexical, score, F.lit(name), minimum_score).orderBy(F.col("score").desc(), *order).limit(max(1, top_k))
     else:
-        base = base.withColumn("score", smart_lexical(t, F.col("_ts"), q, words))
-        settled = base.filter(F.col("score") >= 0.9).withColumn("match_type", F.when(F.col("score") == 1, "exact").otherwise("all words"))
-        open_ = base.filter(F.coalesce("score", F.lit(0.0)) < 0.9)
-        near = 0.92 * fuzzy(t, F.col("_ts"), q, words)
-        kind = F.when(F.col("score").isNotNull(), "lexical").otherwise("fuzzy")
-        open_ = open_.withColumn("match_type", kind).withColumn("score", F.greatest(F.coalesce("score", F.lit(0.0)), near))
-        out = settled.unionByName(open_)
-    out = out.filter(F.col("score") >= least).drop("_t", "_ts")
-    return out.orderBy(F.col("score").desc(), *order).limit(max(1, top_k))
+        hits = search(scoped, q, name, minimum_score, top_k, "text", order, None, query_type)
+        hits = hits.withColumn("lexical_score", F.col("score")).withColumn("semantic_score", F.lit(None).cast("double"))
+    around = (F.col("previous_text"), F.col("next_text")) if include_context else (F.lit(""), F.lit(""))
+    hits = hits.withColumn("context", context(around[0], F.col("text"), around[1]))
+    # At most top_k rows are left, so that one task numbers them.
+    ranked = Window.orderBy(F.col("score").desc(), *order)
+    return hits.withColumn("rank", F.row_number().over(ranked))
+
+
+def hit_frame(hits: DataFrame) -> DataFrame:
+    """Hits as they are shown: Rank, Roll, Episode, Speaker ID, Timestamp, Match, Relevance, Transcript, Targets, Audio."""
+    targets = targets_text(F.col("targets")) if "targets" in hits.columns else F.lit("")
+    audio = F.when(F.coalesce("audio_path", F.lit("")) != "", "Yes").otherwise("No") if "audio_path" in hits.columns else F.lit("No")
+    return hits.select(
+        F.col("rank").alias("Rank"), F.col("collection").alias("Roll"), F.col("episode").alias("Episode"), F.col("speaker_id").alias("Speaker ID"), time_range(F.col("start_sec"), F.col("end_sec")).alias("Timestamp"),
+        F.col("match_type").alias("Match"), F.round("score", 3).alias("Relevance"), F.col("text").alias("Transcript"), targets.alias("Targets"), audio.alias("Audio"),
+    )
+
+
+def transcript(rows: DataFrame, episode: str) -> DataFrame:
+    """An episode's rows as they are read: Time, Speaker, Speaker ID, Transcript, ASR confidence."""
+    conf = F.round("mean_word_confidence", 3) if "mean_word_confidence" in rows.columns else F.lit(None).cast("double")
+    own = rows.filter(F.col("global_episode") == episode)
+    return own.select(time_range(F.col("start_sec"), F.col("end_sec")).alias("Time"), speaker_label(F.col("speaker_id")).alias("Speaker"), F.col("speaker_id").alias("Speaker ID"), F.col("text").alias("Transcript"), conf.alias("ASR confidence"))
+
+
+def record(rows: DataFrame, key: str) -> DataFrame:
+    """The row of a key, or none."""
+    return rows.filter(F.col("key") == key).limit(1)
+
+
+def clip_span(start: Column, end: Column, padding: float = 2.0, longest: float | None = None) -> Column:
+    """(start, duration) of the audio around a span: padded, not before 0, half a second at least, and at most `longest`."""
+    length = end - start + 2 * padding
+    length = F.least(length, F.lit(longest)) if longest is not None else length
+    return F.struct(F.greatest(F.lit(0.0), start - padding).alias("start"), F.greatest(F.lit(0.5), length).alias("duration"))
+
+
+def cached_vectors(rows: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """(key, vector) of index rows, kept below `path` under the fingerprint of their keys and texts: encoded only where that is new.
+
+    encode: from (key, text) to (key, vector), the model.
+    """
+    spark = rows.sparkSession
+    # An order-free fingerprint, so that no row order has to be made: sums of two hashes, and the count.
+    parts = rows.agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), "key", "text").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]).first()
+    folder = f"{path.rstrip('/')}/{parts['n']}-{parts['h1'] or 0}-{parts['h2'] or 0}".replace("--", "-m")
+    sc = spark.sparkContext
+    done = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
+        encode(rows.select("key", "text")).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def dot(v: Column, probe: Column) -> Column:
@@ -120,7 +266,7 @@ def semantic(rows: DataFrame, vector: str, probe: list[float]) -> DataFrame:
 
 
 def hybrid(lexical: Column, semantic_score: Column) -> Column:
-    return 0.45 * lexical + 0.55 * F.coalesce(semantic_score, F.lit(0.0))
+    return LEXICAL_SHARE * lexical + SEMANTIC_SHARE * F.coalesce(semantic_score, F.lit(0.0))
 
 
 def context(previous: Column, text: Column, following: Column) -> Column:
@@ -137,5 +283,3 @@ def scope(rows: DataFrame, collection: str | None = None, episode=None, speaker=
     if speaker is not None:
         rows = rows.filter(F.col("speaker_id") == speaker)
     return rows if include_unassigned else rows.filter("speaker_id >= 0")
-
-

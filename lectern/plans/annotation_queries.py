@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import annotations as N
 from lectern.operators import models as M
+from lectern.operators import splits as S
 from lectern.plans.base import query
 from lectern.plans.catalog import UTT, table, utterances
 
@@ -47,9 +48,13 @@ def label_tier(spark, sf):
     return N.tier(gold, weak).select("episode_id", "label_tier")
 
 
-@query("group_folds")
+@query("group_folds", """
+WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM documents GROUP BY 1),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS l, NULL::VARCHAR AS source, NULL::BIGINT AS n, NULL::BIGINT AS fold UNION ALL
+  SELECT g.k, list_transform(range(1, 6), lambda i: l[i] + CASE WHEN i = list_position(l, list_min(l)) THEN g.n ELSE 0 END), g.source, g.n, list_position(l, list_min(l)) - 1 FROM r JOIN g ON g.k = r.k + 1)
+SELECT fold, sum(n)::BIGINT AS n, count(*) AS sources FROM r WHERE k > 0 GROUP BY fold""")
 def group_folds(spark, sf):
-    return M.group_folds(table(spark, sf, "documents").select("doc_id", "source"), "source").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    return S.group_folds(table(spark, sf, "documents").select("doc_id", "source"), "source").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
 
 
 @query("tfidf_baseline")

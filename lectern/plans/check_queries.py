@@ -13,23 +13,40 @@ from lectern.plans.catalog import JUD, judged, table
 # Small lexicons over the words of the test tables, in the shape of the real ones.
 ALIASES = [("the", "THE"), ("of", "OF"), ("une", "UNE")]
 TARGETS = [
-    {"canonical": "tion", "stems": ["tion"], "exclude": [], "orientation": 1},
-    {"canonical": "and", "stems": ["and", "and the"], "exclude": ["andor"], "orientation": -1},
+    {"canonical": "la", "stems": ["la"], "exclude": [], "orientation": 0},
+    {"canonical": "al", "stems": ["al", "de la"], "exclude": ["ale"], "orientation": -1},
 ]
 CUES = [
-    {"stem": "ing", "kind": "direction", "polarity": 1, "weight": 1.0, "negatable": True, "exclude": []},
-    {"stem": "ed", "kind": "evaluative", "polarity": -1, "weight": 1.0, "negatable": True, "exclude": []},
+    {"stem": "en", "kind": "direction", "polarity": 1, "weight": 1.0, "negatable": True, "exclude": []},
+    {"stem": "en", "kind": "evaluative", "polarity": -1, "weight": 1.0, "negatable": True, "exclude": []},
+    {"stem": "an", "kind": "evaluative", "polarity": -1, "weight": 1.0, "negatable": True, "exclude": []},
 ]
 
 
-@query("entity_restore", r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b(the)\b', 'THE', 'g'), '(?i)\b(une)\b', 'UNE', 'g'), '(?i)\b(of)\b', 'OF', 'g') AS restored FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS text FROM conversations)")
+@query("entity_restore", r"""
+SELECT conv_id, turn, coalesce(array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE lower(x) WHEN 'the' THEN 'THE' WHEN 'of' THEN 'OF' WHEN 'une' THEN 'UNE' ELSE x END), ''), '') AS restored
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
 def entity_restore(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("text"))
-    return rows.select("conv_id", "turn", L.restore_entities(F.col("text"), ALIASES).alias("restored"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", L.restore_entities(F.coalesce("text", F.lit("")), ALIASES).alias("restored"))
 
 
-@query("lexicon_score")
+LEXICON = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t),
+f AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nx, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS bf FROM e),
+m AS (SELECT doc_id, 'al' AS target, i FROM f WHERE w = 'de' AND nx LIKE 'la%'
+  UNION ALL SELECT doc_id, 'al', i FROM f WHERE w LIKE 'al%' AND w NOT LIKE 'ale%'
+  UNION ALL SELECT doc_id, 'la', i FROM f WHERE w LIKE 'la%' AND bf IS DISTINCT FROM 'de'),
+c AS (SELECT doc_id, i, CASE WHEN w LIKE 'en%' THEN 1 END AS up, CASE WHEN w LIKE 'en%' OR w LIKE 'an%' THEN -1 END AS bad FROM f WHERE w LIKE 'en%' OR w LIKE 'an%'),
+d AS (SELECT c.doc_id, target, c.i, min(abs(c.i - m.i)) AS far, any_value(CASE WHEN target = 'al' THEN coalesce(-c.up, c.bad) ELSE c.bad END) AS v FROM c JOIN m ON m.doc_id = c.doc_id AND abs(c.i - m.i) <= 12 GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, target, sum(v / (1 + far / 4.0)) AS x FROM d GROUP BY 1, 2), n AS (SELECT doc_id, target, count(*) AS k FROM m GROUP BY 1, 2)
+SELECT n.doc_id, n.target, k AS n_mentions, round(coalesce(x, 0.0), 6)::DOUBLE AS score, CASE WHEN coalesce(x, 0) >= 0.55 THEN 'positive' WHEN coalesce(x, 0) <= -0.55 THEN 'negative' ELSE 'non_evaluative' END AS verdict
+FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.target = n.target"""
+
+
+@query("lexicon_score", LEXICON)
 def lexicon_score(spark, sf):
+    """A phrase that claims the word inside it, an exclusion, a target without orientation, and a direction that is then passed over for the next cue."""
     pairs = L.target_pairs(table(spark, sf, "documents"), "doc_id", "text", TARGETS, CUES)
     return pairs.withColumn("score", F.round("score", 6))
 
@@ -43,26 +60,6 @@ def validate_rows(spark, sf):
     return C.issues(table(spark, sf, "documents"), ["doc_id"], rules)
 
 
-@query("submission_gates", """
-WITH o AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT round(avg(toxic), 4) FROM labels) AS t, (SELECT count(*) FROM labels WHERE quality IS NULL) AS q)
-SELECT 'documents' AS gate, CASE WHEN d >= 100 THEN 'PASS' ELSE 'FAIL' END AS status, d::VARCHAR AS value FROM o
-UNION ALL SELECT 'missing_quality', CASE WHEN q = 0 THEN 'PASS' ELSE 'FAIL' END, q::VARCHAR FROM o UNION ALL SELECT 'wer', 'SKIPPED', NULL FROM o""")
-def submission_gates(spark, sf):
-    d = table(spark, sf, "documents").agg(F.count("*").alias("d"))
-    q = table(spark, sf, "labels").agg(F.count_if(F.col("quality").isNull()).alias("q"))
-    one = d.crossJoin(q)  # one row each
-    return C.gates(one, [C.gate("documents", F.col("d"), F.col("d") >= 100), C.gate("missing_quality", F.col("q"), F.col("q") == 0), C.gate("wer", F.lit(None).cast("double"), F.lit(True))])
-
-
-@query("readiness_audit", """
-WITH s AS (SELECT lang, count(*) AS n, count(l.doc_id) AS k FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
-SELECT lang, CASE WHEN k = n THEN 'PASS' WHEN k > 0 THEN 'GAP' ELSE 'FAIL' END AS status, n - k AS missing FROM s""")
-def readiness_audit(spark, sf):
-    j = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", F.lit(1).alias("k")), "doc_id", "left")
-    s = j.groupBy("lang").agg(F.count("*").alias("n"), F.count("k").alias("k"))
-    return s.select("lang", F.when(F.col("k") == F.col("n"), "PASS").when(F.col("k") > 0, "GAP").otherwise("FAIL").alias("status"), (F.col("n") - F.col("k")).alias("missing"))
-
-
 @query("gate_staleness", """
 WITH a AS (SELECT o_orderpriority AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*) AS v FROM orders GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone' WHEN a.v = b.v THEN 'same' ELSE 'stale' END AS state FROM a FULL OUTER JOIN b ON a.k = b.k""")
@@ -145,14 +142,3 @@ def factorial_conditions(spark, sf):
     rows = judged(spark, sf)
     factors = {"text": {"gold": rows["truth"], "auto": rows["pred"]}, "speaker": {"gold": rows["truth"], "auto": (rows["n_chars"] > 1000).cast("int")}}
     return X.factorial(rows, factors, F.col("text") == F.col("speaker")).withColumn("share", F.round("share", 6))
-
-
-@query("noise_curve")
-def noise_curve(spark, sf):
-    """Share of words that stay at seven levels of noise."""
-    from lectern.functions.text import inject_noise, tokens
-
-    levels = (0, 5, 10, 20, 30, 40, 50)  # fixed values
-    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    same = [F.sum(F.size(F.filter(F.zip_with(F.transform("ts", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), F.col("ts"), lambda a, b: F.size(inject_noise(F.array(b), F.concat_ws(":", F.col("k"), a["i"].cast("string")), p)) == 1), lambda x: x))) for p in levels]
-    return rows.agg(F.array(*[F.struct(F.lit(p).alias("percent"), (s / F.sum(F.size("ts"))).alias("kept")) for p, s in zip(levels, same, strict=True)]).alias("_r")).select(F.inline("_r")).withColumn("kept", F.round("kept", 6))

@@ -79,12 +79,10 @@ c AS (SELECT w.episode, w.turn, w.idx, s.speaker_id AS sp, least(abs(w.start_ds
   2 * s.start_ds <= w.start_ds + w.end_ds AND w.start_ds + w.end_ds <= 2 * s.end_ds AS inn, s.start_ds AS ss FROM word w JOIN seg s ON s.episode = w.episode)
 SELECT episode, turn, idx, sp AS speaker_id FROM c QUALIFY row_number() OVER (PARTITION BY episode, turn, idx ORDER BY inn DESC, CASE WHEN inn THEN 0 ELSE d END, ss, sp) = 1""")
 def nearest_boundary(spark, sf):
-    """Each word's segment, else the one whose end is nearest: in order of time, only the neighbours before and behind can be."""
-    s = segments(spark, sf).groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("start_ds", "end_ds", "speaker_id"))).alias("segs"))
-    w = words(spark, sf).join(s, "episode")
-    twice = F.col("start_ds") + F.col("end_ds")
-    far = F.transform("segs", lambda x: F.struct((~((2 * x["start_ds"] <= twice) & (twice <= 2 * x["end_ds"]))).alias("out"), F.when((2 * x["start_ds"] <= twice) & (twice <= 2 * x["end_ds"]), F.lit(0)).otherwise(F.least(F.abs(twice - 2 * x["start_ds"]), F.abs(twice - 2 * x["end_ds"]))).alias("d"), x["start_ds"].alias("s"), x["speaker_id"].alias("sp")))
-    return w.select("episode", "turn", F.col("idx").cast("long").alias("idx"), F.array_min(far)["sp"].alias("speaker_id"))
+    """Each word's segment, else the one whose end is nearest; times are doubled, so that middles are whole numbers."""
+    s = segments(spark, sf).select("episode", "speaker_id", (2 * F.col("start_ds")).alias("r_start"), (2 * F.col("end_ds")).alias("r_end"))
+    w = words(spark, sf).select("episode", "turn", F.col("idx").cast("long").alias("idx"), (F.col("start_ds") + F.col("end_ds")).alias("at"))
+    return I.nearest_segment(w, s, ["turn", "idx"], 600)
 
 
 @query("unambiguous_match", """

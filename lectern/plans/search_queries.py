@@ -39,26 +39,31 @@ def search_any_word(spark, sf):
   WHEN list_contains(ts, 'the') OR list_contains(ts, 'of') THEN 0.7 END::DOUBLE AS score FROM k)
 SELECT * FROM s WHERE score >= 0.55""" + TOP)
 def search_smart_lexical(spark, sf):
-    from lectern.functions.text import normalize_text, tokens
+    from lectern.functions.text import normalize_text
 
-    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", normalize_text(F.col("text")).alias("t")).withColumn("ts", tokens(F.col("t")))
-    rows = rows.withColumn("score", F.round(S.smart_lexical(F.col("t"), F.col("ts"), "the of", ["the", "of"]), 6)).filter("score >= 0.55")
+    t = F.col("t")
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", normalize_text(F.col("text")).alias("t"))
+    score = S.with_tokens(t, lambda ts: S.smart_lexical(t, ts, "the of", ["the", "of"]))
+    rows = S.kept(rows, F.round(score, 6), F.lit("smart"), 0.55)
     return rows.select("doc_id", "source", "lang", "score").orderBy(F.col("score").desc(), "source", "lang", "doc_id").limit(20)
 
 
+def _turns(spark, sf):
+    u = utterances(spark, sf)
+    return u.select(F.concat_ws(":", "episode", "turn").alias("key"), "text")
+
+
 @query("search_smart")
 def search_smart(spark, sf):
-    """Smart search over benchmark passages, fuzzy comparison included."""
-    rows = table(spark, sf, "benchmark").select("item_id", "text")
-    out = S.search(rows, S.normal_query(spark, "an the of"), "smart", top_k=20, order=["item_id"])
-    return out.select("item_id", F.round("score", 6).alias("score"), "match_type")
+    """Smart search over all turns, fuzzy comparison included; tests compare every hit with the rules by hand."""
+    out = S.search(_turns(spark, sf), S.normal_query(spark, "an the of"), "smart", top_k=20, order=["key"])
+    return out.select("key", F.round("score", 6).alias("score"), "match_type")
 
 
 @query("search_fuzzy")
 def search_fuzzy(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", "text")
-    out = S.search(rows, S.normal_query(spark, "thand onesen"), "fuzzy", least=0.5, top_k=20, order=["item_id"])
-    return out.select("item_id", F.round("score", 6).alias("score"))
+    out = S.search(_turns(spark, sf), S.normal_query(spark, "thand onesen"), "fuzzy", least=0.5, top_k=20, order=["key"])
+    return out.select("key", F.round("score", 6).alias("score"))
 
 
 PROBE = [1.0 if i % 2 == 0 else -0.5 for i in range(64)]
@@ -72,10 +77,69 @@ def search_semantic(spark, sf):
     return S.semantic(table(spark, sf, "embeddings"), "embedding", PROBE).select("vec_id", F.round("semantic", 6).alias("semantic"))
 
 
-@query("search_hybrid", SEM + " SELECT vec_id, round(0.45 * CASE WHEN label = 3 THEN 1.0 ELSE 0.0 END + 0.55 * s, 6) AS score FROM m")
+# An index of the turns: seven collections of episodes, with targets on every fourth turn.
+IDX = "WITH " + UTT + r""", x AS (SELECT 'c' || episode % 7 AS collection, episode, turn, 'c' || episode % 7 || '::' || episode AS global_episode, 'c' || episode % 7 || '::' || episode || '::u' || turn AS key, speaker_id, start_sec, end_sec, text,
+  coalesce(lag(text) OVER w, '') AS previous_text, coalesce(lead(text) OVER w, '') AS next_text FROM utt WINDOW w AS (PARTITION BY episode ORDER BY start_sec)),
+""" + f"n AS (SELECT *, {NORMAL} AS t FROM x), k AS (SELECT *, string_split(t, ' ') AS ts FROM n)"
+
+
+def indexed(spark, sf):
+    u = utterances(spark, sf)
+    label = F.array(F.struct(F.lit("MARKET").alias("target_type"), F.when(F.col("turn") % 8 == 0, "positive").alias("polarity")))
+    u = u.select(F.concat(F.lit("c"), F.col("episode") % 7).alias("collection"), "episode", F.concat(F.lit("u"), "turn").alias("utterance_id"), "turn", "speaker_id", "start_sec", "end_sec", "text", F.when(F.col("turn") % 4 == 0, label).alias("targets"))
+    return S.index(u)
+
+
+@query("search_index", IDX + r"""
+, s AS (SELECT *, round(0.65 + 0.30 * (list_contains(ts, 'de')::INT + list_contains(ts, 'la')::INT) / 2.0, 6)::DOUBLE AS score FROM k WHERE speaker_id = 1 AND collection = 'c3' AND (list_contains(ts, 'de') OR list_contains(ts, 'la')))
+SELECT row_number() OVER (ORDER BY score DESC, collection, episode, start_sec, key) AS rank, key, score, 'any word' AS match_type,
+  concat_ws(chr(10) || chr(10), CASE WHEN previous_text <> '' THEN 'Previous: ' || previous_text END, 'Match: ' || text, CASE WHEN next_text <> '' THEN 'Next: ' || next_text END) AS context FROM s ORDER BY rank LIMIT 15""")
+def search_index(spark, sf):
+    hits = S.find(indexed(spark, sf), S.normal_query(spark, "de la"), method="Any word", collection="c3", speaker=1, top_k=15)
+    return hits.select(F.col("rank").cast("long").alias("rank"), "key", F.round("score", 6).alias("score"), "match_type", "context")
+
+
+@query("search_sentence", IDX + " SELECT key FROM k WHERE contains(t, 'la') AND speaker_id >= 0 ORDER BY collection, episode, start_sec, key LIMIT 1000")
+def search_sentence(spark, sf):
+    """One word, sought as a sentence: anywhere in the text, not as a token. The first thousand hits: a top-k."""
+    return S.find(indexed(spark, sf), "la", query_type="Sentence", method="Exact", top_k=1000).select("key")
+
+
+@query("search_frame", IDX + r"""
+, s AS (SELECT *, 1.0::DOUBLE AS score FROM k WHERE list_contains(ts, 'la')),
+r AS (SELECT *, row_number() OVER (ORDER BY collection, episode, start_sec, key) AS rank, greatest(0, round_even(start_sec, 0))::BIGINT AS a, greatest(0, round_even(end_sec, 0))::BIGINT AS b FROM s)
+SELECT rank AS "Rank", collection AS "Roll", episode AS "Episode", speaker_id AS "Speaker ID", printf('%02d:%02d', a // 60, a % 60) || '–' || printf('%02d:%02d', b // 60, b % 60) AS "Timestamp", 'exact' AS "Match", 1.0::DOUBLE AS "Relevance",
+  text AS "Transcript", CASE WHEN turn % 8 = 0 THEN 'MARKET · positive' WHEN turn % 4 = 0 THEN 'MARKET · ?' ELSE '' END AS "Targets", 'No' AS "Audio" FROM r ORDER BY rank LIMIT 20""")
+def search_frame(spark, sf):
+    hits = S.find(indexed(spark, sf), "la", method="exact", include_unassigned=True, top_k=20)
+    return S.hit_frame(hits).withColumn("Rank", F.col("Rank").cast("long"))
+
+
+@query("search_hybrid", IDX + ", " + SEM.removeprefix("WITH ") + """, s AS (SELECT k.*, m.s AS sem, CASE WHEN contains(t, 'de la') THEN 1.0 WHEN list_contains(ts, 'de') AND list_contains(ts, 'la') THEN 0.9 ELSE 0 END AS lex FROM k LEFT JOIN m ON m.vec_id = episode * 100 + turn WHERE speaker_id >= 0)
+SELECT key, round(sem, 6) AS semantic_score FROM s WHERE lex >= 0.9 AND 0.45 * lex + 0.55 * coalesce(sem, 0) >= 0.405""")
 def search_hybrid(spark, sf):
-    lexical = F.when(F.col("label") == 3, 1.0).otherwise(0.0)
-    return S.semantic(table(spark, sf, "embeddings"), "embedding", PROBE).select("vec_id", F.round(S.hybrid(lexical, F.col("semantic")), 6).alias("score"))
+    """Hits whose lexical part the native rules settle, each with the semantic score that counts beside it; other turns score less than 0.45 * 0.9 by words alone."""
+    sem = S.semantic(table(spark, sf, "embeddings"), "embedding", PROBE).select(F.concat(F.lit("c"), F.floor(F.col("vec_id") / 100) % 7, F.lit("::"), F.floor(F.col("vec_id") / 100), F.lit("::u"), F.col("vec_id") % 100).alias("key"), "semantic")
+    hits = S.find(indexed(spark, sf), "de la", method="Hybrid", minimum_score=0.405, top_k=1_000_000, semantic_scores=sem)
+    return hits.filter("lexical_score >= 0.9").select("key", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+@query("transcript_rows", IDX + r"""
+, r AS (SELECT *, greatest(0, round_even(start_sec, 0))::BIGINT AS a, greatest(0, round_even(end_sec, 0))::BIGINT AS b FROM x WHERE global_episode = 'c3::3')
+SELECT printf('%02d:%02d', a // 60, a % 60) || '–' || printf('%02d:%02d', b // 60, b % 60) AS "Time", CASE WHEN speaker_id < 0 THEN 'Unassigned' ELSE 'Speaker ' || speaker_id END AS "Speaker", speaker_id AS "Speaker ID", text AS "Transcript", NULL AS "ASR confidence" FROM r""")
+def transcript_rows(spark, sf):
+    return S.transcript(indexed(spark, sf), "c3::3")
+
+
+@query("record_by_key", IDX + " SELECT key, speaker_id, text FROM x WHERE key = 'c5::5::u1'")
+def record_by_key(spark, sf):
+    return S.record(indexed(spark, sf), "c5::5::u1").select("key", "speaker_id", "text")
+
+
+@query("clip_spans", "WITH " + UTT + "SELECT episode, turn, greatest(0, start_sec - 2) AS clip_start, greatest(0.5, least(end_sec - start_sec + 4, 90)) AS clip_duration FROM utt")
+def clip_spans(spark, sf):
+    span = S.clip_span(F.col("start_sec"), F.col("end_sec"), 2.0, 90.0)
+    return utterances(spark, sf).select("episode", "turn", span["start"].alias("clip_start"), span["duration"].alias("clip_duration"))
 
 
 @query("search_context", "WITH " + UTT + """,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import sequences as Q
 from lectern.plans.base import query
-from lectern.plans.catalog import AIR, UTT, airings, table, utterances, words
+from lectern.plans.catalog import AIR, UTT, WORDS, airings, table, utterances, words
 
 
 @query("prev_next_context", "WITH " + UTT + "SELECT episode, turn, coalesce(lag(text) OVER w, '') AS previous_text, coalesce(lead(text) OVER w, '') AS next_text FROM utt WINDOW w AS (PARTITION BY episode ORDER BY turn)")
@@ -29,14 +29,29 @@ def merge_turns(spark, sf):
     return Q.merge_turns(rows, 20)
 
 
-@query("utterance_segmentation")
+@query("utterance_segmentation", "WITH RECURSIVE " + UTT + "," + WORDS + """,
+n AS (SELECT w.episode, u.speaker_id AS sp, w.start_ds AS s, w.end_ds AS e, right(w.word, 1) IN ('।', '!', '?', '؟') AS z, row_number() OVER (PARTITION BY w.episode ORDER BY w.start_ds, w.end_ds, w.turn, w.idx) AS k FROM word w JOIN utt u ON u.episode = w.episode AND u.turn = w.turn),
+r AS (SELECT episode, k, sp, s AS us, e AS pe, z, 0::BIGINT AS ui FROM n WHERE k = 1 UNION ALL
+  SELECT episode, k, sp, CASE WHEN f THEN s ELSE us END, e, z, ui + f::BIGINT FROM (SELECT n.*, r.us, r.ui, (n.sp <> r.sp OR n.s - r.pe > 20 OR n.e - r.us > 280 OR r.z) AS f FROM r JOIN n ON n.episode = r.episode AND n.k = r.k + 1))
+SELECT episode, any_value(sp) AS speaker_id, min(us) AS start, arg_max(pe, k) AS end, count(*) AS n_words, ui AS utterance_index FROM r GROUP BY episode, ui""")
 def utterance_segmentation(spark, sf):
     u = utterances(spark, sf).select("episode", "turn", "speaker_id")
     w = words(spark, sf).join(u, ["episode", "turn"]).select("episode", "turn", "speaker_id", "idx", "word", F.col("start_ds").alias("start"), F.col("end_ds").alias("end"))
     return Q.segment_words(w)
 
 
-@query("diar_postprocess")
+@query("diar_postprocess", "WITH RECURSIVE " + AIR + """,
+n AS (SELECT episode, speaker, start_ms AS s, end_ms AS e, row_number() OVER (PARTITION BY episode ORDER BY start_ms, end_ms, speaker) AS k FROM air),
+r AS (SELECT episode, k, speaker, s, e, e > s AS ok, CASE WHEN e > s THEN e END AS line, CASE WHEN e > s THEN speaker END AS who FROM n WHERE k = 1 UNION ALL
+  SELECT episode, k, speaker, s2, e, e > s2, CASE WHEN e > s2 THEN greatest(coalesce(line, e), e) ELSE line END, CASE WHEN e > s2 THEN speaker ELSE who END
+  FROM (SELECT n.*, r.line, r.who, CASE WHEN r.line IS NOT NULL AND n.speaker <> r.who THEN greatest(n.s, r.line + 170) ELSE n.s END AS s2 FROM r JOIN n ON n.episode = r.episode AND n.k = r.k + 1)),
+a AS (SELECT episode, speaker, s, e, k FROM r WHERE ok),
+f AS (SELECT *, CASE WHEN lag(speaker) OVER w IS DISTINCT FROM speaker OR s - lag(e) OVER w > 3790 THEN 1 ELSE 0 END AS f FROM a WINDOW w AS (PARTITION BY episode ORDER BY s, e, speaker)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY episode ORDER BY s, e, speaker ROWS UNBOUNDED PRECEDING) AS run FROM f),
+j AS (SELECT episode, run, any_value(speaker) AS speaker, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY 1, 2 HAVING max(e) - min(s) >= 750),
+t AS (SELECT *, sum(end_ms - start_ms) OVER (PARTITION BY episode, speaker) AS total FROM j), l AS (SELECT * FROM t WHERE total >= 9000),
+o AS (SELECT episode, speaker, row_number() OVER (PARTITION BY episode ORDER BY min(start_ms), speaker) - 1 AS speaker_no FROM l GROUP BY 1, 2)
+SELECT l.episode, o.speaker_no::BIGINT AS speaker_no, start_ms, end_ms FROM l JOIN o ON o.episode = l.episode AND o.speaker = l.speaker""")
 def diar_postprocess(spark, sf):
     return Q.clean_segments(airings(spark, sf).select("episode", "speaker", "start_ms", "end_ms"))
 
@@ -86,9 +101,3 @@ def sessions(spark, sf):
     new = F.when(F.col("start_ms") - F.lag("start_ms").over(w) < 1_800_000, 0).otherwise(1)
     rows = airings(spark, sf).withColumn("_f", new).withColumn("_s", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("episode", "_s").agg(F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"), F.count("*").alias("n")).drop("_s")
-
-
-@query("absolute_times", "WITH " + UTT + "SELECT episode, turn, start_ds // 280 AS chunk, start_ds % 280 AS local_ds, start_ds // 280 * 280 + start_ds % 280 AS absolute_ds FROM utt")
-def absolute_times(spark, sf):
-    c = F.floor(F.col("start_ds") / 280)
-    return utterances(spark, sf).select("episode", "turn", c.alias("chunk"), (F.col("start_ds") - c * 280).alias("local_ds"), (c * 280 + (F.col("start_ds") - c * 280)).alias("absolute_ds"))

@@ -102,10 +102,19 @@ def content_hashes(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("corpus_fingerprint", "SELECT substr(sha256(string_agg(md5(text), '' ORDER BY doc_id)), 1, 20) AS fingerprint FROM documents")
+PART = 4096
+
+
+@query("corpus_fingerprint", f"""
+WITH a AS (SELECT doc_id // {PART} AS p, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1), b AS (SELECT p // {PART} AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM a GROUP BY 1)
+SELECT substr(sha256(string_agg(h, '' ORDER BY p)), 1, 20) AS fingerprint FROM b""")
 def corpus_fingerprint(spark, sf):
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h"))))
-    return docs(spark, sf).agg(F.substring(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256), 1, 20).alias("fingerprint"))
+    """Hash of hashes in order of ids: of PART ids, then of PART such hashes, then of all of those, so that no task holds more than a few thousand."""
+    ordered = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256)
+    part = lambda c: F.floor(F.col(c) / PART).alias("p")
+    a = docs(spark, sf).select("doc_id", F.md5("text").alias("h")).groupBy(part("doc_id")).agg(ordered("doc_id").alias("h"))
+    b = a.withColumnRenamed("p", "q").groupBy(part("q")).agg(ordered("q").alias("h"))
+    return b.agg(F.substring(ordered("p"), 1, 20).alias("fingerprint"))
 
 
 @query("html_highlight", r"""
@@ -142,31 +151,38 @@ def decode_multilabel(spark, sf):
     return rows.select("vec_id", F.array_join(F.transform(T.decode_multilabel(F.col("p"), 0.55), lambda i: i.cast("string")), ",").alias("chosen"))
 
 
-@query("noise_injection")
+def _number(what):
+    return f"('0x' || substr(md5(doc_id::VARCHAR || '|' || (i - 1) || '|0|{what}'), 1, 7))::BIGINT"
+
+
+@query("noise_injection", f"""
+WITH t AS (SELECT doc_id, {TOK} AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM t),
+k AS (SELECT *, {_number('hit')} % 100 < 10 AS hit, {_number('kind')} % 4 AS kind, ({_number('place')} % length(x) + 1)::INT AS p, substr('{T.NOISE}', ({_number('new')} % {len(T.NOISE)} + 1)::INT, 1) AS c FROM e),
+n AS (SELECT doc_id, i, CASE WHEN NOT hit THEN x WHEN kind = 0 THEN substr(x, 1, p - 1) || substr(x, p + 1) WHEN kind = 1 THEN substr(x, 1, p - 1) || substr(x, p + 1, 1) || substr(x, p, 1) || substr(x, p + 2)
+  WHEN kind = 2 THEN substr(x, 1, p) || substr(x, p) ELSE substr(x, 1, p - 1) || c || substr(x, p + 1) END AS y FROM k)
+SELECT t.doc_id, coalesce(md5(string_agg(y, ' ' ORDER BY i)), md5('')) AS noisy FROM t LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id""")
 def noise_injection(spark, sf):
     rows = docs(spark, sf).select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    noisy = T.inject_noise(F.col("ts"), F.col("doc_id"), 10)
-    return rows.select("doc_id", F.size("ts").alias("n_words"), F.size(noisy).alias("n_noisy"))
+    return rows.select("doc_id", F.md5(F.array_join(T.inject_noise(F.col("ts"), F.col("doc_id"), 10), " ").cast("binary")).alias("noisy"))
 
 
 def _answers(spark, sf):
     from pyspark.sql import Window
 
     before = F.lag("text", 1, "").over(Window.partitionBy("episode").orderBy("turn"))
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return utterances(spark, sf).select("episode", "turn", plain(F.col("text")).alias("a"), plain(before).alias("b"))
+    return utterances(spark, sf).select("episode", "turn", F.col("text").alias("a"), before.alias("b"))
 
 
 @query("wer")
 def wer(spark, sf):
-    """Each turn against the one before it; words' edit distance has no SQL form (tests compare it with a table by hand)."""
-    return _answers(spark, sf).select("episode", "turn", F.round(T.wer(F.col("a"), F.col("b")), 6).alias("wer"))
+    """Each turn against the one before it, by words; tests compare every row with a table of distances."""
+    a, b = F.col("a"), F.col("b")
+    return _answers(spark, sf).select("episode", "turn", F.round(T.wer(a, b), 6).alias("wer"), F.round(T.wer(a, b, capped=False), 6).alias("uncapped"), F.round(T.edit_rate(a, b), 6).alias("edit_rate"))
 
 
-@query("cer", "WITH " + UTT + r""",
-p AS (SELECT episode, turn, regexp_replace(text, '[^ -~]', '', 'g') AS a, regexp_replace(coalesce(lag(text) OVER (PARTITION BY episode ORDER BY turn), ''), '[^ -~]', '', 'g') AS b FROM utt)
-SELECT episode, turn, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(a, b) * 1.0 / length(a) END, 6) AS cer FROM p""")
+@query("cer")
 def cer(spark, sf):
+    """By characters; DuckDB counts bytes, so that tests compare with a table of distances here too."""
     return _answers(spark, sf).select("episode", "turn", F.round(T.cer(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
@@ -181,10 +197,26 @@ def build_input(spark, sf):
     return rows.withColumn("p", pair).select("episode", "turn", F.col("p.head").alias("head"), F.col("p.text").alias("body"))
 
 
-@query("encode_pair", "SELECT conv_id, array_to_string(list_distinct_ordered, ' ') AS surfaces FROM (SELECT conv_id, list(role ORDER BY t) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1)")
+@query("encode_pair", "SELECT conv_id, array_to_string(list(role ORDER BY t), ' ') || ' ‖ ' || any_value(n) AS encoded FROM (SELECT conv_id, role, min(turn) AS t, (SELECT count(*) FROM conversations c WHERE c.conv_id = conversations.conv_id)::VARCHAR AS n FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def encode_pair(spark, sf):
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(roles), " ").alias("surfaces"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(T.encode_pair(roles, F.count("*").cast("string")).alias("encoded"))
+
+
+@query("time_range", "WITH " + UTT + """, r AS (SELECT episode, turn, greatest(0, round_even(start_sec, 0))::BIGINT AS a, greatest(0, round_even(end_sec, 0))::BIGINT AS b FROM utt)
+SELECT episode, turn, printf('%02d:%02d', a // 60, a % 60) || '–' || printf('%02d:%02d', b // 60, b % 60) AS stamp FROM r WHERE b < 3600""")
+def time_range(spark, sf):
+    rows = utterances(spark, sf).filter(F.bround("end_sec") < 3600)
+    return rows.select("episode", "turn", T.time_range(F.col("start_sec"), F.col("end_sec")).alias("stamp"))
+
+
+@query("filename_metadata", r"""
+WITH n AS (SELECT c_custkey, c_custkey::VARCHAR || '_' || lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '-Remote guest' WHEN c_custkey % 5 = 0 THEN '__stock' ELSE '' END AS stem FROM customer)
+SELECT c_custkey, array_to_string(list_filter(regexp_split_to_array(stem, '[_\-\s]+'), lambda x: x <> '')[2:], ' ') AS programme, c_custkey % 3 = 0 AS remote, c_custkey % 3 <> 0 AND c_custkey % 5 = 0 AS market FROM n""")
+def filename_metadata(spark, sf):
+    tail = F.when(F.col("c_custkey") % 3 == 0, "-Remote guest").when(F.col("c_custkey") % 5 == 0, "__stock").otherwise("")
+    rows = table(spark, sf, "customer").withColumn("m", T.filename_metadata(F.concat(F.col("c_custkey").cast("string"), F.lit("_"), F.lower("c_mktsegment"), tail)))
+    return rows.select("c_custkey", F.col("m.programme").alias("programme"), F.col("m.has_remote_guest").alias("remote"), F.col("m.covers_market_news").alias("market"))
 
 
 @query("json_props", "SELECT event_id, json_keys(props)[1] AS first_key, len(json_keys(props))::BIGINT AS n_keys FROM events")
@@ -212,8 +244,17 @@ def runtime_estimate(spark, sf):
     return rows.select("user_id", F.round(F.greatest(F.lit(2), 0.07 * d) + 0.45 * d + 0.2, 4).alias("low_min"), F.round(F.greatest(F.lit(8), 0.20 * d) + 0.85 * d + 1.0, 4).alias("high_min"))
 
 
-@query("bangla_digits", "SELECT o_orderkey, o_orderkey::VARCHAR AS digits FROM orders")
+@query("bangla_digits", "SELECT o_orderkey, translate(o_orderkey::VARCHAR, '13579', '১৩৫৭৯') AS written, o_orderkey::VARCHAR AS digits FROM orders")
 def bangla_digits(spark, sf):
-    """Through Bangla digits and back."""
-    there = F.translate(F.col("o_orderkey").cast("string"), "0123456789", T.BANGLA_DIGITS)
-    return table(spark, sf, "orders").select("o_orderkey", T.ascii_digits(there).alias("digits"))
+    """Numbers in which some digits are Bangla ones."""
+    mixed = F.translate(F.col("o_orderkey").cast("string"), "13579", "১৩৫৭৯")
+    return table(spark, sf, "orders").select("o_orderkey", mixed.alias("written"), T.ascii_digits(mixed).alias("digits"))
+
+
+@query("leading_fragments_dropped", """
+WITH m AS (SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 3 WHEN 0 THEN 'ির ' || o_orderpriority WHEN 1 THEN '্য' ELSE o_orderpriority END AS t FROM orders)
+SELECT o_orderkey, o_orderkey % 3 <> 2 AS truncated, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN '' ELSE t END AS rest FROM m""")
+def leading_fragments_dropped(spark, sf):
+    k = F.col("o_orderkey") % 3
+    t = F.when(k == 0, F.concat(F.lit("ির "), "o_orderpriority")).when(k == 1, F.lit("্য")).otherwise(F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", T.leading_truncated(t).alias("truncated"), T.drop_leading_fragment(t).alias("rest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; a byte-order mark before the first name is cut."""
-    rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", columns: list[str] | None = None) -> DataFrame:
+    """All columns as strings; a byte-order mark before the first name is cut. columns: of the empty table that a missing file gives; without, it fails."""
+    try:
+        rows = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
+    except AnalysisException:
+        if columns is None:
+            raise
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
@@ -59,11 +65,21 @@ def write_rttm(rows: DataFrame, path: str) -> None:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """title and body: the first columns whose names say so."""
-    rows = read_csv(spark, path)
-    pick = lambda names: next((c for c in rows.columns if any(n in c.lower() for n in names)), None)
-    title, body = pick(("title",)), pick(("news", "body", "article"))
-    return rows.select((F.col(title) if title else F.lit("")).alias("title"), (F.col(body) if body else F.lit("")).alias("body"))
+    """article_id, title, text, source_file of CSV files with an article each: its first row, and of its columns the first whose names say title, and news, body or article.
+
+    Files may have different columns, so that headers are read as data: lines come in the order that they have in their file.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("c"))
+    lines = F.split(F.regexp_replace("c", "^\ufeff", ""), r"\r?\n")
+    row = raw.select("path", _fields(F.get(lines, F.lit(0))).alias("names"), _fields(F.get(lines, F.lit(1))).alias("values"))
+    at = lambda words: F.coalesce(F.get("values", F.array_position(F.transform("names", lambda n: F.lower(F.trim(n)).rlike("|".join(words))), F.lit(True)).cast("int") - 1), F.lit(""))
+    return row.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("article_id"), at(("title",)).alias("title"), at(("news", "body", "article")).alias("text"), F.col("path").alias("source_file"))
+
+
+def _fields(line: Column) -> Column:
+    """Fields of a line of CSV, quotes undone."""
+    parts = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(parts, lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
 def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -91,9 +107,60 @@ def best_copy(files: DataFrame, stem: str) -> DataFrame:
     return files.withColumn(stem, plain).groupBy(stem).agg(F.max_by("path", F.struct("bytes", (name == plain), "path")).alias("path"))
 
 
+def bundles(files: DataFrame) -> DataFrame:
+    """bundle, episodes: folders that have JSON files in fused/ or data/fused/, archived ones left out; files: path."""
+    keep = ~F.col("path").rlike("/(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/")
+    root = F.regexp_extract("path", r"^(.*?)/(?:data/)?fused/[^/]+\.json$", 1)
+    return files.filter(keep).select(root.alias("bundle")).filter("bundle != ''").groupBy("bundle").agg(F.count("*").alias("episodes"))
+
+
+# Other names of stages' folders.
+STAGE_NAMES = {"annotation_drafts": ("annotation_drafts", "drafts"), "weak_labels": ("weak_labels", "weak")}
+
+
+def stage_folders(folders: DataFrame, stages: list[str], data_first: bool = True) -> DataFrame:
+    """bundle, stage, folder: where each bundle has a stage, of folders (bundle, folder relative to it) that exist.
+
+    A stage's first name comes before its others, and under each name data/<name> before <name>, or behind it. Where none exists, data/<stage> stands for it.
+    """
+    rank = []
+    for stage in stages:
+        for name in STAGE_NAMES.get(stage, (stage,)):
+            both = (f"data/{name}", name)
+            rank += [(stage, f, len(rank) + k) for k, f in enumerate(both if data_first else both[::-1])]
+    wanted = F.broadcast(folders.sparkSession.createDataFrame(rank, "stage string, folder string, rank long"))  # a few names
+    found = folders.join(wanted, "folder").groupBy("bundle", "stage").agg(F.min_by("folder", "rank").alias("folder"))
+    every = folders.select("bundle").distinct().select("bundle", F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"))
+    return every.join(found, ["bundle", "stage"], "left").select("bundle", "stage", F.coalesce("folder", F.concat(F.lit("data/"), "stage")).alias("folder"))
+
+
+def registry_file(files: DataFrame) -> DataFrame:
+    """folder, path: of each folder's registry*.csv the one of the plain name, else the shortest name, the first of equals."""
+    name = F.regexp_extract("path", r"/(registry[^/]*\.csv)$", 1)
+    rows = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), name.alias("name"), "path").filter("name != ''")
+    return rows.groupBy("folder").agg(F.min_by("path", F.struct(F.col("name") != "registry.csv", F.length("name"), "name")).alias("path"))
+
+
+def source_files(files: DataFrame, generated: DataFrame, suffixes: list[str]) -> DataFrame:
+    """files (owner, path) of these suffixes that don't stand below a generated folder (owner, root) of their owner."""
+    ends = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*suffixes)
+    below = F.startswith(F.col("path"), F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/")))
+    return files.filter(ends).join(generated.withColumnRenamed("owner", "_o"), (F.col("owner") == F.col("_o")) & below, "left_anti").select(*files.columns)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, mark: bool = False) -> bool:
+    """CSV with a header, and with mark a byte-order mark before it; an empty table writes nothing. Whether it was written."""
+    if rows.isEmpty():
+        return False
+    out = rows.select(*[F.col(c).alias("\ufeff" + c if mark and k == 0 else c) for k, c in enumerate(rows.columns)])
+    out.write.mode("overwrite").option("header", True).csv(path)
+    return True
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """A row on each line; sets and lists as they are, nulls kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

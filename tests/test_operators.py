@@ -16,6 +16,9 @@ from lectern.operators import sequences as Q
 from lectern.session import ship
 from lectern.sources import files
 from lectern.streaming import sessions
+from tests.conftest import SF
+
+import __spark_entry__  # noqa: F401  registers all queries
 
 
 def one(spark, column):
@@ -138,12 +141,67 @@ def test_search_edges(spark):
     assert [r["semantic"] for r in same] == [1.0, 1.0]
 
 
-def test_lexicon(spark):
-    assert L.find_mentions("red cars run", [{"canonical": "car", "stems": ["car"], "exclude": []}]) == [("car", "cars", 1, 2)]
-    cue = {"stem": "up", "kind": "direction", "polarity": 1, "weight": 1.0, "exclude": []}
-    assert L.score_pair("up a b c debt", -1, [(4, 5)], [cue]) == pytest.approx(-0.5)
-    assert one(spark, L.verdict(F.lit(-0.5))) == "non_evaluative"
-    assert one(spark, L.restore_entities(F.lit("the theme THE"), [("the", "X")])) == "X theme X"
+def lexicon(targets, cues=()):
+    return L.Lexicon([{"exclude": [], "orientation": 1, **t} for t in targets], [{"exclude": [], "negatable": True, "weight": 1.0, **c} for c in cues])
+
+
+def test_mentions():
+    names = lambda x, text: [m[:2] for m in x.mentions(text)]
+    assert lexicon([{"canonical": "car", "stems": ["car"]}]).mentions("red cars run oscar") == [("car", "cars", 4, 8)]
+    # The longer stem claims its words; what lies inside a claim is no mention, what only overlaps it is.
+    nested = lexicon([{"canonical": "bank", "stems": ["bank"]}, {"canonical": "central bank", "stems": ["central bank"]}])
+    assert names(nested, "central  banks and bankers") == [("central bank", "central  banks"), ("bank", "bankers")]
+    overlap = lexicon([{"canonical": "long", "stems": ["aa bb"]}, {"canonical": "late", "stems": ["bb c"]}])
+    assert names(overlap, "aa bb cc") == [("long", "aa bb"), ("late", "bb cc")]
+    excluded = lexicon([{"canonical": "rate", "stems": ["sud"], "exclude": ["sudan"]}])
+    assert names(excluded, "sudan suds sudanese") == [("rate", "suds")]
+
+
+def test_cue_scores():
+    up, bad = {"stem": "up", "kind": "direction", "polarity": 1}, {"stem": "bad", "kind": "evaluative", "polarity": -1}
+    x = lexicon([{"canonical": "debt", "stems": ["debt"]}], [up, bad])
+    assert x.score("up a b c debt", -1, [9]) == pytest.approx(-0.5)
+    # Distance is to the word in which a mention of several words begins, not to its nearest.
+    assert x.score("central bank of the land up", 1, [0]) == pytest.approx(1 / (1 + 5 / 4))
+    # A direction without an orientation is passed over for the next cue of the same token.
+    fallthrough = lexicon([{"canonical": "debt", "stems": ["debt"]}], [up, {"stem": "up", "kind": "evaluative", "polarity": 1}])
+    assert fallthrough.score("debt x up", 0, [0]) == pytest.approx(2 / 3) and x.score("debt x up", 0, [0]) == 0.0
+    assert x.score("debt bad না", 1, [0]) == pytest.approx(0.8) and x.score("debt bad a b c না", 1, [0]) == pytest.approx(-0.8)
+    assert x.score("debt " + "a " * 12 + "bad", 1, [0]) == 0.0 and x.score("debt " + "a " * 11 + "bad", 1, [0]) == pytest.approx(-1 / 4)
+    noun = lexicon([{"canonical": "debt", "stems": ["debt"]}], [{**bad, "negatable": False}])
+    assert noun.score("debt bad না", 1, [0]) == pytest.approx(-0.8)
+
+
+def test_verdict_and_restoration(spark):
+    assert one(spark, L.verdict(F.lit(-0.5))) == "non_evaluative" and one(spark, L.verdict(F.lit(-0.55))) == "negative"
+    assert one(spark, L.restore_entities(F.lit("the theme THE the,the éthe"), [("the", "X")])) == "X theme X X,X éthe"
+
+
+def test_as_of_with_three_speakers(spark):
+    rows = [(1, 1, 2, 0, 10), (1, 2, 0, 10, 20), (1, 3, 1, 20, 30), (1, 4, 2, 30, 40), (1, 5, 2, 40, 50), (1, 6, 0, 45, 60), (2, 7, 5, 0, 5), (2, 8, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "episode long, turn long, speaker_id long, start long, end long")
+    got = {(r.episode, r.turn): r.p_turn for r in I.as_of_backward(df, 0).collect()}
+    assert got == {(1, 1): None, (1, 2): 1, (1, 3): 2, (1, 4): 3, (1, 5): 3, (1, 6): 4, (2, 7): None, (2, 8): None}
+    import random
+
+    rnd = random.Random(2)
+    many = [(rnd.randint(0, 2), t, rnd.randint(0, 4), s := rnd.randint(0, 60), s + rnd.randint(0, 9)) for t in range(150)]
+    got = {r.turn: r.p_turn for r in I.as_of_backward(spark.createDataFrame(many, df.schema), 0).collect()}
+    for e, t, w, s, _ in many:
+        others = [(y[4], y[1]) for y in many if y[0] == e and y[2] != w and y[4] <= s]
+        assert got[t] == (max(others)[1] if others else None)
+
+
+def test_nearest_segment(spark):
+    import random
+
+    rnd = random.Random(4)
+    seg = [(e, w, s := rnd.randint(0, 200), s + rnd.randint(0, 12)) for e in range(3) for w in range(9)]
+    pts = [(rnd.randint(0, 2), k, rnd.randint(-20, 230)) for k in range(200)]
+    got = {r.k: r.speaker_id for r in I.nearest_segment(spark.createDataFrame(pts, "episode long, k long, at long"), spark.createDataFrame(seg, "episode long, speaker_id long, r_start long, r_end long"), ["k"], 25).collect()}
+    for e, k, at in pts:
+        best = min((not s <= at <= t, 0 if s <= at <= t else min(abs(at - s), abs(at - t)), s, w) for x, w, s, t in seg if x == e)
+        assert got[k] == best[3]
 
 
 def test_gates_and_samples(spark):
@@ -170,7 +228,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.csv").write_text("﻿episode_id,duration_sec\ne1,12\n")
     assert files.read_csv(spark, str(tmp_path / "r.csv")).first().asDict() == {"episode_id": "e1", "duration_sec": "12"}
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{bad\n{"a": 2}\n')
-    assert files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a long").filter("a is not null").count() == 2
+    assert sorted(r.a for r in files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a long").collect()) == [1, 2]
     rows = spark.createDataFrame([("e", 0.5, 2.0, "spk0")], "episode_id string, start double, end double, label string")
     files.write_rttm(rows, str(tmp_path / "rttm"))
     assert files.read_rttm(spark, str(tmp_path / "rttm")).collect() == rows.collect()
@@ -227,3 +285,271 @@ def test_annotations(spark):
     reg = spark.createDataFrame([("p1", "e1", "false"), ("p2", "e2", "false"), ("p3", "e3", "true")], "local_path string, episode_id string, remote string")
     over = spark.createDataFrame([("p1", " TRUE "), ("e2", "true"), ("e3", "maybe")], "key string, remote string")
     assert {r.episode_id: r.remote for r in N.overridden(reg, over, ["remote"]).collect()} == {"e1": "true", "e2": "true", "e3": "true"}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_by_table(spark):
+    """Every turn of the smallest table against the one before it: words, characters, and the longer text's share."""
+    from lectern.plans import base, text_queries
+
+    ship(spark)
+    want = text_queries._answers(spark, SF).collect()
+    got, chars = ({(r.episode, r.turn): r for r in base.QUERIES[q](spark, SF).collect()} for q in ("wer", "cer"))
+    for r in want:
+        a, b = r.a.split(), r.b.split()
+        d = distance(a, b)
+        assert got[r.episode, r.turn].uncapped == pytest.approx(d / len(a) if a else float(bool(b)), abs=1e-6) and got[r.episode, r.turn].wer == pytest.approx(min(1, d / len(a)) if a else float(bool(b)), abs=1e-6)
+        assert got[r.episode, r.turn].edit_rate == pytest.approx(d / max(len(a), len(b)) if a else float(bool(b)), abs=1e-6)
+        assert chars[r.episode, r.turn].cer == pytest.approx(distance(r.a, r.b) / len(r.a) if r.a else float(bool(r.b)), abs=1e-6)
+
+
+def test_noise(spark):
+    words = [f"word{i}" for i in range(400)]
+    noisy = one(spark, T.inject_noise(F.array(*[F.lit(w) for w in words]), F.lit("k"), 25))
+    changed = [(a, b) for a, b in zip(words, noisy, strict=True) if a != b]
+    assert 60 < len(changed) < 140 and all(distance(a, b) in (1, 2) for a, b in changed)
+    assert one(spark, T.inject_noise(F.array(F.lit("a"), F.lit("b")), F.lit("k"), 0)) == ["a", "b"]
+
+
+def test_noise_costs(spark):
+    from lectern.plans import base
+
+    curve = sorted(tuple(r) for r in base.QUERIES["noise_curve"](spark, SF).select("level", "achieved_wer", "macro_f1").collect())
+    assert [x[0] for x in curve] == [5, 15, 25, 35, 45, 55, 65]
+    assert all(abs(w - level / 100) < 0.12 for level, w, _ in curve) and [x[1] for x in curve] == sorted(x[1] for x in curve) and curve[0][2] > curve[-1][2] - 0.05 and all(0 <= x[2] <= 1 for x in curve)
+
+
+def plain_fuzzy(q, t):
+    from difflib import SequenceMatcher
+
+    w, n = t.split(), len(q.split())
+    windows = [" ".join(w[i : i + k]) for k in range(max(1, n - 2), min(len(w), n + 3) + 1) for i in range(len(w) - k + 1)]
+    return max(SequenceMatcher(None, q, x).ratio() for x in [t, *windows])
+
+
+def test_fuzzy_and_smart_by_hand(spark):
+    """All turns: the registered queries against the rules, every window compared."""
+    from lectern.plans import base, search_queries
+
+    ship(spark)
+    texts = {r.key: r.t or "" for r in search_queries._turns(spark, SF).select("key", T.normalize_text(F.col("text")).alias("t")).collect()}
+    fuzzy = {k: plain_fuzzy("thand onesen", t) for k, t in texts.items()}
+    top = lambda scores, least: sorted(((-round(s, 6), k) for k, s in scores.items() if s >= least))[:20]
+    got = base.QUERIES["search_fuzzy"](spark, SF).collect()
+    assert [(-r.score, r.key) for r in got] == top(fuzzy, 0.5)
+
+    def smart(q, t):
+        w, ts = q.split(), set(t.split())
+        r = sum(x in ts for x in w) / len(w)
+        return 1.0 if q in t else 0.9 if r == 1 else max(0.55 + 0.3 * r if r else 0.0, 0.92 * plain_fuzzy(q, t))
+
+    got = base.QUERIES["search_smart"](spark, SF).collect()
+    assert [(-r.score, r.key) for r in got] == top({k: smart("an the of", t) for k, t in texts.items()}, 0.55)
+
+
+def test_index_search(spark, tmp_path):
+    ship(spark)
+    label = "array<struct<target_type: string, polarity: string>>"
+    rows = [("a", "e1", "u1", 0, 0.0, 2.0, "bank branch rises", [("SECTOR", "positive")]), ("a", "e1", "u2", 1, 2.0, 4.0, "the bank", [(None, None)]), ("b", "e1", "u1", 0, 0.0, 3.0, "bank again", None), ("b", "e1", "u2", -1, 3.0, 4.0, "bank noise", None), ("b", "e1", "u3", 0, 4.0, None, None, None)]
+    ix = S.index(spark.createDataFrame(rows, f"collection string, episode string, utterance_id string, speaker_id long, start_sec double, end_sec double, text string, targets {label}"))
+    assert ix.select("key").distinct().count() == 5  # ids repeat between collections, keys don't
+    q = S.normal_query(spark, "bank")
+    hits = S.find(ix, q, method="Exact").collect()
+    assert [(r["rank"], r["key"]) for r in hits] == [(1, "a::e1::u1"), (2, "a::e1::u2"), (3, "b::e1::u1")] and hits[0]["context"].endswith("Next: the bank")
+    assert [r["key"] for r in S.find(ix, q, method="exact", collection="b", include_unassigned=True).collect()] == ["b::e1::u1", "b::e1::u2"]
+    assert [r["key"] for r in S.find(ix, q, method="exact", episode="a::e1", speaker=1, include_context=False).collect()] == ["a::e1::u2"]
+    assert S.find(ix, "", method="exact").count() == 0 and S.find(ix, "an", query_type="Word", method="exact").count() == 0 and S.find(ix, "an", query_type="Sentence", method="exact").count() == 3
+    assert [r["Targets"] for r in S.hit_frame(S.find(ix, q, method="exact")).orderBy("Rank").collect()] == ["SECTOR · positive", "? · ?", ""]
+    sem = spark.createDataFrame([("a::e1::u2", 1.0), ("b::e1::u1", 0.2)], "key string, semantic double")
+    got = {r["key"]: (r["score"], r["lexical_score"]) for r in S.find(ix, q, method="Hybrid", minimum_score=0.0, semantic_scores=sem).collect()}
+    assert got["a::e1::u2"] == (pytest.approx(1.0), 1.0) and got["b::e1::u1"] == (pytest.approx(0.56), 1.0) and got["a::e1::u1"] == (pytest.approx(0.45), 1.0)
+    assert [r["key"] for r in S.find(ix, q, method="semantic", semantic_scores=sem).collect()] == ["a::e1::u2"]
+    S.register_search_method("starts", lambda t, ts, q, words: F.when(t.startswith(q), 0.7).otherwise(0.0))
+    assert S.find(ix, q, method="starts").count() == 2
+    calls = []
+    encode = lambda d: (calls.append(1), d.select("key", F.array(F.length("text").cast("double")).alias("vector")))[1]
+    assert S.cached_vectors(ix, encode, str(tmp_path)).count() == 5 and S.cached_vectors(ix, encode, str(tmp_path)).count() == 5 and len(calls) == 1
+    assert S.cached_vectors(ix.filter("collection = 'a'"), encode, str(tmp_path)).count() == 2 and len(calls) == 2
+    plan = S.search(ix, q, "any word")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1 and plan.count("split(") == 1
+
+
+def test_registered_aggregator(spark):
+    A.register_aggregator("always", lambda p, n, t: F.lit("mixed"))
+    try:
+        rows = spark.createDataFrame([(1, "positive", 3, "high")], "k long, label string, n_words long, confidence string")
+        got = A.aggregated(rows, ["k"]).first()
+        assert (got["agg_always"], got["agg_majority_vote"], got["agg_word_conf_weighted"]) == ("mixed", "positive", "positive")
+    finally:
+        del A.AGGREGATORS["always"]
+
+
+def test_diarization_error(spark):
+    ref = [(1, 0.0, 10.0, "a"), (1, 10.0, 20.0, "b"), (2, 0.0, 10.0, "a"), (3, 0.0, 4.0, "a"), (3, 2.0, 6.0, "b")]
+    hyp = [(1, 0.0, 12.0, "x"), (1, 12.0, 20.0, "y"), (2, 2.0, 12.0, "x"), (3, 0.0, 6.0, "x")]
+    frame = lambda x: spark.createDataFrame(x, "episode long, start double, end double, label string")
+    got = {r.episode: tuple(r)[1:] for r in A.diarization_error(frame(ref), frame(hyp)).collect()}
+    assert got[1] == pytest.approx((20, 0, 0, 2, 0.1)) and got[2] == pytest.approx((10, 2, 2, 0, 0.4)) and got[3] == pytest.approx((8, 2, 0, 2, 0.5))
+    collared = {r.episode: r.error for r in A.diarization_error(frame(ref), frame(hyp), 4.0).collect()}
+    assert collared[1] == pytest.approx(0.0)
+    import itertools
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(40):
+        n, m = rnd.randint(1, 5), rnd.randint(1, 5)
+        shared = {(f"r{i}", f"h{j}"): float(rnd.randint(0, 9)) for i in range(n) for j in range(m)}
+        small, large = (range(n), range(m)) if n <= m else (range(m), range(n))
+        at = lambda i, j: shared[f"r{i}", f"h{j}"] if n <= m else shared[f"r{j}", f"h{i}"]
+        assert A.best_mapping(shared) == max(sum(at(i, j) for i, j in zip(small, p)) for p in itertools.permutations(large, len(small)))
+
+
+def test_diarization_error_query(spark):
+    """Segments that end early, speakers renamed: what is cut off is missed, and nothing is confused."""
+    from lectern.plans import base, catalog
+
+    ship(spark)
+    u = {(r.episode, r.turn): r for r in catalog.utterances(spark, SF).collect()}
+    lost = {}
+    for r in catalog.segments(spark, SF).collect():
+        lost.setdefault(r.episode, [0, 0])
+        lost[r.episode][0] += u[r.episode, r.turn].end_ds - r.end_ds
+        lost[r.episode][1] += u[r.episode, r.turn].end_ds - u[r.episode, r.turn].start_ds
+    for r in base.QUERIES["diarization_error"](spark, SF).collect():
+        assert (r.missed, r.total, r.false_alarm, r.confusion) == (*lost[r.episode], 0, 0)
+
+
+def test_audio_resolution(spark):
+    from lectern.operators import audio
+
+    ship(spark)
+    recs = [("c", "c/audio/01.mp3", 100.0), ("c", "c/Show É.mp3", 200.0), ("c", "c/x.mp3", 301.5), ("c", "c/y.mp3", 300.5), ("c", "c/07.wav", None), ("c", "c/short.mp3", 50.0)]
+    eps = [("c", "e1", "c/audio/01.mp3", 100.0, 99.0), ("c", "e2", "old/show e\u0301.MP3", 0.0, 0.0), ("c", "e3", "gone.mp3", 301.0, 0.0), ("c", "e4", "gone.mp3", 301.0, 0.0), ("c", "e5", "c/short.mp3", 50.0, 90.0), ("c", "e7", "", 0.0, 0.0), ("d", "e1", "", 9.0, 9.0)]
+    got = {(r.collection, r.episode): (r.path, r.how) for r in audio.resolved(spark.createDataFrame(eps, "collection string, episode string, local_path string, duration_sec double, end_sec double"), spark.createDataFrame(recs, "collection string, path string, duration double")).collect()}
+    assert got["c", "e1"] == ("c/audio/01.mp3", "exact") and got["c", "e2"] == ("c/Show É.mp3", "name") and got["c", "e3"] == ("c/x.mp3", "duration") and got["c", "e4"] == ("c/y.mp3", "duration")
+    assert got["c", "e5"] == (None, None) and got["c", "e7"] == ("c/07.wav", "number") and got["d", "e1"] == (None, None)
+
+
+def test_splits(spark):
+    from lectern.operators import splits
+
+    rows = spark.createDataFrame([(i, i % 7, i % 2) for i in range(70)], "id long, g long, y long")
+    three = splits.three_way(rows, "g", (F.xxhash64("g"), F.xxhash64("g", F.lit(1))))
+    parts = {r.split: set(r.gs) for r in three.groupBy("split").agg(F.collect_set("g").alias("gs")).collect()}
+    assert sorted(map(len, parts.values())) == [1, 2, 4] and len(set.union(*parts.values())) == 7 and three.count() == 70
+    alone = splits.disjoint_or_stratified(rows.filter("g = 1"), "g", "y", 0.2, F.xxhash64("g"), F.col("id"))
+    assert {(r.y, r.n) for r in alone.filter("split = 'test'").groupBy("y").agg(F.count("*").alias("n")).collect()} == {(0, 1), (1, 1)}
+    folds = splits.group_folds(rows, "g", 3)
+    assert {r.fold: r.n for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {0: 30, 1: 20, 2: 20} and folds.select("g", "fold").distinct().count() == 7
+    with pytest.raises(ValueError):
+        splits.group_folds(rows, "g", 3, most_groups=6)
+    blind = splits.balanced_sample(rows.withColumn("v", F.when(F.col("id") % 9 != 0, F.col("id"))), "y", "v", 12, F.xxhash64("id"), ["y"])
+    assert blind.count() == 12 and blind.columns == ["id", "g", "v"]
+
+
+def test_weak_labels(spark):
+    from lectern.operators import review
+
+    ship(spark)
+    kind = "id long, text string, labels array<struct<target_text: string, target_type: string, polarity: string, confidence: double>>, annotation_status string, review_required boolean"
+    rows = [
+        (1, "the bank", [("bank", "SECTOR", "positive", 0.9), ("Bank", "SECTOR", "negative", 0.9), ("bond", "MARKET", "positive", 0.9), ("bank", "PLANET", "positive", 0.9)], "out_of_scope", False),
+        (2, None, [("x", "MARKET", "negative", None)], None, None), (3, "a", None, "non_evaluative", False), (4, "a", [], "odd", False), (5, "ab", [("a", "MARKET", "negative", 0.2), ("a", "MARKET", "negative", 0.95)], "labelled", True),
+    ]
+    got = {r.id: r for r in review.valid_weak(spark.createDataFrame(rows, kind)).collect()}
+    assert [tuple(x) for x in got[1].labels] == [] or [(x.target_text, x.confidence) for x in got[1].labels] == [("bank", 0.9)]
+    assert (got[1].annotation_status, got[1].review_required) == ("labelled", True) and "status_label_conflict" in got[1].validation_flags
+    assert got[2].annotation_status == "labelled" and got[2].review_required and got[3].annotation_status == "non_evaluative" and not got[3].review_required
+    assert got[4].annotation_status == "review_required" and [(x.target_text, x.confidence) for x in got[5].labels] == [("a", 0.95)] and got[5].review_required and got[5].validation_flags == []
+
+
+def test_noise_of_sources(spark, tmp_path):
+    files_ = [(x,) for x in ("b/r1/data/fused/e1.json", "b/r1/data/fused/e2.json", "b/r2/fused/e1.json", "b/_source_runs/r3/fused/e1.json", "b/r1/raw/registry_old.csv", "b/r1/raw/registry (1).csv", "b/r2/raw/registry.csv", "b/r2/raw/registry2.csv", "b/a.mp3", "b/r1/processed/x.WAV", "b/t.txt")]
+    df = spark.createDataFrame(files_, "path string")
+    assert sorted(tuple(r) for r in files.bundles(df).collect()) == [("b/r1", 2), ("b/r2", 1)]
+    assert sorted(tuple(r) for r in files.registry_file(df).collect()) == [("b/r1/raw", "b/r1/raw/registry (1).csv"), ("b/r2/raw", "b/r2/raw/registry.csv")]
+    own = df.withColumn("owner", F.lit("o"))
+    assert [r.path for r in files.source_files(own, spark.createDataFrame([("o", "b/r1")], "owner string, root string"), [".mp3", ".wav"]).collect()] == ["b/a.mp3"]
+    copies = spark.createDataFrame([("d/gate.json", 10), ("d/gate (1).json", 10), ("d/other.json", 5), ("d/other_copy2.json", 9)], "path string, bytes long")
+    assert {r.stem: r.path for r in files.best_copy(copies, "stem").collect()} == {"gate": "d/gate.json", "other": "d/other_copy2.json"}
+    folders = spark.createDataFrame([("b", "data/fused"), ("b", "fused"), ("b", "weak")], "bundle string, folder string")
+    at = lambda first: {r.stage: r.folder for r in files.stage_folders(folders, ["fused", "weak_labels", "asr"], first).collect()}
+    assert at(True) == {"fused": "data/fused", "weak_labels": "weak", "asr": "data/asr"} and at(False)["fused"] == "fused"
+    d = tmp_path / "news"
+    d.mkdir()
+    (d / "a1.csv").write_bytes('\ufeffID,The Title,Body text\n1,"One, ""two""",Words here\n2,x,y\n'.encode())
+    (d / "a2.csv").write_bytes(b"article,when\nonly body\n")
+    got = {r.article_id: (r.title, r.text) for r in files.read_articles(spark, str(d)).collect()}
+    assert got == {"a1": ('One, "two"', "Words here"), "a2": ("", "only body")}
+    assert files.read_csv(spark, str(tmp_path / "none.csv"), columns=["a", "b"]).columns == ["a", "b"]
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "none.csv"))
+    assert not files.write_csv(df.limit(0), str(tmp_path / "empty")) and not (tmp_path / "empty").exists()
+    assert files.write_csv(df.limit(1).coalesce(1), str(tmp_path / "one"), mark=True) and next((tmp_path / "one").glob("part-*")).read_bytes().startswith("\ufeffpath\n".encode())
+    files.write_jsonl(spark.createDataFrame([(1, None)], "a long, b string"), str(tmp_path / "l"))
+    assert "".join(f.read_text() for f in (tmp_path / "l").glob("part-*")) == '{"a":1,"b":null}\n'
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n{bad\n')
+    assert [r.a for r in files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a long").collect()] == [1]
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a long", strict=True).collect()
+
+
+def test_models(spark):
+    from lectern.operators import models
+    from lectern.plans import base
+
+    ship(spark)
+    grams = one(spark, models.word_bound_grams(F.lit("abcd a")))
+    assert sorted(grams) == sorted([" ab", "abc", "bcd", "cd ", " abc", "abcd", "bcd ", " abcd", "abcd ", " a "])
+    rows = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(40)] + [(40, None)], "id long, text string").repartition(3)
+    got = {r.id: r for r in models.scored(rows, "text", lambda: lambda texts: [[len(t) / 4, 1 - len(t) / 4] for t in texts], ["long", "short"], 7).collect()}
+    assert len(got) == 41 and all(r.p_long == (i % 5) / 4 and r.pred == ("long" if i % 5 >= 2 else "short") for i, r in got.items() if i < 40) and got[40].pred == "short"
+    train = spark.createDataFrame([(f"good fine text{i % 3}", 1.0) for i in range(20)] + [(f"bad poor text{i % 3}", 0.0) for i in range(20)], "text string, label double")
+    model, reg = models.grid_choice(train, train, "text", "label", 2, [0.01, 10.0])
+    out = model.transform(train.withColumn("class_weight", F.lit(1.0)))
+    assert reg in (0.01, 10.0) and out.filter("prediction = label").count() == 40
+    out = base.QUERIES["tfidf_baseline"](spark, SF).toPandas()
+    assert set(out.pred) <= {0, 1} and (out.truth == out.pred).mean() >= 0.5
+
+
+def test_corrections(spark):
+    from lectern.operators import review
+
+    ship(spark)
+    word = "episode string, segment long, text string, words array<struct<prob: double>>, confidence double"
+    segs = spark.createDataFrame([("e", 0, "a b c d", [(0.9,), (0.9,)], None), ("e", 1, "a b", [(0.1,)], 0.99), ("e", 2, "q", None, 0.2), ("e", 3, "z", None, None)], word)
+    routed = review.routed(segs, spark.createDataFrame([], "key string, corrected string"), 0.85)
+    assert {r.segment: r.route for r in routed.collect()} == {0: "pass", 1: "submit", 2: "submit", 3: "pass"}
+    done = routed.withColumn("corrected", F.when(F.col("segment") == 1, "a x y z").when(F.col("segment") == 2, "q").otherwise(F.col("corrected")))
+    assert tuple(review.correction_stats(done).first()) == (4, 2, 2, 2, 0.1875, 1, 1)
+
+
+def test_stream_windows(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df = spark.createDataFrame([(1, f"2024-01-01 00:{m:02d}:00", 1.0) for m in (1, 4, 11)] + [(1, "2024-01-01 05:00:00", 1.0)], "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(src)
+    sessions.write_once(sessions.windows(sessions.read_events(spark, src, df.schema), "user_id", "10 minutes", "5 minutes"), out, str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted((r.start.minute + 60 * r.start.hour, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 2), (5, 1), (10, 1), (23 * 60 + 55, 2)]
+
+
+def test_library_without_training_data(tmp_path):
+    """With the training-data folders and the pipeline gone, the other queries are there and import."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "lectern", tmp_path / "lectern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(o) <= set(q) and not any(n.startswith('op1_') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120)
