@@ -18,8 +18,8 @@ SIDE = "CASE {} % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral'
 WEAK = f"""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS k, l_partkey % 3 AS s, {TYPE.format('l_suppkey')} AS t, {SIDE.format('l_partkey')} AS p, round(l_discount * 10, 2) AS c FROM lineitem),
 o AS (SELECT o_orderkey AS id, lower(o_orderpriority) AS x, CASE o_orderkey % 4 WHEN 0 THEN 'non_evaluative' WHEN 1 THEN 'labelled' ELSE NULL END AS st FROM orders),
 v AS (SELECT l.id, k, CASE s WHEN 0 THEN 'low' WHEN 1 THEN 'urgent' ELSE 'high' END AS span, t, p, c, x FROM l JOIN o ON o.id = l.id), w AS (SELECT * FROM v WHERE t <> 'PLANET' AND p <> 'neutral' AND contains(x, span)),
-b AS (SELECT *, row_number() OVER (PARTITION BY id, span ORDER BY c DESC, k) AS r, min(t || p) OVER (PARTITION BY id, span) <> max(t || p) OVER (PARTITION BY id, span) AS u FROM w),
-g AS (SELECT id, count(*) FILTER (r = 1) AS n, bool_or(u) AS u, bool_or(r = 1 AND c < 0.85) AS low, string_agg(CASE WHEN r = 1 THEN span || ':' || t || ':' || p END, ',' ORDER BY k) AS labels FROM b GROUP BY 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY id, span ORDER BY c DESC, k, t, p) AS r, min(t || p) OVER (PARTITION BY id, span) <> max(t || p) OVER (PARTITION BY id, span) AS u FROM w),
+g AS (SELECT id, count(*) FILTER (r = 1) AS n, bool_or(u) AS u, bool_or(r = 1 AND c < 0.85) AS low, string_agg(CASE WHEN r = 1 THEN span || ':' || t || ':' || p END, ',' ORDER BY k, span, t, p) AS labels FROM b GROUP BY 1),
 z AS (SELECT o.id, coalesce(n, 0) AS n, coalesce(labels, '') AS labels, coalesce(u, false) AS u, coalesce(low, false) AS low, st, CASE WHEN n > 0 THEN 'labelled' WHEN st = 'non_evaluative' THEN st ELSE 'review_required' END AS status FROM o LEFT JOIN g ON g.id = o.id)"""
 
 
