@@ -71,15 +71,48 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
+    for scope in _scopes:
+        scope.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded():
+    """A list of the tables that written() makes inside."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+
+
+@contextmanager
+def scratch():
+    """Tables that written() makes inside are deleted at the end, but for those given to the function that this yields. What is returned must read only such."""
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    with recorded() as made:
+        yield keep
+    discard(*[t for t in made if not any(t is k for k in kept)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
+        if t._lectern_path is None:
+            continue
         sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(t._lectern_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        t._lectern_path = None
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, discard, distinct, mix, null_id, offsets32, over_texts, texts, window_hashes, with_rows, word_hashes, words, written
+from lectern.llm.common import LOWER, NULL_ID, U, bounded_batches, discard, distinct, mix, null_id, offsets32, over_texts, scratch, texts, window_hashes, with_rows, word_hashes, words, written
 
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 15
@@ -37,6 +37,10 @@ BLOCK_ROWS = 2048
 SKETCH_ROWS = 16_384
 #: Machine words of pairs compared in one step.
 PAIR_WORDS = 8192
+#: Pairs whose sets are compared before groups are joined by those that hold.
+CHECKED = 1024
+#: Machine words that the sets of a task's rows may take as bits; larger ones are compared pair by pair.
+SET_WORDS = 1 << 24
 #: Wide fingerprints, for similarities far from one.
 WIDE_BITS = 1024
 #: Smallest shingle hashes of a text that its blocks are chosen from.
@@ -229,60 +233,86 @@ def steps(keys: np.ndarray, planes: np.ndarray, parent: np.ndarray, most: int) -
         yield close_pairs(planes, np.array(held[0]), held[1], most)
 
 
-def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int], parent: np.ndarray | None = None, fresh=None) -> tuple[np.ndarray, np.ndarray]:
+def forest(keys: np.ndarray, fp: np.ndarray, radii: list[int], parent: np.ndarray | None = None, holds=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows that span the groups within the last radius; rows with equal keys stand together and are compared.
 
     Radii ascend, so that groups are joined by their closest pairs. parent: groups that are there before;
-    fresh(i, j): which pairs may join any.
+    holds(i, j): which pairs may join any; asked only of pairs whose groups are still apart.
     """
     parent = np.arange(len(keys)) if parent is None else parent
     planes = planes_of(fp)
     found: list[np.ndarray] = []
     for most in radii:
         for i, j in steps(keys, planes, parent, most):
-            if fresh:
-                may = fresh(i, j)
-                i, j = i[may], j[may]
             near = np.argsort(np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), kind="stable")
-            parent[:], new = joined(parent, i[near], j[near])
-            found += new
+            i, j = i[near], j[near]
+            for k in range(0, len(i), CHECKED if holds else max(1, len(i))):
+                a, b = (i[k : k + CHECKED], j[k : k + CHECKED]) if holds else (i, j)
+                if holds:
+                    apart = parent[a] != parent[b]
+                    a, b = a[apart], b[apart]
+                    good = holds(a, b)
+                    a, b = a[good], b[good]
+                parent[:], new = joined(parent, a, b)
+                found += new
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return pairs[0], pairs[1]
 
 
-def compared(blocks: DataFrame, radii: list[int], every: bool = False) -> DataFrame:
+class ShingleSets:
+    """Sets of shingles of a task's rows, of which pairs are compared exactly: a bit for each shingle that two rows have."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, similarity: float):
+        self.values, self.sizes, self.similarity = values, sizes.astype(np.int64), similarity
+        self.start = np.cumsum(self.sizes) - self.sizes
+        row = np.repeat(np.arange(len(sizes)), self.sizes)
+        _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+        shared = counts > 1
+        column = (np.cumsum(shared) - 1)[place]
+        width = (int(shared.sum()) + 63) // 64
+        self.bits = None
+        if len(sizes) * width <= SET_WORDS:
+            self.bits = np.zeros((len(sizes), width), np.uint64)
+            k = np.flatnonzero(shared[place])
+            np.bitwise_or.at(self.bits, (row[k], column[k] >> 6), U(1) << (column[k] & 63).astype(np.uint64))
+
+    def own(self, i: int) -> np.ndarray:
+        return self.values[self.start[i] : self.start[i] + self.sizes[i]]
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have the Jaccard similarity; two empty sets do."""
+        if self.bits is not None:
+            both = np.bitwise_count(self.bits[i] & self.bits[j]).sum(axis=1, dtype=np.int64)
+        else:
+            both = np.array([len(np.intersect1d(self.own(a), self.own(b), assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        every = self.sizes[i] + self.sizes[j] - both
+        return both >= self.similarity * every
+
+
+def compared(blocks: DataFrame, radii: list[int], similarity: float = 0.0) -> DataFrame:
     """(a, b): a spanning forest of the links inside each block; blocks: key long, id long, fp binary.
 
-    blocks may also have root long and failed array<long>: rows of one root are one group before, and a row's pairs with
-    the (larger) ids in failed are no links. every: all links between different groups instead of a forest.
+    blocks may also have root long and shingles array<long>: rows of one root are one group before, and only pairs whose sets have the similarity are links.
     """
     bounded_batches(blocks.sparkSession)
     known = "root" in blocks.columns
-    ordered = blocks.select("key", "id", "fp", *["root", "failed"] * known).repartition("key").sortWithinPartitions("key", "id")
+    ordered = blocks.select("key", "id", "fp", *["root", "shingles"] * known).repartition("key").sortWithinPartitions("key", "id")
 
-    def pairs(keys, ids, fp, root=None, owner=None, partner=None):
-        parent, fresh = None, None
+    def pairs(keys, ids, fp, root=None, values=None, sizes=None):
+        parent, holds = None, None
         if known:
-            names, place = np.unique(ids, return_inverse=True)
-            here = np.isin(partner, names)
-            bad = np.unique(np.searchsorted(names, owner[here]) * len(names) + np.searchsorted(names, partner[here]))
             _, first, back = np.unique(root, return_index=True, return_inverse=True)
-            parent = first[back]
-            fresh = lambda i, j: ~np.isin(np.minimum(place[i], place[j]) * len(names) + np.maximum(place[i], place[j]), bad)
-        if every:
-            parts = ((i[may], j[may]) for i, j in steps(keys, planes_of(fp), parent, radii[-1]) for may in [fresh(i, j)])
-        else:
-            parts = iter([forest(keys, fp, radii, parent, fresh)])
-        for i, j in parts:
-            lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+            parent, holds = first[back], ShingleSets(values, sizes, similarity).similar
+        i, j = forest(keys, fp, radii, parent, holds)
+        lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
     def part(batch, fp, a, b):
-        ids = batch.column(1).to_numpy()[a:b]
+        plain = batch.column(0).to_numpy()[a:b], batch.column(1).to_numpy()[a:b], fp[a:b]
         if not known:
-            return batch.column(0).to_numpy()[a:b], ids, fp[a:b]
-        failed = batch.column(4).slice(a, b - a)
-        return batch.column(0).to_numpy()[a:b], ids, fp[a:b], batch.column(3).to_numpy()[a:b], np.repeat(ids, failed.value_lengths().to_numpy()), failed.flatten().to_numpy()
+            return plain
+        sets = batch.column(4).slice(a, b - a)
+        return *plain, batch.column(3).to_numpy()[a:b], sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -360,7 +390,7 @@ def blocks_of_sketch(reps: DataFrame) -> DataFrame:
     passage that very many texts hold make none, unless nearly all of a text is made of such.
     A block of more than SKETCH_ROWS rows (near copies by the thousands) is cut into parts, and all pairs of parts are compared.
     """
-    more = [c for c in ("root", "failed") if c in reps.columns]
+    more = [c for c in ("root", "shingles") if c in reps.columns]
     each = reps.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     counts = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = each.join(counts, "key").groupBy("id").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
@@ -378,15 +408,32 @@ def blocks_of_sketch(reps: DataFrame) -> DataFrame:
     return rows.select("id", tile.alias("key")).join(reps.select("id", "fp", *more), "id").select("key", "id", "fp", *more)
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """(u, v) links of the same groups: what each task reads is joined there, and each id linked to the smallest of its group. Nothing is shuffled."""
+    bounded_batches(links.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+            parent, _ = joined(np.arange(len(names)), place[: len(u)], place[len(u) :])
+            k = np.flatnonzero(parent != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(names[parent[k]])], names=["u", "v"])
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): each linked id with the smallest id that links lead to, by alternating large and small stars."""
+    """(id, root): each linked id with the smallest id that links lead to, by alternating large and small stars over links that tasks have contracted."""
     e = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = state(e)
     while was[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        short = contracted(e)
+        both = short.unionByName(short.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         last, e = e, written(small, "links")
@@ -398,49 +445,45 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def verified(reps: DataFrame, blocks, radii: list[int], check) -> DataFrame:
-    """(id, root) of groups that links which hold connect; check(ids) gives a function from links (a, b) to those that hold.
+def rooted(links: DataFrame, roots: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(ra, rb): the roots of both ends of links; ids without a root are their own."""
+    x, y = roots.select(F.col("id").alias(a), F.col("root").alias("ra")), roots.select(F.col("id").alias(b), F.col("root").alias("rb"))
+    return links.join(x, a, "left").join(y, b, "left").select(F.coalesce("ra", a).alias("ra"), F.coalesce("rb", b).alias("rb"))
+
 
-    A forest may join two groups by a link that fails, where another one would hold. Where links have failed, what the
-    forests connect is compared again, its groups being those of verified links and failed links left out, until no
-    link within the last radius is left unchecked between two groups; once few links hold, all are listed.
+def verified(reps: DataFrame, blocks, radii: list[int], sets_of, similarity: float) -> DataFrame:
+    """(id, root) of groups that links which hold connect; sets_of(ids): their shingle sets.
+
+    A first forest joins whatever is within the last radius, and its links are checked by their sets, which settles nearly all. But it may join two groups
+    by a link that fails, where another one would hold. Groups at both ends of failed links are therefore compared again, with their sets
+    beside them, so that a task checks a pair before it joins groups; no pair that fails leaves it, and none that holds between two groups is passed over.
     """
     tried = written(compared(blocks(reps), radii).distinct(), "candidates")
-    holds = check(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct())
-    good = written(holds(tried), "verified")
-    failed = tried.join(good, ["a", "b"], "left_anti")
+    sets = sets_of(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct())
+    good = written(similar(sets, tried, similarity), "verified")
+    failed = written(tried.join(good, ["a", "b"], "left_anti"), "failed")
     found = components(good)
     if failed.isEmpty():
         return found
-    whole = components(tried)
-    whole = written(whole.unionByName(whole.select(F.col("root").alias("id"), "root").distinct()), "connected").withColumnRenamed("root", "whole")
-    every = False
-    while True:
-        now = whole.join(found, "id", "left").select("id", "whole", F.coalesce("root", "id").alias("root"))
-        parted = now.groupBy("whole").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("whole")
-        none = F.array().cast("array<long>")
-        known = now.join(parted, "whole", "left_semi").join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed")), "id", "left")
-        again = written(reps.join(known.select("id", "root", F.coalesce("failed", none).alias("failed")), "id"), "simhash-again")
-        tried = written(compared(blocks(again), radii, every).distinct(), "candidates")
-        n = tried.count()
-        if not n:
-            return found
-        new = written(holds(tried), "verified")
-        good, failed = good.unionByName(new), failed.unionByName(tried.join(new, ["a", "b"], "left_anti"))
-        found = components(good)
-        if every:
-            return found
-        every = 4 * new.count() < n
-
-
-def grouped(rows: DataFrame, blocks, radii: list[int], check=None) -> DataFrame:
+    ends = rooted(failed, found).filter("ra != rb")
+    roots = ends.select(F.col("ra").alias("root")).union(ends.select("rb")).distinct()
+    known = roots.select(F.col("root").alias("id"), "root").unionByName(found.join(roots, "root").select("id", "root"))
+    again = written(reps.join(known, "id").join(sets, "id"), "simhash-again")
+    new = written(compared(blocks(again), radii, similarity).distinct(), "verified")
+    # Only the groups' roots are linked now; all else keeps its place below its old root.
+    over = components(rooted(new, found).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = over.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return written(found.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(over), "groups").dropDuplicates(["id"])
+
+
+def grouped(rows: DataFrame, blocks, radii: list[int], sets_of=None, similarity: float = 0.0) -> DataFrame:
     """doc_id, fp and component_id of rows (doc_id, fp, and what blocks needs): equal fingerprints stand for one another.
 
-    check: as of verified(); without it all links hold.
+    sets_of, similarity: of verified(); without them all links hold.
     """
     others = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "fp")]
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), *others), "simhash-reps")
-    found = verified(reps, blocks, radii, check) if check else components(compared(blocks(reps), radii))
+    found = verified(reps, blocks, radii, sets_of, similarity) if sets_of else components(compared(blocks(reps), radii))
     named = reps.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "fp").join(named, "fp")
 
@@ -486,18 +529,14 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """
     held, row = with_rows(docs)
     plain = texts(held, row, text_col)
-    rows = written(wide_fingerprints(held, size, bits, row, text_col), "simhash-wide")
     levels = [radius(similarity + (1 - similarity) * x, bits, 0) for x in (0.7, 0.3)]
-
-    def check(ids):
-        sets = shingle_sets(plain, ids, size)
-        return lambda links: similar(sets, links, similarity)
-
-    groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], check).select(F.col("doc_id").alias("row"), "component_id")
-    # Of each group the row with the smallest id stays, and of several such rows the first; lone rows are no group.
-    shared = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
-    ids = held.select(held[row].alias("row"), F.coalesce(held[id_col].cast("long"), F.lit(NULL_ID)).alias("id"))
-    members = written(groups.join(shared, "component_id", "left_semi").join(ids, "row"), "simhash-members")
+    with scratch() as keep:
+        rows = written(wide_fingerprints(held, size, bits, row, text_col), "simhash-wide")
+        groups = grouped(rows, blocks_of_sketch, [*levels, radius(similarity, bits, 3)], lambda ids: shingle_sets(plain, ids, size), similarity).select(F.col("doc_id").alias("row"), "component_id")
+        # Of each group the row with the smallest id stays, and of several such rows the first; lone rows are no group.
+        shared = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
+        ids = held.select(held[row].alias("row"), F.coalesce(held[id_col].cast("long"), F.lit(NULL_ID)).alias("id"))
+        members = keep(written(groups.join(shared, "component_id", "left_semi").join(ids, "row"), "simhash-members"))
     first = members.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
     gone = members.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(row))
     return held.join(gone, row, "left_anti").select(*[held[c] for c in docs.columns])
