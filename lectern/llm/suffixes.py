@@ -36,8 +36,8 @@ SHARDS = 4
 STRINGS = 1 << 13
 #: Text of segments worked on at once in a shard.
 PART_BYTES = 2 << 20
-#: Segments of one anchor that may meet in a task.
-HOT_SEGMENTS = 4096
+#: Segments of one anchor that may meet in a task: 5 MB of text, and some 250 MB of numbers about it while they are sorted.
+HOT_SEGMENTS = 1 << 15
 
 
 class Segments:
