@@ -3,8 +3,8 @@
 Windows that are partly filled are counted by their fill level in an array. A piece goes to the level,
 or to a new window, whose choice makes the sum of squared counts least. A document longer than a window
 fills whole windows first, and its rest is placed. In the end a task fills its fullest open windows with what stands in the emptiest,
-cutting only the pieces moved, and the last tokens become windows of powers of two, which need no padding. The share of tokens
-that are moved falls with the documents of a task: about a third of them at 2,000 texts of 360 tokens on average, a twentieth at 16,000.
+cutting only the pieces moved, and the last tokens become windows of powers of two, which need no padding. Of 2,000 texts of the test tables
+46 % of tokens are in open windows then and 0.8 % are moved, of 8,000 texts 11 % and 0.2 %.
 
 A text is tokenised word by word: each distinct word is encoded once while it stays in a bounded cache. That is right only for
 tokenizers that never join what white space parts; others are refused when they are loaded.
