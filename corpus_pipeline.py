@@ -8,6 +8,7 @@ working tables go then.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from lectern.llm import decontaminate, packing, quality, simhash, substrings
 from lectern.llm.common import discard, recorded, written
 
-_working: list[DataFrame] = []
+#: Working tables of the stage before, in this thread.
+_working: ContextVar[tuple[DataFrame, ...]] = ContextVar("working", default=())
 
 
 def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -24,12 +26,13 @@ def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(*[t for t in _working if t.sparkSession.sparkContext is spark.sparkContext])
-        _working.clear()
+        discard(*[t for t in _working.get() if t.sparkSession.sparkContext is spark.sparkContext])
+        _working.set(())
         with recorded() as made:
-            out = fn(spark, docs, sf_dir)
-        _working.extend(made)
-        return out
+            try:
+                return fn(spark, docs, sf_dir)
+            finally:
+                _working.set(tuple(made))
 
     return run
 

@@ -10,9 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,18 +52,29 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
+_settings: dict[tuple, list] = {}
+_changing = Lock()
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for as long as the block lasts."""
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+    """A session setting for as long as the block lasts, or another thread's block with the same one."""
+    name = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), key)
+    with _changing:
+        held = _settings.setdefault(name, [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if was is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, was)
+        with _changing:
+            held[0] -= 1
+            if not held[0]:
+                del _settings[name]
+                if held[1] is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, held[1])
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -71,28 +85,29 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+#: Lists that written() adds its tables to: those of this thread (or task of asyncio) alone.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def recorded():
-    """A list of the tables that written() makes inside."""
+    """A list of the tables that written() makes inside, in this thread."""
     made: list[DataFrame] = []
-    _scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes[:] = [s for s in _scopes if s is not made]
+        _scopes.reset(token)
 
 
 @contextmanager
 def scratch():
-    """Tables that written() makes inside are deleted at the end, but for those given to the function that this yields. What is returned must read only such."""
+    """Tables that written() makes inside are deleted at the end, also if it fails, but for those given to the function that this yields. What is returned must read only such."""
     kept: list[DataFrame] = []
 
     def keep(table: DataFrame) -> DataFrame:
@@ -100,8 +115,10 @@ def scratch():
         return table
 
     with recorded() as made:
-        yield keep
-    discard(*[t for t in made if not any(t is k for k in kept)])
+        try:
+            yield keep
+        finally:
+            discard(*[t for t in made if not any(t is k for k in kept)])
 
 
 def discard(*tables: DataFrame) -> None:
@@ -224,6 +241,10 @@ class Powers:
         return cls.up, cls.down
 
 
+#: Seed of the hashes of words.
+WORD_SEED = 0x5EED_0F_3047
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all."""
     x = x ^ (x >> U(32))
@@ -247,10 +268,23 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (sums[ends] - sums[starts]) * down[starts]
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each word among the distinct ones, these), told apart by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    flat = data[np.cumsum(inside, dtype=np.int8)[:-1].view(bool)]
+    each = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets32(ends - starts)), pa.py_buffer(flat)]).dictionary_encode()
+    return each.indices.to_numpy(), each.dictionary.to_pylist()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; two different words meet with a chance of 2^-64."""
-    raw = span_hashes(prefix_sums(BYTE_VALUE[data]), starts, ends)
-    return mix(raw + (ends - starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+    """XXH64 of each word; two different words meet with a chance of 2^-64. starts and ends ascend."""
+    number, found = distinct_words(data, starts, ends)
+    h = xxhash.xxh64_intdigest
+    return np.array([h(w, WORD_SEED) for w in found], np.uint64)[number] if found else np.zeros(0, np.uint64)
 
 
 def window_hashes(values: np.ndarray, size: int) -> np.ndarray:

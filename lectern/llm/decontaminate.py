@@ -124,7 +124,8 @@ def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> T
         for k in np.flatnonzero(~new).tolist():
             a, b = int(at[head[np.searchsorted(head, k, side="right") - 1]]), int(at[k])
             if any(text[s[a + x] : e[a + x]] != text[s[b + x] : e[b + x]] for x in range(size)):
-                raise RuntimeError("two patterns share a hash")
+                new[k] = True  # another pattern with the same hash
+        head = np.flatnonzero(new)
         pattern = np.cumsum(new) - 1
         once = np.append(True, (np.diff(pattern) != 0) | (np.diff(of) != 0))
         begin = np.append(np.searchsorted(pattern[once], np.arange(len(head))), once.sum())

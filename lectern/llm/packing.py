@@ -15,6 +15,7 @@ ids may be null; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import CHUNK, U, bounded_batches, buffers, offsets32, word_hashes, words
+from lectern.llm.common import CHUNK, bounded_batches, buffers, distinct_words, offsets32, words
 
 WINDOW = 4096
 END = 2
@@ -34,6 +35,8 @@ END = 2
 CACHE_WORDS = 3_000_000
 #: Words in one call of the tokenizer.
 STEP = 20_000
+#: Longer words are kept by their SHA-256, behind which stands a byte that no word has.
+KEY_BYTES, KEY_TAG = 64, b" "
 
 
 class WordIds:
@@ -51,7 +54,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of words
+        self.places: dict[bytes, int] = {}  # of words, or of the SHA-256 of longer ones
         self.starts, self.lengths, self.chunks = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
@@ -64,22 +67,25 @@ class WordIds:
         size = self.lengths[keep].astype(np.int64)
         to = offsets32(size)
         self.pool = self.pool[np.repeat(self.starts[keep] - to[:-1], size) + np.arange(to[-1])]
-        self.keys, self.lengths, self.chunks = self.keys[keep], self.lengths[keep], np.ones(len(keep), np.int32)
+        now = np.full(len(self.starts), -1)
+        now[keep] = np.arange(len(keep))
+        now = now.tolist()
+        self.places = {k: now[p] for k, p in self.places.items() if now[p] >= 0}
+        self.lengths, self.chunks = self.lengths[keep], np.ones(len(keep), np.int32)
         self.starts, self.used = to[:-1], int(to[-1])
 
-    def add(self, hashes: np.ndarray, found: list[bytes]) -> None:
-        """Encode words that aren't kept yet; hashes: theirs, sorted."""
+    def add(self, keys: list[bytes], found: list[bytes]) -> None:
+        """Encode words that aren't kept yet."""
         made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         total = int(sizes.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
-        at = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, at, hashes)
-        self.starts = np.insert(self.starts, at, self.used + offsets32(sizes)[:-1])
-        self.lengths = np.insert(self.lengths, at, sizes)
-        self.chunks = np.insert(self.chunks, at, 0)
+        self.places.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True))
+        self.starts = np.append(self.starts, self.used + offsets32(sizes)[:-1])
+        self.lengths = np.append(self.lengths, sizes)
+        self.chunks = np.append(self.chunks, np.zeros(len(keys), np.int32))
         self.used += total
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -88,15 +94,14 @@ class WordIds:
         ends = np.full(1, END, np.int32)
         if not len(s):
             return [ends] * (len(bounds) - 1)
-        uniq, at, back = np.unique(word_hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.keys) + len(uniq) > CACHE_WORDS:
+        back, found = distinct_words(data, s, e)
+        keys = [w if len(w) <= KEY_BYTES else hashlib.sha256(w).digest() + KEY_TAG for w in found]
+        if len(self.places) + len(keys) > CACHE_WORDS:
             self.trim()
-        place = np.searchsorted(self.keys, uniq)
-        new = np.flatnonzero(np.append(self.keys, U(0))[place] != uniq if len(self.keys) else np.ones(len(uniq), bool))
+        new = [k for k, key in enumerate(keys) if key not in self.places]
         for i in range(0, len(new), STEP):
-            k = new[i : i + STEP]
-            self.add(uniq[k], [data[a:b].tobytes() for a, b in zip(s[at[k]].tolist(), e[at[k]].tolist(), strict=True)])
-        place = np.searchsorted(self.keys, uniq)
+            self.add([keys[k] for k in new[i : i + STEP]], [found[k] for k in new[i : i + STEP]])
+        place = np.fromiter((self.places[k] for k in keys), np.int64, len(keys))
         self.chunks[place] += 1
         word = place[back]
         size = self.lengths[word].astype(np.int64)

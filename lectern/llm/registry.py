@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, licenses, lm, packing, quality, simhash, substrings, suffixes, toxicity, warc
+from lectern.llm import chosenpath, decontaminate, licenses, lm, packing, quality, ranking, simhash, substrings, suffixes, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
+    "op11_ranking": op11_ranking,
+    "op12_chosenpath": op12_chosenpath,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -70,4 +85,6 @@ ORACLES = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op11_ranking": ranking.ORACLE,
+    "op12_chosenpath": chosenpath.ORACLE,
 }
