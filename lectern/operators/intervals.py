@@ -116,7 +116,9 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], widt
     line = points.select("episode", *key, "at", F.lit(1).alias("kind"), none.alias("over"), none.alias("next")).unionByName(ends).unionByName(begins)
     by = Window.partitionBy("episode").orderBy("at", "kind", F.col("over.start").desc(), F.col("over.who").desc(), "next.who")
     line = line.withColumn("over", F.last("over", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("next", F.first("next", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))).filter("kind = 1")
+    # The following start is what comes last in the opposite order: a frame that grows costs one step a row, one that shrinks all that is left.
+    back = Window.partitionBy("episode").orderBy(F.desc("at"), F.desc("kind"), F.col("over.start"), F.col("over.who"), F.desc("next.who"))
+    line = line.withColumn("next", F.last("next", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).filter("kind = 1")
     near = F.when(F.col("next").isNull() | (F.col("at") - F.col("over.end") <= F.col("next.start") - F.col("at")), F.col("over.who")).otherwise(F.col("next.who"))
     out = line.select("episode", *key, near.alias("_near")).join(held, ["episode", *key], "left")
     return out.select("episode", *key, F.coalesce("_held", "_near").alias("speaker_id"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import postings as P
 from lectern.operators import search as S
 from lectern.operators.sequences import neighbours
 from lectern.plans.base import query
 from lectern.plans.catalog import UTT, table, utterances
 from lectern.plans.text_queries import NORMAL
+from lectern.session import fingerprint
 
 WORDS2 = "of the"
 BASE = f"WITH n AS (SELECT doc_id, source, lang, {NORMAL} AS t FROM documents), k AS (SELECT *, string_split(t, ' ') AS ts FROM n)"
@@ -48,6 +50,71 @@ def search_smart_lexical(spark, sf):
     return rows.select("doc_id", "source", "lang", "score").orderBy(F.col("score").desc(), "source", "lang", "doc_id").limit(20)
 
 
+# An index of the turns: seven collections of episodes, with targets on every fourth turn.
+IDX = "WITH " + UTT + r""", x AS (SELECT 'c' || episode % 7 AS collection, episode, turn, 'c' || episode % 7 || '::' || episode AS global_episode, 'c' || episode % 7 || '::' || episode || '::u' || turn AS key, speaker_id, start_sec, end_sec, text,
+  coalesce(lag(text) OVER w, '') AS previous_text, coalesce(lead(text) OVER w, '') AS next_text FROM utt WINDOW w AS (PARTITION BY episode ORDER BY start_sec)),
+""" + f"n AS (SELECT *, {NORMAL} AS t FROM x), k AS (SELECT *, string_split(t, ' ') AS ts FROM n)"
+
+
+def indexed(spark, sf):
+    u = utterances(spark, sf)
+    label = F.array(F.struct(F.lit("MARKET").alias("target_type"), F.when(F.col("turn") % 8 == 0, "positive").alias("polarity")))
+    u = u.select(F.concat(F.lit("c"), F.col("episode") % 7).alias("collection"), "episode", F.concat(F.lit("u"), "turn").alias("utterance_id"), "turn", "speaker_id", "start_sec", "end_sec", "text", F.when(F.col("turn") % 4 == 0, label).alias("targets"))
+    return S.index(u)
+
+
+# The same searches by a stored index: postings of the query's words are read, and texts of the hits.
+
+
+def documents_index(spark, sf):
+    docs = table(spark, sf, "documents")
+    return P.indexed(docs.select("doc_id", "source", "lang", "text"), f"documents-{fingerprint(docs)}", ["source", "lang", "doc_id"])
+
+
+def turns_index(spark, sf):
+    rows = indexed(spark, sf).select("collection", "episode", "start_sec", "key", "speaker_id", "text")
+    return P.indexed(rows, f"turns-{fingerprint(table(spark, sf, 'conversations'))}", ["collection", "episode", "start_sec", "key"])
+
+
+def by_index(spark, sf, q, method):
+    hits = P.search(documents_index(spark, sf), S.normal_query(spark, q), method, columns=["doc_id", "source", "lang"])
+    return hits.select("doc_id", "source", "lang", F.round("score", 6).alias("score"))
+
+
+@query("index_vocabulary", BASE + ", w AS (SELECT doc_id, unnest(ts) AS token FROM k WHERE t <> '') SELECT token, count(DISTINCT doc_id) AS n_rows, count(*) AS n_words FROM w GROUP BY token")
+def index_vocabulary(spark, sf):
+    """Builds the index of documents, where it isn't there yet, and gives its tokens with their rows and places."""
+    return documents_index(spark, sf).table("vocabulary").select("token", "n_rows", "n_words")
+
+
+@query("indexed_exact", BASE + " SELECT doc_id, source, lang, 1.0::DOUBLE AS score FROM k WHERE contains(t, 'of the')" + TOP)
+def indexed_exact(spark, sf):
+    return by_index(spark, sf, WORDS2, "exact")
+
+
+@query("indexed_all_words", BASE + " SELECT doc_id, source, lang, CASE WHEN contains(t, 'of the') THEN 0.96 ELSE 0.88 END::DOUBLE AS score FROM k WHERE list_contains(ts, 'of') AND list_contains(ts, 'the')" + TOP)
+def indexed_all_words(spark, sf):
+    return by_index(spark, sf, WORDS2, "all words")
+
+
+@query("indexed_any_word", BASE + " SELECT doc_id, source, lang, round(0.65 + 0.30 * (list_contains(ts, 'of')::INT + list_contains(ts, 'une')::INT) / 2.0, 6)::DOUBLE AS score FROM k WHERE list_contains(ts, 'of') OR list_contains(ts, 'une')" + TOP)
+def indexed_any_word(spark, sf):
+    return by_index(spark, sf, "of une", "any word")
+
+
+@query("indexed_smart", BASE + """, s AS (SELECT doc_id, source, lang, CASE WHEN contains(t, 'the of') THEN 1.0 WHEN list_contains(ts, 'the') AND list_contains(ts, 'of') THEN 0.9
+  WHEN list_contains(ts, 'the') OR list_contains(ts, 'of') THEN 0.7 END::DOUBLE AS score FROM k)
+SELECT * FROM s WHERE score >= 0.55""" + TOP)
+def indexed_smart(spark, sf):
+    return by_index(spark, sf, "the of", "smart")
+
+
+@query("indexed_sentence", IDX + " SELECT key FROM k WHERE contains(t, 'la') AND speaker_id >= 0 ORDER BY collection, episode, start_sec, key LIMIT 1000")
+def indexed_sentence(spark, sf):
+    """Part of a word, found through the vocabulary, in turns of known speakers. The first thousand hits: a top-k."""
+    return P.search(turns_index(spark, sf), "la", "exact", top_k=1000, query_type="Sentence", where=F.col("speaker_id") >= 0, columns=["key"]).select("key")
+
+
 def _turns(spark, sf):
     u = utterances(spark, sf)
     return u.select(F.concat_ws(":", "episode", "turn").alias("key"), "text")
@@ -77,19 +144,6 @@ def search_semantic(spark, sf):
     return S.semantic(table(spark, sf, "embeddings"), "embedding", PROBE).select("vec_id", F.round("semantic", 6).alias("semantic"))
 
 
-# An index of the turns: seven collections of episodes, with targets on every fourth turn.
-IDX = "WITH " + UTT + r""", x AS (SELECT 'c' || episode % 7 AS collection, episode, turn, 'c' || episode % 7 || '::' || episode AS global_episode, 'c' || episode % 7 || '::' || episode || '::u' || turn AS key, speaker_id, start_sec, end_sec, text,
-  coalesce(lag(text) OVER w, '') AS previous_text, coalesce(lead(text) OVER w, '') AS next_text FROM utt WINDOW w AS (PARTITION BY episode ORDER BY start_sec)),
-""" + f"n AS (SELECT *, {NORMAL} AS t FROM x), k AS (SELECT *, string_split(t, ' ') AS ts FROM n)"
-
-
-def indexed(spark, sf):
-    u = utterances(spark, sf)
-    label = F.array(F.struct(F.lit("MARKET").alias("target_type"), F.when(F.col("turn") % 8 == 0, "positive").alias("polarity")))
-    u = u.select(F.concat(F.lit("c"), F.col("episode") % 7).alias("collection"), "episode", F.concat(F.lit("u"), "turn").alias("utterance_id"), "turn", "speaker_id", "start_sec", "end_sec", "text", F.when(F.col("turn") % 4 == 0, label).alias("targets"))
-    return S.index(u)
-
-
 @query("search_index", IDX + r"""
 , s AS (SELECT *, round(0.65 + 0.30 * (list_contains(ts, 'de')::INT + list_contains(ts, 'la')::INT) / 2.0, 6)::DOUBLE AS score FROM k WHERE speaker_id = 1 AND collection = 'c3' AND (list_contains(ts, 'de') OR list_contains(ts, 'la')))
 SELECT row_number() OVER (ORDER BY score DESC, collection, episode, start_sec, key) AS rank, key, score, 'any word' AS match_type,
