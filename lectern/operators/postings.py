@@ -17,11 +17,11 @@ A file written last says that an index is whole; a folder without it is built an
 from __future__ import annotations
 
 import json
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions.text import normalize_text, tokens
 from lectern.operators.search import ALL_WORDS, ANY_WORD, PER_WORD, PHRASE, SMART_ALL, SMART_ANY
@@ -34,20 +34,23 @@ MOST_LITERALS = 10_000
 #: Files of the index hold groups of this size, so that one token's rows are few groups of a shelf.
 GROUP_BYTES = 8 << 20
 DONE = "index.json"
+SCHEMAS = {"postings": "token string, row long, place int, shelf int", "vocabulary": "token string, n_rows long, n_words long"}
 
 
 @dataclass
 class Index:
-    """A stored index: its folder, and what its file says: shelves, columns of the rows, numbers of rows and words."""
+    """A stored index: its folder, and what its file says: shelves, numbers of rows and words, and the schema of the rows (as JSON)."""
 
     spark: SparkSession
     path: str
     shelves: int
     rows: int
     words: int
+    schema: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        kind = StructType.fromJson(json.loads(self.schema)) if name == "rows" else SCHEMAS[name]
+        return self.spark.read.schema(kind).parquet(f"{self.path}/{name}")
 
     def shelf(self, token: Column) -> Column:
         return F.pmod(F.xxhash64(token), F.lit(self.shelves)).cast("int")
@@ -81,21 +84,21 @@ def build(rows: DataFrame, path: str, order: list[str], text: str = "text") -> I
     if exists(spark, path):
         delete(spark, path)
     numbered = rows.orderBy(*order).withColumn("row", F.monotonically_increasing_id())
-    numbered.withColumn("block", F.shiftright("row", 33).cast("int")).write.partitionBy("block").parquet(f"{path}/rows")
-    stored = spark.read.parquet(f"{path}/rows")
+    numbered = numbered.withColumn("block", F.shiftright("row", 33).cast("int"))
+    numbered.write.partitionBy("block").parquet(f"{path}/rows")
+    index = Index(spark, path, 0, 0, 0, numbered.schema.json())
+    stored = index.table("rows")
     size = stored.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
-    shelves = int(min(MOST_SHELVES, max(LEAST_SHELVES, size[0] // SHELF_BYTES)))
-    index = Index(spark, path, shelves, size[1], 0)
+    index.rows, index.shelves = size[1], int(min(MOST_SHELVES, max(LEAST_SHELVES, size[0] // SHELF_BYTES)))
     words = stored.select("row", "block", F.posexplode(tokens(normalize_text(F.col(text)))).alias("place", "token")).withColumn("shelf", index.shelf(F.col("token")))
     # Each block of rows goes to a few tasks that have some shelves of it, so that a token that all rows have is dealt out like any other.
-    parts = max(1, shelves // 16)
+    parts = max(1, index.shelves // 16)
     dealt = words.repartition("block", F.pmod("shelf", F.lit(parts))).sortWithinPartitions("shelf", "token", "row", "place").select("token", "row", "place", "shelf")
     dealt.write.partitionBy("shelf").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(f"{path}/postings")
-    postings = spark.read.schema("token string, row long, place int, shelf int").parquet(f"{path}/postings")
-    by_row = postings.groupBy("token", "row").agg(F.count("*").alias("n"))
+    by_row = index.table("postings").groupBy("token", "row").agg(F.count("*").alias("n"))
     by_row.groupBy("token").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_words")).write.parquet(f"{path}/vocabulary")
     index.words = index.table("vocabulary").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    write_text(spark, f"{path}/{DONE}", json.dumps({"shelves": shelves, "rows": index.rows, "words": index.words, "built": time.time()}))
+    write_text(spark, f"{path}/{DONE}", json.dumps({"shelves": index.shelves, "rows": index.rows, "words": index.words, "schema": index.schema}))
     return index
 
 
@@ -104,7 +107,7 @@ def opened(spark: SparkSession, path: str) -> Index | None:
     if not exists(spark, f"{path}/{DONE}"):
         return None
     said = json.loads(read_text(spark, f"{path}/{DONE}"))
-    return Index(spark, path, said["shelves"], said["rows"], said["words"])
+    return Index(spark, path, said["shelves"], said["rows"], said["words"], said["schema"])
 
 
 def indexed(rows: DataFrame, name: str, order: list[str], text: str = "text") -> Index:

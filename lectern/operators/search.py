@@ -10,11 +10,13 @@ from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_text, speaker_label, time_range, tokens
+from lectern.session import stored
 
 #: More methods: from (normalised text, its tokens, query, query tokens) to a score column.
 METHODS: dict[str, Callable[[Column, Column, str, list[str]], Column]] = {}
@@ -51,37 +53,87 @@ def any_word(t: Column, ts: Column, q: str, words: list[str]) -> Column:
     return F.when(r > 0, ANY_WORD + PER_WORD * r).otherwise(0.0)
 
 
-def fuzzy_score(q: str, t: str) -> float:
-    """Best similarity ratio of the query with the text and with windows of two words less to three words more than it has.
+def common_subsequences(masks: np.ndarray, begin: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """Lengths of the longest common subsequences of a query of `size` characters with windows of a text, all at once.
 
-    A window can't match better than its characters allow, whatever their order; that bound is kept up as the window slides, and only
-    windows that may win are compared.
+    masks: for each character of the text, where the query has it, as bits; one addition carries a match along for each character of a window.
     """
-    best = SequenceMatcher(None, q, t).ratio()
+    order = np.argsort(-length, kind="stable")
+    at, left = begin[order], length[order]
+    state = np.full(len(order), ~np.uint64(0))
+    for p in range(int(left[0]) if len(left) else 0):
+        live = int(np.searchsorted(-left, -p, side="left"))  # windows longer than p come first
+        v = state[:live]
+        u = v & masks[at[:live] + p]
+        state[:live] = (v + u) | (v - u)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.bitwise_count(~state & np.uint64((1 << size) - 1))
+    return out
+
+
+def fuzzy_score(q: str, t: str, least: float = 0.0) -> float:
+    """Best similarity ratio of the query with the text and with windows of two words less to three words more than it has; exact if at least `least`.
+
+    Matching blocks stand in order, so that no ratio is beyond what the longest common subsequence allows. That bound is computed for all
+    windows at once (of a query of up to 64 characters), and they are compared from the largest bound down, while it is beyond the best.
+    """
+    limit = lambda n: 2 * min(len(q), n) / (len(q) + n) if len(q) + n else 1.0
+    best = SequenceMatcher(None, q, t).ratio() if limit(len(t)) >= least else 0.0
     words, width = t.split(), len(q.split())
-    need = Counter(q)
-    inside = [sum((Counter(w) & need).values()) for w in words]
-    spaces = need[" "]
-    windows = []
-    for size in range(max(1, width - 2), min(len(words), width + 3) + 1):
-        length, common = sum(map(len, words[:size])) + size - 1, sum(inside[:size])
-        for i in range(len(words) - size + 1):
-            if i:
-                length += len(words[i + size - 1]) - len(words[i - 1])
-                common += inside[i + size - 1] - inside[i - 1]
-            most = min(common + min(spaces, size - 1), len(q), length)
-            windows.append((2 * most / (len(q) + length) if length or q else 1.0, i, size))
-    for bound, i, size in sorted(windows, key=lambda w: -w[0]):
-        if bound <= best:
+    if not words:
+        return best
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    flat = " ".join(words)
+    sizes = [k for k in range(max(1, width - 2), min(len(words), width + 3) + 1)]
+    begin = np.concatenate([starts[: len(words) - k + 1] for k in sizes] or [starts[:0]])
+    length = np.concatenate([ends[k - 1 :] for k in sizes] or [ends[:0]]) - begin
+    bounds = 2 * np.minimum(length, len(q)) / (len(q) + length)
+    some = np.flatnonzero(bounds >= max(best, least))
+    begin, length, bounds = begin[some], length[some], bounds[some]
+    if 0 < len(q) <= 64 and len(begin):
+        letters = {c: sum(1 << k for k, x in enumerate(q) if x == c) for c in set(q)}
+        codes = np.array(sorted(map(ord, letters)), np.uint32)
+        of = np.array([letters[chr(c)] for c in codes.tolist()], np.uint64)
+        text = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+        k = np.minimum(np.searchsorted(codes, text), len(codes) - 1)
+        lcs = common_subsequences(np.where(codes[k] == text, of[k], np.uint64(0)), begin, length, len(q))
+        bounds = 2 * lcs / (len(q) + length)
+    for k in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[k] <= best or bounds[k] < least:
             break
-        best = max(best, SequenceMatcher(None, q, " ".join(words[i : i + size])).ratio())
+        best = max(best, SequenceMatcher(None, q, flat[begin[k] : begin[k] + length[k]]).ratio())
     return best
 
 
-def fuzzy(t: Column, ts: Column, q: str, words: list[str]) -> Column:
+def fuzzy_slack(t: Column, ts: Column, q: str, least: float | Column) -> Column:
+    """At least 0 where fuzzy_score(q, t) may reach `least`; the larger, the more it may. Native, from counts of characters.
+
+    A ratio is twice the matched characters by all, and no more match than both have of a character, in whatever order. So each token of a window
+    adds 2 * common - least * length, and no window of up to three words more than the query reaches `least` if the gains
+    of its tokens, without the losses, don't; the whole text is bounded likewise.
+    """
+    s = least if isinstance(least, Column) else F.lit(float(least))
+    need, width = Counter(q), len(q.split()) + 3
+    spaces = need[" "]
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    common = lambda x, chars: sum((F.least(count(x, c), F.lit(n)) for c, n in chars), F.lit(0))
+    letters = sorted((c, n) for c, n in need.items() if c != " ")
+    gains = F.transform(ts, lambda w: F.greatest(F.lit(0.0), 2 * common(w, letters) - s * F.length(w)))
+    between = F.greatest(*[F.lit(2.0 * min(spaces, m)) - s * m for m in range(width)])
+    # The gains stand in an array once; each window is a slice of it.
+    best = F.transform(F.array(gains), lambda g: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g))), lambda i: F.aggregate(F.slice(g, i, width), F.lit(0.0), lambda a, x: a + x))))[0]
+    window = best + between - s * len(q)
+    whole = F.when(s * (F.length(t) + len(q)) <= 2 * len(q), 2.0 * common(t, sorted(need.items())) - s * (F.length(t) + len(q))).otherwise(-1.0)
+    return F.greatest(window, whole) + 1e-9
+
+
+def fuzzy(t: Column, ts: Column, q: str, words: list[str], least: float = 0.0) -> Column:
+    """fuzzy_score of each text, right where it is at least `least`; null for null."""
+
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: fuzzy_score(q, x or ""))
+        return s.map(lambda x: None if x is None else fuzzy_score(q, x, least))
 
     return score(t)
 
@@ -95,6 +147,22 @@ def smart_lexical(t: Column, ts: Column, q: str, words: list[str]) -> Column:
     return F.when(hit, 1.0).when(F.size(F.array_except(literal(words), ts)) == 0, SMART_ALL).when(r > 0, SMART_ANY + PER_WORD * r)
 
 
+#: Searches for more hits than this don't look for the k-th best first.
+MOST_FIRST = 10_000
+
+
+def with_slack(rows: DataFrame, q: str, least: float) -> DataFrame:
+    """Rows (with _t, their normal form) that may reach `least` by fuzzy comparison, with _slack."""
+    t = F.col("_t")
+    return rows.select("*", F.inline(F.filter(F.array(F.struct(fuzzy_slack(t, tokens(t), q, least).alias("_slack"))), lambda x: x["_slack"] >= 0)))
+
+
+def with_open(rows: DataFrame, wanted: Column, q: str, least: Column) -> DataFrame:
+    """Rows with _open: their text where it is wanted and may reach `least` by fuzzy comparison, else null, which needs none."""
+    t = F.col("_t")
+    return rows.select("*", F.inline(F.array(F.struct(F.when(wanted & (fuzzy_slack(t, tokens(t), q, least) >= 0), t).alias("_open")))))
+
+
 METHODS.update({"exact": exact, "all words": all_words, "any word": any_word, "fuzzy": fuzzy})
 
 
@@ -129,18 +197,34 @@ def search(rows: DataFrame, q: str, method: str = "smart", least: float = 0.55,
     if name == "exact" and query_type.lower() == "sentence":
         out = kept(base, F.when(t.contains(q), 1.0).otherwise(0.0), F.lit(name), max(least, 1e-9))
     elif name == "fuzzy":
-        out = kept(base.withColumn("_f", fuzzy(t, t, q, words)), F.col("_f"), F.lit(name), max(least, 1e-9)).drop("_f")
+        near = stored(with_slack(base, q, max(least, 1e-9)), "fuzzy")
+        # The k-th best of those that may score most bounds what the others must reach.
+        first = near.orderBy(F.desc("_slack")).limit(4 * max(1, top_k)).select(fuzzy(t, t, q, words, least).alias("s")).orderBy(F.desc("s")).limit(max(1, top_k)).collect() if top_k <= MOST_FIRST else []
+        kth = first[-1].s if len(first) == max(1, top_k) else 0.0
+        if kth > least:
+            near = with_slack(near.drop("_slack"), q, kth)
+        out = kept(near.withColumn("_f", fuzzy(t, t, q, words, max(least, kth))), F.col("_f"), F.lit(name), max(least, 1e-9)).drop("_f", "_slack")
     elif name in METHODS:
         out = kept(base, with_tokens(t, lambda ts: METHODS[name](t, ts, q, words)), F.lit(name), max(least, 1e-9))
     else:
         base = base.select("*", F.inline(F.array(F.struct(with_tokens(t, lambda ts: smart_lexical(t, ts, q, words)).alias("_s")))))
         settled = base.filter(F.col("_s") >= SMART_ALL)
         settled = kept(settled, F.col("_s"), F.when(F.col("_s") == 1, "exact").otherwise("all words"), least)
-        open_ = base.filter(F.coalesce("_s", F.lit(0.0)) < SMART_ALL)
-        open_ = open_.withColumn("_f", FUZZY_SHARE * fuzzy(t, t, q, words))
+        if top_k <= MOST_FIRST:
+            settled = stored(settled.drop("_t", "_s").orderBy(F.desc("score"), *(order or [])).limit(max(1, top_k)), "settled")
+            kth = settled.agg(F.when(F.count("*") >= top_k, F.min("score"))).first()[0] or 0.0
+        else:
+            settled, kth = settled.drop("_t", "_s"), 0.0
+        if kth > FUZZY_SHARE:  # no other row can come before these
+            return settled.orderBy(F.col("score").desc(), *(order or [])).limit(max(1, top_k))
+        lexical = F.coalesce("_s", F.lit(0.0))
+        open_ = base.filter(lexical < SMART_ALL)
+        reach = F.greatest(F.lit(max(least, kth, 1e-9)), lexical) / FUZZY_SHARE
+        open_ = with_open(open_, F.lit(True), q, reach).filter(((lexical >= max(least, kth)) & (lexical > 0)) | F.col("_open").isNotNull())
+        open_ = open_.withColumn("_f", FUZZY_SHARE * fuzzy(F.col("_open"), t, q, words, max(least, kth) / FUZZY_SHARE - 1e-9))
         kind = F.when(F.col("_s").isNotNull(), "lexical").otherwise("fuzzy")
-        open_ = kept(open_, F.greatest(F.coalesce("_s", F.lit(0.0)), F.col("_f")), kind, least).drop("_f")
-        out = settled.unionByName(open_).drop("_s")
+        open_ = kept(open_, F.greatest(lexical, F.coalesce("_f", F.lit(0.0))), kind, least).drop("_f", "_open", "_t", "_s")
+        return settled.unionByName(open_).orderBy(F.col("score").desc(), *(order or [])).limit(max(1, top_k))
     return out.drop("_t").orderBy(F.col("score").desc(), *(order or [])).limit(max(1, top_k))
 
 
@@ -189,11 +273,15 @@ def find(
         lexical = scoped.select("*", F.lit(0.0).alias("lexical_score"))
         if name == "hybrid":
             words, t = q.split(), F.col("_t")
-            base = scoped.withColumn("_t", normalize_text(F.col("text"))).withColumn("_f", FUZZY_SHARE * fuzzy(F.col("_t"), F.col("_t"), q, words))
+            base = scoped.withColumn("_t", normalize_text(F.col("text")))
             native = with_tokens(t, lambda ts: smart_lexical(t, ts, q, words))
-            one = F.array(F.struct(native.alias("_s")))
-            score = F.when(F.col("_s") >= SMART_ALL, F.col("_s")).otherwise(F.greatest(F.coalesce("_s", F.lit(0.0)), F.col("_f")))
-            lexical = base.select("*", F.inline(one)).withColumn("lexical_score", F.when(t == "", 0.0).otherwise(score)).drop("_t", "_f", "_s")
+            base = base.select("*", F.inline(F.array(F.struct(native.alias("_s")))))
+            # Fuzzy comparison counts where no native rule settles a row, and where the row can reach the least score with it.
+            known = F.coalesce("_s", F.lit(0.0))
+            missing = (minimum_score - SEMANTIC_SHARE * F.coalesce("semantic_score", F.lit(0.0))) / LEXICAL_SHARE
+            base = with_open(base, (known < SMART_ALL) & (t != ""), q, F.greatest(missing, known, F.lit(1e-9)) / FUZZY_SHARE)
+            base = base.withColumn("_f", FUZZY_SHARE * fuzzy(F.col("_open"), t, q, words))
+            lexical = base.withColumn("lexical_score", F.when(t == "", 0.0).otherwise(F.greatest(known, F.coalesce("_f", F.lit(0.0))))).drop("_t", "_open", "_s", "_f")
         score = hybrid(F.col("lexical_score"), F.col("semantic_score")) if name == "hybrid" else F.coalesce("semantic_score", F.lit(0.0))
         hits = kept(lexical, score, F.lit(name), minimum_score).orderBy(F.col("score").desc(), *order).limit(max(1, top_k))
     else:

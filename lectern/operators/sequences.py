@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import scans as SC
+from lectern.operators.intervals import touching
+from lectern.session import stored
+
 
 def neighbours(rows: DataFrame, key: str = "episode", order: str = "turn", text: str = "text") -> DataFrame:
     """Adds previous_text and next_text, empty at the ends."""
@@ -66,58 +72,177 @@ def roles_by_airtime(rows: DataFrame, early: float) -> DataFrame:
     return per.select("episode", "speaker_id", F.when(rank == 1, "host").otherwise("guest").alias("inferred_role"))
 
 
-def segment_words(words: DataFrame, gap: int = 20, longest: int = 280) -> DataFrame:
-    """Utterances of words (episode, speaker_id, idx, start, end, word): a new one where the speaker changes, after a gap, after
-    a sentence's end, and where the utterance would grow longer than `longest`.
+#: Time of a stretch of words, in the unit of their times (ten minutes of tenths).
+STRETCH_TIME = 6000
 
-    The last rule depends on the utterance's own start, so that words are read in order, an episode at a time.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "turn", "idx"])
-        out, at = [], None
-        for r in pdf.itertuples(index=False):
-            new = at is None or r.speaker_id != at[1] or r.start - at[3] > gap or r.end - at[2] > longest or at[4]
-            if new:
-                if at is not None:
-                    out.append(at)
-                at = [r.episode, r.speaker_id, r.start, r.end, False, 0]
-            at[3], at[4], at[5] = r.end, r.word[-1:] in "।!?؟" and r.word != "", at[5] + 1
-        if at is not None:
-            out.append(at)
-        return pd.DataFrame([[*a[:4], a[5], k] for k, a in enumerate(out)], columns=["episode", "speaker_id", "start", "end", "n_words", "utterance_index"])
-
-    return words.groupBy("episode").applyInPandas(run, "episode long, speaker_id long, start long, end long, n_words long, utterance_index long")
-
-
-def clean_segments(segments: DataFrame, gap: int = 170, merge: int = 3790, shortest: int = 750, least_total: int = 9000) -> DataFrame:
-    """Post-processing of raw segments (episode, speaker, start_ms, end_ms).
-
-    In order of time, different speakers are set at least `gap` apart by moving starts (a running state, so an episode is
-    read in order); then segments of one speaker at most `merge` apart are joined, those shorter than `shortest` go, speakers with
-    less than `least_total` go, and the rest are numbered by first appearance.
+def segment_words(words: DataFrame, gap: int = 20, longest: int = 280, stretch: int = STRETCH_TIME) -> DataFrame:
+    """Utterances of words (episode, speaker_id, turn, idx, start, end, word): a new one where the speaker changes, after a gap, after
+    a sentence's end, and where the utterance would grow longer than `longest`. Times are whole numbers, and no word ends before it starts.
+
+    The last rule depends on the utterance's own start. But where an utterance that began at a word would end is known from times alone: at the first word behind
+    that ends too late, which either starts after the limit or is being spoken then, or at a break by the other rules. These links, followed from
+    the breaks, lead to the starts there really are. An episode is shared by tasks in stretches of time.
+    """
+    order = ["start", "end", "turn", "idx"]
+    ends_sentence = F.col("word").rlike("[।!?؟]$")
+    rows = SC.numbered(words, F.col("start"), stretch, order, {"speaker": F.col("speaker_id"), "end": F.col("end"), "sentence": ends_sentence})
+    before = F.col("previous")
+    new = before.isNull() | (before["speaker"] != F.col("speaker_id")) | (F.col("start") - before["end"] > gap) | before["sentence"]
+    rows = stored(rows.select("episode", SC.STRETCH, "k", "speaker_id", "start", "end", new.alias("new")), "words")
+    limit = rows.select("episode", F.col("k").alias("id"), (F.col("start") + longest).alias("at"))
+    later = SC.upto(rows.select("episode", F.col("start").alias("at")), limit, stretch).select("episode", F.col("id").alias("k"), (F.col("n") + 1).alias("later"))
+    # Words that are being spoken at the limit meet it in its bucket of time.
+    spoken = rows.select("episode", F.col("k").alias("to"), F.col("start").alias("r_start"), (F.col("end") - 1).alias("r_end")).filter("r_end >= r_start")
+    points = limit.select("episode", F.col("id").alias("k"), F.col("at").alias("start"), F.col("at").alias("end"))
+    during = touching(points, spoken, ["episode"], 300).filter("to > k").groupBy("episode", "k").agg(F.min("to").alias("during"))
+    links = SC.following(rows, F.col("new")).join(later, ["episode", "k"]).join(during, ["episode", "k"], "left")
+    soft = F.coalesce("during", "later")
+    # A link to a break leads to what is a start anyway, and one beyond the last word nowhere.
+    last = rows.groupBy("episode").agg(F.max("k").alias("last"))
+    links = links.select("episode", "k", soft.alias("to"), "next_mark").join(last, "episode")
+    links = links.filter((F.col("to") <= F.col("last")) & (F.col("next_mark").isNull() | (F.col("to") < F.col("next_mark")))).select("episode", "k", "to")
+    begun = SC.reached(rows.filter("new"), links, stored).withColumn("begins", F.lit(True))
+    rows = SC.running(rows.join(begun, ["episode", "k"], "left"), F.coalesce("begins", F.lit(False)), "n")
+    out = rows.groupBy("episode", (F.col("n") - 1).alias("utterance_index")).agg(F.min_by("speaker_id", "k").alias("speaker_id"), F.min_by("start", "k").alias("start"), F.max_by("end", "k").alias("end"), F.count("*").alias("n_words"))
+    return out.select("episode", "speaker_id", "start", "end", "n_words", "utterance_index")
+
+
+#: Segments that a stretch of time has on average, and its least time in milliseconds (an hour).
+STRETCH_ROWS, STRETCH_MS = 4096, 3_600_000
+
+Line = tuple[int, str | None] | None  # the end that the next other speaker must keep its distance from, and whose it is
+
+
+def accepted(line: Line, speaker: str | None, start: int, end: int, gap: int) -> tuple[int, Line]:
+    """The start that a segment gets behind a line, and the line behind it; the same line if nothing of the segment is left."""
+    if line is not None and speaker != line[1]:
+        start = max(start, line[0] + gap)
+    if end <= start:
+        return start, line
+    return start, (end if line is None else max(line[0], end), speaker)
+
+
+class Stretch:
+    """Segments of one stretch of time in order, as a function of the line that comes in.
+
+    A line matters until the first segment that ends beyond it (by the gap, for other speakers): from there on the line is that
+    segment's end, whatever it was before. So the function has a step for each segment that can be the first, and of these only
+    such are kept as a line that comes in, at most the largest end before, can reach.
     """
 
-    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "end_ms", "speaker"])
-        out, line, who = [], None, None
-        for ep, sp, s, e in pdf[["episode", "speaker", "start_ms", "end_ms"]].itertuples(index=False):
-            if line is not None and sp != who:
-                s = max(s, line + gap)
-            if e <= s:
-                continue
-            out.append((ep, sp, s, e))
-            line, who = (e if line is None else max(line, e)), sp
-        return pd.DataFrame(out, columns=["episode", "speaker", "start_ms", "end_ms"])
-
-    rows = segments.groupBy("episode").applyInPandas(apart, "episode long, speaker string, start_ms long, end_ms long")
-    line = Window.partitionBy("episode").orderBy("start_ms", "end_ms", "speaker")
-    new = (F.lag("speaker").over(line).isNull() | (F.lag("speaker").over(line) != F.col("speaker")) | (F.col("start_ms") - F.lag("end_ms").over(line) > merge)).cast("int")
-    rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.groupBy("episode", "_run").agg(F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    def __init__(self, segments: list[tuple[str | None, int, int]], gap: int):
+        self.segments, self.gap = [x for x in segments if x[2] > x[1]], gap
+        self.exits: dict[int, tuple[int, str | None]] = {}
+
+    def exit(self, i: int) -> tuple[int, str | None]:
+        """The line behind the stretch if it is at segment i's end there."""
+        way, line = [], (self.segments[i][2], self.segments[i][0])
+        while True:
+            if i in self.exits:
+                line = self.exits[i]
+                break
+            way.append(i)
+            for j in range(i + 1, len(self.segments)):
+                moved = accepted(line, *self.segments[j], self.gap)[1]
+                if moved != line:
+                    i, line = j, moved
+                    break
+            else:
+                break
+        self.exits.update(dict.fromkeys(way, line))
+        return line
+
+    def steps(self, who: str | None, named: bool, most: int | None) -> list[tuple[int, int, str | None]]:
+        """(bound, line's end, its speaker) by rising bounds: a line of `who` (or of nobody here) below the bound comes out as that. most: as above; None for no line."""
+        if most is None:
+            return [(0, *self.exit(0))] if self.segments else []
+        out, best = [], None
+        for i, (speaker, _, end) in enumerate(self.segments):
+            bound = end if named and speaker == who else end - self.gap
+            if best is None or bound > best:
+                out.append((bound, *self.exit(i)))
+                best = bound
+                if best > most:
+                    break
+        return out
+
+
+def spaced(segments: DataFrame, gap: int, stretch: int) -> DataFrame:
+    """episode, speaker, start_ms, end_ms: in order of time, different speakers are set at least `gap` apart by moving starts; what has no length left goes.
+
+    The line behind which a segment may start depends on all before it, so it is carried over stretches of time as a composition of functions: each stretch is
+    summarised by the steps of its function, one task folds an episode's steps (a few for a stretch), and each stretch is then worked
+    through from the line that comes in.
+    """
+    order = lambda rows: sorted(rows, key=lambda x: (x[1], x[2], x[0] is not None, x[0] or ""))  # noqa: E731  nulls first, as in Spark
+    rows = segments.select("episode", F.col("speaker").cast("string").alias("speaker"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.floor(F.col("start_ms") / stretch).alias("stretch"))
+    line = Window.partitionBy("episode").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("episode", "stretch").agg(F.max("end_ms").alias("top")).select("episode", "stretch", F.max("top").over(line).alias("most"))
+    rows = stored(rows.join(ends, ["episode", "stretch"]), "segments")
+    read = lambda t: order(zip(*[t.column(c).to_pylist() for c in ("speaker", "start_ms", "end_ms")], strict=True))
+    kind = rows.schema["episode"].dataType.simpleString()
+
+    def summary(t: pa.Table) -> pa.Table:
+        own, most = Stretch(read(t), gap), t.column("most")[0].as_py()
+        made = [(0, None, own.steps(None, False, None))]
+        if most is not None:
+            made += [(1, None, own.steps(None, False, most))] + [(2, w, own.steps(w, True, most)) for w in {x[0] for x in own.segments}]
+        part = lambda k: pa.array([[s[k] for s in steps] for _, _, steps in made], pa.list_(pa.string() if k == 2 else pa.int64()))
+        one = lambda name: t.column(name).slice(0, 1).combine_chunks().take(pa.array([0] * len(made)))
+        return pa.table({"episode": one("episode"), "stretch": one("stretch"), "kind": pa.array([x[0] for x in made], pa.int32()), "who": pa.array([x[1] for x in made], pa.string()), "bounds": part(0), "ends": part(1), "whos": part(2)})
+
+    def fold(t: pa.Table) -> pa.Table:
+        line, stretches, steps = None, [], {}
+        for x in t.to_pylist():
+            steps.setdefault(x["stretch"], {})[x["kind"], x["who"]] = x["bounds"], x["ends"], x["whos"]
+        for at in sorted(steps):
+            stretches.append((at, *(line or (None, None))))
+            own = steps[at]
+            bounds, ends, whos = own[0, None] if line is None else own.get((2, line[1]), own[1, None])
+            k = 0 if line is None else bisect_right(bounds, line[0])
+            if k < len(bounds):
+                line = ends[k], whos[k]
+        one = t.column("episode").slice(0, 1).combine_chunks().take(pa.array([0] * len(stretches)))
+        return pa.table({"episode": one, "stretch": pa.array([x[0] for x in stretches], pa.int64()), "line": pa.array([x[1] for x in stretches], pa.int64()), "who": pa.array([x[2] for x in stretches], pa.string())})
+
+    def apply(t: pa.Table) -> pa.Table:
+        end, who = t.column("line")[0].as_py(), t.column("who")[0].as_py()
+        line, out = None if end is None else (end, who), []
+        for speaker, start, end in read(t):
+            start, line = accepted(line, speaker, start, end, gap)
+            if end > start:
+                out.append((speaker, start, end))
+        one = t.column("episode").slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64()))
+        return pa.table({"episode": one, "speaker": pa.array([x[0] for x in out], pa.string()), "start_ms": pa.array([x[1] for x in out], pa.int64()), "end_ms": pa.array([x[2] for x in out], pa.int64())})
+
+    steps = rows.groupBy("episode", "stretch").applyInArrow(summary, f"episode {kind}, stretch long, kind int, who string, bounds array<long>, ends array<long>, whos array<string>")
+    entries = steps.groupBy("episode").applyInArrow(fold, f"episode {kind}, stretch long, line long, who string")
+    return rows.join(entries, ["episode", "stretch"]).groupBy("episode", "stretch").applyInArrow(apply, f"episode {kind}, speaker string, start_ms long, end_ms long")
+
+
+def stretch_time(segments: DataFrame) -> int:
+    """The time in which an episode has STRETCH_ROWS segments on average."""
+    each = segments.groupBy("episode").agg((F.max("start_ms") - F.min("start_ms")).alias("time"), F.count("*").alias("n"))
+    time, n = each.agg(F.coalesce(F.sum("time"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(1))).first()
+    return max(STRETCH_MS, int(time) * STRETCH_ROWS // max(1, int(n)))
+
+
+def clean_segments(segments: DataFrame, gap: int = 170, merge: int = 3790, shortest: int = 750, least_total: int = 9000, stretch: int | None = None) -> DataFrame:
+    """Post-processing of raw segments (episode, speaker, start_ms, end_ms); an episode is shared by tasks in stretches of time.
+
+    In order of time, different speakers are set at least `gap` apart by moving starts; then segments of one speaker at most `merge` apart are joined, those
+    shorter than `shortest` go, speakers with less than `least_total` go, and the rest are numbered by first appearance.
+    """
+    stretch = stretch or stretch_time(segments)
+    rows = SC.numbered(spaced(segments, gap, stretch), F.col("start_ms"), stretch, ["start_ms", "end_ms", "speaker"], {"speaker": F.col("speaker"), "end": F.col("end_ms")})
+    before = F.col("previous")
+    new = before["speaker"].isNull() | (before["speaker"] != F.col("speaker")) | (F.col("start_ms") - before["end"] > merge)
+    rows = SC.running(rows, new, "run")
+    rows = rows.groupBy("episode", "run").agg(F.min_by("speaker", "k").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     rows = rows.filter(F.col("end_ms") - F.col("start_ms") >= shortest)
-    rows = rows.withColumn("_total", F.sum(F.col("end_ms") - F.col("start_ms")).over(Window.partitionBy("episode", "speaker"))).filter(F.col("_total") >= least_total)
-    ids = first_appearance(rows)
+    totals = rows.groupBy("episode", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("total"), F.min("start_ms").alias("first")).filter(F.col("total") >= least_total)
+    ids = totals.select("episode", "speaker", (F.row_number().over(Window.partitionBy("episode").orderBy("first", "speaker")) - 1).cast("long").alias("speaker_no"))
     return rows.join(ids, ["episode", "speaker"]).select("episode", "speaker_no", "start_ms", "end_ms")
 
 

@@ -133,6 +133,22 @@ def search_fuzzy(spark, sf):
     return out.select("key", F.round("score", 6).alias("score"))
 
 
+def _fuzzy_documents(spark, sf, q, method, least):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return S.search(docs, S.normal_query(spark, q), method, least=least, top_k=20, order=["doc_id"]).select("doc_id", F.round("score", 6).alias("score"), "match_type")
+
+
+@query("search_fuzzy_documents")
+def search_fuzzy_documents(spark, sf):
+    """Fuzzy search over whole documents: texts that can't reach the least score or the k-th best never leave the JVM."""
+    return _fuzzy_documents(spark, sf, "thand onesen wereth", "fuzzy", 0.5)
+
+
+@query("search_smart_documents")
+def search_smart_documents(spark, sf):
+    return _fuzzy_documents(spark, sf, "wereth zzyq", "smart", 0.55)
+
+
 PROBE = [1.0 if i % 2 == 0 else -0.5 for i in range(64)]
 PROBE_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in PROBE) + "]"
 SEM = f"""WITH d AS (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], {PROBE_SQL}) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product({PROBE_SQL}, {PROBE_SQL}))) AS raw FROM embeddings),

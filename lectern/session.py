@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -91,6 +92,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} can't be written")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: what is read several times is made once, and lineage ends there."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fingerprint(table: DataFrame) -> str:
     """What tells the files of a table that was read from others: their names, lengths and times."""
     parts = []

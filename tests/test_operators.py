@@ -553,3 +553,161 @@ def test_library_without_training_data(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(o) <= set(q) and not any(n.startswith('op1_') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120)
+
+
+def scanned_files(frame):
+    """(files, bytes) that a frame's scans of stored tables read when it ran."""
+    found, todo = [0, 0], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.finalPhysicalPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "FileSourceScanExec":
+                found[0] += node.metrics().apply("numFiles").value()
+                found[1] += node.metrics().apply("filesSize").value()
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_stored_index(spark, tmp_path):
+    """Hits by postings are those of the texts; a search opens the shelves of its own tokens; an index that wasn't finished is built anew."""
+    import random
+    from pathlib import Path
+
+    from lectern.operators import postings as P
+
+    ship(spark)
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice("abc"), None if k == 7 else " ".join(rnd.choice(["Of", "the", "of,the", "oft", "roof", "them", "x1", "x2", "x3", ""]) for _ in range(rnd.randint(0, 8)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "id long, part string, text string")
+    path = str(tmp_path / "index")
+    (tmp_path / "index" / "postings").mkdir(parents=True)
+    assert P.opened(spark, path) is None
+    index = P.build(docs, path, ["part", "id"])
+    assert P.opened(spark, path) == index and index.rows == 200
+    plain = {r.id: r.t for r in docs.select("id", T.normalize_text(F.col("text")).alias("t")).collect()}
+    part = {k: p for k, p, _ in rows}
+    for q, method, kind in (("of the", "exact", "auto"), ("the of the", "exact", "auto"), ("of", "exact", "auto"), ("of", "exact", "Sentence"), ("of the", "all words", "auto"), ("x1 x2 x1 zz", "any word", "auto"), ("of them", "smart", "auto"), ("nothing", "any word", "auto")):
+        w = q.split()
+
+        def score(t):
+            ts = t.split()
+            share = sum(x in ts for x in w) / len(w)
+            if method == "exact":
+                return 1.0 if (w[0] in ts if len(w) == 1 and kind == "auto" else q in t) else 0
+            if method == "all words":
+                return 0 if share < 1 else 0.96 if q in t else 0.88
+            if method == "any word":
+                return 0.65 + 0.3 * share if share else 0
+            return 1.0 if q in t else 0.9 if share == 1 else 0.55 + 0.3 * share if share else 0
+
+        ranked = sorted((-round(s, 9), part[k], k) for k, t in plain.items() if (s := score(t)) >= 0.55)
+        want = ranked[:15]
+        got = [(-round(r.score, 9), r.part, r.id) for r in P.search(index, q, method, top_k=15, query_type=kind).collect()]
+        assert got == want, q
+        scoped = [r.id for r in P.search(index, q, method, top_k=9, query_type=kind, where=F.col("part") == "b").collect()]
+        assert scoped == [k for _, p, k in ranked if p == "b"][:9]
+    found = index.occurrences(["x1"])
+    n = found.count()
+    assert n == sum(t.split().count("x1") for t in plain.values())
+    found = index.occurrences(["x1"])
+    found.collect()
+    files = list(Path(path, "postings").glob("*/*.parquet"))
+    shelf = spark.range(1).select(index.shelf(F.lit("x1"))).first()[0]
+    own = [f for f in files if f.parent.name == f"shelf={shelf}"]
+    assert scanned_files(found) == [len(own), sum(f.stat().st_size for f in own)] and len(own) < len(files)
+    empty = P.build(docs.limit(0), str(tmp_path / "empty"), ["id"])
+    assert P.search(empty, "of the", "any word").count() == 0 and empty.words == 0
+
+
+def test_fuzzy_bounds(spark):
+    """No text that reaches a score is left out natively, and scores are those of all windows compared."""
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 6)))
+    texts = ["", *[" ".join(word() for _ in range(rnd.randint(1, 25))) for _ in range(80)]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string")
+    left = 0
+    for q in ("abc", "ab cde", "dab é bad cab", "zzz"):
+        exact = [plain_fuzzy(q, t) for t in texts]
+        assert all(abs(S.fuzzy_score(q, t) - x) < 1e-12 and S.fuzzy_score(q, t, x) == S.fuzzy_score(q, t) for t, x in zip(texts, exact))
+        for least in (0.5, 0.8, 0.95):
+            kept = {r.id for r in rows.filter(S.fuzzy_slack(F.col("t"), T.tokens(F.col("t")), q, least) >= 0).collect()}
+            assert {k for k, x in enumerate(exact) if x >= least} <= kept
+            left += len(texts) - len(kept)
+        got = [(round(r.score, 9), r.id) for r in S.search(rows, q, "fuzzy", least=0.6, top_k=7, text="t", order=["id"], normal=F.col("t")).collect()]
+        assert got == [(-s, k) for s, k in sorted((-round(x, 9), k) for k, x in enumerate(exact) if x >= 0.6)[:7]]
+    assert left > 200
+
+
+def test_fuzzy_documents_by_brute_force(spark):
+    from lectern.plans import base
+    from lectern.plans.catalog import table
+
+    ship(spark)
+    texts = {r.doc_id: r.t for r in table(spark, SF, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t")).collect()}
+
+    def windows(q, t):
+        return max([S.SequenceMatcher(None, q, t).ratio() if len(t) < 4 * len(q) else 0, *(S.SequenceMatcher(None, q, x).ratio() for n in range(max(1, len(q.split()) - 2), len(q.split()) + 4) for k in range(len(w) - n + 1) if 3 * len(q) >= len(x := " ".join(w[k : k + n])) and 2 * sum((S.Counter(q) & S.Counter(x)).values()) >= 0.5 * (len(q) + len(x)))]) if (w := t.split()) else 0
+
+    q = "thand onesen wereth"
+    want = sorted((-round(x, 6), k) for k, t in texts.items() if (x := windows(q, t)) >= 0.5)[:20]
+    assert [(-r.score, r.doc_id) for r in base.QUERIES["search_fuzzy_documents"](spark, SF).collect()] == want
+    q = "wereth zzyq"
+    smart = {k: 1.0 if q in t else max(0.7 if "wereth" in t.split() else 0, 0.92 * windows(q, t)) for k, t in texts.items()}
+    want = sorted((-round(x, 6), k) for k, x in smart.items() if x >= 0.55)[:20]
+    assert [(-r.score, r.doc_id) for r in base.QUERIES["search_smart_documents"](spark, SF).collect()] == want
+
+
+def test_words_of_a_long_episode(spark):
+    """Segmentation of one episode in short stretches of time is that of a loop over its words, overlapping words included."""
+    import random
+
+    ship(spark)
+    rnd = random.Random(9)
+    rows, at = [], 0
+    for k in range(900):
+        at += rnd.choice([0, 1, 3, 4, 5, 9, 30 if k % 90 == 0 else 4])
+        rows.append((1 + k // 850, (k // 300) % 2, k // 50, k % 50, at, at + rnd.choice([0, 2, 4, 9, 40]), "end." if rnd.random() < 0.01 else "stop!" if rnd.random() < 0.02 else "w"))
+    out, one = {}, None
+    for ep, sp, turn, idx, s, e, w in sorted(rows, key=lambda r: (r[0], r[4], r[5], r[2], r[3])):
+        if one is None or one[0] != ep or sp != one[1] or s - one[3] > 20 or e - one[2] > 280 or one[5]:
+            one = [ep, sp, s, e, 0, False]
+            out.setdefault(ep, []).append(one)
+        one[3], one[4], one[5] = e, one[4] + 1, w[-1] in "।!?؟"
+    want = sorted((*u[:5], k) for us in out.values() for k, u in enumerate(us))
+    words = spark.createDataFrame(rows, "episode long, speaker_id long, turn long, idx long, start long, end long, word string")
+    for stretch in (70, 6000):
+        assert sorted(map(tuple, Q.segment_words(words, stretch=stretch).select("episode", "speaker_id", "start", "end", "n_words", "utterance_index").collect())) == want
+    assert Q.segment_words(words.limit(0)).count() == 0
+
+
+def test_gaps_over_stretches(spark):
+    """Enforced gaps of an episode in stretches of time are those of a loop over its segments."""
+    import random
+
+    ship(spark)
+    rnd = random.Random(10)
+    for case in range(3):
+        rows = []
+        for ep in range(3):
+            at = 0
+            for _ in range(150):
+                at += rnd.choice([0, 10, 200, 900])
+                rows.append((ep, rnd.choice("ab" if case else "abcd"), at, at + rnd.choice([0, 5, 100, 400, 5000 if case == 2 else 800])))
+        want, line = [], {}
+        for ep, sp, s, e in sorted(rows, key=lambda r: (r[0], r[2], r[3], r[1])):
+            if ep in line and line[ep][1] != sp:
+                s = max(s, line[ep][0] + 170)
+            if e > s:
+                want.append((ep, sp, s, e))
+                line[ep] = (max(line[ep][0], e) if ep in line else e, sp)
+        frame = spark.createDataFrame(rows, "episode long, speaker string, start_ms long, end_ms long").repartition(3)
+        for stretch in (700, 20_000, 10**7):
+            assert sorted(map(tuple, Q.spaced(frame, 170, stretch).select("episode", "speaker", "start_ms", "end_ms").collect())) == sorted(want)
