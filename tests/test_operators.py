@@ -711,3 +711,54 @@ def test_gaps_over_stretches(spark):
         frame = spark.createDataFrame(rows, "episode long, speaker string, start_ms long, end_ms long").repartition(3)
         for stretch in (700, 20_000, 10**7):
             assert sorted(map(tuple, Q.spaced(frame, 170, stretch).select("episode", "speaker", "start_ms", "end_ms").collect())) == sorted(want)
+
+
+def test_segmentation_as_a_stream(spark, tmp_path):
+    """Words out of order, in micro-batches and over a restart, give the utterances of the batch form; a batch that is run again doubles nothing."""
+    import random
+
+    ship(spark)
+    rnd = random.Random(3)
+    rows, at = [], 0
+    for k in range(160):
+        at += rnd.choice([2, 4, 5, 30 if k % 30 == 0 else 4])
+        rows.append((1 + k % 2, (k // 40) % 2, k // 20, k % 20, at, at + 3, "end!" if rnd.random() < 0.05 else "w"))
+    cols = "episode long, speaker_id long, turn long, idx long, start long, end long, word string"
+    words = spark.createDataFrame(rows, cols)
+    want = sorted(map(tuple, Q.segment_words(words).select("episode", "speaker_id", "start", "end", "n_words", "utterance_index").collect()))
+    timed = words.withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("start") * 100))
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    place = {r: k for k, r in enumerate(rows)}
+    late = timed.collect()
+    late.sort(key=lambda r: place[tuple(r)[:7]] // 8 * 8 + rnd.randint(0, 12))  # neighbours change places
+    flush = (9, 0, 0, 0, 0, 1, "w")
+    parts = [late[k : k + 20] for k in range(0, len(late), 20)]
+
+    def drop(k, part):
+        spark.createDataFrame(part, timed.schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = sessions.write_keyed(sessions.segmented(stream, late="20 seconds"), out, cp)
+        q.awaitTermination(240)
+        assert q.exception() is None
+
+    for k, part in enumerate(parts[:5]):
+        drop(k, part)
+    run()
+    first = spark.read.parquet(out).count()
+    for k, part in enumerate(parts[5:], 5):
+        drop(k, part)
+    import datetime
+
+    drop(99, [(*flush, late[0].ts + datetime.timedelta(days=1))])
+    run()  # from the checkpoint
+    got = sorted(tuple(r) for r in spark.read.parquet(out).drop("batch").filter("episode < 9").collect())
+    assert [x for x in got if x not in want] == [] and [x for x in want if x not in got] == []
+    assert got == want and 0 < first < len(got)
+    # A batch that is run again after a failure replaces its rows.
+    import shutil
+
+    shutil.rmtree(f"{cp}/commits")
+    run()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).drop("batch").filter("episode < 9").collect()) == want
