@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import ship
+from lectern.sources import parsing
+
 WORD = "struct<start: double, end: double, word: string, prob: double, speaker_id: bigint, assignment_method: string, coarse: boolean>"
 FUSED = (
     "schema_version string, episode_id string, diarization_provider string, asr_model string, overlap_policy string, assignment string,"
@@ -37,9 +43,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", columns: list[str] | None = None) -> DataFrame:
-    """All columns as strings; a byte-order mark before the first name is cut. columns: of the empty table that a missing file gives; without, it fails."""
+    """All columns as strings; quoted fields may have line breaks; a byte-order mark before the first name is cut. columns: of the empty table that a missing file gives; without, it fails."""
     try:
-        rows = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     except AnalysisException:
         if columns is None:
             raise
@@ -64,22 +70,21 @@ def write_rttm(rows: DataFrame, path: str) -> None:
     rows.select(rttm_line(F.col("episode_id"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("label")).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
+def read_articles(spark: SparkSession, path: str, encodings: tuple[str, ...] = parsing.ENCODINGS) -> DataFrame:
     """article_id, title, text, source_file of CSV files with an article each: its first row, and of its columns the first whose names say title, and news, body or article.
 
-    Files may have different columns, so that headers are read as data: lines come in the order that they have in their file.
+    Files may have different columns, so that headers are read as data. Quoted fields may have line breaks and commas; texts are UTF-8 with or without a mark, or in the next of the encodings that fits. An empty file gives no row.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("c"))
-    lines = F.split(F.regexp_replace("c", "^\ufeff", ""), r"\r?\n")
-    row = raw.select("path", _fields(F.get(lines, F.lit(0))).alias("names"), _fields(F.get(lines, F.lit(1))).alias("values"))
-    at = lambda words: F.coalesce(F.get("values", F.array_position(F.transform("names", lambda n: F.lower(F.trim(n)).rlike("|".join(words))), F.lit(True)).cast("int") - 1), F.lit(""))
-    return row.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("article_id"), at(("title",)).alias("title"), at(("news", "body", "article")).alias("text"), F.col("path").alias("source_file"))
+    ship(spark)
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            found = [parsing.article(parsing.decoded(c, encodings)) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(parsing.stem, paths), pa.string()), pa.array([t for t, _ in found], pa.string()), pa.array([t for _, t in found], pa.string()), b.column(0)], names=["article_id", "title", "text", "source_file"])
 
-def _fields(line: Column) -> Column:
-    """Fields of a line of CSV, quotes undone."""
-    parts = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    return F.transform(parts, lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+    return raw.mapInArrow(run, "article_id string, title string, text string, source_file string")
 
 
 def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:

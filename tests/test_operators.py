@@ -762,3 +762,42 @@ def test_segmentation_as_a_stream(spark, tmp_path):
     shutil.rmtree(f"{cp}/commits")
     run()
     assert sorted(tuple(r) for r in spark.read.parquet(out).drop("batch").filter("episode < 9").collect()) == want
+
+
+def test_files_as_they_are(spark, tmp_path):
+    """Quoted line breaks, commas, marks, encodings, missing values and broken files, by the readers and by the data source."""
+    from lectern.sources import datasource
+
+    d = tmp_path / "b1" / "data" / "fused"
+    d.mkdir(parents=True)
+    news = tmp_path / "news"
+    news.mkdir()
+    body = 'First line, with comma\nsecond "quoted" line\r\nthird'
+    quoted = '"' + body.replace('"', '""') + '"'
+    (news / "a.csv").write_text(f"id,Title,News body\n1,Headline,{quoted}\n2,other,x\n", newline="")
+    (news / "b.csv").write_bytes(f"title,article\r\nT,{quoted}\r\n".encode("utf-8-sig"))
+    (news / "c.csv").write_bytes(f"title,body\nবাংলা,{quoted}\n".encode("utf-16"))
+    (news / "d.csv").write_bytes(b"title,body\nonly title\n")
+    (news / "e.csv").write_bytes(b"")
+    (news / "f.csv").write_bytes(b"title,body\nbad \xff byte,x\n")
+    want = {"a": ("Headline", body), "b": ("T", body), "c": ("বাংলা", body), "d": ("only title", ""), "f": ("bad \ufffd byte", "x")}
+    assert {r.article_id: (r.title, r.text) for r in files.read_articles(spark, str(news)).collect()} == want
+    got = files.read_csv(spark, str(news / "a.csv")).collect()
+    assert len(got) == 2 and got[0]["News body"].replace("\r\n", "\n") == body.replace("\r\n", "\n") and got[1]["News body"] == "x"
+
+    datasource.register(spark)
+    load = lambda kind, path: spark.read.format("lectern").option("kind", kind).load(str(path))
+    assert {r.stem: (r.title, r.text) for r in load("articles", news).collect()} == want
+    rows = load("csv", news).filter("stem = 'a'").orderBy("record").collect()
+    assert [r.fields["News body"] for r in rows] == [body, "x"] and all(r.error is None for r in rows)
+    (d / "e1.json").write_text(json.dumps({"episode_id": "E1", "utterances": [{}, {}]}))
+    (d / "e2.json").write_text("{broken")
+    (d / "e3.json").write_text("[1]")
+    (tmp_path / "b1" / "_source_runs" / "fused").mkdir(parents=True)
+    (tmp_path / "b1" / "_source_runs" / "fused" / "old.json").write_text("{}")
+    (d / "x.rttm").write_text("SPEAKER e1 1 0.5 1.25 <NA> <NA> s1 <NA> <NA>\nSPEAKER e1 1 zero 1 <NA> <NA> s2 <NA> <NA>\nNOISE a b c d e f g\nSPEAKER short\n")
+    episodes = {r.stem: (r.collection, r.episode_id, r.utterances, r.error) for r in load("bundle", tmp_path).collect()}
+    assert episodes == {"e1": ("b1", "E1", 2, None), "e2": ("b1", None, None, "no JSON object"), "e3": ("b1", None, None, "no JSON object")}
+    one = load("bundle", tmp_path).filter("stem = 'e1' AND collection = 'b1'")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 1 and load("bundle", tmp_path).filter("stem = 'none'").count() == 0
+    assert [tuple(r)[2:] for r in load("rttm", tmp_path).orderBy("label").collect()] == [("e1", 0.5, 1.75, "s1", None), ("e1", None, None, "s2", "a number can't be read")]
