@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.quantiles import quantiles
+
 from lectern.functions.text import stance_label
 
 CONFIDENCE_WEIGHT = {"high": 1.0, "medium": 0.7, "low": 0.4}  # fixed values
@@ -194,9 +196,9 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def value_bands(rows: DataFrame, column: str, n: int) -> DataFrame:
     """Adds band 0..n-1 by quantile edges of the values (interpolated; equal edges merge downward)."""
-    cuts = rows.agg(F.percentile(column, F.array(*[F.lit(k / n) for k in range(1, n)])).alias("_cuts"))  # one row
-    band = F.size(F.filter("_cuts", lambda c: F.col(column) > c))
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("band", band.cast("long")).drop("_cuts")
+    cuts = quantiles(rows, column, [k / n for k in range(1, n)])
+    above = [F.when(F.col(column) > c, 1).otherwise(0) for c in cuts if c is not None]
+    return rows.withColumn("band", sum(above, F.lit(0)).cast("long"))
 
 
 def binary_metrics(rows: DataFrame, truth: Column, pred: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.quantiles import quantiles
 from lectern.operators.aggregates import value_bands
 from lectern.operators.checks import hold_out_groups
 
@@ -45,8 +46,8 @@ def disjoint_or_stratified(rows: DataFrame, group: str, label: str, share: float
 
 def balanced_sample(rows: DataFrame, pred: str, value: str, n: int, key: Column, hidden: list[str], bands: int = 3) -> DataFrame:
     """At most n rows, max(1, n // (classes * bands)) of each class and band of a value at most, the first by key; without the columns that would tell the label. A null value counts as the median."""
-    middle = rows.agg(F.percentile(value, 0.5).alias("_m"))  # one row
-    pool = value_bands(rows.crossJoin(F.broadcast(middle)).withColumn("_v", F.coalesce(F.col(value).cast("double"), "_m")).drop("_m"), "_v", bands)
+    middle = quantiles(rows, value, [0.5])[0]
+    pool = value_bands(rows.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(middle).cast("double"))), "_v", bands)
     cells = pool.agg((F.countDistinct(pred) * F.countDistinct("band")).alias("_c"))  # one row
     r = F.row_number().over(Window.partitionBy(pred, "band").orderBy(key))
     picked = pool.withColumn("_r", r).crossJoin(F.broadcast(cells)).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_c"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import aggregates as A
+from lectern.operators.quantiles import quantiles
 from lectern.operators import sequences as Q
 from lectern.plans.base import query
 from lectern.plans.catalog import AIR, JUD, UTT, airings, judged, table, utterances
@@ -239,10 +240,12 @@ def split_summary(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.countDistinct("o_orderpriority").alias("priorities"))
 
 
-@query("length_percentiles", "SELECT round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90, round(quantile_cont(n_chars, 0.99), 4) AS p99, max(n_chars) AS longest, round(avg((n_chars > 4000)::INT), 6) AS over FROM documents")
+@query("length_percentiles", "SELECT " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 4) AS p{p}" for p in (50, 75, 90, 95, 99)) + ", max(n_chars) AS longest, round(avg((n_chars > 4000)::INT), 6) AS over FROM documents")
 def length_percentiles(spark, sf):
-    p = lambda x: F.round(F.percentile("n_chars", F.lit(x)), 4)
-    return table(spark, sf, "documents").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 4000).cast("double")), 6).alias("over"))
+    docs = table(spark, sf, "documents")
+    found = quantiles(docs, "n_chars", [p / 100 for p in (50, 75, 90, 95, 99)])
+    cuts = [F.round(F.lit(x).cast("double"), 4).alias(f"p{p}") for p, x in zip((50, 75, 90, 95, 99), found, strict=True)]
+    return docs.agg(F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 4000).cast("double")), 6).alias("over")).select(*cuts, "longest", "over")
 
 
 @query("best_by_pivot", """

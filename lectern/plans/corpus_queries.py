@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.quantiles import quantiles
 from lectern.operators import aggregates as A
 from lectern.operators import audio, corpus
 from lectern.operators import splits as S
@@ -283,7 +284,10 @@ def quartile_f1(spark, sf):
 
 @query("length_quartiles", "SELECT " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 4) AS p{p}" for p in (50, 75, 90, 95, 99)) + ", max(n_chars) AS longest, round(avg((n_chars > 512)::INT), 6) AS over_cap FROM documents")
 def length_quartiles(spark, sf):
-    return table(spark, sf, "documents").agg(*[F.round(F.percentile("n_chars", F.lit(p / 100)), 4).alias(f"p{p}") for p in (50, 75, 90, 95, 99)], F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 512).cast("double")), 6).alias("over_cap"))
+    docs = table(spark, sf, "documents")
+    found = zip((50, 75, 90, 95, 99), quantiles(docs, "n_chars", [p / 100 for p in (50, 75, 90, 95, 99)]), strict=True)
+    over = docs.agg(F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 512).cast("double")), 6).alias("over_cap"))
+    return over.select(*[F.round(F.lit(x).cast("double"), 4).alias(f"p{p}") for p, x in found], "longest", "over_cap")
 
 
 @query("examples_by_confidence", "WITH " + JUD + """, r AS (SELECT doc_id, truth = pred AS correct, row_number() OVER (PARTITION BY truth = pred ORDER BY 1.0 / (1 + n_chars % 97) DESC, doc_id) AS rank FROM jud) SELECT doc_id, correct, rank FROM r WHERE rank <= 8""")

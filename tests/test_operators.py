@@ -801,3 +801,20 @@ def test_files_as_they_are(spark, tmp_path):
     one = load("bundle", tmp_path).filter("stem = 'e1' AND collection = 'b1'")
     assert one.rdd.getNumPartitions() == 1 and one.count() == 1 and load("bundle", tmp_path).filter("stem = 'none'").count() == 0
     assert [tuple(r)[2:] for r in load("rttm", tmp_path).orderBy("label").collect()] == [("e1", 0.5, 1.75, "s1", None), ("e1", None, None, "s2", "a number can't be read")]
+
+
+def test_quantiles(spark, monkeypatch):
+    """By refined ranges, as numpy has them: ties, few values, wide spans, nulls and what isn't finite."""
+    import random
+
+    import numpy as np
+
+    from lectern.operators import quantiles as QU
+
+    rnd = random.Random(2)
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    for k, values in enumerate(([rnd.gauss(0, 1) for _ in range(501)], [rnd.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(100)], [5.0], [1e308, -1e308, 0.0, 5e-324, 1.0], [float(10**rnd.randint(0, 300)) for _ in range(200)])):
+        monkeypatch.setattr(QU, "BUCKETS", 4 if k else 1024)
+        rows = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "x double").repartition(3)
+        assert np.allclose(QU.quantiles(rows, "x", shares), np.quantile(values, shares) if k != 3 else [-1e308, 0.0, 5e-324, 1.0, 6e307, 9.6e307, 1e308], rtol=1e-12)
+    assert QU.quantiles(rows.filter("x < 0"), "x", [0.5]) == [None]
