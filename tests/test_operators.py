@@ -818,3 +818,56 @@ def test_quantiles(spark, monkeypatch):
         rows = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "x double").repartition(3)
         assert np.allclose(QU.quantiles(rows, "x", shares), np.quantile(values, shares) if k != 3 else [-1e308, 0.0, 5e-324, 1.0, 6e307, 9.6e307, 1e308], rtol=1e-12)
     assert QU.quantiles(rows.filter("x < 0"), "x", [0.5]) == [None]
+
+
+def test_many_aliases(spark, monkeypatch):
+    """One automaton gives what the replacements one after another give: chains, borders, cases, overlaps, and names that make new aliases."""
+    import random
+    import time
+
+    rnd = random.Random(8)
+    parts = ["ab", "Ab", "b", "ba", "c d", "d", "é", "éb", "a.b", "_b", "$1", "ক", "কব"]
+    texts = [None, "", *["".join(rnd.choice([*parts, " ", " ", ".", "-", "É"]) for _ in range(rnd.randint(1, 14))) for _ in range(150)]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string").coalesce(2)
+    ship(spark)
+    for _ in range(4):
+        names = [(rnd.choice(parts) + rnd.choice(["", " ", "."]) + rnd.choice(parts) if rnd.random() < 0.5 else rnd.choice(parts), rnd.choice([*parts, "ab d", "X\\\\y", "c d é"])) for _ in range(14)]
+        both = []
+        for few in (100, 0):
+            monkeypatch.setattr(L, "FEW", few)
+            both.append([tuple(r) for r in rows.select("id", L.restore_entities(F.col("t"), names).alias("x"), L.restored_hits(F.col("t"), names).alias("h")).orderBy("id").collect()])
+        assert both[0] == both[1]
+
+    def cost(n):
+        held = L.Aliases([(f"alias{k} word", f"name{k}") for k in range(n)])
+        held.present("")
+        text = "some words without one and alias3 word here " * 200
+        return min(_timed(lambda: held.present(text)) for _ in range(5))
+
+    def _timed(fn):
+        began = time.perf_counter()
+        fn()
+        return time.perf_counter() - began
+
+    assert cost(10_000) < 20 * cost(10)
+
+
+def test_many_stems():
+    """Mentions by looked-up beginnings are those of a pattern for each stem."""
+    import random
+    import re
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
+    for _ in range(60):
+        targets = [{"canonical": f"t{k}", "stems": [" ".join(word() for _ in range(rnd.choice([1, 1, 2]))) for _ in range(3)], "exclude": [word() + word()]} for k in range(4)]
+        text = rnd.choice(["", " "]) + "  ".join(word() + rnd.choice(["", ".", word()]) for _ in range(20))
+        stems = sorted(((s, t) for t in targets for s in t["stems"]), key=lambda x: -len(x[0]))
+        spans, want = [], []
+        for s, t in stems:
+            for m in re.finditer(rf"(?<!\S)(?:{r'\s+'.join(s.split())})\S*", text):
+                other = any(m.group().startswith(x) and not re.search(r"\s", m.group()[len(x) :]) for x in t["exclude"])
+                if not other and not any(a <= m.start() and m.end() <= b for a, b in spans):
+                    spans.append(m.span())
+                    want.append((t["canonical"], m.group(), *m.span()))
+        assert L.Lexicon(targets, []).mentions(text) == sorted(want, key=lambda x: x[2])
