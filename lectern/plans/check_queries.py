@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import checks as C
 from lectern.operators import experiments as X
 from lectern.operators import lexicon as L
 from lectern.plans.base import query
-from lectern.plans.catalog import JUD, judged, table
+from lectern.plans.catalog import JUD, UTT, judged, table, utterances
+from lectern.session import shared_folder
+from lectern.sources import publishing
 
 # Small lexicons over the words of the test tables, in the shape of the real ones.
 ALIASES = [("the", "THE"), ("of", "OF"), ("une", "UNE")]
@@ -142,3 +146,37 @@ def factorial_conditions(spark, sf):
     rows = judged(spark, sf)
     factors = {"text": {"gold": rows["truth"], "auto": rows["pred"]}, "speaker": {"gold": rows["truth"], "auto": (rows["n_chars"] > 1000).cast("int")}}
     return X.factorial(rows, factors, F.col("text") == F.col("speaker")).withColumn("share", F.round("share", 6))
+
+
+PUBLISHED = "WITH " + UTT + """, e AS (SELECT DISTINCT episode FROM utt)
+SELECT episode, CASE WHEN episode % 2 = 1 THEN 'new' WHEN episode % 10 = 0 THEN 'changed' ELSE 'same' END AS status FROM e"""
+
+
+def _half_published(spark, sf):
+    """Turns of even episodes published, and all turns, of which those of every tenth episode have changed meanwhile."""
+    turns = utterances(spark, sf).select("episode", "turn", "text")
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    publishing.publish(turns.filter("episode % 2 = 0"), path, ["episode"])
+    return path, turns.withColumn("text", F.when(F.col("episode") % 10 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+
+
+@query("publish_status", PUBLISHED)
+def publish_status(spark, sf):
+    """A second run over all episodes: what it leaves alone, and what it writes."""
+    path, turns = _half_published(spark, sf)
+    return publishing.publish(turns, path, ["episode"], batches=2)
+
+
+@query("published_rows", "WITH " + UTT + " SELECT episode, turn, CASE WHEN episode % 10 = 0 THEN text || '.' ELSE text END AS text FROM utt")
+def published_rows(spark, sf):
+    """All that is published after the second run: each turn once, as it is now."""
+    path, turns = _half_published(spark, sf)
+    publishing.publish(turns, path, ["episode"], batches=2)
+    return publishing.published(spark, path)
+
+
+@query("missing_published", "SELECT * FROM (" + PUBLISHED + ") WHERE status <> 'same'")
+def missing_published(spark, sf):
+    """Episodes whose output isn't there or is another one."""
+    path, turns = _half_published(spark, sf)
+    return publishing.missing(turns, path, ["episode"])

@@ -871,3 +871,38 @@ def test_many_stems():
                     spans.append(m.span())
                     want.append((t["canonical"], m.group(), *m.span()))
         assert L.Lexicon(targets, []).mentions(text) == sorted(want, key=lambda x: x[2])
+
+
+def test_publishing(spark, tmp_path):
+    """A killed run goes on where it stopped, changed and lost keys are written again, and no row is lost or doubled."""
+    import shutil
+
+    from lectern.sources import publishing as P
+
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([(k % 7 if k % 7 else None, k, f"t{k}") for k in range(40)], "key long, n long, text string")
+    plain = lambda d: sorted(map(str, d.collect()))
+    with pytest.raises(FileNotFoundError):
+        P.published(spark, path)
+
+    def stop(batch):
+        if batch == 1:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        P.publish(rows, path, ["key"], batches=4, after=stop)
+    some = P.published(spark, path).count()
+    assert 0 < some < 40
+    left = {r.key for r in P.missing(rows, path, ["key"]).collect()}
+    got = {r.key: r.status for r in P.publish(rows, path, ["key"], batches=4).collect()}
+    assert {k for k, s in got.items() if s == "new"} == left and plain(P.published(spark, path)) == plain(rows) and len(got) == 7
+    version = P.current(spark, path)["version"]
+    assert {r.status for r in P.publish(rows.repartition(3), path, ["key"]).collect()} == {"same"} and P.current(spark, path)["version"] == version
+    changed = rows.filter("key IS NULL OR key != 3").withColumn("text", F.when(F.col("n") == 7, "other").otherwise(F.col("text")))
+    assert {r.key: r.status for r in P.publish(changed, path, ["key"]).collect()}[None] == "changed"
+    assert plain(P.published(spark, path)) == plain(changed.unionByName(rows.filter("key = 3")))
+    P.publish(changed, path, ["key"], drop=True)
+    assert plain(P.published(spark, path)) == plain(changed)
+    run = P.manifest(spark, path).filter("key = 1").first().run
+    shutil.rmtree(f"{path}/data/run={run}")
+    assert "lost" in {r.status for r in P.publish(changed, path, ["key"]).collect()} and plain(P.published(spark, path)) == plain(changed)
