@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,51 +34,127 @@ def resolved(episodes: DataFrame, recordings: DataFrame, tolerance: float = TOLE
     the stated path; one with its file name (composed, in any case); the nearest in length, by the stated duration and else by the transcript's end,
     within `tolerance`; and the one numbered as the episode is, unless its length speaks against it. A recording shorter than the transcript by more than the tolerance
     is none, and the last three rules skip recordings that an earlier episode has. That makes them depend on each other, so that a collection's
-    episodes are read in order of their ids.
+    episodes are read in order of their ids; each looks at the few recordings that its rules name, and the nearest free length is found by links over those taken.
     """
     name = lambda c: nfc_casefold(F.element_at(F.split(F.coalesce(c, F.lit("")), "/"), -1))
-    e = episodes.select("collection", F.struct("episode", F.coalesce("local_path", F.lit("")).alias("local_path"), name(F.col("local_path")).alias("name"), F.coalesce(F.col("duration_sec").cast("double"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("end_sec").cast("double"), F.lit(0.0)).alias("end_sec")).alias("e"))
-    r = recordings.select("collection", F.struct("path", name(F.col("path")).alias("name"), F.col("duration").cast("double").alias("duration")).alias("r"))
-    both = e.groupBy("collection").agg(F.sort_array(F.collect_list("e")).alias("episodes")).join(r.groupBy("collection").agg(F.sort_array(F.collect_list("r")).alias("recordings")), "collection", "left")
+    e = episodes.select("collection", "episode", F.coalesce("local_path", F.lit("")).alias("local_path"), name(F.col("local_path")).alias("name"), F.coalesce(F.col("duration_sec").cast("double"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("end_sec").cast("double"), F.lit(0.0)).alias("end_sec"))
+    r = recordings.filter("path IS NOT NULL").select("collection", "path", name(F.col("path")).alias("name"), F.col("duration").cast("double").alias("duration"))
     kinds = {c: episodes.schema[c].dataType.simpleString() for c in ("collection", "episode")}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for collection, eps, recs in zip(pdf["collection"], pdf["episodes"], pdf["recordings"], strict=True):
-            recs = list(recs) if recs is not None else []
-            claimed: set[str] = set()
-            for ep in eps:
-                path, how = _choice(ep, recs, claimed, tolerance)
-                if path:
-                    claimed.add(path)
-                out.append((collection, ep["episode"], path, how))
+    def run(eps: pd.DataFrame, recs: pd.DataFrame) -> pd.DataFrame:
+        free = Free(recs.sort_values("path", kind="stable"), tolerance)
+        order = ["episode", "local_path", "name", "duration", "end_sec"]
+        out = [(c, e, *free.choice(e, local, n, d, end)) for c, e, local, n, d, end in eps.sort_values(order)[["collection", *order]].itertuples(index=False)]
         return pd.DataFrame(out, columns=["collection", "episode", "path", "how"])
 
-    found = both.mapInPandas(lambda it: map(run, it), f"collection {kinds['collection']}, episode {kinds['episode']}, path string, how string")
+    found = e.groupBy("collection").cogroup(r.groupBy("collection")).applyInPandas(run, f"collection {kinds['collection']}, episode {kinds['episode']}, path string, how string")
     return episodes.join(found, ["collection", "episode"], "left")
 
 
-def _choice(ep, recordings: list, claimed: set[str], tolerance: float) -> tuple[str | None, str | None]:
-    """One episode's recording, and the rule that found it."""
-    known = lambda x: x is not None and x == x
-    long_enough = lambda r: ep["end_sec"] <= 0 or not known(r["duration"]) or r["duration"] >= ep["end_sec"] - tolerance
-    fits = [r for r in recordings if long_enough(r)]
-    for r in fits:
-        if ep["local_path"] and r["path"] == ep["local_path"]:
-            return r["path"], "exact"
-    free = [r for r in fits if r["path"] not in claimed]
-    for r in free:
-        if ep["name"] and r["name"] == ep["name"]:
-            return r["path"], "name"
-    for wanted in (ep["duration"], ep["end_sec"]):
-        near = [(abs(r["duration"] - wanted), r["path"]) for r in free if wanted > 0 and known(r["duration"]) and abs(r["duration"] - wanted) <= tolerance]
-        if near:
-            return min(near)[1], "duration"
-    digits = str(ep["episode"])[len(str(ep["episode"]).rstrip("0123456789")) :]
-    if digits:
-        stems = {f"{int(digits):02d}", str(int(digits))}
-        for r in free:
-            agrees = ep["duration"] <= 0 or not known(r["duration"]) or abs(r["duration"] - ep["duration"]) <= tolerance
-            if r["name"].rsplit(".", 1)[0] in stems and agrees:
-                return r["path"], "number"
-    return None, None
+class Links:
+    """Places in a row, of which some are taken: the next one on each side that isn't, by union-find in about constant time."""
+
+    def __init__(self, n: int):
+        self.right, self.left = list(range(n + 2)), list(range(n + 2))  # places 1 to n, and an end on each side
+
+    def take(self, k: int) -> None:
+        self.right[k], self.left[k] = k + 1, k - 1
+
+    @staticmethod
+    def _end(links: list[int], k: int) -> int:
+        top = k
+        while links[top] != top:
+            top = links[top]
+        while links[k] != top:
+            links[k], k = top, links[k]
+        return top
+
+    def upto(self, k: int) -> int:
+        return self._end(self.left, k)
+
+    def after(self, k: int) -> int:
+        return self._end(self.right, k)
+
+
+class Free:
+    """A collection's recordings, of which some are claimed. Each question looks at the few recordings that can answer it, whatever the collection's size."""
+
+    def __init__(self, recordings: pd.DataFrame, tolerance: float):
+        self.tolerance = tolerance
+        self.paths, self.names, self.durations = (recordings[c].tolist() for c in ("path", "name", "duration"))
+        self.claimed: set[str] = set()
+        self.by_path: dict[str, list[int]] = {}
+        self.by_name: dict[str, list[int]] = {}
+        self.by_stem: dict[str, list[int]] = {}
+        for k, (path, name) in enumerate(zip(self.paths, self.names, strict=True)):
+            self.by_path.setdefault(path, []).append(k)
+            self.by_name.setdefault(name, []).append(k)
+            self.by_stem.setdefault(name.rsplit(".", 1)[0], []).append(k)
+        known = sorted((d, k) for k, d in enumerate(self.durations) if d == d and d is not None)
+        self.lengths = sorted({d for d, _ in known})
+        self.at = {d: k + 1 for k, d in enumerate(self.lengths)}
+        self.of: list[list[int]] = [[] for _ in self.lengths]  # recordings of a length, in order of their paths
+        self.first = [0] * len(self.lengths)
+        for d, k in known:
+            self.of[self.at[d] - 1].append(k)
+        self.links = Links(len(self.lengths))
+
+    def fits(self, k: int, end: float) -> bool:
+        d = self.durations[k]
+        return end <= 0 or d is None or d != d or d >= end - self.tolerance
+
+    def free(self, rows: list[int], end: float):
+        return (k for k in rows if self.paths[k] not in self.claimed and self.fits(k, end))
+
+    def claim(self, path: str) -> None:
+        """A path is nobody else's; lengths of which nothing is left are skipped from now on."""
+        if path in self.claimed:
+            return
+        self.claimed.add(path)
+        for k in self.by_path[path]:
+            place = self.at.get(self.durations[k])
+            if place is not None:
+                own, first = self.of[place - 1], self.first[place - 1]
+                while first < len(own) and self.paths[own[first]] in self.claimed:
+                    first += 1
+                self.first[place - 1] = first
+                if first == len(own):
+                    self.links.take(place)
+
+    def nearest(self, wanted: float, end: float) -> str | None:
+        """The free recording nearest in length, within the tolerance and long enough; of equals the first path."""
+        k, found = bisect_left(self.lengths, wanted), []
+        long_enough = bisect_left(self.lengths, end - self.tolerance) if end > 0 else 0
+        for place in (self.links.upto(k), self.links.after(max(k, long_enough) + 1)):
+            if long_enough < place <= len(self.lengths):
+                length = self.lengths[place - 1]
+                if abs(length - wanted) <= self.tolerance:
+                    found.append((abs(length - wanted), self.paths[self.of[place - 1][self.first[place - 1]]]))
+        return min(found)[1] if found else None
+
+    def choice(self, episode, local: str, name: str, duration: float, end: float) -> tuple[str | None, str | None]:
+        """One episode's recording, and the rule that found it; it is claimed."""
+        path, how = self._choice(episode, local, name, duration, end)
+        if path:
+            self.claim(path)
+        return path, how
+
+    def _choice(self, episode, local, name, duration, end):
+        if local and any(self.fits(k, end) for k in self.by_path.get(local, ())):
+            return local, "exact"
+        named = next(self.free(self.by_name.get(name, []), end), None) if name else None
+        if named is not None:
+            return self.paths[named], "name"
+        for wanted in (duration, end):
+            near = self.nearest(wanted, end) if wanted > 0 else None
+            if near:
+                return near, "duration"
+        digits = str(episode)[len(str(episode).rstrip("0123456789")) :]
+        if digits:
+            stems = {f"{int(digits):02d}", str(int(digits))}
+            rows = sorted(k for s in stems for k in self.by_stem.get(s, ()))
+            agrees = lambda d: duration <= 0 or d is None or d != d or abs(d - duration) <= self.tolerance
+            for k in self.free(rows, end):
+                if agrees(self.durations[k]):
+                    return self.paths[k], "number"
+        return None, None

@@ -165,6 +165,22 @@ def stage_folders(spark, sf):
     return files.stage_folders(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("bundle"), F.explode(each).alias("folder")), ["annotation_drafts", "fused"])
 
 
+def cascade(spark, sf):
+    """(episodes, recordings): conversations of seven collections, every ninth with the path of its recording, and airings as long as they are."""
+    u = utterances(spark, sf).groupBy("episode").agg((F.max("end_ds") / 10.0).alias("end_sec"))
+    own = F.when(F.col("episode") % 9 == 0, F.concat(F.lit("r/"), F.col("episode"), F.lit(".wav")))
+    eps = u.select((F.col("episode") % 7).alias("collection"), "episode", own.alias("local_path"), F.when(F.col("episode") % 3 == 0, F.col("end_sec") + 1).otherwise(0.0).alias("duration_sec"), "end_sec")
+    recs = table(spark, sf, "events").select((F.col("event_id") % 7).alias("collection"), F.concat(F.lit("r/"), F.col("event_id"), F.lit(".wav")).alias("path"), F.abs(F.coalesce("value", F.lit(0.0))).alias("duration"))
+    return eps, recs
+
+
+@query("resolved_recordings")
+def resolved_recordings(spark, sf):
+    """Each conversation's recording by the cascade of rules; a recording that an earlier one has is nobody else's."""
+    eps, recs = cascade(spark, sf)
+    return audio.resolved(eps, recs).select("collection", "episode", "path", "how")
+
+
 @query("locked_recordings", """
 WITH p AS (SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > 0 AND abs(c_acctbal - s_acctbal) <= 20),
 o AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY c_custkey) = 1)

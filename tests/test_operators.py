@@ -906,3 +906,80 @@ def test_publishing(spark, tmp_path):
     run = P.manifest(spark, path).filter("key = 1").first().run
     shutil.rmtree(f"{path}/data/run={run}")
     assert "lost" in {r.status for r in P.publish(changed, path, ["key"]).collect()} and plain(P.published(spark, path)) == plain(changed)
+
+
+def test_recordings_by_links(spark):
+    """Free recordings by links, against a loop over all recordings for each episode; and a large collection in seconds."""
+    import random
+    import time
+
+    import pandas as pd
+
+    from lectern.operators import audio
+
+    def _choice(ep, recordings: list, claimed: set[str], tolerance: float) -> tuple[str | None, str | None]:
+        """One episode's recording, and the rule that found it."""
+        known = lambda x: x is not None and x == x
+        long_enough = lambda r: ep["end_sec"] <= 0 or not known(r["duration"]) or r["duration"] >= ep["end_sec"] - tolerance
+        fits = [r for r in recordings if long_enough(r)]
+        for r in fits:
+            if ep["local_path"] and r["path"] == ep["local_path"]:
+                return r["path"], "exact"
+        free = [r for r in fits if r["path"] not in claimed]
+        for r in free:
+            if ep["name"] and r["name"] == ep["name"]:
+                return r["path"], "name"
+        for wanted in (ep["duration"], ep["end_sec"]):
+            near = [(abs(r["duration"] - wanted), r["path"]) for r in free if wanted > 0 and known(r["duration"]) and abs(r["duration"] - wanted) <= tolerance]
+            if near:
+                return min(near)[1], "duration"
+        digits = str(ep["episode"])[len(str(ep["episode"]).rstrip("0123456789")) :]
+        if digits:
+            stems = {f"{int(digits):02d}", str(int(digits))}
+            for r in free:
+                agrees = ep["duration"] <= 0 or not known(r["duration"]) or abs(r["duration"] - ep["duration"]) <= tolerance
+                if r["name"].rsplit(".", 1)[0] in stems and agrees:
+                    return r["path"], "number"
+        return None, None
+
+    rnd = random.Random(5)
+    for case in range(120):
+        recs = sorted(((rnd.choice(["a/", "b/"]) + rnd.choice(["x.mp3", "y.mp3", "07.mp3", "7.wav", f"{k}.mp3"]), rnd.choice([None, 5.0, 6.0, 6.5, 7.0, 60.0])) for k in range(rnd.randint(0, 12))), key=lambda r: r[0])
+        recs = [{"path": p, "name": p.split("/")[-1], "duration": d} for p, d in recs]
+        free = audio.Free(pd.DataFrame(recs, columns=["path", "name", "duration"]), 2.0)
+        claimed = set()
+        for k in range(10):
+            local = rnd.choice(["", "", "a/x.mp3", "c/y.mp3"])
+            ep = {"episode": rnd.choice(["e7", "e", "ep07", "e3"]), "local_path": local, "name": local.split("/")[-1], "duration": rnd.choice([0.0, 5.5, 6.0, 9.0]), "end_sec": rnd.choice([0.0, 5.0, 8.5, 61.0])}
+            want = _choice(ep, recs, claimed, 2.0)
+            if want[0]:
+                claimed.add(want[0])
+            assert free.choice(ep["episode"], ep["local_path"], ep["name"], ep["duration"], ep["end_sec"]) == want, case
+    began = time.perf_counter()
+    n = 100_000
+    free = audio.Free(pd.DataFrame({"path": [f"r{k:06d}" for k in range(n)], "name": [f"r{k:06d}" for k in range(n)], "duration": [float(k % 5000) for k in range(n)]}), 2.0)
+    assert sum(free.choice(f"e{k}x", "", "", float(k * 7 % 5000), 0.0)[0] is not None for k in range(n)) > n // 2 and time.perf_counter() - began < 20
+
+
+def test_resolved_recordings_query(spark):
+    """The registered query gives each episode what a loop over its collection's recordings gives."""
+    from lectern.plans import base, corpus_queries
+
+    ship(spark)
+    eps, recs = corpus_queries.cascade(spark, SF)
+    rows = [r.asDict() for r in recs.select("collection", "path", "duration").collect()]
+    want, claimed = {}, {}
+    for e in sorted(eps.collect(), key=lambda r: (r.collection, r.episode)):
+        mine = claimed.setdefault(e.collection, set())
+        fits = [r for r in rows if r["collection"] == e.collection and r["duration"] >= e.end_sec - 2]
+        found, how = next(((r["path"], "exact") for r in fits if r["path"] == e.local_path), (None, None))
+        near = [(abs(r["duration"] - e.duration_sec), r["path"]) for r in fits if r["path"] not in mine and abs(r["duration"] - e.duration_sec) <= 2]
+        if found is None and e.duration_sec > 0 and near:
+            found, how = min(near)[1], "duration"
+        near = [(abs(r["duration"] - e.end_sec), r["path"]) for r in fits if r["path"] not in mine and abs(r["duration"] - e.end_sec) <= 2]
+        if found is None and e.end_sec > 0 and near:
+            found, how = min(near)[1], "duration"
+        mine.add(found)
+        want[e.collection, e.episode] = (found, how)
+    got = {(r.collection, r.episode): (r.path, r.how) for r in base.QUERIES["resolved_recordings"](spark, SF).collect()}
+    assert got == want and {h for _, h in want.values()} == {"exact", "duration", None}
