@@ -252,11 +252,12 @@ def targets_text(labels: Column) -> Column:
 
 def find(
     rows: DataFrame, q: str, query_type: str = "auto", method: str = "smart", collection: str | None = None, episode: str | None = None, speaker: int | None = None,
-    include_unassigned: bool = False, minimum_score: float = 0.55, top_k: int = 20, include_context: bool = True, semantic_scores: DataFrame | None = None,
+    include_unassigned: bool = False, minimum_score: float = 0.55, top_k: int | None = 20, include_context: bool = True, semantic_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked hits of index rows: rank, what the rows have, score, lexical_score, semantic_score, match_type, context, targets_text.
 
     semantic_scores: (key, semantic) of the whole corpus, for the methods semantic and hybrid. episode: a global one. Scope is cut before scoring.
+    top_k: None gives all hits of these two methods, in no order and without a rank.
     """
     if not q.split():
         return rows.limit(0)
@@ -283,12 +284,16 @@ def find(
             base = base.withColumn("_f", FUZZY_SHARE * fuzzy(F.col("_open"), t, q, words))
             lexical = base.withColumn("lexical_score", F.when(t == "", 0.0).otherwise(F.greatest(known, F.coalesce("_f", F.lit(0.0))))).drop("_t", "_open", "_s", "_f")
         score = hybrid(F.col("lexical_score"), F.col("semantic_score")) if name == "hybrid" else F.coalesce("semantic_score", F.lit(0.0))
-        hits = kept(lexical, score, F.lit(name), minimum_score).orderBy(F.col("score").desc(), *order).limit(max(1, top_k))
+        hits = kept(lexical, score, F.lit(name), minimum_score)
+        if top_k is not None:
+            hits = hits.orderBy(F.col("score").desc(), *order).limit(max(1, top_k))
     else:
         hits = search(scoped, q, name, minimum_score, top_k, "text", order, None, query_type)
         hits = hits.withColumn("lexical_score", F.col("score")).withColumn("semantic_score", F.lit(None).cast("double"))
     around = (F.col("previous_text"), F.col("next_text")) if include_context else (F.lit(""), F.lit(""))
     hits = hits.withColumn("context", context(around[0], F.col("text"), around[1]))
+    if top_k is None:
+        return hits
     # At most top_k rows are left, so that one task numbers them.
     ranked = Window.orderBy(F.col("score").desc(), *order)
     return hits.withColumn("rank", F.row_number().over(ranked))

@@ -190,7 +190,7 @@ SELECT key, round(sem, 6) AS semantic_score FROM s WHERE lex >= 0.9 AND 0.45 * l
 def search_hybrid(spark, sf):
     """Hits whose lexical part the native rules settle, each with the semantic score that counts beside it; other turns score less than 0.45 * 0.9 by words alone."""
     sem = S.semantic(table(spark, sf, "embeddings"), "embedding", PROBE).select(F.concat(F.lit("c"), F.floor(F.col("vec_id") / 100) % 7, F.lit("::"), F.floor(F.col("vec_id") / 100), F.lit("::u"), F.col("vec_id") % 100).alias("key"), "semantic")
-    hits = S.find(indexed(spark, sf), "de la", method="Hybrid", minimum_score=0.405, top_k=1_000_000, semantic_scores=sem)
+    hits = S.find(indexed(spark, sf), "de la", method="Hybrid", minimum_score=0.405, top_k=None, semantic_scores=sem)
     return hits.filter("lexical_score >= 0.9").select("key", F.round("semantic_score", 6).alias("semantic_score"))
 
 
