@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import aggregates as A
+from lectern.operators import vectors as V
 from lectern.operators.quantiles import quantiles
 from lectern.operators import sequences as Q
 from lectern.plans.base import query
@@ -287,3 +288,40 @@ def majority_baseline(spark, sf):
 def top_per_group(spark, sf):
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("long")
     return table(spark, sf, "orders").withColumn("rank", n).filter("rank <= 3").select("o_custkey", "o_orderkey", "rank")
+
+
+VOCABULARY = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w),
+c AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY 1, 2),
+v AS (SELECT gram, count(*) AS df, sum(tf)::BIGINT AS n FROM c GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, gram LIMIT 40000),
+i AS (SELECT gram, df, n, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM v)"""
+
+
+@query("gram_vocabulary", VOCABULARY + " SELECT gram, df, n, round(idf, 6) AS idf FROM i")
+def gram_vocabulary(spark, sf):
+    """Words and pairs of two texts and more, the 40,000 most frequent: a limit that is the feature's."""
+    docs = table(spark, sf, "documents")
+    words = V.vocabulary(V.counted(docs, "doc_id", "text", V.WORDS), docs.count(), V.WORDS)
+    return words.select("gram", "df", "n", F.round("idf", 6).alias("idf"))
+
+
+@query("gram_weights", VOCABULARY + """, x AS (SELECT doc_id, gram, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (gram)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1)
+SELECT doc_id, count(*) AS n_grams, round(sum(w / l), 5) AS total, round(max(w / l), 5) AS largest FROM x JOIN l USING (doc_id) GROUP BY 1""")
+def gram_weights(spark, sf):
+    """Each document's weights, of length one, summed up."""
+    docs = table(spark, sf, "documents")
+    counts = V.counted(docs, "doc_id", "text", V.WORDS)
+    w = V.weights(counts, V.vocabulary(counts, docs.count(), V.WORDS), "doc_id")
+    return w.groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("largest"))
+
+
+def _judged_texts(spark, sf):
+    own = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return table(spark, sf, "documents").select("doc_id", "text").join(own, "doc_id").withColumn("fold", (F.col("doc_id") % 3).cast("int"))
+
+
+@query("fold_baselines")
+def fold_baselines(spark, sf):
+    """Judged documents by three folds: words and characters with a classifier for each fold, and the majority beside it. Tests hold the majority against its rule, and the classifier above it."""
+    return V.by_folds(_judged_texts(spark, sf), "doc_id", "text", "label", "fold", 2, [V.WORDS, V.CHARS])

@@ -983,3 +983,30 @@ def test_resolved_recordings_query(spark):
         want[e.collection, e.episode] = (found, how)
     got = {(r.collection, r.episode): (r.path, r.how) for r in base.QUERIES["resolved_recordings"](spark, SF).collect()}
     assert got == want and {h for _, h in want.values()} == {"exact", "duration", None}
+
+
+def test_folds(spark):
+    """No text of a fold has a part in its vocabulary or majority; the classifier learns what the majority can't."""
+    from collections import Counter
+
+    from lectern.operators import vectors as V
+    from lectern.plans import aggregate_queries, base
+
+    ship(spark)
+    rows = {r.doc_id: r for r in aggregate_queries._judged_texts(spark, SF).collect()}
+    got = {r.doc_id: r for r in base.QUERIES["fold_baselines"](spark, SF).collect()}
+    assert set(got) == set(rows)
+    for f in {r.fold for r in rows.values()}:
+        counts = Counter(r.label for r in rows.values() if r.fold != f)
+        most = min(counts, key=lambda c: (-counts[c], c))
+        assert {r.majority for r in got.values() if r.fold == f} == {most}
+    both = lambda c, k: 2 * sum(r[c] == r.truth == k for r in got.values()) / max(1, sum((r[c] == k) + (r.truth == k) for r in got.values()))
+    assert both("pred", 0) + both("pred", 1) > both("majority", 0) + both("majority", 1)
+    train = spark.createDataFrame([(k, ("good fine " if k % 2 else "bad poor ") + f"word{k % 3}", k % 2) for k in range(24)], "id long, text string, label int")
+    test = spark.createDataFrame([(100, "fine unseen", 1), (101, "Bad x", 0), (102, None, 0)], "id long, text string, label int")
+    words = V.Vectorizer(train, "id", "text", [V.WORDS, V.Kind(V.char_grams, 3, 10)])
+    assert "unseen" not in {r.gram for w in words.words for r in w.collect()} and words.words[1].count() == 10
+    out, strength = V.grid_refit(train, train.withColumn("id", F.col("id") + 1000), test, "id", "text", "label", 2, [V.WORDS, V.CHARS], [0.5, 2.0])
+    assert strength == 0.5 and {r.id: r.pred for r in out.collect() if r.id < 102} == {100: 1, 101: 0}
+    norms = {round(sum(x * x for x in r.features.values), 9) for r in V.Vectorizer(train, "id", "text", [V.WORDS]).vectors(test).collect()}
+    assert norms <= {0.0, 1.0}
