@@ -96,3 +96,19 @@ def condition_scores(gold: DataFrame, sources: dict[str, DataFrame], positive: l
     some = F.col("p").isNotNull()
     tp, fp, fn = F.count_if(some & t & p), F.count_if(some & ~t & p), F.count_if(some & t & ~p)
     return rows.groupBy("condition").agg(F.count("*").alias("n_gold"), F.avg("w").alias("wer"), F.avg((F.col("w") < 1).cast("double")).alias("coverage"), F.count("p").alias("n"), ratio(F.count_if(F.col("p") == F.col("polarity")), F.count("p")).alias("accuracy"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_positive"))
+
+
+def reproduced(published: DataFrame, again: DataFrame, key: list[str]) -> DataFrame:
+    """One row on predictions (key, truth, pred) made again: n published, missing and extra keys, equal predictions, accuracies of both over common keys, and whether all is as published.
+
+    A key that one side has several times is counted as `repeated`, and compared by its first prediction in order.
+    """
+    once = lambda d, name: d.groupBy(*key).agg(F.min("pred").alias(name), F.min("truth").alias(f"truth_{name}"), F.count("*").alias(f"n_{name}"))
+    both = once(published, "a").join(once(again, "b"), key, "full")
+    common = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
+    right = lambda c: ratio(F.count_if(common & F.col(c).eqNullSafe(F.col("truth_a"))), F.count_if(common))
+    out = both.agg(
+        F.count("n_a").alias("n"), F.count_if(F.col("n_b").isNull()).alias("missing"), F.count_if(F.col("n_a").isNull()).alias("extra"), F.count_if((F.coalesce("n_a", F.lit(1)) > 1) | (F.coalesce("n_b", F.lit(1)) > 1)).alias("repeated"),
+        F.count_if(common & F.col("a").eqNullSafe(F.col("b"))).alias("equal"), right("a").alias("accuracy_published"), right("b").alias("accuracy_again"),
+    )
+    return out.withColumn("same", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0) & (F.col("equal") == F.col("n")))

@@ -160,3 +160,23 @@ def segment_overlaps(spark, sf):
     a = airings(spark, sf).select("event_id", "episode", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     b = airings(spark, sf).select(F.col("event_id").alias("other_id"), "episode", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     return I.touching(a, b, ["episode"], 600_000).filter("event_id < other_id").select("event_id", "other_id", I.shared("start", "end", "r_start", "r_end").alias("overlap_ms"))
+
+
+@query("missing_by_status", "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def missing_by_status(spark, sf):
+    """Customers without an output of one kind: some have it, some have others alone."""
+    have = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    return C.missing(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), have, ["key"])
+
+
+@query("unambiguous_lengths", """
+WITH e AS (SELECT event_id, user_id, floor(abs(coalesce(value, 0)))::BIGINT AS v FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(a.v - b.v) <= 1),
+n AS (SELECT *, count(*) OVER (PARTITION BY a) AS x, count(*) OVER (PARTITION BY b) AS y FROM p) SELECT a, b FROM n WHERE x = 1 AND y = 1""")
+def unambiguous_lengths(spark, sf):
+    """Even and odd events of a user whose lengths match each other's alone, in either direction."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.floor(F.abs(F.coalesce("value", F.lit(0.0)))).alias("v"))
+    left = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("a"), "user_id", (F.col("v") - 1).alias("start"), (F.col("v") + 1).alias("end"))
+    right = e.filter("event_id % 2 = 1").select(F.col("event_id").alias("b"), "user_id", F.col("v").alias("r_start"), F.col("v").alias("r_end"))
+    p = I.touching(left, right, ["user_id"], 10)
+    one = F.count("*").over(Window.partitionBy("a")) + F.count("*").over(Window.partitionBy("b"))
+    return p.withColumn("n", one).filter("n = 2").select("a", "b")

@@ -260,3 +260,23 @@ def condition_scores(spark, sf):
     asr = g.filter("segment_id % 5 != 0").select("segment_id", F.when(F.col("segment_id") % 5 == 1, "profit").otherwise(F.col("text")).alias("text"))
     out = X.condition_scores(g, {"gold": g.select("segment_id", "text"), "asr": asr}, ["profit", "up"], ["loss", "fall"])
     return out.select("condition", "n_gold", F.round("wer", 6).alias("wer"), F.round("coverage", 6).alias("coverage"), "n", F.round("accuracy", 6).alias("accuracy"), F.round("f1_positive", 6).alias("f1_positive"))
+
+
+@query("measured_noise_limit")
+def measured_noise_limit(spark, sf):
+    """The greatest error rate that the measured curve bears; tests take it from the curve's rows."""
+    return X.noise_limit(noise_points(spark, sf)).select(F.round("limit", 6).alias("limit"))
+
+
+@query("predictions_reproduced", """
+WITH p AS (SELECT doc_id, quality AS truth, 1 - toxic AS pred FROM labels), a AS (SELECT doc_id, truth, CASE WHEN doc_id % 17 = 0 THEN 1 - pred ELSE pred END AS pred FROM p WHERE doc_id % 23 <> 0 UNION ALL SELECT -1 - doc_id, truth, pred FROM p WHERE doc_id % 29 = 0),
+j AS (SELECT p.doc_id AS x, a.doc_id AS y, p.pred AS a, a.pred AS b, p.truth AS t FROM p FULL JOIN a ON a.doc_id = p.doc_id)
+SELECT count(x) AS n, count(*) FILTER (y IS NULL) AS missing, count(*) FILTER (x IS NULL) AS extra, 0 AS repeated, count(*) FILTER (a = b) AS equal,
+  round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND a = t) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 6) AS accuracy_published, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND b = t) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 6) AS accuracy_again, false AS same FROM j""")
+def predictions_reproduced(spark, sf):
+    """Predictions of all labels against a run that lost some, changed some and made some of its own."""
+    p = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("truth"), (1 - F.col("toxic")).alias("pred"))
+    again = p.filter("doc_id % 23 != 0").withColumn("pred", F.when(F.col("doc_id") % 17 == 0, 1 - F.col("pred")).otherwise(F.col("pred")))
+    again = again.unionByName(p.filter("doc_id % 29 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    out = X.reproduced(p, again, ["doc_id"])
+    return out.withColumn("accuracy_published", F.round("accuracy_published", 6)).withColumn("accuracy_again", F.round("accuracy_again", 6))

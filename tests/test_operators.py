@@ -1010,3 +1010,13 @@ def test_folds(spark):
     assert strength == 0.5 and {r.id: r.pred for r in out.collect() if r.id < 102} == {100: 1, 101: 0}
     norms = {round(sum(x * x for x in r.features.values), 9) for r in V.Vectorizer(train, "id", "text", [V.WORDS]).vectors(test).collect()}
     assert norms <= {0.0, 1.0}
+
+
+def test_measured_noise_limit(spark):
+    from lectern.plans import base
+
+    ship(spark)
+    curve = base.QUERIES["noise_curve"](spark, SF).collect()
+    best = max(r.macro_f1 for r in curve)
+    near = [r.achieved_wer for r in curve if r.macro_f1 >= best - 0.03]
+    assert base.QUERIES["measured_noise_limit"](spark, SF).first()[0] == max(near)

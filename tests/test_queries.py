@@ -10,7 +10,7 @@ import __spark_entry__  # noqa: F401  registers all queries
 #: Queries that SQL can't express, and the test that holds each one's values against a table, the rules by hand, or held-out rows.
 VALUE_TESTS = {
     "wer": "test_error_rates_by_table", "cer": "test_error_rates_by_table", "noise_curve": "test_noise_costs", "search_smart": "test_fuzzy_and_smart_by_hand", "search_fuzzy": "test_fuzzy_and_smart_by_hand",
-    "diarization_error": "test_diarization_error_query", "tfidf_baseline": "test_models", "fold_baselines": "test_folds", "resolved_recordings": "test_resolved_recordings_query", "search_fuzzy_documents": "test_fuzzy_documents_by_brute_force", "search_smart_documents": "test_fuzzy_documents_by_brute_force",
+    "diarization_error": "test_diarization_error_query", "tfidf_baseline": "test_models", "fold_baselines": "test_folds", "measured_noise_limit": "test_measured_noise_limit", "resolved_recordings": "test_resolved_recordings_query", "search_fuzzy_documents": "test_fuzzy_documents_by_brute_force", "search_smart_documents": "test_fuzzy_documents_by_brute_force",
 }
 
 
