@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.quantiles import quantiles
-
 from lectern.functions.text import stance_label
+from lectern.operators.quantiles import quantiles
 
 CONFIDENCE_WEIGHT = {"high": 1.0, "medium": 0.7, "low": 0.4}  # fixed values
 
@@ -269,6 +269,11 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
     return rows.groupBy("episode").applyInPandas(_episode_error, "episode long, total double, missed double, false_alarm double, confusion double, error double")
 
 
+def diarization_errors(reference: DataFrame, hypothesis: DataFrame, collars: tuple[float, ...] = (0.0, 0.25)) -> DataFrame:
+    """diarization_error with each collar, a row each: collar, and its columns. The published figures have both of these."""
+    return reduce(DataFrame.unionByName, [diarization_error(reference, hypothesis, c).withColumn("collar", F.lit(float(c))) for c in collars])
+
+
 def _episode_error(pdf):
     """Sweep over one episode's cuts (its speakers' open segments are all that is held), then the best mapping."""
     from collections import Counter

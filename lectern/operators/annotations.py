@@ -110,3 +110,14 @@ def tier(gold: DataFrame, weak: DataFrame) -> DataFrame:
     g = gold.withColumn("label_tier", F.lit("gold"))
     w = weak.join(gold.select("episode_id").distinct(), "episode_id", "left_anti").withColumn("label_tier", F.lit("weak"))
     return g.unionByName(w)
+
+
+def valid_gold(rows: DataFrame) -> DataFrame:
+    """Annotated rows (with is_gold_tier) of episodes that are gold as a whole: stated so on every row, and no rule broken by any. A null isn't stated."""
+    bad = rows.filter(~F.coalesce("is_gold_tier", F.lit(False))).select("episode_id").union(issues(rows).select("episode_id")).distinct()
+    return rows.join(bad, "episode_id", "left_anti")
+
+
+def episode_tiers(annotated: DataFrame, weak: DataFrame) -> DataFrame:
+    """episode_id, label_tier: gold where the annotation is valid gold, else weak where there are weak labels; other episodes have none."""
+    return tier(valid_gold(annotated).select("episode_id").distinct(), weak.select("episode_id").distinct())

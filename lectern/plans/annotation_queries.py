@@ -65,3 +65,15 @@ def tfidf_baseline(spark, sf):
     model = M.tfidf_classifier(rows.filter(~held), "text", "label", 2)
     out = model.transform(rows.filter(held).withColumn("class_weight", F.lit(1.0)))
     return out.select("doc_id", F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"))
+
+
+@query("valid_label_tier", "WITH " + UTT + r""",
+b AS (SELECT episode, bool_or(episode % 4 = 0 OR trim(text) = '' OR nfc_normalize(text) <> text OR regexp_matches(text, '[0-9]') OR speaker_id < 0 OR end_sec <= start_sec OR (turn = 3 AND episode % 5 = 0)) AS bad FROM utt GROUP BY 1)
+SELECT episode::VARCHAR AS episode_id, CASE WHEN bad THEN 'weak' ELSE 'gold' END AS label_tier FROM b WHERE NOT bad OR episode % 3 <> 0""")
+def valid_label_tier(spark, sf):
+    """Annotated episodes, some of them no gold, with faults of their texts, and some with a turn that is still to be reviewed; weak labels for two thirds."""
+    open_ = (F.col("utterance_id") == "3") & (F.col("episode_id").cast("long") % 5 == 0)
+    rows = N.drafts(_fused(spark, sf)).withColumn("role_tag", F.lit("host")).withColumn("role_review_required", F.lit(False)).withColumn("human_verified", F.lit(True))
+    rows = rows.withColumn("annotation_status", F.when(open_, "review_required").otherwise("non_evaluative")).withColumn("is_gold_tier", F.col("episode_id").cast("long") % 4 != 0)
+    weak = rows.filter(F.col("episode_id").cast("long") % 3 != 0)
+    return N.episode_tiers(rows, weak).select("episode_id", "label_tier")

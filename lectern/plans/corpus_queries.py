@@ -323,6 +323,17 @@ def diarization_error(spark, sf):
     return out.select("episode", *[F.round(c, 6).alias(c) for c in ("total", "missed", "false_alarm", "confusion", "error")])
 
 
+@query("diarization_collars", "WITH " + UTT + "," + WORDS + """,
+j AS (SELECT u.episode, u.end_ds - u.start_ds AS len, u.end_ds - g.end_ds AS gone, c.collar FROM utt u JOIN seg g ON g.episode = u.episode AND g.turn = u.turn, (SELECT unnest([0.0, 2.5])::DOUBLE AS collar) c WHERE u.end_ds > u.start_ds),
+s AS (SELECT episode, collar, sum(greatest(len - collar, 0)) AS total, sum(CASE WHEN gone > 0 THEN greatest(gone - collar / 2, 0) ELSE 0 END) AS missed FROM j GROUP BY 1, 2)
+SELECT episode, collar, round(total, 6) AS total, round(missed, 6) AS missed, 0.0 AS false_alarm, 0.0 AS confusion, round(CASE WHEN total > 0 THEN missed / total ELSE 0 END, 6) AS error FROM s""")
+def diarization_collars(spark, sf):
+    """With no collar and with a quarter of a second: what is cut off each utterance is missed but for half a collar at its end, and speakers are only renamed."""
+    ref = utterances(spark, sf).select("episode", F.col("start_ds").cast("double").alias("start"), F.col("end_ds").cast("double").alias("end"), F.col("speaker_id").alias("label"))
+    hyp = segments(spark, sf).select("episode", F.col("start_ds").cast("double").alias("start"), F.col("end_ds").cast("double").alias("end"), (10 - F.col("speaker_id")).alias("label"))
+    return A.diarization_errors(ref, hyp, (0.0, 2.5)).select("episode", "collar", *[F.round(c, 6).alias(c) for c in ("total", "missed", "false_alarm", "confusion", "error")])
+
+
 @query("dropped_rows", "SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS joined, count(*) FILTER (l.doc_id IS NULL) AS dropped FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def dropped_rows(spark, sf):
     inner, dropped = A.with_dropped(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), ["doc_id"])
