@@ -83,6 +83,7 @@ ORACLES = {
     "op4_licenses": licenses.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op8_suffixes": suffixes.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_quality": quality.ORACLE,
     "op11_ranking": ranking.ORACLE,

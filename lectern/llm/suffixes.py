@@ -401,3 +401,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
 
     left = Searched(held, window, id_col, text_col, row).rows(fn, f"`{row}` long, `{new}` string", pa.schema([(row, pa.int64()), (new, pa.string())]))
     return held.join(left, row).select(*[F.col(new).alias(c) if c == text_col else held[c] for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS f FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS e FROM (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b) GROUP BY doc_id, k),
+t AS (SELECT doc_id, a, e, coalesce(lag(e) OVER w, 0) AS p, lead(a) OVER w AS nx FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+x AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - 1 - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
