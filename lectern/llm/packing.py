@@ -31,8 +31,8 @@ from lectern.llm.common import CHUNK, bounded_batches, buffers, distinct_words,
 
 WINDOW = 4096
 END = 2
-#: Distinct words whose ids a worker keeps, at most (about 40 bytes each); then those met in one chunk only go.
-CACHE_WORDS = 3_000_000
+#: Distinct words whose ids a worker keeps, at most (about 200 bytes each); then those met in one chunk only go.
+CACHE_WORDS = 600_000
 #: Words in one call of the tokenizer.
 STEP = 20_000
 #: Longer words are kept by their SHA-256, behind which stands a byte that no word has.
