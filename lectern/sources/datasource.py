@@ -20,9 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from lectern.session import ship
 from lectern.sources import parsing
+from lectern.sources.files import PRUNED
 
-#: Folders whose files are archived: fixed values.
-PRUNED = ("_source_runs", ".git", "__pycache__", ".ipynb_checkpoints")
 SCHEMAS = {
     "csv": "path string, stem string, record long, fields map<string,string>, error string",
     "articles": "path string, stem string, title string, text string, error string",
