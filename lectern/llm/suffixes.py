@@ -55,7 +55,8 @@ class Segments:
         anchor = sliding_argmin(seeds, window - seed + 1)[at]
         new = np.flatnonzero(np.diff(anchor, prepend=-1))
         self.anchor = anchor[new].astype(np.int64)
-        self.value = seeds[self.anchor]
+        # An anchor is the least of 61 hashes, so that nearly all are small; mixed again (one to one) they fall evenly on shards.
+        self.value = mix(seeds[self.anchor])
         self.lo, self.hi = at[new], at[np.append(new[1:], len(at)) - 1]
 
     def only(self, some: np.ndarray) -> Segments:

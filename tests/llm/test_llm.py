@@ -589,6 +589,14 @@ def test_suffixes(spark, monkeypatch, exchanged, hot):
         assert out.columns == NAMES and {r.doc_id: r.text for r in out.collect()} == {i: t.decode("utf-8", "replace") for i, t in kept.items()}
 
 
+def test_anchors_fall_evenly_on_shards():
+    """An anchor is the least of many hashes; its number must not be small for that, or one shard gets most segments."""
+    data = np.frombuffer(random.Random(5).randbytes(200_000), np.uint8)
+    block = exchange.Block(0, np.array([1]), data, np.array([0, len(data)]))
+    n = np.bincount(exchange.shard_of(suffixes.Segments(block, 100).value, 16), minlength=16)
+    assert n.min() > 0 and n.max() < 2 * n.mean()
+
+
 def test_suffix_order():
     rnd = random.Random(8)
     strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
