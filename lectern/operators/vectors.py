@@ -20,11 +20,19 @@ from lectern.session import stored
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_grams(text: Column) -> Column:
     """Words of two characters and more, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+    def both(words: Column) -> Column:
+        pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+    return bound(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), both)
 
 
 def char_grams(text: Column) -> Column:
@@ -44,9 +52,21 @@ class Kind:
 WORDS, CHARS = Kind(word_grams, 2, 40_000), Kind(char_grams, 3, 200_000)  # fixed values: the published limits
 
 
+def runs(grams: Column) -> Column:
+    """Structs (gram, tf) of the distinct strings of an array: its runs once sorted, so that no aggregate over single grams is needed."""
+
+    def tell(each: Column) -> Column:
+        starts = F.array_compact(F.transform(each, lambda g, k: F.when((k == 0) | (g != F.get(each, k - 1)), k)))
+        return bound(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(each, a).alias("gram"), (F.coalesce(F.get(at, k + 1), F.size(each)) - a).cast("long").alias("tf"))))
+
+    return bound(F.sort_array(grams), tell)
+
+
 def counted(rows: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
-    """(key, gram, tf)."""
-    return rows.select(key, F.explode(kind.grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    """(key, gram, tf), dealt by key: texts are shuffled, and not their grams."""
+    texts = rows.groupBy(key).agg(F.collect_list(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    grams = F.flatten(F.transform("_t", kind.grams))
+    return texts.select(key, F.inline(runs(grams)))
 
 
 def vocabulary(counts: DataFrame, n_texts: int, kind: Kind) -> DataFrame:
@@ -60,7 +80,8 @@ def weights(counts: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """(key, gram, weight): damped counts times inverse frequency, of length one for each text."""
     each = counts.join(F.broadcast(words.select("gram", "idf")), "gram").select(key, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     length = each.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return each.join(length, key).select(key, "gram", (F.col("w") / F.col("length")).alias("weight"))
+    # Both sides are dealt by key already, and the lengths of a part are few: neither grams nor their weights are shuffled or sorted.
+    return each.join(length.hint("shuffle_hash"), key).select(key, "gram", (F.col("w") / F.col("length")).alias("weight"))
 
 
 class Vectorizer:

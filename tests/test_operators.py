@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -1020,3 +1021,15 @@ def test_measured_noise_limit(spark):
     best = max(r.macro_f1 for r in curve)
     near = [r.achieved_wer for r in curve if r.macro_f1 >= best - 0.03]
     assert base.QUERIES["measured_noise_limit"](spark, SF).first()[0] == max(near)
+
+
+def test_grams_are_counted_without_a_shuffle_of_grams(spark):
+    """Counts of a key stand in its own part: texts are dealt by key, and neither counts nor weights are dealt or sorted again. Rows of one key are one text."""
+    from lectern.operators import vectors as V
+
+    rows = spark.createDataFrame([(1, "aa bb aa"), (1, "bb"), (2, None), (3, "aa c")], "id int, text string").coalesce(1)
+    counts = V.counted(rows, "id", "text", V.WORDS)
+    assert sorted(map(tuple, counts.collect())) == [(1, "aa", 2), (1, "aa bb", 1), (1, "bb", 2), (1, "bb aa", 1), (3, "aa", 1)]
+    words = V.vocabulary(counts, 3, V.Kind(V.word_grams, 1, 9))
+    plan = V.weights(counts, words, "id")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+, gram", plan) and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
