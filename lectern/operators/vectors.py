@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import bound
 from lectern.operators.aggregates import class_weights, scores
 from lectern.operators.models import word_bound_grams
 from lectern.session import stored
@@ -20,11 +21,6 @@ from lectern.session import stored
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), which is computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_grams(text: Column) -> Column:
     """Words of two characters and more, and pairs of neighbours."""
 

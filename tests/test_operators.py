@@ -1033,3 +1033,14 @@ def test_grams_are_counted_without_a_shuffle_of_grams(spark):
     words = V.vocabulary(counts, 3, V.Kind(V.word_grams, 1, 9))
     plan = V.weights(counts, words, "id")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(id#\d+, gram", plan) and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_postings_hold_a_row_for_a_token_of_a_row(spark, tmp_path):
+    """A text's words are grouped inside it, so that the index shuffles and sorts fewer rows than words; places stay whole."""
+    from lectern.operators import postings as P
+
+    ship(spark)
+    docs = spark.createDataFrame([(0, "a b a a"), (1, None), (2, "b c b")], "id long, text string").coalesce(1)
+    index = P.build(docs, str(tmp_path / "index"), ["id"])
+    assert sorted((r.token, r.row & 0xFF, r.places) for r in index.table("postings").collect()) == [("a", 0, [0, 2, 3]), ("b", 0, [1]), ("b", 2, [0, 2]), ("c", 2, [1])]
+    assert sorted(map(tuple, index.table("vocabulary").collect())) == [("a", 1, 3), ("b", 2, 3), ("c", 1, 1)] and index.words == 7
