@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import nfc_casefold
 from lectern.operators.intervals import touching
+from lectern.session import stored
 
 TOLERANCE, LOCK_TOLERANCE = 2.0, 1.0  # fixed values: seconds that lengths may differ by; that a transcript's end and a recording's may
 
@@ -35,10 +37,12 @@ def resolved(episodes: DataFrame, recordings: DataFrame, tolerance: float = TOLE
     within `tolerance`; and the one numbered as the episode is, unless its length speaks against it. A recording shorter than the transcript by more than the tolerance
     is none, and the last three rules skip recordings that an earlier episode has. That makes them depend on each other, so that a collection's
     episodes are read in order of their ids; each looks at the few recordings that its rules name, and the nearest free length is found by links over those taken.
+    Only recordings that some episode may come to (within_reach) go there, so that a collection takes memory by its episodes.
     """
     name = lambda c: nfc_casefold(F.element_at(F.split(F.coalesce(c, F.lit("")), "/"), -1))
     e = episodes.select("collection", "episode", F.coalesce("local_path", F.lit("")).alias("local_path"), name(F.col("local_path")).alias("name"), F.coalesce(F.col("duration_sec").cast("double"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("end_sec").cast("double"), F.lit(0.0)).alias("end_sec"))
     r = recordings.filter("path IS NOT NULL").select("collection", "path", name(F.col("path")).alias("name"), F.col("duration").cast("double").alias("duration"))
+    r = within_reach(e, r, tolerance)
     kinds = {c: episodes.schema[c].dataType.simpleString() for c in ("collection", "episode")}
 
     def run(eps: pd.DataFrame, recs: pd.DataFrame) -> pd.DataFrame:
@@ -51,6 +55,47 @@ def resolved(episodes: DataFrame, recordings: DataFrame, tolerance: float = TOLE
     return episodes.join(found, ["collection", "episode"], "left")
 
 
+def within_reach(episodes: DataFrame, recordings: DataFrame, tolerance: float) -> DataFrame:
+    """The recordings (collection, path, name, duration) that the rules may give to one of the episodes (collection, episode, local_path, name, duration, end_sec).
+
+    Those are the ones that a local path, a file name or a number names, and some by their lengths. A search for the nearest goes past a length only
+    if all its recordings are taken, so that the lengths passed between two that aren't hold no more recordings than may be taken there: one for
+    each length that an episode looks for in between, for each that is named, and for each whose path is there again. A length at which, of all such
+    stretches around it, none has so few can't be passed. Of each length as many recordings are kept, in order of their paths, as may be taken between
+    its neighbours that can't be passed, and one that is left.
+    """
+    r = recordings
+    by_name = lambda name, path: F.when(F.col(name) == "", F.concat(F.lit("p"), path)).otherwise(F.concat(F.lit("n"), name))
+    digits = F.regexp_extract(F.col("episode").cast("string"), r"([0-9]+)\z", 1)
+    number = F.when(digits != "", F.concat(F.lit("s"), F.regexp_replace(digits, r"^0+(?=[0-9])", "")))
+    stem = F.regexp_replace("name", r"\.[^.]*\z", "")
+    own = F.when(stem.rlike(r"\A[0-9]+\z"), F.concat(F.lit("s"), F.regexp_replace(stem, r"^0+(?=[0-9])", "")))
+    asked = episodes.select("collection", F.explode(F.array(F.when(F.col("local_path") != "", by_name("name", F.col("local_path"))), number)).alias("_key")).filter("_key IS NOT NULL").distinct()
+    keyed = r.select("*", F.explode(F.array(by_name("name", F.col("path")), own)).alias("_key")).filter("_key IS NOT NULL")
+    named = stored(keyed.join(asked, ["collection", "_key"], "left_semi").drop("_key").distinct(), "named")
+    known = lambda rows: rows.filter("duration IS NOT NULL AND NOT isnan(duration)")
+    again = r.join(r.groupBy("collection", "path").count().filter("count > 1").select("collection", "path"), ["collection", "path"], "left_semi")
+    end = F.nanvl("end_sec", F.lit(0.0))
+    wanted = episodes.select("collection", end.alias("end"), F.explode(F.array(F.nanvl("duration", F.lit(0.0)), end)).alias("w")).filter("w > 0")
+    wanted = wanted.select("collection", F.explode(F.array_distinct(F.array("w", F.when(F.col("end") > 0, F.greatest("w", F.col("end") - tolerance)).otherwise(F.col("w"))))).alias("at"))
+    taken = reduce(DataFrame.unionByName, [wanted, *[known(x).select("collection", F.col("duration").alias("at")) for x in (named, again)]])
+    line = known(r).groupBy("collection", F.col("duration").alias("at")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("c"))
+    line = line.unionByName(taken.groupBy("collection", "at").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("c"))).groupBy("collection", "at").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    up, down = (Window.partitionBy("collection").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("at", F.desc("at")))
+    # Before a length and behind it: what may be taken, and how many recordings there are.
+    line = line.withColumn("_c", F.coalesce(F.sum("c").over(up), F.lit(0)) + F.col("c")).withColumn("_n", F.coalesce(F.sum("n").over(up), F.lit(0)) + F.col("n"))
+    line = line.withColumn("_low", F.least(F.lit(0), F.min(F.col("_c") - F.col("_n")).over(up)))
+    all_ = Window.partitionBy("collection")
+    line = line.withColumn("_all", F.max("_c").over(all_)).withColumn("_end", F.max("_c").over(all_) - F.max("_n").over(all_))
+    line = line.withColumn("_high", F.greatest(F.col("_end"), F.max(F.col("_c") - F.col("_n") + F.col("n")).over(down)))
+    line = line.withColumn("_stop", F.when((F.col("n") > 0) & (F.col("_high") < F.col("_low")), F.col("_c")))
+    line = line.withColumn("_after", F.coalesce(F.last("_stop", ignorenulls=True).over(down), F.col("_all"))).withColumn("_before", F.coalesce(F.last("_stop", ignorenulls=True).over(up), F.lit(0)))
+    places = line.filter((F.col("n") > 0) & (F.col("_after") > F.col("_before"))).select("collection", F.col("at").alias("duration"), (F.col("_after") - F.col("_before") + 1).alias("_most"))
+    rank = F.row_number().over(Window.partitionBy("collection", "duration").orderBy("path"))
+    near = r.join(places, ["collection", "duration"]).withColumn("_rank", rank).filter("_rank <= _most")
+    return near.select(*r.columns).unionByName(named.select(*r.columns)).distinct()
+
+
 class Links:
     """Places in a row, of which some are taken: the next one on each side that isn't, by union-find in about constant time."""
 

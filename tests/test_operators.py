@@ -962,6 +962,51 @@ def test_recordings_by_links(spark):
     assert sum(free.choice(f"e{k}x", "", "", float(k * 7 % 5000), 0.0)[0] is not None for k in range(n)) > n // 2 and time.perf_counter() - began < 20
 
 
+def test_recordings_within_reach(spark):
+    """Of many recordings few are read in Python, and each episode gets what it gets of all, with paths that are there twice and lengths that all want."""
+    import random
+
+    import pandas as pd
+
+    from lectern.operators import audio
+
+    ship(spark)
+    rnd = random.Random(8)
+    eps, recs = [], []
+    for c in range(60):
+        lengths = rnd.choice([[5.0, 6.0, 6.5, 7.0, 8.0], [x / 4 for x in range(60)]])
+        most = rnd.choice([6, 20, 60])
+        for k in range(rnd.randint(0, most)):
+            path = rnd.choice(["a/", "b/"]) + rnd.choice(["x.mp3", "07.mp3", "7.wav", "É.mp3", *[f"{rnd.randint(0, 99)}k.mp3"] * 12])
+            recs.append((c, path, audio_name(path), rnd.choice([None, float("nan"), *[rnd.choice(lengths)] * 10])))
+        for k in range(rnd.randint(1, 12)):
+            local = rnd.choice(["", "", "", "a/x.mp3", "c/é.mp3"])
+            eps.append((c, f"{rnd.choice(['e', 'e0', 'f'])}{rnd.choice(['', k, 7])}-{k}" if rnd.random() < 0.5 else f"{k}e7", local, audio_name(local), rnd.choice([0.0, 5.5, 6.0, 6.5, 9.0]), rnd.choice([0.0, 0.0, 5.0, 6.0, 8.5, 61.0])))
+    recs += [(99, f"r/{k:06d}x", f"{k:06d}x", float(k % 500)) for k in range(40_000)]
+    eps += [(99, f"e{k}x", "", "", 200.0 + k % 3, 200.0) for k in range(50)]
+    e = spark.createDataFrame(eps, "collection long, episode string, local_path string, name string, duration double, end_sec double")
+    r = spark.createDataFrame(recs, "collection long, path string, name string, duration double")
+    left = [tuple(x) for x in audio.within_reach(e, r, 2.0).select("collection", "path", "name", "duration").collect()]
+    assert sum(x[0] == 99 for x in left) < 2_000
+
+    def choices(rows, c):
+        free = audio.Free(pd.DataFrame([x[1:] for x in rows if x[0] == c], columns=["path", "name", "duration"]).sort_values("path", kind="stable"), 2.0)
+        return [free.choice(*x[1:]) for x in sorted(x for x in eps if x[0] == c)]
+
+    found = {c: choices(recs, c) for c in [*range(60), 99]}
+    assert all(choices(left, c) == want for c, want in found.items())
+    assert {how for x in found.values() for _, how in x} == {"exact", "name", "duration", "number", None}
+    whole = audio.resolved(e.drop("name").withColumnRenamed("duration", "duration_sec"), r.drop("name"))
+    got = {(x.collection, x.episode): (x.path, x.how) for x in whole.collect()}
+    assert got == {(x[0], x[1]): y for c, want in found.items() for x, y in zip(sorted(x for x in eps if x[0] == c), want)}
+
+
+def audio_name(path):
+    import unicodedata
+
+    return unicodedata.normalize("NFC", path.split("/")[-1]).casefold()
+
+
 def test_resolved_recordings_query(spark):
     """The registered query gives each episode what a loop over its collection's recordings gives."""
     from lectern.plans import base, corpus_queries
