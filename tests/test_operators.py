@@ -647,6 +647,28 @@ def test_fuzzy_bounds(spark):
     assert left > 200
 
 
+def test_fuzzy_bounds_by_counts(spark):
+    """A character counts as often as the query has it in all of a window's words; texts compared together get what each gets alone; smart search finds the best of many that are near."""
+    import random
+
+    q = "thand onesen wereth"
+    rows = spark.createDataFrame([(1, "th " * 50), (2, "thand onesun"), (3, "")], "id long, t string")
+    assert [r.id for r in rows.filter(S.fuzzy_slack(F.col("t"), T.tokens(F.col("t")), q, 0.5) >= 0).collect()] == [2]
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("thandonesw\U0001f600é") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    for query in (q, "é\U0001f600 th", "x" * 70):
+        made = S.Fuzzy(query)
+        for least in (0.0, 0.6):
+            for t, x in zip(texts, made.scores(texts, least)):
+                best = plain_fuzzy(query, t)
+                assert x == best or (x < least and best < least)
+                assert made.bound(t) >= best
+    rows = spark.createDataFrame(list(enumerate([*texts, "thand", "thand onesen"])), "id long, t string")
+    want = {k: max(S.FUZZY_SHARE * plain_fuzzy(q, t), 1.0 if q in t else 0, 0.55 + 0.1 * n if (n := sum(w in t.split() for w in q.split())) else 0) for k, t in enumerate([*texts, "thand", "thand onesen"])}
+    got = [(r.id, round(r.score, 9)) for r in S.search(rows, q, "smart", least=0.3, top_k=5, text="t", order=["id"], normal=F.col("t")).collect()]
+    assert got == sorted(((k, round(x, 9)) for k, x in want.items()), key=lambda r: (-r[1], r[0]))[:5]
+
+
 def test_fuzzy_documents_by_brute_force(spark):
     from lectern.plans import base
     from lectern.plans.catalog import table
