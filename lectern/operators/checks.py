@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task holds at once where keys are counted.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows dealt by their key to as many tasks as n rows need, so that a task's memory doesn't grow with the table; sizes after compression, by which tasks are merged else, say little of it."""
+    return rows.repartition(max(1, -(-n // TASK_ROWS)), key)
+
+
 def issues(rows: DataFrame, key: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
     """key, code: a row for each rule (code, violated) that a row breaks."""
     found = F.filter(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules]), lambda x: x.isNotNull())

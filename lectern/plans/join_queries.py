@@ -132,7 +132,9 @@ def labelled_in_index(spark, sf):
 @query("reproducibility_check", """
 SELECT count(*) AS n, count(*) FILTER (o_totalprice IS NOT NULL) AS matched, (count(*) = count(DISTINCT (l_orderkey, l_linenumber))) AS unique_keys FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""")
 def reproducibility_check(spark, sf):
-    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    n = lines.count()
+    j = C.dealt(lines, "l_orderkey", n).join(C.dealt(orders, "o_orderkey", n), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     keys = j.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.count("o_totalprice").alias("m"))
     return keys.agg(F.sum("n").alias("n"), F.sum("m").alias("matched"), (F.sum("n") == F.count("*")).alias("unique_keys"))
 

@@ -647,6 +647,21 @@ def test_fuzzy_bounds(spark):
     assert left > 200
 
 
+def test_key_check_in_small_tasks(spark, monkeypatch):
+    """Keys are counted in as many tasks as the rows need, neither merged by their size nor bound to one number."""
+    from lectern.operators import checks
+    from lectern.plans import base
+    from lectern.plans.catalog import table
+
+    ship(spark)
+    want = base.QUERIES["reproducibility_check"](spark, SF).first()
+    n = table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(checks, "TASK_ROWS", 500)
+    found = base.QUERIES["reproducibility_check"](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.first() == want and f", {-(-n // 500)}), REPARTITION_BY_NUM" in plan
+
+
 def test_fuzzy_bounds_by_counts(spark):
     """A character counts as often as the query has it in all of a window's words; texts compared together get what each gets alone; smart search finds the best of many that are near."""
     import random
