@@ -647,6 +647,20 @@ def test_fuzzy_bounds(spark):
     assert left > 200
 
 
+def test_collars_in_one_pass(spark):
+    """However many collars there are, an episode goes to Python once, and each collar gives what it gives alone."""
+    from lectern.operators import aggregates as A
+
+    ref = spark.createDataFrame([(1, 0.0, 4.0, "a"), (1, 3.0, 9.0, "b"), (2, 1.0, 1.0, "a"), (2, 2.0, 5.0, None)], "episode long, start double, end double, label string")
+    hyp = spark.createDataFrame([(1, 0.0, 5.0, "x"), (1, 5.0, 8.5, "y"), (2, 2.5, 7.0, "x")], "episode long, start double, end double, label string")
+    found = A.diarization_errors(ref, hyp, (0.0, 0.5, 1.0))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsIn") == 1
+    got = {(r.episode, r.collar): (r.total, r.missed, r.false_alarm, r.confusion) for r in found.collect()}
+    for c in (0.0, 0.5, 1.0):
+        assert {r.episode: (r.total, r.missed, r.false_alarm, r.confusion) for r in A.diarization_error(ref, hyp, c).collect()} == {k: x for (k, d), x in got.items() if d == c}
+    assert got[1, 0.0] == (10.0, 1.5, 0.0, 1.0) and got[2, 0.0] == (3.0, 0.5, 2.0, 0.0) and got[2, 1.0] == (2.0, 0.0, 1.5, 0.0)
+
+
 def test_key_check_in_small_tasks(spark, monkeypatch):
     """Keys are counted in as many tasks as the rows need, neither merged by their size nor bound to one number."""
     from lectern.operators import checks
