@@ -1148,3 +1148,53 @@ def test_noise_is_made_once(spark):
 
     plan = base.QUERIES["noise_curve"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("conversations") <= 1 and plan.count("Relation") == 1
+
+
+def test_folds_read_texts_twice(spark):
+    """Grams are made once for all folds' counts and once for all folds' vectors, not for each fold's fit, training and test; rows of one key are told once each."""
+    from lectern.operators import vectors as V
+
+    ship(spark)
+    made = []
+
+    def grams(text):
+        made.append(text)
+        return V.word_grams(text)
+
+    rows = [(k, ("good fine " if k % 2 else "bad poor ") + f"word{k % 3}", k % 2, k // 2 % 3) for k in range(24)]
+    frame = spark.createDataFrame([*rows, (0, "bad bad", 0, 0)], "id long, text string, label int, fold int")
+    got = V.by_folds(frame, "id", "text", "label", "fold", 2, [V.Kind(grams, 2, 50), V.CHARS]).collect()
+    assert len(made) == 2
+    assert sorted((r.id, r.fold, r.truth, r.pred) for r in got) == sorted((k, f, label, label) for k, _, label, f in [*rows, rows[0]])
+
+
+def test_vectors_are_the_weights(spark):
+    """Vectors made over Arrow batches, a few words at a time, hold what the joins of counts and vocabulary give, for several texts of a key and for other scripts as well."""
+    import pyarrow as pa
+
+    from lectern.operators import vectors as V
+
+    ship(spark)
+    texts = [(1, "Aa bb aa été x"), (1, "bb শব্দটি 😀z abcde"), (2, None), (3, "aa c  abcd"), (4, ""), (5, "aaaaaaa aa bb")]
+    rows = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    kinds = [V.Kind(V.word_grams, 1, 9), V.Kind(V.char_grams, 1, 40)]
+    fit = V.Vectorizer(rows, "id", "text", kinds)
+    want, start = {}, 0
+    for kind, own in zip(kinds, fit.words, strict=True):
+        words = V.vocabulary(V.counted(rows, "id", "text", kind), len(texts), kind)
+        grams = sorted((r.gram, r.df, r.n) for r in words.collect())
+        assert sorted(map(tuple, own.collect())) == grams
+        place = {g: start + k for k, (g, _, _) in enumerate(grams)}
+        for r in V.weights(V.counted(rows, "id", "text", kind), words, "id").collect():
+            want[r.id, place[r.gram]] = r.weight
+        start += len(grams)
+    told = fit.vectors(rows).collect()
+    assert sorted(r.id for r in told) == [1, 1, 2, 3, 4, 5] and {r.features.size for r in told} == {start}
+    got = {(r.id, int(i)): v for r in told for i, v in zip(r.features.indices, r.features.values, strict=True)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    units = pa.record_batch({"u": pa.array([[["a"] * 3], [["b"]], [], [["c"], ["d"] * 9]], pa.list_(pa.list_(pa.string())))})
+    held, V.UNITS = V.UNITS, 4
+    try:
+        assert [p.num_rows for p in V._portions(units, 1)] == [2, 2]
+    finally:
+        V.UNITS = held
